@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from finquery.llm.fingerprint_index import remove_repeats
+from finquery.llm.ngram_join import jaccard_components
 from finquery.llm.pii import personal_data_digest
 from finquery.llm.quality_mcd import quality_rules
 from finquery.llm.token_output import token_output
@@ -26,6 +29,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark, documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
+def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(spark, documents(spark, sf_dir), width=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(spark, documents(spark, sf_dir), width=3, percent=90)
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), rule_table(spark, RULES))
 
@@ -39,7 +51,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op7_url_rules, op9_token_output, op10_personal_data)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_remove_repeats, op5_jaccard_components, op7_url_rules, op9_token_output, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
