@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finquery.llm.fingerprint_index import remove_repeats
+from finquery.llm.mixing import mixed_rates
 from finquery.llm.ngram_join import jaccard_components
 from finquery.llm.pii import personal_data_digest
 from finquery.llm.quality_mcd import quality_rules
+from finquery.llm.template_decontam import decontaminated
 from finquery.llm.token_output import token_output
 from finquery.llm.url_rules import RULES, rule_table, url_rules
 
@@ -38,10 +40,19 @@ def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, documents(spark, sf_dir), width=3, percent=90)
 
 
+def op6_decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminated(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), rule_table(spark, RULES))
 
 
+def op8_mixed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixed_rates(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rates.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("p_clean", "p_low", "p_toxic", "rate")))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(spark, documents(spark, sf_dir), tokenizer_path(), end_id=1)
 
@@ -51,7 +62,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_remove_repeats, op5_jaccard_components, op7_url_rules, op9_token_output, op10_personal_data)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_remove_repeats, op5_jaccard_components, op6_decontaminated, op7_url_rules, op8_mixed_rates, op9_token_output, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
