@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finquery.llm.fingerprint_index import remove_repeats
+from finquery.llm.license_rules import licences
 from finquery.llm.mixing import mixed_rates
 from finquery.llm.ngram_join import jaccard_components
 from finquery.llm.pii import personal_data_digest
 from finquery.llm.quality_mcd import quality_rules
+from finquery.llm.separator_scan import token_counts
 from finquery.llm.template_decontam import decontaminated
 from finquery.llm.token_output import token_output
 from finquery.llm.url_rules import RULES, rule_table, url_rules
@@ -31,6 +33,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark, documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences(documents(spark, sf_dir))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document by a scan for ``<|endoftext|>`` (49407)."""
+    return token_counts(spark, documents(spark, sf_dir), tokenizer_path(), end_id=49407).select("doc_id", "file", "ordinal", "start", "n_tokens", "ended")
+
+
 def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(spark, documents(spark, sf_dir), width=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -61,9 +72,47 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository's top, beside the driver entry
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_remove_repeats, op5_jaccard_components, op6_decontaminated, op7_url_rules, op8_mixed_rates, op9_token_output, op10_personal_data)}
+    operators = (op1_quality_rules, op2_licences, op3_token_counts, op4_remove_repeats, op5_jaccard_components, op6_decontaminated, op7_url_rules, op8_mixed_rates, op9_token_output, op10_personal_data)
+    return {f.__name__: f for f in (*operators, pipeline)}
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The words of a text, as a list.
+WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can say what an operator returns; the others are tested against brute force."""
+    rules = ", ".join(f"('{v}', '{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for v, r in RULES)
+    return {
+        "op4_remove_repeats": f"""
+            WITH d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS words FROM documents),
+            t AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d)),
+            f AS (SELECT win, min(doc_id) AS least FROM t GROUP BY win),
+            c AS (SELECT DISTINCT doc_id, i + j AS pos FROM t JOIN f USING (win), range(0, 13) r(j) WHERE least < doc_id),
+            w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d),
+            k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM w ANTI JOIN c USING (doc_id, pos) GROUP BY doc_id)
+            SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+        "op5_jaccard_components": f"""
+            WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} AS words FROM documents),
+            s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')))) END AS sh FROM d),
+            g AS (SELECT sh, min(doc_id) AS rep, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+            x AS (SELECT rep, n, unnest(sh) AS one FROM g),
+            p AS (SELECT a.rep AS u, b.rep AS v FROM x a JOIN x b ON a.one = b.one AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+            e AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+            r AS (SELECT rep AS node, rep AS seen FROM g UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.seen),
+            c AS (SELECT node, min(seen) AS comp FROM r GROUP BY node)
+            SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(c.comp, s.doc_id) AS component_id FROM s LEFT JOIN g ON g.sh = s.sh LEFT JOIN c ON c.node = g.rep""",
+        "op7_url_rules": f"""
+            WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+            r(verdict, rule, rhost, rpath) AS (VALUES {rules}),
+            m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM u JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+            SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)""",
+    }
