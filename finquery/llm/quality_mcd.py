@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finquery.llm.scratch import Scratch, with_columns_of
-from finquery.llm.words import U64, WordTable, covered, mixed, slices, window_hashes, window_starts
+from finquery.llm.words import U64, Words, covered, mixed, slices, window_hashes, window_starts
 
 SPACE, SYMBOLS, UPPER = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91))
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -40,12 +40,13 @@ FLOORS = (0.25, 0.05, 0.05, 0.05, 0.05, 0.25)
 WINDOW, FEW_WORDS, REPEAT_PERCENT = 8, 20, 30
 
 
-def repeat_words(ids: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def repeat_words(words: Words) -> np.ndarray:
     """For each text, the words in 8-word windows that the text holds twice or more."""
+    ids, ends = words.ids, words.ends
     starts, doc = window_starts(ends, WINDOW)
     if not len(starts):
         return np.zeros(len(ends) - 1, dtype=np.int64)
-    keys = window_hashes(hashes[ids], WINDOW, 0x9E3779B97F4A7C15)[starts] ^ mixed(doc.astype(U64) + U64(1))
+    keys = window_hashes(words.hashes(), WINDOW, 0x9E3779B97F4A7C15)[starts] ^ mixed(doc.astype(U64) + U64(1))
     order = np.argsort(keys, kind="stable")
     same = keys[order[1:]] == keys[order[:-1]]
     a, b = starts[order[:-1][same]], starts[order[1:][same]]
@@ -68,19 +69,16 @@ def text_counts(documents: DataFrame) -> DataFrame:
     """``doc_id, lang, source`` and the counts of every whole text; a null text has none of anything."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable()
         for whole in batches:
             for batch in slices(whole):
-                table.trim()
-                texts = [t or b"" for t in batch.column("text").to_pylist()]
-                ids, ends = table.numbers(texts)
+                words, texts = Words(batch.column("text")), [t or b"" for t in batch.column("text").cast("binary").to_pylist()]
                 lines = [[x for x in t.split(b"\n") if x.strip()] for t in texts]
                 count = lambda drop: [len(t) - len(t.translate(None, drop)) for t in texts]
-                found = [np.diff(ends), [len(t.translate(None, CONTINUATION + SPACE)) for t in texts], count(SYMBOLS), [len(x) - len(set(x)) for x in lines], repeat_words(ids, ends, table.hashes()), count(UPPER), count(MARKS), [len(x) for x in lines]]
+                found = [np.diff(words.ends), [len(t.translate(None, CONTINUATION + SPACE)) for t in texts], count(SYMBOLS), [len(x) - len(set(x)) for x in lines], repeat_words(words), count(UPPER), count(MARKS), [len(x) for x in lines]]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "lang", "source")] + [pa.array(x, pa.int64()) for x in found], ["doc_id", "lang", "source", *COUNTS])
 
     rows = with_columns_of(documents, doc_id="long", lang="string", source="string", text="string")
-    return rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def transformed(counts: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ setting is absent, a folder of the local machine is used (tests, local mode).
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{local}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Batches to and from Python of so many rows while a job runs: whole texts in batches of 10,000 rows take too much memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables of one operator call, below a folder of its own; removed when the session's process ends."""
 
@@ -41,7 +55,8 @@ class Scratch:
     def table(self, name: str, df: DataFrame, *partition: str, **options: object) -> DataFrame:
         """Write ``df`` and return the written table."""
         writer = df.write.mode("overwrite").options(compression="zstd", **options)
-        (writer.partitionBy(*partition) if partition else writer).parquet(self.path(name))
+        with small_batches(self.spark):
+            (writer.partitionBy(*partition) if partition else writer).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def remove(self, name: str = "") -> None:

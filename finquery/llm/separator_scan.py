@@ -25,7 +25,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from finquery.llm.scratch import Scratch, with_columns_of
+from finquery.llm.scratch import Scratch, small_batches, with_columns_of
 from finquery.llm.token_output import encoder, id_type
 from finquery.llm.words import slices
 
@@ -66,7 +66,8 @@ def write_flat_files(documents: DataFrame, tokenizer: str, end_id: int, path: st
 
     separator = np.array([end_id], dtype=kind).tobytes().decode("latin-1")
     flat = with_columns_of(documents, doc_id="long", text="string").mapInArrow(run, "value binary")
-    flat.select(F.col("value").cast("string")).write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", separator).text(path)
+    with small_batches(documents.sparkSession):
+        flat.select(F.col("value").cast("string")).write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", separator).text(path)
     return kind
 
 

@@ -18,22 +18,30 @@ any store Spark can write to serves), in ascending ``doc_id`` across files.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from finquery.llm.scratch import Scratch, with_columns_of
-from finquery.llm.words import slices
+from finquery.llm.scratch import Scratch, small_batches, with_columns_of
+from finquery.llm.words import Words, release, slices
 
 MAGIC = b"FQT1"
 BLOCK_IDS = 1 << 18
 #: Files of about this many ids, so that one file is one bounded unit of reading.
-FILE_IDS = 4 << 20
-MOST_PIECES = 1 << 19
+FILE_IDS = 2 << 20
+MOST_PIECES = 1 << 17
+TAIL = ".,;:!?"
+#: Lower-case Latin letters that are composed already.
+LETTERS = "^[a-z\u00df-\u00f6\u00f8-\u017f]+$"
 #: Bytes taken by each of the four ids of a control byte.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
 
@@ -41,52 +49,137 @@ LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)
 class Encoder:
     """Ids of whole texts through the tokenizers library, each distinct piece between spaces encoded once.
 
-    Valid for tokenizers that drop white space and never join pieces across it
-    (`separable`); the ids are then those of the whole text.
+    Valid for tokenizers that drop white space, never join pieces across it and
+    mark the end of a word in the vocabulary (`separable`): the ids are then
+    those of the whole text. Pieces go to the library many at a time and are
+    told apart by their number of words; where the ends of words do not add up,
+    one at a time. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.separable = self._drops_space()
-        self.known: dict[bytes, np.ndarray] = {}
+        self.kind = id_type(path)
+        told = json.loads(self.tokenizer.to_str())
+        pre = told.get("pre_tokenizer") or {}
+        first, suffix = (pre.get("pretokenizers") or [pre])[0], told["model"].get("end_of_word_suffix")
+        self.separable = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and bool(suffix)
+        if self.separable:
+            self.words = regex.compile(first["pattern"]["Regex"])
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            for token, n in self.tokenizer.get_vocab().items():
+                self.ends[n] = token.endswith(suffix)
+            self.light = Tokenizer(self.tokenizer.model)  # the same model for words on which normalising and splitting change nothing
+            self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            probe = "the quick brown fox jumps over lazy dogs"
+            self.plain = self.words.findall("word" + TAIL) == ["word", TAIL] and self.light.encode(probe).ids == self._raw([probe.upper()])[0].tolist() == self._raw([probe])[0].tolist()
+        self.bases, self.others = Recent(2 * MOST_PIECES), Recent(MOST_PIECES)
+
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _groups(self, pieces: list[str], counts: list[int], tokenizer) -> Iterator[tuple[str, bytes]]:  # noqa: ANN001
+        """Each piece with its ids; ``counts``: words in each piece."""
+        for k in range(0, len(pieces), 1 << 15):
+            at = range(k, min(k + (1 << 15), len(pieces)), 256)
+            texts = [" ".join(pieces[j : j + 256]) for j in at]
+            for j, e in zip(at, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                group, ids = pieces[j : j + 256], np.array(e.ids, dtype=self.kind)
+                ends, upto = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1]), np.cumsum([0, *counts[j : j + 256]])
+                if upto[-1] == len(ends) - 1 and ends[-1] == len(ids):
+                    cuts, raw = (ends[upto] * ids.itemsize).tolist(), ids.tobytes()
+                    yield from ((p, raw[a:b]) for p, a, b in zip(group, cuts, cuts[1:], strict=False))
+                else:
+                    yield from zip(group, (x.tobytes() for x in self._raw(group)), strict=True)
+
+    def _parts(self, unique: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Ids of word parts, and for each piece the numbers of its two parts (letters, then marks)."""
+        low = pc.utf8_lower(unique)
+        base = pc.ascii_rtrim(low, characters=TAIL)
+        size, short = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (low, base))
+        # Composed Latin letters, then at most one mark: two words at most, each on its own.
+        plain = pc.match_substring_regex(base, LETTERS).to_numpy(zero_copy_only=False) & (size - short < 2) & self.plain
+        coded = base.filter(pa.array(plain)).dictionary_encode()
+        bases, others = coded.dictionary.to_pylist(), unique.filter(pa.array(~plain)).to_pylist()
+        self.bases.turn()
+        self.others.turn()
+        fresh, odd = self.bases.absent(set(bases)), self.others.absent(set(others))
+        if fresh:
+            self.bases.update(self._groups(fresh, [1] * len(fresh), self.light))
+        self.others.update(self._groups(odd, [len(self.words.findall(unicodedata.normalize("NFC", p).lower())) for p in odd], self.tokenizer))
+        marks = [b"", *(x.tobytes() for x in self._raw(list(TAIL)))]
+        which = np.zeros((len(unique), 2), dtype=np.int64)
+        which[plain, 0] = coded.indices.to_numpy(zero_copy_only=False) + len(marks)
+        ends = np.cumsum(size) + low.offset
+        raw = np.frombuffer(low.buffers()[2] or b"", dtype=np.uint8)
+        tailed = np.flatnonzero(plain & (size > short))
+        code = np.zeros(256, dtype=np.int64)
+        code[np.frombuffer(TAIL.encode(), np.uint8)] = np.arange(len(TAIL)) + 1
+        which[tailed, 1] = code[raw[ends[tailed] - 1]]
+        which[~plain, 0] = np.arange(len(others)) + len(marks) + len(bases)
+        return [*marks, *map(self.bases.__getitem__, bases), *map(self.others.__getitem__, others)], which
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, of the type ``kind``, and where each text begins and ends."""
+        if not self.separable:
+            found = self._raw(["" if t is None else t for t in texts.to_pylist()])
+            return np.concatenate([np.empty(0, self.kind), *found]), np.cumsum([0, *map(len, found)])
+        words = Words(texts)
+        raw, which = self._parts(words.unique)
+        flat = np.frombuffer(b"".join(raw), dtype=self.kind)
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // flat.itemsize
+        part = which[words.ids].ravel()
+        n = size[part]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return flat[np.repeat((np.cumsum(size) - size)[part] - ends[:-1], n) + np.arange(ends[-1])], ends[2 * words.ends]
 
-    def _drops_space(self) -> bool:
-        import json
 
-        t = json.loads(self.tokenizer.to_str())
-        pre = t.get("pre_tokenizer") or {}
-        first = (pre.get("pretokenizers") or [pre])[0]
-        return first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and t["model"]["type"] == "BPE"
+class Recent(dict):
+    """A table of two generations: when the young one is full it becomes the old one, from which entries in use come back."""
 
-    def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        if not self.separable:
-            return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        if len(self.known) > MOST_PIECES:
-            self.known.clear()
-        pieces = [(t or b"").split() for t in texts]
-        new = list({p for x in pieces for p in x if p not in self.known})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in part], add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, dtype=np.uint32).tobytes()
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)), dtype=np.uint32) for x in pieces]
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def absent(self, wanted: set) -> list:
+        out = wanted.difference(self)
+        back = out.intersection(self.old)
+        self.update((k, self.old[k]) for k in back)
+        return list(out.difference(back))
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process."""
+    return Encoder(path)
+
+
+def id_type(path: str) -> str:
+    """Two bytes hold the ids of a vocabulary of up to 65,536, four those of a larger one."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    return "<u2" if max([*told["model"]["vocab"].values(), *(t["id"] for t in told["added_tokens"])]) < 1 << 16 else "<u4"
 
 
 def tokenize(documents: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
-    """``doc_id, n, ids`` (little-endian unsigned 32-bit, with the end id if given) of every whole text; a null text is empty."""
+    """``doc_id, n, ids`` (little-endian, of `id_type`, with the end id if given) of every whole text; a null text is empty."""
+    kind = id_type(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = Encoder(tokenizer), b"" if end_id is None else np.uint32(end_id).tobytes()
+        own, tail = encoder(tokenizer), np.array([] if end_id is None else [end_id], dtype=kind)
         for whole in batches:
             for batch in slices(whole):
-                found = [x.tobytes() + tail for x in encoder.ids(batch.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n", "ids"])
+                ids, ends = own.ids(batch.column("text"))
+                found = [np.concatenate([ids[a:b], tail]) for a, b in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "n", "ids"])
 
-    return with_columns_of(documents, doc_id="long", text="string").select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return with_columns_of(documents, doc_id="long", text="string").mapInArrow(run, "doc_id long, n long, ids binary")
 
 
 def control_encoded(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -132,13 +225,15 @@ def blocks_of(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         at += size + 1
 
 
-def ranked(tokens: DataFrame) -> DataFrame:
+def ranked(tokens: DataFrame, kind: str) -> DataFrame:
     """``id, rank``: ids by falling count over the whole corpus, then by id. As many rows as the vocabulary has ids in use."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # encoding is over
+        release()
         total = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
-            found = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=np.uint32))
+            found = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=kind))
             if len(found) > len(total):
                 total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
             total[: len(found)] += found
@@ -149,7 +244,7 @@ def ranked(tokens: DataFrame) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "id")) - 1).select("id", F.col("rank").cast("long").alias("rank"))
 
 
-def write_token_files(tokens: DataFrame, ranks: DataFrame, path: str, most_ids: int) -> None:
+def write_token_files(tokens: DataFrame, kind: str, ranks: DataFrame, path: str, most_ids: int) -> None:
     """Files at ``path`` in ascending doc_id. ``most_ids``: the vocabulary's size, a bound of the rank table that goes to each task."""
     table = ranks.toPandas()  # one row for each vocabulary id in use
     if len(table) > most_ids:
@@ -165,7 +260,7 @@ def write_token_files(tokens: DataFrame, ranks: DataFrame, path: str, most_ids:
         for batch in batches:
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 ids.append(doc_id)
-                parts.append(rank_of[np.frombuffer(raw, dtype=np.uint32)])
+                parts.append(rank_of[np.frombuffer(raw, dtype=kind)])
                 size += len(parts[-1])
                 if size >= BLOCK_IDS:
                     yield out()
@@ -174,7 +269,8 @@ def write_token_files(tokens: DataFrame, ranks: DataFrame, path: str, most_ids:
             yield out()
 
     blocks = tokens.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "n").mapInArrow(encode, "block binary")
-    blocks.select(F.col("block").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
+    with small_batches(tokens.sparkSession):
+        blocks.select(F.col("block").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
 def read_token_files(spark: SparkSession, path: str, ranks: DataFrame) -> DataFrame:
@@ -201,10 +297,10 @@ def token_output(spark: SparkSession, documents: DataFrame, tokenizer: str, end_
     their own (repeated rows) each stay; an empty table gives no rows. ``start``
     counts the ids of all documents before, by doc_id.
     """
-    work = Scratch(spark, "tokens")
+    work, kind = Scratch(spark, "tokens"), id_type(tokenizer)
     tokens = work.table("ids", tokenize(documents, tokenizer, end_id))
-    ranks = work.table("ranks", ranked(tokens))
-    write_token_files(tokens, ranks, work.path("files"), 1 << 22)
+    ranks = work.table("ranks", ranked(tokens, kind))
+    write_token_files(tokens, kind, ranks, work.path("files"), 1 << 22)
     work.remove("ids")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,13 @@
 """Words of raw UTF-8 text as dense numbers, shared by the operators that work on word windows.
 
-A word is a run of bytes outside ``\\x20`` and ``\\x09-\\x0D``: exactly what
-``bytes.split()`` yields. Texts are processed in slices of bounded bytes, and
-the word table is emptied when it grows past a fixed size, so that memory does
-not follow the input.
+A word is a run of bytes outside ``\\x20`` and ``\\x09-\\x0D``. Texts are
+processed in slices of bounded bytes, so that memory does not follow the input.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 6 << 20
-MOST_WORDS = 1 << 20
+SLICE_BYTES = 4 << 20
 U64 = np.uint64
 
 
@@ -28,45 +27,37 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         n = max(1, int(np.searchsorted(total, total[at] - sizes[at] + most, side="right")) - at)
         yield batch.slice(at, n)
         at += n
+    release()
 
 
-class WordTable(dict):
-    """Maps a word to a dense number; ``hashes(seed)`` gives a 64-bit hash for each number."""
+def release() -> None:
+    """Give freed memory back to the system: the Python workers share an executor's bound with its JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
-    def __init__(self) -> None:
-        self.words: list[bytes] = []
-        self._hashes: dict[int, np.ndarray] = {}
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.words)
-        self.words.append(word)
-        return n
+class Words:
+    """The words of a column of texts in a row: ``ids`` number equal words alike, ``ends`` says where each text begins and ends."""
 
-    def trim(self) -> bool:
-        """Empty the table if it has grown past its bound."""
-        if len(self.words) > MOST_WORDS:
-            self.clear()
-            self.words.clear()
-            self._hashes.clear()
-            return True
-        return False
+    def __init__(self, texts: pa.Array):
+        found = pc.ascii_split_whitespace(texts.fill_null(""))
+        flat, ends = found.flatten(), found.offsets.to_numpy() - found.offsets[0].as_py()
+        full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # space at the edges of a text leaves empty words
+        if not full.all():
+            ends, flat = np.concatenate([[0], np.cumsum(full)])[ends], flat.filter(pa.array(full))
+        coded = flat.dictionary_encode()
+        self.flat, self.ends = flat, ends.astype(np.int64)
+        self.ids, self.unique = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        known = self._hashes.get(seed, np.empty(0, U64))
-        if len(known) < len(self.words):
-            new = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words[len(known):]), dtype=U64, count=len(self.words) - len(known))
-            known = self._hashes[seed] = np.concatenate([known, new])
-        return known
-
-    def numbers(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of all texts in a row, and where each text begins (one more entry than texts)."""
-        words: list[bytes] = []
-        ends = np.zeros(len(texts) + 1, dtype=np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                words += text.split()
-            ends[k + 1] = len(words)
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)), ends
+        """A 64-bit hash of each word in a row."""
+        return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.unique.cast(pa.binary() if self.unique.type == pa.string() else pa.large_binary()).to_pylist()), dtype=U64, count=len(self.unique))[self.ids]
+
+    def joined(self, keep: np.ndarray) -> pa.Array:
+        """Each text's kept words, joined by one space."""
+        ends = np.concatenate([[0], np.cumsum(keep)])[self.ends].astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), self.flat.filter(pa.array(keep))), " ")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
