@@ -21,7 +21,6 @@ The chunks then apply their bits and remove covered words.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -31,10 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finquery.llm.scratch import Scratch, with_columns_of
-from finquery.llm.words import U64, WordTable, covered, slices, window_hashes, window_starts
+from finquery.llm.scratch import Scratch, small_batches, with_columns_of
+from finquery.llm.words import U64, Words, covered, slices, window_hashes, window_starts
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 #: Fingerprints in one bucket, about: what one reducing task holds at a time.
 BUCKET_WINDOWS = 1 << 20
 NULL_ID = -(1 << 63)
@@ -98,7 +97,7 @@ def chunked(documents: DataFrame) -> DataFrame:
 
         for whole in batches:
             for batch in slices(whole):
-                for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast("binary").to_pylist(), strict=True):
                     held.append((NULL_ID if i is None else i, t or b""))
                     size += len(t or b"")
                 if size >= CHUNK_BYTES or len(held) >= 1 << 18:
@@ -107,23 +106,29 @@ def chunked(documents: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return with_columns_of(documents, doc_id="long", text="string").select("doc_id", F.col("text").cast("binary")).mapInArrow(run, CHUNK)
+    return with_columns_of(documents, doc_id="long", text="string").mapInArrow(run, CHUNK)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row after another, without a second copy of the batch."""
+    for batch in batches:
+        for k in range(len(batch)):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 class Chunk:
     """A chunk read back, with the fingerprints of its windows."""
 
-    def __init__(self, row: dict, table: WordTable, width: int):
+    def __init__(self, row: dict, width: int):
         raw = zstandard.ZstdDecompressor().decompress(row["texts"])
-        ends = np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], "<i8"))])
+        sizes = np.frombuffer(row["sizes"], "<i8")
         self.doc_ids = np.frombuffer(row["doc_ids"], "<i8")
-        self.texts = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        table.trim()
-        ids, self.ends = table.numbers(self.texts)
-        self.n, self.width = len(ids), width
-        self.starts, doc = window_starts(self.ends, width)
-        keys = window_hashes(table.hashes(1)[ids], width, 0x9E3779B97F4A7C15)
-        checks = window_hashes(table.hashes(2)[ids], width, 0xC2B2AE3D27D4EB4F) >> U64(40)
+        kind, offset = (pa.string(), np.int32) if len(raw) < 1 << 31 else (pa.large_string(), np.int64)
+        self.words = Words(pa.Array.from_buffers(kind, len(sizes), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(offset).tobytes()), pa.py_buffer(raw)]))
+        self.n, self.width = len(self.words.ids), width
+        self.starts, doc = window_starts(self.words.ends, width)
+        keys = window_hashes(self.words.hashes(1), width, 0x9E3779B97F4A7C15)
+        checks = window_hashes(self.words.hashes(2), width, 0xC2B2AE3D27D4EB4F) >> U64(40)
         self.docs = self.doc_ids[doc]
         self.keys, self.checks, self.least, self.place = merged(keys[self.starts], checks[self.starts], self.docs)
 
@@ -134,13 +139,12 @@ class Chunk:
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield int(bucket[a]), slice(int(a), int(b))
 
-    def without(self, flags: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    def without(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Words, removed words and the kept words of each document; flags: fingerprints that a smaller doc_id outside has."""
         gone = self.starts[flags[self.place] | (self.docs > self.least[self.place])] if len(self.starts) else self.starts
-        keep = ~covered(gone, self.width, self.n)
-        for k, text in enumerate(self.texts):
-            mask = keep[self.ends[k] : self.ends[k + 1]]
-            yield len(mask), int(len(mask) - mask.sum()), b" ".join(compress(text.split(), mask.tolist()))
+        keep, ends = ~covered(gone, self.width, self.n), self.words.ends
+        kept = np.concatenate([[0], np.cumsum(keep)])
+        return np.diff(ends), np.diff(ends) - np.diff(kept[ends]), self.words.joined(keep)
 
 
 class FingerprintIndex:
@@ -170,21 +174,20 @@ class FingerprintIndex:
         work, width, spark = Scratch(self.spark, "windows"), self.width, self.spark
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         name = "finquery_" + work.root.rsplit("-", 1)[1]
-        chunked(documents).write.bucketBy(parts, "chunk").option("compression", "none").option("path", work.path("chunks")).option("parquet.block.size", str(32 << 20)).saveAsTable(name)
+        with small_batches(spark):
+            chunked(documents).write.bucketBy(parts, "chunk").option("compression", "none").option("path", work.path("chunks")).option("parquet.block.size", str(32 << 20)).saveAsTable(name)
         chunks = spark.table(name)
         self.buckets = self.buckets or max(4 * parts, -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WINDOWS))
         buckets = self.buckets
 
         def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = WordTable()
-            for batch in batches:
-                for row in batch.to_pylist():
-                    chunk, out = Chunk(row, table, width), []
-                    for bucket, at in chunk.cells(buckets):
-                        low, run = pack_run(chunk.keys[at], chunk.checks[at], chunk.least[at])
-                        out.append((bucket, row["chunk"], at.stop - at.start, low, run))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 4 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))], ["bucket", "chunk", "n", "low", "run"])
+            for row in rows_of(batches):
+                chunk, out = Chunk(row, width), []
+                for bucket, at in chunk.cells(buckets):
+                    low, run = pack_run(chunk.keys[at], chunk.checks[at], chunk.least[at])
+                    out.append((bucket, row["chunk"], at.stop - at.start, low, run))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 4 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))], ["bucket", "chunk", "n", "low", "run"])
 
         runs = chunks.mapInArrow(sort, CELL)
         keep = self.path is not None
@@ -209,17 +212,14 @@ class FingerprintIndex:
         bits = found.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "run")).alias("bits"))  # a bit for each window of a chunk
 
         def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = WordTable()
-            for batch in batches:
-                for row in batch.to_pylist():
-                    chunk = Chunk(row, table, width)
-                    parts = sorted(row["bits"] or [], key=lambda x: x["bucket"])
-                    flags = np.concatenate([np.unpackbits(np.frombuffer(x["run"], np.uint8), count=x["n"]).astype(bool) for x in parts]) if parts else np.zeros(0, bool)
-                    words, removed, kept = zip(*chunk.without(flags), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([None if i == NULL_ID else i for i in chunk.doc_ids.tolist()], pa.int64()), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
-
-        out = chunks.join(bits, "chunk", "left").select("doc_ids", "sizes", "texts", "bits").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept binary")
-        return out.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
+            for row in rows_of(batches):
+                chunk = Chunk(row, width)
+                parts = sorted(row["bits"] or [], key=lambda x: x["bucket"])
+                flags = np.concatenate([np.unpackbits(np.frombuffer(x["run"], np.uint8), count=x["n"]).astype(bool) for x in parts]) if parts else np.zeros(0, bool)
+                words, removed, kept = chunk.without(flags)
+                yield pa.RecordBatch.from_arrays([pa.array([None if i == NULL_ID else i for i in chunk.doc_ids.tolist()], pa.int64()), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), kept], ["doc_id", "n_words", "n_removed", "kept_text"])
+
+        return chunks.join(bits, "chunk", "left").select("doc_ids", "sizes", "texts", "bits").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
 
     def _add(self, merged_runs: DataFrame, runs: DataFrame) -> None:
         """Store the batch as a generation of its own; when there are ``fanout`` of them, the merge of all takes their place."""
