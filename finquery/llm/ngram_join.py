@@ -10,10 +10,11 @@ the sets themselves.
 
 Which sets stand in one tree is found first, without loss. Two sets that link
 differ in at most k shingles, k following from their sizes; if both are split
-by hash into k + 1 parts, one part at least is equal in both. Each distinct set
-sends one signature for each part (for its size band, and near a band's end for
-the next), groups of equal signatures are linked to their smallest member where
-sizes allow, and the connected blocks of these links hold every linked pair.
+by hash into k + e parts, e parts at least are equal in both. A set sends one
+signature for each part (for its size band, and near a band's end for the
+next), but for fewer than e parts of few shingles. Members of equal signatures
+are joined where sizes allow, and the connected blocks of these joins hold
+every linked pair.
 
 Blocks are cut into leaves of bounded size, ordered by set size. Each leaf is
 searched on its own; then neighbouring leaves; then the pairs of leaves whose
@@ -30,22 +31,23 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finquery.llm.scratch import Scratch, with_columns_of
-from finquery.llm.words import U64, WordTable, mixed, slices
+from finquery.llm.words import U64, Words, mixed, slices
 
 GROUPS, NODE = 32, 16
 LEAF_SHINGLES, LEAF_SETS = 400_000, 512
-BAND = 1.5
+BAND, THIN = 1.3, 3
 ODD = 0x9E3779B97F4A7C15
 
 
-def shingle_sets(texts: list[bytes], table: WordTable, width: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text; a text of fewer words is one shingle."""
-    ids, ends = table.numbers(texts)
-    words = table.hashes(3)[ids]
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each text, in lower case; a text of fewer words is one shingle."""
+    found = Words(pc.ascii_lower(texts))
+    words, ends = found.hashes(3), found.ends
     out = []
     long = len(words) - width + 1
     rolled = words[: max(long, 0)].copy()
@@ -77,20 +79,27 @@ def bands_of(n: int, percent: int) -> list[int]:
     return [own] + [b for b in (own + 1,) if n * 100 // percent >= BAND**b - 1e-6]
 
 
-def parts_in(band: int, percent: int) -> int:
-    """One more than the shingles in which two linked sets can differ, the larger of them in the band."""
+def parts_in(band: int, percent: int) -> tuple[int, int]:
+    """How many parts, and how many of them at least are equal in two linked sets of which the larger is in the band."""
     top = math.ceil(BAND ** (band + 1)) + 1
-    return 1 + math.floor(2 * top * (100 - percent) / (100 + percent))
+    differ = math.floor(2 * top * (100 - percent) / (100 + percent))
+    return differ + 3 + differ // 5, 3 + differ // 5
 
 
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
+    """Parts of few shingles say little; they are left out where enough others must be equal without them."""
     out = []
     for band in bands_of(len(s), percent):
-        parts = parts_in(band, percent)
-        which = (mixed(s ^ U64(0xD6E8FEB86659FD93)) >> U64(32)) % U64(parts)
+        parts, equal = parts_in(band, percent)
+        which = ((mixed(s ^ U64(0xD6E8FEB86659FD93)) >> U64(32)) % U64(parts)).astype(np.int64)
         sums = np.zeros(parts, dtype=U64)
-        np.add.at(sums, which.astype(np.int64), mixed(s + U64(ODD)))
-        out.append(mixed(sums + mixed(np.arange(parts, dtype=U64) * U64(ODD) + U64(band << 40))))
+        np.add.at(sums, which, mixed(s + U64(ODD)))
+        sums = mixed(sums + mixed(np.arange(parts, dtype=U64) * U64(ODD) + U64(band << 40)))
+        sizes = np.bincount(which, minlength=parts)
+        for thin in (THIN, 1, 0):  # fewer thin parts than equal ones: one equal part at least is not thin
+            if (sizes < thin).sum() < equal:
+                out.append(sums[sizes >= thin])
+                break
     return np.concatenate(out)
 
 
@@ -98,15 +107,13 @@ def signed(documents: DataFrame, width: int, percent: int) -> DataFrame:
     """``doc_id, n, a, b, signatures``: set size, digest, and the signatures as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable()
         for whole in batches:
             for batch in slices(whole):
-                table.trim()
-                sets = shingle_sets([(t or b"").lower() for t in batch.column("text").to_pylist()], table, width)
+                sets = shingle_sets(batch.column("text"), width)
                 marks = [digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([signatures(s, percent).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "a", "b", "signatures"])
 
-    return with_columns_of(documents, doc_id="long", text="string").select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n long, a long, b long, signatures binary")
+    return with_columns_of(documents, doc_id="long", text="string").mapInArrow(run, "doc_id long, n long, a long, b long, signatures binary")
 
 
 def signature_links(classes: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -132,8 +139,13 @@ def signature_links(classes: DataFrame, percent: int, buckets: int) -> DataFrame
         new = np.ones(len(sig), dtype=bool)  # a run: one signature, sizes without a gap that no link can cross
         new[1:] = (sig[1:] != sig[:-1]) | (100 * n[:-1] < percent * n[1:])
         head = cls[np.flatnonzero(new)][np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([head, cls])[:, head != cls], axis=1)
-        return pd.DataFrame({"u": pairs[0], "v": pairs[1]})
+        nodes, at = np.unique(np.stack([head, cls])[:, head != cls], return_inverse=True)
+        known = Forest(len(nodes))
+        for x, y in np.unique(at.reshape(2, -1), axis=1).T.tolist():
+            known.join(x, y)
+        roots = np.array([known.root(x) for x in range(len(nodes))], dtype=np.int64)
+        inner = roots != np.arange(len(nodes))
+        return pd.DataFrame({"u": nodes[inner], "v": nodes[roots[inner]]}).astype("int64")
 
     return classes.select("cls", "n", "signatures").mapInArrow(deal, "bucket long, sig binary, cls binary, n binary").groupBy("bucket").applyInPandas(link, "u long, v long").distinct()
 
@@ -141,25 +153,25 @@ def signature_links(classes: DataFrame, percent: int, buckets: int) -> DataFrame
 def components(work: Scratch, name: str, links: DataFrame) -> DataFrame:
     """``node, comp``: for each node of ``links`` (``u, v``) its component's smallest node.
 
-    Alternates large-star and small-star steps until nothing changes; each step
-    is a table in the shared folder, so the number of stages stays small.
+    Alternates large-star and small-star steps until nothing changes. A step
+    makes no more rows than it reads and shuffles them twice; its result is a
+    table in the shared folder, so the number of stages stays small.
     """
     edges = work.table(f"{name}-0", links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     last = None
     for k in range(1, 60):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        large = both.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u"))).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = work.table(f"{name}-{k}", small)
-        mark = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         work.remove(f"{name}-{k - 1}")
         if mark == last:
             break
         last = mark
     else:
         raise RuntimeError("components did not settle")
+    edges = edges.distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
@@ -279,16 +291,15 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, width: int = 3
         """``rep, block, leaf, s``: the rows with their sets, taken from the texts of the documents that name them."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = WordTable()
             for whole in batches:
                 for batch in slices(whole):
-                    table.trim()
-                    sets = shingle_sets([(t or b"").lower() for t in batch.column("text").to_pylist()], table, width)
+                    sets = shingle_sets(batch.column("text"), width)
                     same = pa.array([digest(s) == (a, b) for s, a, b in zip(sets, batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)], pa.bool_())
                     yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "block", "leaf")), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "block", "leaf", "s"]).filter(same)
 
         texts = with_columns_of(documents, doc_id="long", text="string")
-        found = texts.join(rows, F.col("doc_id") == F.col("rep")).select("rep", "block", "leaf", "a", "b", F.col("text").cast("binary").alias("text"))
+        # Merged at every size: what is broadcast must not follow the corpus.
+        found = texts.join(rows.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "block", "leaf", "a", "b", "text")
         return found.mapInArrow(run, "rep long, block long, leaf long, s binary")
 
     sets = work.table("sets", sets_of(leaves))
@@ -299,29 +310,40 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, width: int = 3
         loaded = [np.frombuffer(x, U64) for x in part["s"]]
         names = part["rep"].to_numpy()
         groups = part["comp"].to_numpy() if "comp" in part else np.arange(len(part))
-        return [(int(names[a]), int(names[b])) for a, b in tree_links(loaded, groups, percent, part["side"].to_numpy() if "side" in part else None)]
+        found = tree_links(loaded, groups, percent, part["side"].to_numpy() if "side" in part else None)
+        known = Forest(len(part))
+        by_name = np.argsort(names, kind="stable")
+        place = np.argsort(by_name)
+        for a, b in found:
+            known.join(int(place[a]), int(place[b]))
+        ranked = names[by_name]
+        return [(int(ranked[k]), int(ranked[known.root(k)])) for k in sorted({int(place[x]) for pair in found for x in pair})]
 
     inside = sets.repartition(parts, "block", "leaf").sortWithinPartitions("block", "leaf").mapInPandas(by_key(("block", "leaf"), search), "u long, v long")
     links = work.table("links-inside", inside)
 
-    sizes = leaves.groupBy("block").agg(F.max("leaf").alias("last")).where("last > 0")
-    rounds = [F.col("right") == F.col("left") + 1, F.col("right") > F.col("left") + 1]
+    # A block of one leaf is done: its links are stars around components' smallest documents. The rest goes on by leaves.
+    sizes = work.table("large", leaves.groupBy("block").agg(F.max("leaf").alias("last")).where("last > 0"))
+    reached = links.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     if not sizes.isEmpty():
-        spans = work.table("spans", leaves.join(sizes, "block", "left_semi").groupBy("block", "leaf").agg(F.min("n").alias("least"), F.max("n").alias("most")))
-        for k, which in enumerate(rounds):
+        large = work.table("large-leaves", leaves.join(sizes, "block", "left_semi"))
+        spans = large.groupBy("block", "leaf").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        within = large.select(F.col("rep").alias("u")).distinct()
+        settled, links = links.join(within, "u", "left_anti"), links.join(within, "u", "left_semi")
+        for k, which in enumerate((F.col("right") == F.col("left") + 1, F.col("right") > F.col("left") + 1)):
             comp = components(work, f"so-far-{k}", links)
-            state = leaves.join(sizes, "block", "left_semi").join(comp, F.col("rep") == F.col("node"), "left").select("rep", "block", "leaf", F.coalesce("comp", "rep").alias("comp"))
+            state = large.join(comp, F.col("rep") == F.col("node"), "left").select("rep", "block", "leaf", F.coalesce("comp", "rep").alias("comp"))
             open_blocks = state.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("block")
             left, right = (spans.select("block", F.col("leaf").alias(name), F.col("least").alias(f"{name}_least"), F.col("most").alias(f"{name}_most")) for name in ("left", "right"))
-            pairs = left.join(right, "block").where(which & (100 * F.col("left_most") >= percent * F.col("right_least"))).join(open_blocks, "block", "left_semi").select("block", "left", "right")
+            pairs = work.table(f"pairs-{k}", left.join(right, "block").where(which & (100 * F.col("left_most") >= percent * F.col("right_least"))).join(open_blocks, "block", "left_semi").select("block", "left", "right"))
             if pairs.isEmpty():
                 continue
             full = sets.join(state.select("rep", "comp").distinct(), "rep")
             sided = [full.join(pairs, (full["block"] == pairs["block"]) & (full["leaf"] == pairs[name])).select("rep", full["block"], "left", "right", "s", "comp", F.lit(i).alias("side")) for i, name in enumerate(("left", "right"))]
             between = sided[0].unionByName(sided[1]).repartition(parts, "block", "left", "right").sortWithinPartitions("block", "left", "right").mapInPandas(by_key(("block", "left", "right"), search), "u long, v long")
             links = work.table(f"links-{k}", links.unionByName(between))
+        reached = settled.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(components(work, "reached", links))
 
-    reached = components(work, "reached", links)
     of_class = classes.join(reached, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("comp", "rep").alias("component_id"))
     found = sets_here.join(of_class, ["a", "b"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionByName(docs.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
