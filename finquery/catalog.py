@@ -15,7 +15,7 @@ from finquery.functions import amounts as A
 from finquery.functions import text as X
 from finquery.operators import candidates as C
 from finquery.operators import derive, markdown, pages, project, recover, resolve
-from finquery.operators.eligibility import priority, rejection_reasons
+from finquery.operators.eligibility import labelled, priority, rejection_reasons
 from finquery.plans import lifecycle
 from finquery.plans.synthetic import CODES, ORDER, WRONG_LABEL, candidates, candidates_sql, choice, written
 from finquery.sources import payload
@@ -176,7 +176,7 @@ BROKEN_SQL = f"""
 
 @query(f"SELECT doc_id, seq, array_to_string({BROKEN_SQL}, ',') AS reasons FROM ({SPARSE})")
 def candidate_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).withColumn("section", F.col("page_type")).select("doc_id", "seq", F.array_join(rejection_reasons(), ",").alias("reasons"))
+    return labelled(candidates(spark, sf_dir)).withColumn("section", F.col("page_type")).select("doc_id", "seq", F.array_join(rejection_reasons(), ",").alias("reasons"))
 
 
 HINTED = "(('CLIENTS', 'Clients et comptes rattachés'), ('CHIFFRE_AFFAIRES', 'Chiffre d''affaires'), ('FONDS_PROPRES', 'Total des capitaux propres'), ('TRESORERIE_ACTIF', 'Total trésorerie-actif'), ('TRESORERIE_PASSIF', 'Total III trésorerie-passif'), ('CHARGES_FINANCIERES', 'Charges financières'))"
@@ -190,7 +190,7 @@ POINTS_SQL = f"""
 
 @query(f"SELECT doc_id, seq, round({POINTS_SQL}, 6) AS points, CAST(row_number() OVER (PARTITION BY doc_id, field_code ORDER BY {POINTS_SQL} DESC, seq) AS INT) AS place FROM ({SPARSE})")
 def candidate_priority_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = candidates(spark, sf_dir).withColumn("section", F.col("page_type")).withColumn("priority", priority())
+    rows = labelled(candidates(spark, sf_dir)).withColumn("section", F.col("page_type")).withColumn("priority", priority())
     return rows.select("doc_id", "seq", F.round("priority", 6).alias("points"), F.row_number().over(Window.partitionBy("doc_id", "field_code").orderBy(F.desc("priority"), "seq")).alias("place"))
 
 
@@ -315,7 +315,7 @@ def operating_result_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.sql(f"SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {ORDER}) AS seq FROM {{lineitem}}", lineitem=table(spark, sf_dir, "lineitem"))
     label = F.when(F.col("key") == "CHIFFRE_AFFAIRES", "Chiffre d'affaires").when(F.col("l_partkey") % 3 == 0, "Résultat d'exploitation").when(F.col("l_partkey") % 3 == 1, "Solde VI").otherwise("Autre solde")
     rows = lines.withColumn("key", F.expr(OPERATING)).select(F.col("l_suppkey").alias("doc_id"), "seq", "key", F.lit("N").alias("period"), (1 + F.col("l_linenumber")).alias("page_number"), F.expr(written(CENTS, "2")).alias("raw_value"), label.alias("raw_label"))
-    return resolve.operating_result_rows(rows).groupBy("doc_id").agg(F.count("*").alias("n_kept"), F.min("seq").cast("long").alias("first_seq"))
+    return resolve.operating_result_rows(rows).where("key = 'RESULTAT_EXPLOITATION'").groupBy("doc_id").agg(F.count("*").alias("n_kept"), F.min("seq").cast("long").alias("first_seq"))
 
 
 @query("SELECT l_suppkey, count(*) AS n_kept FROM (SELECT *, max(CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 AND l_partkey % 50 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey) AS any_better FROM lineitem) WHERE any_better = 0 OR (l_returnflag = 'R' AND l_linenumber = 7 AND l_partkey % 50 = 0) GROUP BY l_suppkey")

@@ -71,9 +71,8 @@ def label_is_amount(label: Column, value: Column) -> Column:
     return (folded == "") | (folded == normalize_ocr_label(value)) | folded.rlike(r"^[\s.]*-?[0-9]{1,3}(?:[.\s][0-9]{3})*(?:[,.][0-9]{1,2})?\s*$")
 
 
-def remapped_code(code: Column, label: Column) -> Column:
-    """Codes that the label contradicts."""
-    text = fold_ascii(normalize_ocr_label(label))
+def remapped_code(code: Column, text: Column) -> Column:
+    """Codes that the folded label contradicts."""
     has = lambda w: F.contains(text, F.lit(w))
     return (
         F.when((code == "CHIFFRE_AFFAIRES") & has("achat") & ~has("affaires") & has("revendu"), "ACHATS_REVENDUS")
@@ -90,26 +89,28 @@ def noted(condition: Column, warning: Column) -> Column:
 def repair(candidates: DataFrame) -> DataFrame:
     """Codes, roles, labels and natures put right from what the row itself says; every change leaves a warning, in order."""
     was = F.col("field_code")
-    rows = candidates.withColumn("_code", remapped_code(was, F.col("raw_label"))).withColumn("warnings", F.concat("warnings", noted(F.col("_code") != was, F.concat(F.lit("code "), was, F.lit(" -> "), "_code")))).withColumn("field_code", F.col("_code"))
+    folded = candidates.withColumn("_text", fold_ascii(normalize_ocr_label(F.col("raw_label"))))
+    rows = folded.withColumn("_code", remapped_code(was, F.col("_text"))).withColumn("warnings", F.concat("warnings", noted(F.col("_code") != was, F.concat(F.lit("code "), was, F.lit(" -> "), "_code")))).withColumn("field_code", F.col("_code"))
 
     role = F.coalesce("column_role", F.lit("UNKNOWN"))
     usual = F.when(F.col("period") == "N_MINUS_1", F.lit("EXERCICE_N1")).otherwise(mapped(F.col("page_type"), R.DEFAULT_ROLE, F.lit(None).cast("string")))
     vague = role.isin("UNKNOWN", "MONTANT_N", "IDENTITY_VALUE", "") & usual.isNotNull()
     rows = rows.withColumn("_role", F.when(vague, usual).otherwise(role)).withColumn("warnings", F.concat("warnings", noted(F.col("_role") != role, F.concat(F.lit("role -> "), "_role")))).withColumn("column_role", F.col("_role"))
 
-    shaped = label_is_amount(F.col("raw_label"), F.col("raw_value"))
-    bare_zero = (parse_decimal_amount(F.col("raw_value")) == 0) & F.col("field_code").isin("CHARGES_FINANCIERES", "CHARGES_INTERETS", "FRAIS_FINANCIERS")
+    rows = rows.withColumns({"_shaped": label_is_amount(F.col("raw_label"), F.col("raw_value")), "_zero": F.coalesce(parse_decimal_amount(F.col("raw_value")) == 0, F.lit(False))})
+    shaped = F.col("_shaped")
+    bare_zero = F.col("_zero") & F.col("field_code").isin("CHARGES_FINANCIERES", "CHARGES_INTERETS", "FRAIS_FINANCIERS")
     usual_label = mapped(F.col("field_code"), R.CANONICAL_LABEL, F.lit(None).cast("string"))
-    rows = rows.withColumn("_label", F.when(shaped & ~F.coalesce(bare_zero, F.lit(False)), F.coalesce(usual_label, "raw_label")).otherwise(F.col("raw_label")))
-    rows = rows.withColumn("warnings", F.concat("warnings", noted(shaped & ~F.coalesce(bare_zero, F.lit(False)) & usual_label.isNotNull(), F.lit("label restored")))).withColumn("raw_label", F.substring("_label", 1, 180))
+    rows = rows.withColumn("_label", F.when(shaped & ~bare_zero, F.coalesce(usual_label, "raw_label")).otherwise(F.col("raw_label")))
+    rows = rows.withColumn("warnings", F.concat("warnings", noted(shaped & ~bare_zero & usual_label.isNotNull(), F.lit("label restored")))).withColumn("raw_label", F.substring("_label", 1, 180))
 
-    text = normalize_ocr_label(F.col("raw_label"))
+    rows, text = rows.withColumn("_text", normalize_ocr_label(F.col("raw_label"))), F.col("_text")
     part = text.rlike(r"\btotal\s+(i|ii|iii)\b") & ~text.rlike(R.TOTAL_GENERAL)
     grand = F.col("field_code").isin("TOTAL_ACTIF", "TOTAL_PASSIF") & ~part
     section = F.col("field_code").isin(R.SECTION_TOTAL_CODES) & (F.col("nature") == "DETAIL")
     rows = rows.withColumn("_nature", F.when(grand, "GRAND_TOTAL").when(section, "SECTION_TOTAL").otherwise(F.col("nature"))).withColumn("warnings", F.concat("warnings", noted(F.col("_nature") != F.col("nature"), F.concat(F.lit("nature -> "), "_nature")))).withColumn("nature", F.col("_nature"))
     empty = F.trim(F.coalesce("source_excerpt", F.lit(""))).isin("", "ligne|montant")
-    return rows.withColumn("source_excerpt", F.substring(F.when(empty, F.concat_ws("|", "raw_label", "raw_value")).otherwise(F.col("source_excerpt")), 1, 240)).drop("_code", "_role", "_label", "_nature")
+    return rows.withColumn("source_excerpt", F.substring(F.when(empty, F.concat_ws("|", "raw_label", "raw_value")).otherwise(F.col("source_excerpt")), 1, 240)).drop("_code", "_role", "_label", "_nature", "_text", "_shaped", "_zero")
 
 
 def to_section(candidates: DataFrame) -> DataFrame:
@@ -126,7 +127,8 @@ def to_section(candidates: DataFrame) -> DataFrame:
 
 def role_from_heading(candidates: DataFrame) -> DataFrame:
     """Roles that the column's heading states, by section. The first rule that fits decides."""
-    name, section = normalize_ocr_label(F.col("column_name")), F.col("section")
+    candidates = candidates.withColumn("_heading", normalize_ocr_label(F.col("column_name")))
+    name, section = F.col("_heading"), F.col("section")
     has = lambda w: F.contains(name, F.lit(w))
     role = (
         F.when((section == "CPC") & contains_any(name, R.CURRENT_TOTAL_HEADINGS), "TOTAL_EXERCICE_N").when((section == "CPC") & (has("exercice precedent") | (name == "4")), "EXERCICE_N1")
@@ -134,7 +136,7 @@ def role_from_heading(candidates: DataFrame) -> DataFrame:
         .when(section.isin("BILAN_PASSIF", "DETAIL_CPC") & has("precedent"), "EXERCICE_N1").when(section.isin("BILAN_PASSIF", "DETAIL_CPC") & has("exercice"), "EXERCICE_N")
         .when((section == "DETAIL_CPC") & (has("totaux") | has("3 1 2")), "EXERCICE_N")
     )
-    return candidates.withColumn("column_role", F.coalesce(role, "column_role"))
+    return candidates.withColumn("column_role", F.coalesce(role, "column_role")).drop("_heading")
 
 
 def period_from_role(candidates: DataFrame) -> DataFrame:
@@ -143,14 +145,19 @@ def period_from_role(candidates: DataFrame) -> DataFrame:
 
 
 def keyed(candidates: DataFrame) -> DataFrame:
-    """``key``: the code, for the previous year its own name, and net results of the income statement by their line."""
-    code, label = F.col("field_code"), normalize_ocr_label(F.col("raw_label"))
+    """``label``, normalised, and ``key``: the code, for the previous year its own name, and net results of the income statement by their line."""
+    candidates = candidates.withColumn("label", normalize_ocr_label(F.col("raw_label")))
+    code, label = F.col("field_code"), F.col("label")
     net = (code == "RESULTAT_NET") & (F.col("period") == "N") & (F.col("section") == "CPC")
     key = F.when(F.col("period") == "N_MINUS_1", mapped(code, R.PREVIOUS_YEAR_KEY)).when(net & F.contains(label, F.lit("xiii")), "RESULTAT_NET_XIII").when(net & F.contains(label, F.lit("xvi")), "RESULTAT_NET_XVI").otherwise(code)
     return candidates.where(code != "UNKNOWN").withColumn("key", key)
 
 
 def prepared(candidates: DataFrame) -> DataFrame:
-    """From raw candidates to rows that can be ranked: one narrow pass around a single shuffle for duplicates."""
-    clean = candidates.withColumns({c: without_thought_mark(F.col(c)) for c in ("raw_value", "raw_label", "source_excerpt")})
+    """From raw candidates to rows that can be ranked.
+
+    One shuffle by document, which duplicates, picks and fields then share; a
+    document's rows are few, as its pages and the rows of a page are.
+    """
+    clean = candidates.repartition("doc_id").withColumns({c: without_thought_mark(F.col(c)) for c in ("raw_value", "raw_label", "source_excerpt")})
     return keyed(period_from_role(role_from_heading(to_section(dedupe_candidates(repair(clean))))))

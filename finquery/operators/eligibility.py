@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finquery import refdata as R
@@ -16,13 +16,19 @@ def names_revenue(label: Column) -> Column:
 
 
 def is_total_general(nature: Column, label: Column) -> Column:
-    return (nature == "GRAND_TOTAL") & normalize_ocr_label(label).rlike(R.TOTAL_GENERAL)
+    """Of a nature and a normalised label."""
+    return (nature == "GRAND_TOTAL") & label.rlike(R.TOTAL_GENERAL)
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """With ``label``, the normalised label, as a column of its own: rules test it dozens of times."""
+    return rows if "label" in rows.columns else rows.withColumn("label", normalize_ocr_label(F.col("raw_label")))
 
 
 def rejection_reasons() -> Column:
-    """The rules that a row breaks, by number, over ``field_code, section, period, nature, column_role, raw_label``; a period that is not kept is the only reason then."""
+    """The rules that a row breaks, by number, over ``field_code, section, period, nature, column_role, label``; a period that is not kept is the only reason then."""
     code, section, period, role = (F.col(c) for c in ("field_code", "section", "period", "column_role"))
-    label = normalize_ocr_label(F.col("raw_label"))
+    label = F.col("label")
     has = lambda w: F.contains(label, F.lit(w))
     net = code.isin(R.NET_RESULT)
     listed = F.lit(False)
@@ -31,7 +37,7 @@ def rejection_reasons() -> Column:
     wrong_role = {name: (section == name) & (period == "N") & code.isin(codes) & (role != wanted) for name, (wanted, codes) in R.ROLE_OF.items()}
     broken = {
         "E1": code == "UNKNOWN", "E2": ~listed, "E4": (period == "N_MINUS_1") & (role != "EXERCICE_N1"), "E5": wrong_role["BILAN_ACTIF"], "E6": wrong_role["BILAN_PASSIF"], "E7": wrong_role["CPC"],
-        "E8": code.isin(R.NET_RESULT[1:]) & ((section != "CPC") | (role != "TOTAL_EXERCICE_N") | (period != "N")), "E9": code.isin("TOTAL_ACTIF", "TOTAL_PASSIF", "TOTAL_BILAN") & ~is_total_general(F.col("nature"), F.col("raw_label")),
+        "E8": code.isin(R.NET_RESULT[1:]) & ((section != "CPC") | (role != "TOTAL_EXERCICE_N") | (period != "N")), "E9": code.isin("TOTAL_ACTIF", "TOTAL_PASSIF", "TOTAL_BILAN") & ~is_total_general(F.col("nature"), label),
         "E10": (code == "STOCKS") & ((section != "BILAN_ACTIF") | has("variation")),
         "E11": (code == "CLIENTS") & ((section != "BILAN_ACTIF") | has("crediteur") | (~has("clients et comptes rattaches") & (label != "clients"))),
         "E12": (code == "FOURNISSEURS") & ((section != "BILAN_PASSIF") | has("debiteur") | (~has("fournisseurs et comptes rattaches") & (label != "fournisseurs"))),
@@ -50,7 +56,7 @@ def rejection_reasons() -> Column:
 def priority() -> Column:
     """Points of a row; the terms are added in a fixed order, so that equal rows have equal sums."""
     code, section, period, role = (F.col(c) for c in ("field_code", "section", "period", "column_role"))
-    label = normalize_ocr_label(F.col("raw_label"))
+    label = F.col("label")
     has = lambda w: F.contains(label, F.lit(w))
     points = lambda test, n: F.when(F.coalesce(test, F.lit(False)), F.lit(n)).otherwise(F.lit(0.0))
     expected = F.lit(False)

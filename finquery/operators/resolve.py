@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from finquery import refdata as R
 from finquery.functions.amounts import AMOUNT, amounts_agree, parse_decimal_amount, tolerance
 from finquery.functions.text import normalize_ocr_label
-from finquery.operators.eligibility import names_revenue, priority, rejection_reasons
+from finquery.operators.eligibility import labelled, names_revenue, priority, rejection_reasons
 
 TIE_BAND = 5.0
 FV = f"struct<value:{AMOUNT},status:string,confidence:double>"
@@ -37,7 +37,7 @@ def usable(field: Column) -> Column:
 
 def ranked(candidates: DataFrame) -> DataFrame:
     """Eligible rows with an amount: ``amount, priority``."""
-    return candidates.where(F.size(rejection_reasons()) == 0).withColumns({"amount": parse_decimal_amount(F.col("raw_value")), "priority": priority()}).where("amount is not null")
+    return labelled(candidates).where(F.size(rejection_reasons()) == 0).withColumns({"amount": parse_decimal_amount(F.col("raw_value")), "priority": priority()}).where("amount is not null")
 
 
 def picked(rows: DataFrame, *keys: str) -> DataFrame:
@@ -55,12 +55,12 @@ def picked(rows: DataFrame, *keys: str) -> DataFrame:
         F.min(F.when(F.col("_tied"), F.col("amount"))).alias("low"), F.max(F.when(F.col("_tied"), F.col("amount"))).alias("high"), F.max(F.when(F.col("_tied"), F.col("confidence"))).alias("tied_confidence"), F.count("*").alias("n_ranked"),
     )
     status = F.when(F.col("b.shifted") & F.col("b.strict"), "ambiguous").when(F.col("low") != F.col("high"), "conflicting").otherwise("confirmed")
-    return best.select(*keys, F.when(status == "confirmed", F.col("b.amount")).alias("value"), status.alias("status"), F.when(status == "conflicting", F.col("tied_confidence")).otherwise(F.col("b.confidence")).alias("confidence"), "n_ranked")
+    return best.select(*keys, F.when(status == "confirmed", F.col("b.amount")).alias("value"), status.alias("status"), F.when(status == "conflicting", F.col("tied_confidence")).otherwise(F.col("b.confidence")).alias("confidence"), "n_ranked", F.struct(F.col("b.amount").alias("value"), F.lit("confirmed").alias("status"), "b.confidence").cast(FV).alias("best"))
 
 
 def preferred(rows: DataFrame) -> DataFrame:
     """Narrower choices for some fields: rows that a test prefers, or all where none passes (sales: none then)."""
-    label, raw = normalize_ocr_label(F.col("raw_label")), normalize_ocr_label(F.col("raw_value"))
+    rows, label, raw = labelled(rows), F.col("label"), normalize_ocr_label(F.col("raw_value"))
     has = lambda w: F.contains(label, F.lit(w))
     key = F.col("key")
     revenue = names_revenue(label)
@@ -74,40 +74,43 @@ def preferred(rows: DataFrame) -> DataFrame:
 
 
 def operating_result_rows(rows: DataFrame) -> DataFrame:
-    """Candidates of the operating result that fit the document's revenue and current result, by wording, first page and nearness."""
-    label = normalize_ocr_label(F.col("raw_label"))
-    amount = parse_decimal_amount(F.col("raw_value"))
+    """Rows of other keys as they are; of the operating result those that fit the document's revenue and current result, by wording, first page and nearness."""
+    rows = labelled(rows)
+    label, own = F.col("label"), F.col("key") == "RESULTAT_EXPLOITATION"
     every = Window.partitionBy("doc_id")
+    least = lambda test, value: F.min(F.when(own & test, value)).over(every)
     # The first row, in order, with an amount for the current year.
     first = lambda test: F.min(F.when(test & (F.col("period") == "N") & F.col("_amount").isNotNull(), F.struct("seq", F.col("_amount")))).over(every)["_amount"]
-    rows = rows.withColumn("_amount", amount).withColumns({"_ca": first((F.col("key") == "CHIFFRE_AFFAIRES") & names_revenue(label)), "_rc": first(F.col("key") == "RESULTAT_COURANT")}).where("key = 'RESULTAT_EXPLOITATION'")
+    asked = F.col("key").isin("RESULTAT_EXPLOITATION", "CHIFFRE_AFFAIRES", "RESULTAT_COURANT")
+    rows = rows.withColumn("_amount", F.when(asked, parse_decimal_amount(F.col("raw_value")))).withColumns({"_ca": first((F.col("key") == "CHIFFRE_AFFAIRES") & names_revenue(label)), "_rc": first(F.col("key") == "RESULTAT_COURANT")})
     fits = F.col("_amount").isNotNull() & ~F.contains(label, F.lit("produits d exploitation")) & F.coalesce(F.col("_amount") <= F.col("_ca"), F.lit(True)) & F.coalesce((F.col("_rc") == 0) | (F.abs(F.col("_amount") - F.col("_rc")) <= F.abs("_rc") * F.lit("2.5").cast("decimal(2,1)") + 10000), F.lit(True))
-    rows = rows.withColumn("_fits", fits)
     known = F.col("_ca").isNotNull() | F.col("_rc").isNotNull()
-    rows = rows.withColumn("_some", F.max("_fits").over(every)).where(F.col("_fits") | (~F.col("_some") & ~known))
+    rows = rows.withColumn("_fits", fits).withColumn("_some", F.coalesce(F.max(own & F.col("_fits")).over(every), F.lit(False))).where(~own | F.col("_fits") | (~F.col("_some") & ~known))
     named = F.contains(label, F.lit("resultat d exploitation")) | F.contains(label, F.lit("resultat dexploitation"))
     sixth = label.rlike(r"\bvi\b") | F.contains("raw_label", F.lit("+/-"))
-    rows = rows.withColumn("_rank", F.when(named, 1).when(sixth, 2).otherwise(3)).withColumn("_best", F.min("_rank").over(every)).where("_rank = _best")
-    rows = rows.withColumn("_page", F.min("page_number").over(every)).where("_best <> 1 or page_number = _page")
-    gap = F.abs(F.col("_amount") - F.col("_rc"))
-    rows = rows.withColumns({"_gap": gap}).withColumn("_least", F.min("_gap").over(every))
+    rows = rows.withColumn("_rank", F.when(named, 1).when(sixth, 2).otherwise(3)).withColumn("_best", least(F.lit(True), F.col("_rank"))).where(~own | (F.col("_rank") == F.col("_best")))
+    rows = rows.withColumn("_page", least(F.lit(True), F.col("page_number"))).where(~own | (F.col("_best") != 1) | (F.col("page_number") == F.col("_page")))
+    rows = rows.withColumn("_gap", F.abs(F.col("_amount") - F.col("_rc"))).withColumn("_least", least(F.lit(True), F.col("_gap")))
     near = F.col("_least").isNull() | (F.col("_least") > F.abs("_rc") * F.lit("1.5").cast("decimal(2,1)") + 5000) | (F.col("_gap") <= F.col("_least") + 1)
-    return rows.where(near).drop(*(c for c in rows.columns if c.startswith("_")))
+    return rows.where(~own | near).drop(*(c for c in rows.columns if c.startswith("_")))
 
 
-def resolved_fields(candidates: DataFrame) -> DataFrame:
-    """``doc_id`` and one struct column a field, from `candidates.prepared` rows, before any derivation."""
-    special = operating_result_rows(candidates)
-    rows = ranked(preferred(candidates.where("key <> 'RESULTAT_EXPLOITATION'").unionByName(special)))
-    label = normalize_ocr_label(F.col("raw_label"))
-    net_line = F.contains(label, F.lit("resultat net"))
+def resolved_fields(candidates: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """``doc_id`` and one struct column a field, from `candidates.prepared` rows, before any derivation.
+
+    ``documents``: all documents that get a row, those of the candidates if not
+    given. The rows are read once: a field's pick needs its document's rows
+    together, and they already are.
+    """
+    rows = ranked(preferred(operating_result_rows(candidates)))
+    line = F.contains("label", F.lit("resultat net")) & (F.col("period") == "N") & (F.col("key") == "RESULTAT_NET")
     # Net results of the balance sheet and of the income statement are kept apart; each is its best row alone.
-    source = F.when(F.col("key").isin(R.NET_RESULT[1:]), F.col("key")).when((F.col("key") == "RESULTAT_NET") & (F.col("section") == "CPC") & (F.col("period") == "N") & (F.col("column_role") == "TOTAL_EXERCICE_N") & net_line, "NET_CPC").when((F.col("key") == "RESULTAT_NET") & (F.col("section") == "BILAN_PASSIF") & (F.col("period") == "N") & net_line, "NET_BILAN")
-    best_of = rows.withColumn("source", source).where("source is not null").groupBy("doc_id", "source").agg(F.min_by(F.struct(F.col("amount").alias("value"), F.lit("confirmed").alias("status"), "confidence"), F.struct(-F.col("priority"), F.col("seq"))).cast(FV).alias("f"))
-    others = picked(rows.where(~F.col("key").isin(R.NET_RESULT)), "doc_id", "key").select("doc_id", F.col("key").alias("source"), F.struct("value", "status", "confidence").cast(FV).alias("f"))
+    source = F.when(line & (F.col("section") == "CPC") & (F.col("column_role") == "TOTAL_EXERCICE_N"), "NET_CPC").when(line & (F.col("section") == "BILAN_PASSIF"), "NET_BILAN").when(F.col("key") != "RESULTAT_NET", F.col("key"))
+    chosen = picked(rows.withColumn("source", source).where("source is not null"), "doc_id", "source")
     names = [*(c for c in FIELDS if c not in R.NET_RESULT), *R.NET_RESULT[1:], "NET_CPC", "NET_BILAN"]
-    wide = best_of.unionByName(others).groupBy("doc_id").agg(*(F.max_by("f", F.when(F.col("source") == c, 1)).alias(c) for c in names))
-    wide = candidates.select("doc_id").distinct().join(wide, "doc_id", "left")
+    f = F.when(F.col("source").isin(*R.NET_RESULT, "NET_CPC", "NET_BILAN"), F.col("best")).otherwise(F.struct("value", "status", "confidence").cast(FV))
+    wide = chosen.withColumn("f", f).groupBy("doc_id").agg(*(F.max_by("f", F.when(F.col("source") == c, 1)).alias(c) for c in names))
+    wide = (candidates if documents is None else documents).select("doc_id").distinct().join(wide, "doc_id", "left")
     return balance_total(net_result(wide))
 
 

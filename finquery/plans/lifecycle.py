@@ -13,7 +13,7 @@ from finquery.operators.resolve import resolved_fields
 
 def resolved_documents(candidates: DataFrame) -> DataFrame:
     """One wide row a document: all fields, controls, invalid fields, outputs."""
-    return output_fields(invalidated(controls(derived(resolved_fields(prepared(candidates))))))
+    return output_fields(invalidated(controls(derived(resolved_fields(prepared(candidates), candidates)))))
 
 
 def document_results(candidates: DataFrame) -> DataFrame:

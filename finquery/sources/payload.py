@@ -70,3 +70,32 @@ def best_orientation(scores: Column, declared: Column) -> Column:
     best = F.array_max(weighted)
     upright = F.array_max(F.transform(F.filter(weighted, lambda s: s["angle"] == 0), lambda s: s["score"]))
     return F.when((declared == 0) & (best["score"] < F.coalesce(upright, F.lit(0.0)) * 1.25), 0).otherwise(-best["angle"])
+
+
+def exploded_pages(files: DataFrame, reader: Callable[[bytes, int], list[tuple[int, int, str]]], most_pages: int) -> DataFrame:
+    """``path, page_number, declared_rotation, native_text`` of documents, by a ``reader`` (content, most pages) that an installation brings; the page limit goes to the reader. Files it cannot read give one row without a page."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for path, content in zip(part["path"], part["content"], strict=True):
+                try:
+                    rows += [(path, *page) for page in reader(content, most_pages)[:most_pages]]
+                except ValueError:
+                    rows.append((path, None, None, None))
+            yield pd.DataFrame(rows, columns=["path", "page_number", "declared_rotation", "native_text"]).astype({"page_number": "Int64", "declared_rotation": "Int64"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, page_number int, declared_rotation int, native_text string")
+
+
+def fallback_chain(pages: DataFrame, passes: list[tuple[str, Callable[[DataFrame], DataFrame]]], key_codes: list[str], *columns: str) -> DataFrame:
+    """Candidates of several passes over ``pages``: each later pass reads the pages on which none before found a key code; ``strategy`` names the pass. Duplicates are the caller's to drop."""
+    found: DataFrame | None = None
+    left = pages
+    for name, read in passes:
+        rows = read(left).select("doc_id", "page_number", "field_code", *columns).withColumn("strategy", F.lit(name))
+        found = rows if found is None else found.unionByName(rows)
+        left = without_key_codes(left, rows, key_codes)
+    if found is None:
+        raise ValueError("no pass is given")
+    return found

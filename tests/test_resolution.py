@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from finquery.operators.candidates import prepared, repair
 from finquery.operators.derive import derived
-from finquery.operators.eligibility import priority, rejection_reasons
+from finquery.operators.eligibility import labelled, priority, rejection_reasons
 from finquery.operators.resolve import picked, ranked, resolved_fields
 from finquery.plans.lifecycle import document_results, resolved_documents
 
@@ -91,7 +91,7 @@ REASONS = [
 
 def test_rejection_reasons(spark):
     rows = spark.createDataFrame([(k, c, s, "GRAND_TOTAL", label, role, p) for k, (c, s, label, role, p, _) in enumerate(REASONS)], "k int, field_code string, section string, nature string, raw_label string, column_role string, period string")
-    for r in rows.withColumn("got", rejection_reasons()).collect():
+    for r in labelled(rows).withColumn("got", rejection_reasons()).collect():
         assert set(r["got"]) == REASONS[r["k"]][5], REASONS[r["k"]]
 
 
@@ -100,7 +100,7 @@ def test_points(spark):
         ("CLIENTS", "BILAN_ACTIF", "N", "NET_N", "DETAIL", "Clients et comptes rattachés", "1", 0.5, 1), ("CHARGES_FINANCIERES", "CPC", "N", "TOTAL_EXERCICE_N", "DETAIL", "12", "0,00", 0.5, 4), ("ACHATS_REVENDUS", "CPC", "N", "TOTAL_EXERCICE_N", "SECTION_TOTAL", "Achats revendus", "5", 1.0, 30),
         ("RESULTAT_NET", "BILAN_PASSIF", "N", "EXERCICE_N", "DETAIL", "Résultat net", "5", 0.0, 1), ("RESULTAT_NET_XVI", "CPC", "N", "TOTAL_EXERCICE_N", "OTHER", "XVI", "5", 0.0, 1),
     ], "field_code string, section string, period string, column_role string, nature string, raw_label string, raw_value string, confidence double, page_number int")
-    got = [r[0] for r in rows.select(priority()).collect()]
+    got = [r[0] for r in labelled(rows).select(priority()).collect()]
     assert got == [100 + 10 + 100 + 80 + 60 + 50, 100 + 10 + 80 + 60 - 120 - 80 - 2, 300 + 20 + 80 + 60 + 50 + 80 - 10, 100 + 100 + 80 + 60 - 20, 0 + 100 + 80 + 60 + 50 + 30]
 
 

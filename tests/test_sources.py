@@ -81,3 +81,45 @@ def test_jobs(spark):
     assert (got["last_step"], got["last_page"], got["n_events"]) == ("b", 5, 3)
     assert [r["n"] for r in jobs.until_terminal(rows, "job", F.col("step") == "b", "n").orderBy("n").collect()] == [1, 2]
     assert [r[0] for r in spark.createDataFrame([(None,), ("completed",), ("failed",), ("running",)], "s string").select(jobs.result_gate(F.col("s"))).collect()] == [404, 200, 422, 409]
+
+
+def test_image_measures(spark):
+    import numpy as np
+
+    from finquery.sources import images
+
+    page = np.full((120, 80), 255, np.uint8)
+    page[::6, 5:75] = 0
+    lines, blank = images.readability(page), np.full((60, 60), 250, np.uint8)
+    assert lines > images.readability(np.rot90(page)) and images.is_blank(blank) and not images.is_blank(page)
+    assert images.content_box(blank) == (0, 0, 60, 60) and images.content_box(page)[1] == 0
+    rows = spark.createDataFrame([(1, 1, 80, 120, bytearray(page.tobytes())), (1, 2, 60, 60, bytearray(blank.tobytes())), (1, 3, 5, 5, None)], "doc_id long, page_number int, width int, height int, grey binary")
+    got = {r["page_number"]: r for r in images.image_facts(rows).collect()}
+    assert [got[k]["blank"] for k in (1, 2, 3)] == [False, True, True]
+    assert payload_angle(spark, got[1]["scores"]) in (0, 180)
+    parts = rows.where("page_number = 1").select(images.halves(F.col("width"), F.col("height")).alias("h"), images.page_layout(F.col("width"), F.col("height")).alias("p")).first()
+    assert [(x["region"], x["top"], x["bottom"]) for x in parts["h"]] == [("top", 0, 100), ("bottom", 20, 120)]
+    assert [(x["region"], x["top"], x["bottom"]) for x in parts["p"]] == [("full", 0, 120), ("top", 0, 70), ("bottom", 50, 120)]
+
+
+def payload_angle(spark, scores):
+    rows = spark.createDataFrame([(None, [(s["angle"], s["score"]) for s in scores])], "declared int, s array<struct<angle:int,score:double>>")
+    return rows.select(payload.best_orientation(F.col("s"), F.col("declared"))).first()[0]
+
+
+def test_pages_passes_and_settings(spark, monkeypatch):
+    import pytest
+
+    from finquery.config import Settings
+
+    files = spark.createDataFrame([("a.pdf", bytearray(b"2")), ("b.pdf", bytearray(b"x"))], "path string, content binary")
+    got = payload.exploded_pages(files, lambda content, most: [(k + 1, 0, f"page {k}") for k in range(int(content))], 1)
+    assert sorted((r["path"], r["page_number"]) for r in got.collect() if r["page_number"]) == [("a.pdf", 1)]
+    pages_in = spark.createDataFrame([(1, 1), (1, 2)], "doc_id long, page_number int")
+    passes = [("full", lambda p: p.where("page_number = 1").withColumn("field_code", F.lit("CLIENTS"))), ("focused", lambda p: p.withColumn("field_code", F.lit("STOCKS")))]
+    assert sorted((r["page_number"], r["strategy"]) for r in payload.fallback_chain(pages_in, passes, ["CLIENTS"]).collect()) == [(1, "full"), (2, "focused")]
+    monkeypatch.setenv("FINQUERY_MAX_PAGES", "10")
+    settings = Settings.from_environment()
+    assert settings.pages_of(None, 99) == 10 and settings.pages_of(3, 2) == 2
+    with pytest.raises(ValueError):
+        settings.pages_of(11, 99)
