@@ -68,7 +68,7 @@ GAP = 3
 
 @cache
 def tools() -> tuple:
-    return regex.compile(HINT, regex.I), regex.compile(r"(?<=[.!?;:])\s+|[\r\n\f\v]+"), regex.compile(r"[a-z]+(?:/[a-z]+)?|[0-9]+(?:\.[0-9]+)*"), [(w, regex.compile(p), i) for w, p, i in PATTERNS]
+    return regex.compile(HINT, regex.I), regex.compile(r"(?<=[.!?;])\s+|[\r\n\f\v]+"), regex.compile(r"[a-z]+(?:/[a-z]+)?|[0-9]+(?:\.[0-9]+)*"), [(w, regex.compile(p), i) for w, p, i in PATTERNS]
 
 
 def normalised(sentence: str) -> str:

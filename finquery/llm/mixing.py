@@ -26,7 +26,7 @@ BUCKETS, UNIT, MOST = 8192, 64, 640
 TRAIN_ROWS = 20_000
 #: A word tells something if its shares of documents differ by so many standard errors and one of them is COMMON
 #: (rarer words follow groups of copies rather than domains); the FEATURES strongest are kept.
-SURE, COMMON, FEATURES = 9.0, 0.02, 4096
+SURE, COMMON, FEATURES = 5.5, 0.02, 4096
 LONG_TEXT = 1 << 24
 
 
@@ -150,6 +150,6 @@ def mixed_rates(spark: SparkSession, documents: DataFrame, labels: DataFrame, ta
 def realised(documents: DataFrame, rates: DataFrame) -> DataFrame:
     """The rows of ``documents``, each as often as its rate says: the whole part, and once more with the rest as probability (by a hash of the id)."""
     u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / F.lit(1 << 30)
-    copies = rates.groupBy("doc_id").agg(F.max("rate").alias("rate")).select(F.col("doc_id").alias("mixed_id"), F.floor(F.col("rate") + u).cast("int").alias("copies")).where("copies > 0").hint("merge")
-    out = documents.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(documents[f"`{c}`"] for c in documents.columns))
+    copies = rates.groupBy("doc_id").agg(F.max("rate").alias("rate")).select(F.col("doc_id").alias("_mixed_id"), F.floor(F.col("rate") + u).cast("int").alias("_mix_copies")).where("_mix_copies > 0").hint("merge")
+    out = documents.join(copies, F.col("doc_id").eqNullSafe(F.col("_mixed_id")))
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*(documents[f"`{c}`"] for c in documents.columns))
