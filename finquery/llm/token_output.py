@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -38,10 +38,12 @@ MAGIC = b"FQT1"
 BLOCK_IDS = 1 << 18
 #: Files of about this many ids, so that one file is one bounded unit of reading.
 FILE_IDS = 2 << 20
-MOST_PIECES = 1 << 17
-TAIL = ".,;:!?"
-#: Lower-case Latin letters that are composed already.
-LETTERS = "^[a-z\u00df-\u00f6\u00f8-\u017f]+$"
+#: Words that an encoder remembers: so many, then those in use.
+MOST_PIECES = 1 << 19
+#: Marks that may follow letters; the apostrophe is left out, as it begins endings.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Latin letters that are composed already and whose lower case is one letter (so no dotted capital I).
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+$"
 #: Bytes taken by each of the four ids of a control byte.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
 
@@ -75,7 +77,7 @@ class Encoder:
             self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             probe = "the quick brown fox jumps over lazy dogs"
             self.plain = self.words.findall("word" + TAIL) == ["word", TAIL] and self.light.encode(probe).ids == self._raw([probe.upper()])[0].tolist() == self._raw([probe])[0].tolist()
-        self.bases, self.others = Recent(2 * MOST_PIECES), Recent(MOST_PIECES)
+        self.bases, self.others, self.tails = Remembered(self.kind), Remembered(self.kind), {}
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -94,32 +96,43 @@ class Encoder:
                 else:
                     yield from zip(group, (x.tobytes() for x in self._raw(group)), strict=True)
 
-    def _parts(self, unique: pa.Array) -> tuple[list[bytes], np.ndarray]:
-        """Ids of word parts, and for each piece the numbers of its two parts (letters, then marks)."""
+    def _tails(self, low: pa.Array, size: np.ndarray, short: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """The number of each piece's marks among ``self.tails``; 0 for none."""
+        if len(self.tails) > 1 << 12:
+            self.tails.clear()
+        self.tails.setdefault(b"", b"")
+        number = {t: k for k, t in enumerate(self.tails)}
+        raw, ends = np.frombuffer(low.buffers()[2] or b"", dtype=np.uint8), low.offset + np.cumsum(size)
+        which = np.zeros(len(size), dtype=np.int64)
+        for n in np.unique((size - short)[plain]).tolist():
+            if n == 0:
+                continue
+            at = np.flatnonzero(plain & (size - short == n))
+            runs, of = np.unique(raw[ends[at, None] - n + np.arange(n)], axis=0, return_inverse=True) if n > 1 else np.unique(raw[ends[at] - 1], return_inverse=True)
+            names = [r.tobytes() for r in runs]
+            new = [t for t in names if t not in number]
+            for t, x in zip(new, self._raw([t.decode() for t in new]) if new else (), strict=True):
+                number[t] = len(number)
+                self.tails[t] = x.tobytes()
+            which[at] = np.array([number[t] for t in names])[of.ravel()]
+        return which
+
+    def _parts(self, unique: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of word parts in a row, the size of each part, and for each piece the numbers of its two parts (letters, then marks)."""
         low = pc.utf8_lower(unique)
         base = pc.ascii_rtrim(low, characters=TAIL)
         size, short = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (low, base))
-        # Composed Latin letters, then at most one mark: two words at most, each on its own.
-        plain = pc.match_substring_regex(base, LETTERS).to_numpy(zero_copy_only=False) & (size - short < 2) & self.plain
+        # Composed Latin letters, then marks: two words at most, each on its own.
+        plain = pc.match_substring_regex(pc.ascii_rtrim(unique, characters=TAIL), LETTERS).to_numpy(zero_copy_only=False) & (size - short < 9) & self.plain
         coded = base.filter(pa.array(plain)).dictionary_encode()
-        bases, others = coded.dictionary.to_pylist(), unique.filter(pa.array(~plain)).to_pylist()
-        self.bases.turn()
-        self.others.turn()
-        fresh, odd = self.bases.absent(set(bases)), self.others.absent(set(others))
-        if fresh:
-            self.bases.update(self._groups(fresh, [1] * len(fresh), self.light))
-        self.others.update(self._groups(odd, [len(self.words.findall(unicodedata.normalize("NFC", p).lower())) for p in odd], self.tokenizer))
-        marks = [b"", *(x.tobytes() for x in self._raw(list(TAIL)))]
+        places = self.bases.places(coded.dictionary, lambda new: self._groups(new, [1] * len(new), self.light))
+        other = self.others.places(unique.filter(pa.array(~plain)), lambda new: self._groups(new, [len(self.words.findall(unicodedata.normalize("NFC", p).lower())) for p in new], self.tokenizer))
         which = np.zeros((len(unique), 2), dtype=np.int64)
-        which[plain, 0] = coded.indices.to_numpy(zero_copy_only=False) + len(marks)
-        ends = np.cumsum(size) + low.offset
-        raw = np.frombuffer(low.buffers()[2] or b"", dtype=np.uint8)
-        tailed = np.flatnonzero(plain & (size > short))
-        code = np.zeros(256, dtype=np.int64)
-        code[np.frombuffer(TAIL.encode(), np.uint8)] = np.arange(len(TAIL)) + 1
-        which[tailed, 1] = code[raw[ends[tailed] - 1]]
-        which[~plain, 0] = np.arange(len(others)) + len(marks) + len(bases)
-        return [*marks, *map(self.bases.__getitem__, bases), *map(self.others.__getitem__, others)], which
+        which[:, 1] = self._tails(low, size, short, plain)
+        tails = [np.frombuffer(x, dtype=self.kind) for x in self.tails.values()]
+        which[plain, 0] = places[coded.indices.to_numpy(zero_copy_only=False)] + len(tails)
+        which[~plain, 0] = other + len(tails) + len(self.bases.size)
+        return np.concatenate([*tails, self.bases.ids, self.others.ids]), np.concatenate([[len(x) for x in tails], self.bases.size, self.others.size]).astype(np.int64), which
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, of the type ``kind``, and where each text begins and ends."""
@@ -127,31 +140,37 @@ class Encoder:
             found = self._raw(["" if t is None else t for t in texts.to_pylist()])
             return np.concatenate([np.empty(0, self.kind), *found]), np.cumsum([0, *map(len, found)])
         words = Words(texts)
-        raw, which = self._parts(words.unique)
-        flat = np.frombuffer(b"".join(raw), dtype=self.kind)
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) // flat.itemsize
+        flat, size, which = self._parts(words.unique)
         part = which[words.ids].ravel()
         n = size[part]
         ends = np.concatenate([[0], np.cumsum(n)])
         return flat[np.repeat((np.cumsum(size) - size)[part] - ends[:-1], n) + np.arange(ends[-1])], ends[2 * words.ends]
 
 
-class Recent(dict):
-    """A table of two generations: when the young one is full it becomes the old one, from which entries in use come back."""
-
-    def __init__(self, most: int):
-        self.most, self.old = most, {}
-
-    def turn(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-
-    def absent(self, wanted: set) -> list:
-        out = wanted.difference(self)
-        back = out.intersection(self.old)
-        self.update((k, self.old[k]) for k in back)
-        return list(out.difference(back))
+class Remembered:
+    """Pieces with their ids, in flat arrays; of a full table the pieces in use stay."""
+
+    def __init__(self, kind: str):
+        self.known, self.ids, self.size = pa.array([], pa.string()), np.empty(0, kind), np.empty(0, np.int64)
+
+    def places(self, wanted: pa.Array, learn: Callable[[list[str]], Iterator[tuple[str, bytes]]]) -> np.ndarray:
+        """The place of each of some distinct pieces; those that are not known are learnt."""
+        at = pc.fill_null(pc.index_in(wanted, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(self.known) > MOST_PIECES:
+            kept = np.unique(at[at >= 0])
+            n, first = self.size[kept], (np.cumsum(self.size) - self.size)[kept]
+            self.ids = self.ids[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            self.known, self.size = self.known.take(pa.array(kept)), n
+            at = np.where(at >= 0, np.searchsorted(kept, at), -1)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            pieces = wanted.take(pa.array(new))
+            found = [x for _, x in learn(pieces.to_pylist())]
+            at[new] = len(self.size) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, pieces])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), dtype=self.ids.dtype)])
+            self.size = np.concatenate([self.size, np.fromiter(map(len, found), np.int64, len(found)) // self.ids.itemsize])
+        return at
 
 
 @cache
@@ -184,9 +203,11 @@ def tokenize(documents: DataFrame, tokenizer: str, end_id: int | None) -> DataFr
 
 def control_encoded(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
-    raw = values.astype("<u4").view(np.uint8).reshape(-1, 4)
     size = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    data = raw[np.arange(4) < size[:, None]].tobytes()
+    most = int(size.max()) if len(size) else 1
+    wide = "<u2" if most < 3 else "<u4"
+    raw = values.astype(wide).view(np.uint8).reshape(-1, np.dtype(wide).itemsize)
+    data = raw[np.arange(raw.shape[1]) < size[:, None]].tobytes()
     padded = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
     padded[: len(values)] = size - 1
     return (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1).astype(np.uint8).tobytes(), data
@@ -197,9 +218,10 @@ def control_decoded(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray
     size = LENGTHS[control].reshape(-1)[:n].astype(np.int64)
     at = np.cumsum(size) - size
     padded = np.concatenate([data, np.zeros(4, np.uint8)])
-    out = np.zeros(n, dtype=np.uint32)
-    for k in range(4):
-        out |= np.where(size > k, padded[at + k], 0).astype(np.uint32) << np.uint32(8 * k)
+    out = padded[at].astype(np.uint32)
+    for k in range(1, int(size.max()) if n else 0):
+        more = np.flatnonzero(size > k)
+        out[more] |= padded[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
