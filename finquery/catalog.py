@@ -6,6 +6,7 @@ amounts, for instance, come from the integers they were written from).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +19,7 @@ from finquery.operators import derive, markdown, pages, project, recover, resolv
 from finquery.operators.eligibility import labelled, priority, rejection_reasons
 from finquery.plans import lifecycle
 from finquery.plans.synthetic import CODES, ORDER, WRONG_LABEL, candidates, candidates_sql, choice, written
+from finquery.shared import shared_folder
 from finquery.sources import payload
 from finquery.streaming import jobs
 
@@ -546,12 +548,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
-    import tempfile
-    import uuid
-
     name = f"{label}_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    return jobs.run_once(stream, name, f"{base}/{name}")
+    return jobs.run_once(stream, name, f"{shared_folder(spark)}/{name}")
 
 
 @query(STATE_SQL)
