@@ -176,6 +176,7 @@ class FingerprintIndex:
         name = "finquery_" + work.root.rsplit("-", 1)[1]
         with small_batches(spark):
             chunked(documents).write.bucketBy(parts, "chunk").option("compression", "none").option("path", work.path("chunks")).option("parquet.block.size", str(32 << 20)).saveAsTable(name)
+        work.catalogued.append(name)
         chunks = spark.table(name)
         self.buckets = self.buckets or max(4 * parts, -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WINDOWS))
         buckets = self.buckets

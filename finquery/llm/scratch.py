@@ -9,24 +9,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or in local mode a folder of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    local = os.path.join(tempfile.gettempdir(), "finquery-shared")
-    spark.conf.set("spark.checkpoint.dir", f"file://{local}")
-    return f"file://{local}"
+from finquery.shared import shared_folder
 
 
 @contextlib.contextmanager
@@ -46,6 +34,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        self.catalogued: list[str] = []
         self.root = f"{shared_folder(spark)}/finquery-{label}-{uuid.uuid4().hex}"
         atexit.register(self.remove)
 
@@ -62,6 +51,8 @@ class Scratch:
     def remove(self, name: str = "") -> None:
         """Delete one table, or all of them."""
         try:
+            for table in [] if name else self.catalogued:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
             jvm = self.spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
