@@ -78,40 +78,67 @@ def blocks_of(spark: SparkSession, path: str, kind: str, block_ids: int) -> Data
     return files.where("size > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block_ids).cast("long"))))
 
 
-def separator_scan(spark: SparkSession, path: str, end_id: int, kind: str, stamp: int = STAMP, block_ids: int = BLOCK_IDS) -> DataFrame:
+def ranged(path: str) -> bool:
+    """Whether Arrow can open files of the path's store."""
+    try:
+        pyarrow.fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, OSError, NotImplementedError):
+        return False
+    return True
+
+
+def separator_scan(spark: SparkSession, path: str, end_id: int, kind: str, stamp: int = STAMP, block_ids: int = BLOCK_IDS, ranges: bool = True) -> DataFrame:
     """``file, ordinal, start, n_tokens, ended, doc_id`` of every document in the flat files below ``path``.
 
     ``start`` counts ids from the file's beginning, after the stamp; without
-    stamps doc_id is null. An empty file holds no documents.
+    stamps doc_id is null. An empty file holds no documents. Blocks are read by
+    their ranges; from a store that only Spark opens, files come whole (each
+    below 2 GB, as those written here are) and are cut into blocks then.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = np.dtype(kind).itemsize
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def facts(path: str, block: int, total: int, ids: np.ndarray) -> pa.RecordBatch:
+        """What a block shows; ``ids`` may run on behind it for the length of a stamp."""
+        begin = block * block_ids
+        found = np.flatnonzero(ids[: min(block_ids, total - begin)] == end_id)
+        starts = found + 1
+        starts = starts[starts + begin < total]  # none after the file's last id
+        if begin == 0:
+            starts = np.concatenate([[0], starts])
+        who = [unstamped(ids[s : s + stamp]) if stamp else None for s in starts]
+        # The n-th begin of the block belongs to the n-th end here, but for an end whose document began before.
+        early = int(begin > 0 and len(found) > 0)
+        n = len(found) - early
+        firsts, ends, names = [None] * early + starts[:n].tolist(), found.tolist(), [None] * early + who[:n]
+        out = [(path, block, k, None if s is None else begin + s, begin + e, w, False) for k, (s, e, w) in enumerate(zip(firsts, ends, names, strict=True))]
+        left = starts[n:].tolist()  # at most one document is still open
+        out.append((path, block, len(found), begin + left[0] if left else None, None, who[n] if left else None, True))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["path", "block", "k", "first", "end", "doc_id", "summary"])
+
+    def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 fs, name = pyarrow.fs.FileSystem.from_uri(row["path"])
                 begin = row["block"] * block_ids
                 with fs.open_input_file(name) as f:
-                    ids = np.frombuffer(f.read_at((min(block_ids, row["size"] - begin) + stamp) * width, begin * width), dtype=kind)
-                size = min(block_ids, row["size"] - begin)
-                found = np.flatnonzero(ids[:size] == end_id)
-                starts = found + 1
-                starts = starts[starts + begin < row["size"]]  # none after the file's last id
-                if begin == 0:
-                    starts = np.concatenate([[0], starts])
-                who = [unstamped(ids[s : s + stamp]) if stamp else None for s in starts]
-                # The n-th begin of the block belongs to the n-th end here, but for an end whose document began before.
-                early = int(begin > 0 and len(found) > 0)
-                n = len(found) - early
-                firsts, ends = [None] * early + starts[:n].tolist(), found.tolist()
-                names = [None] * early + who[:n]
-                out = [(row["path"], row["block"], k, None if s is None else begin + s, begin + e, w, False) for k, (s, e, w) in enumerate(zip(firsts, ends, names, strict=True))]
-                left = starts[n:].tolist()  # at most one document is still open; a begin right at the next block's edge counts here
-                out.append((row["path"], row["block"], len(found), begin + left[0] if left else None, None, who[n] if left else None, True))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["path", "block", "k", "first", "end", "doc_id", "summary"])
-
-    found = Scratch(spark, "separators").table("found", blocks_of(spark, path, kind, block_ids).repartition(parts, "path", "block").mapInArrow(run, "path string, block long, k long, first long, end long, doc_id long, summary boolean"))
+                    raw = f.read_at((min(block_ids, row["size"] - begin) + stamp) * width, begin * width)
+                yield facts(row["path"], row["block"], row["size"], np.frombuffer(raw, dtype=kind))
+
+    def by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.slice(k, 1).to_pylist()[0]
+                ids = np.frombuffer(row["content"], dtype=kind)
+                for n in range(-(-len(ids) // block_ids)):
+                    yield facts(row["path"], n, len(ids), ids[n * block_ids : (n + 1) * block_ids + stamp])
+
+    schema = "path string, block long, k long, first long, end long, doc_id long, summary boolean"
+    if ranges and ranged(path):
+        scanned = blocks_of(spark, path, kind, block_ids).repartition(parts, "path", "block").mapInArrow(by_range, schema)
+    else:
+        scanned = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(by_file, schema)
+    found = Scratch(spark, "separators").table("found", scanned)
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     opened = F.when(F.col("first").isNotNull(), F.struct("first", "doc_id"))
     scan = found.where("summary").select("path", "block", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("ends_before"), F.last(opened, True).over(before).alias("carry"), F.col("k").alias("here"), opened.alias("open"))

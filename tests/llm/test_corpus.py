@@ -61,12 +61,13 @@ def test_separator_scan_over_blocks(spark, block):
     assert all(r["ended"] for r in got)
 
 
-@pytest.mark.parametrize("block", [1, 2, 3, 5, 100])
-def test_plain_files_without_stamps(spark, tmp_path, block):
+@pytest.mark.parametrize(("block", "ranges"), [(1, True), (2, True), (3, False), (5, True), (100, False)])
+def test_plain_files_without_stamps(spark, tmp_path, block, ranges):
     files = {"part-0": [5, 9, 9, 5, 5, 9], "part-1": [9], "part-2": [], "part-3": [5, 5, 9, 5, 5, 5], "part-4": [5, 5]}
     for name, ids in files.items():
         np.array(ids, "<u4").tofile(tmp_path / name)
-    got = sorted((r["file"], r["ordinal"], r["start"], r["n_tokens"], r["ended"]) for r in SS.separator_scan(spark, f"file://{tmp_path}", 9, "<u4", 0, block).collect())
+    got = sorted((r["file"], r["ordinal"], r["start"], r["n_tokens"], r["ended"]) for r in SS.separator_scan(spark, f"file://{tmp_path}", 9, "<u4", 0, block, ranges).collect())
+    assert SS.ranged(f"file://{tmp_path}") and not SS.ranged("viewfs://store/x")
     want = []
     for name, ids in files.items():
         start = 0
