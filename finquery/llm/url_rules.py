@@ -42,7 +42,8 @@ def reversed_host(host: Column) -> Column:
 
 def rule_table(spark: SparkSession, rules: tuple[tuple[str, str], ...]) -> DataFrame:
     """``verdict, host, path, rule`` of ``(verdict, rule)`` pairs."""
-    return spark.createDataFrame([(v, r) for v, r in rules], "verdict string, rule string").select("verdict", F.substring_index("rule", "/", 1).alias("host"), F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)").alias("path"), "rule")
+    given = F.array(*(F.struct(F.lit(v).alias("verdict"), F.lit(r).alias("rule")) for v, r in rules)).cast("array<struct<verdict:string,rule:string>>")
+    return spark.range(1).select(F.inline(given)).select("verdict", F.substring_index("rule", "/", 1).alias("host"), F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)").alias("path"), "rule")
 
 
 def stacks(rules: DataFrame) -> DataFrame:
