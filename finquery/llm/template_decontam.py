@@ -25,23 +25,26 @@ WIDTH, ENOUGH, LITERALS, MOST_BROADCAST = 8, 6, 4, 2_000_000
 #: Units, as words after a number. Fixed values.
 UNITS = "km|cm|mm|m|kg|g|mg|lb|lbs|oz|l|ml|mi|mile|miles|meter|meters|metre|metres|feet|foot|ft|inch|inches|hour|hours|h|minute|minutes|min|second|seconds|s|day|days|week|weeks|month|months|year|years|dollar|dollars|usd|euro|euros|eur|cent|cents|percent|degrees|mph|kmh"
 OPEN, VALUE, CLOSE = "\u0001", "\u0002", "\u0003"
+#: What a text must hold for a pattern to be tried, the pattern, and what takes its place, in order.
 MARKS = (
-    (r"[\u0001-\u0003]", " "),
-    (r"(?<![\p{L}\p{N}])[0-9]+(?:[.,][0-9]+)*(?![\p{N}])", f"{OPEN}n{VALUE}$0{CLOSE}"),
-    (rf"(?<={CLOSE}|{CLOSE} )(?i:{UNITS})(?![\p{{L}}\p{{N}}])", f"{OPEN}u{VALUE}$0{CLOSE}"),
-    (r"(?<=[\p{Ll},;:] )\p{Lu}\p{L}*+", f"{OPEN}p{VALUE}$0{CLOSE}"),
+    (lambda t: F.contains(t, F.lit(OPEN)) | F.contains(t, F.lit(VALUE)) | F.contains(t, F.lit(CLOSE)), r"[\u0001-\u0003]", " "),
+    (lambda t: t.rlike("[0-9]"), r"(?<![\p{L}\p{N}])[0-9]+(?:[.,][0-9]+)*(?![\p{N}])", f"{OPEN}n{VALUE}$0{CLOSE}"),
+    (lambda t: F.contains(t, F.lit(CLOSE)), rf"(?<={CLOSE}|{CLOSE} )(?i:{UNITS})(?![\p{{L}}\p{{N}}])", f"{OPEN}u{VALUE}$0{CLOSE}"),
+    (lambda t: F.lit(True), r" (?<=[\p{Ll},;:] )(\p{Lu}\p{L}*+)", f" {OPEN}p{VALUE}$1{CLOSE}"),
 )
 STRIP = r"[^\p{L}\p{N}\s\u0001-\u0003]+"
 
 
 def template_words(rows: DataFrame) -> DataFrame:
     """Adds ``w``, the template words of ``text``, and ``m``, the same words with values (empty where there is no slot)."""
-    text = F.coalesce("text", F.lit(""))
-    for pattern, to in MARKS:
-        text = F.regexp_replace(text, pattern, to)
-    rows = rows.withColumn("marked", F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, STRIP, "")), r"\s+", " ")))
+    rows = rows.withColumn("marked", F.coalesce("text", F.lit("")))
+    for test, pattern, to in MARKS:
+        text = F.col("marked")
+        rows = rows.withColumn("marked", F.when(test(text), F.regexp_replace(text, pattern, to)).otherwise(text))
+    rows = rows.withColumn("marked", F.lower(F.regexp_replace("marked", STRIP, "")))
     slots = F.contains("marked", F.lit(OPEN))
-    return rows.withColumn("w", F.split(F.when(slots, F.regexp_replace("marked", f"{VALUE}[^{CLOSE}]*{CLOSE}", "")).otherwise(F.col("marked")), " ")).withColumn("m", F.when(slots, F.split("marked", " ")).otherwise(F.array().cast("array<string>"))).drop("marked", "text")
+    words = lambda text: F.array_remove(F.split(text, r"\s+"), "")
+    return rows.withColumn("w", words(F.when(slots, F.regexp_replace("marked", f"{VALUE}[^{CLOSE}]*{CLOSE}", "")).otherwise(F.col("marked")))).withColumn("m", F.when(slots, words(F.col("marked"))).otherwise(F.array().cast("array<string>"))).drop("marked", "text")
 
 
 def windows(rows: DataFrame, width: int, *keys: str) -> DataFrame:
@@ -63,7 +66,7 @@ def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, width
     count as one document. An empty benchmark or table gives no rows.
     """
     work = Scratch(spark, "leaks")
-    items = work.table("items", template_words(with_columns_of(benchmark, item_id="long", text="string")).withColumn("n_words", F.size("w")).where(F.size(F.filter("w", lambda x: (~x.contains(OPEN)) & (x != ""))) >= LITERALS))
+    items = work.table("items", template_words(with_columns_of(benchmark, item_id="long", text="string")).withColumn("n_words", F.size("w")).where(F.size(F.filter("w", lambda x: (~x.contains(OPEN)))) >= LITERALS))
     docs = template_words(with_columns_of(documents, doc_id="long", text="string"))
     found = None
     for n in sorted(r[0] for r in items.select(F.least("n_words", F.lit(width)).alias("n")).distinct().collect()):  # at most `width` values
