@@ -61,9 +61,11 @@ def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, width
 
     Items shorter than ``width`` words are sought as whole windows of their own
     length; items with fewer than ``LITERALS`` words that are no slots match
-    nothing. An item leaks at ``enough`` windows, or all if it has fewer. Null
-    and empty texts hold nothing and leak nothing. Repeated rows of a doc_id
-    count as one document. An empty benchmark or table gives no rows.
+    nothing. Windows count that hold ``LITERALS`` such words. An item leaks at
+    ``enough`` windows, or all if it has fewer; an item without any that count
+    leaks as a whole. Null and empty texts hold nothing and leak nothing.
+    Repeated rows of a doc_id count as one document. An empty benchmark or table
+    gives no rows.
     """
     work = Scratch(spark, "leaks")
     items = work.table("items", template_words(with_columns_of(benchmark, item_id="long", text="string")).withColumn("n_words", F.size("w")).where(F.size(F.filter("w", lambda x: (~x.contains(OPEN)))) >= LITERALS))
@@ -71,7 +73,9 @@ def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, width
     found = None
     for n in sorted(r[0] for r in items.select(F.least("n_words", F.lit(width)).alias("n")).distinct().collect()):  # at most `width` values
         own = items.where(F.least("n_words", F.lit(width)) == n)
-        item_windows = windows(own.withColumn("need", F.least(F.lit(enough), F.col("n_words") - n + 1)), n, "item_id", "need", "w").where(F.expr(f"size(filter(slice(w, pos + 1, {n}), x -> not contains(x, '{OPEN}'))) >= {min(LITERALS, n)}")).select("item_id", F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), "need")
+        full = F.expr(f"filter(sequence(1, n_words - {n - 1}), i -> size(filter(slice(w, i, {n}), x -> not contains(x, '{OPEN}'))) >= {min(LITERALS, n)})")
+        own = own.withColumn("full", full).withColumn("need", F.expr(f"if(size(full) = 0, n_words - {n - 1}, least({enough}, size(full)))"))
+        item_windows = windows(own, n, "item_id", "need", "full").where("size(full) = 0 or array_contains(full, pos + 1)").select("item_id", F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), "need")
         item_windows = work.table(f"windows-{n}", item_windows)
         small = item_windows.count() <= MOST_BROADCAST
         hits = windows(docs, n, "doc_id").join(F.broadcast(item_windows) if small else item_windows, "h")

@@ -4,6 +4,8 @@ import random
 
 from brute import frame, shingles
 
+from finquery.llm.template_decontam import leaks
+
 
 def near(rows, width, percent):
     """Smallest doc_id that links reach, for each document."""
@@ -33,3 +35,15 @@ def test_pipeline_joins_near_copies_of_five_words_at_80_percent(spark):
     assert want != near(rows, 3, 90)
     got = {r["doc_id"] for r in P.near_duplicates(spark, frame(spark, rows), "unused").collect()}
     assert got == {i for i, least in want.items() if i == least}
+
+
+def leaked(spark, item, texts):
+    bench = spark.createDataFrame([(1, item, "x")], "item_id long, text string, h string")
+    return {r["doc_id"]: r["verbatim"] for r in leaks(spark, frame(spark, list(enumerate(texts))), bench).collect()}
+
+
+def test_items_rich_in_numbers_leak(spark):
+    item = "It costs 12 dollars and 30 cents plus 4 dollars and 5 cents today"  # one window of seven has four literal words
+    assert leaked(spark, item, [f"Before. {item} after.", item.replace("12", "9").replace("30", "77"), "It costs nothing and nobody pays 4 dollars for it today"]) == {0: True, 1: False}
+    whole = "alpha 1 2 3 4 5 beta 6 7 8 9 10 gamma 11 12 13 14 15 delta"  # none has
+    assert leaked(spark, whole, [f"see {whole} there", whole.replace("delta", "omega"), whole.replace("13", "99"), whole.replace("13", "1")]) == {0: True, 2: False}
