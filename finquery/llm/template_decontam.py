@@ -1,13 +1,17 @@
 """Benchmark decontamination by template windows, in DataFrame operations only.
 
-A text becomes a template: numbers, units after numbers and names (capitalised
-words that do not open a sentence) turn into typed placeholders that keep their
-value aside; the rest is lower-cased and stripped of marks. Windows of ``width``
-template words are hashed and hash-joined with the windows of the benchmark.
-Along each diagonal (document position less item position) the slot values must
-be consistent: a value of the item always stands for one value of the document
-and the other way round. A diagonal with enough consistent windows is a leak,
-verbatim if all values are equal, else a re-parameterised question.
+White space becomes single spaces, and a text becomes a template: numbers,
+units after numbers and names (capitalised words) turn into typed placeholders
+that keep their value aside; the rest is lower-cased and stripped of marks.
+Whether a capitalised word that opens a sentence is a name cannot be told, so a
+text has two templates: in one such words are literal, in the other names.
+Windows of ``width`` template words are hashed and hash-joined with the windows
+of the benchmark, each template of an item on its own. Along each diagonal
+(document position less item position) the slot values must be consistent: a
+value of the item always stands for one value of the document and the other way
+round. That is asked of a whole diagonal or of a run: windows that match without
+a break. Enough consistent windows are a leak, verbatim if all values are
+equal, else a re-parameterised question.
 
 The windows of the documents meet the benchmark's in a join on the hash. The
 benchmark's windows are broadcast only if they are few (``MOST_BROADCAST``,
@@ -27,37 +31,60 @@ UNITS = "km|cm|mm|m|kg|g|mg|lb|lbs|oz|l|ml|mi|mile|miles|meter|meters|metre|metr
 OPEN, VALUE, CLOSE = "\u0001", "\u0002", "\u0003"
 #: What a text must hold for a pattern to be tried, the pattern, and what takes its place, in order.
 MARKS = (
+    (lambda t: F.lit(True), r"[\s\p{Z}&&[^ ]][\s\p{Z}]*+| [\s\p{Z}]++", " "),
     (lambda t: F.contains(t, F.lit(OPEN)) | F.contains(t, F.lit(VALUE)) | F.contains(t, F.lit(CLOSE)), r"[\u0001-\u0003]", " "),
     (lambda t: t.rlike("[0-9]"), r"(?<![\p{L}\p{N}])[0-9]+(?:[.,][0-9]+)*(?![\p{N}])", f"{OPEN}n{VALUE}$0{CLOSE}"),
     (lambda t: F.contains(t, F.lit(CLOSE)), rf"(?<={CLOSE}|{CLOSE} )(?i:{UNITS})(?![\p{{L}}\p{{N}}])", f"{OPEN}u{VALUE}$0{CLOSE}"),
     (lambda t: F.lit(True), r" (?<=[\p{Ll},;:] )(\p{Lu}\p{L}*+)", f" {OPEN}p{VALUE}$1{CLOSE}"),
+    (lambda t: F.lit(True), r"(?<![\p{L}\p{N}\u0002])(\p{Lu}\p{L}*+)", f"{OPEN}q{VALUE}$1{CLOSE}"),
 )
 STRIP = r"[^\p{L}\p{N}\s\u0001-\u0003]+"
 
 
 def template_words(rows: DataFrame) -> DataFrame:
-    """Adds ``w``, the template words of ``text``, and ``m``, the same words with values (empty where there is no slot)."""
+    """Adds ``w``, the template words of ``text``, and ``v``, the slot values of each (empty where there is no slot); ``w2`` and ``v2`` with words that open sentences as names (empty where there are none)."""
     rows = rows.withColumn("marked", F.coalesce("text", F.lit("")))
     for test, pattern, to in MARKS:
         text = F.col("marked")
         rows = rows.withColumn("marked", F.when(test(text), F.regexp_replace(text, pattern, to)).otherwise(text))
     rows = rows.withColumn("marked", F.lower(F.regexp_replace("marked", STRIP, "")))
-    slots = F.contains("marked", F.lit(OPEN))
+    opens = F.contains("marked", F.lit(f"{OPEN}q"))
+    rows = rows.withColumn("marked2", F.when(opens, F.replace("marked", F.lit(f"{OPEN}q"), F.lit(f"{OPEN}p"))).otherwise("")).withColumn("marked", F.when(opens, F.regexp_replace("marked", f"{OPEN}q{VALUE}([^{CLOSE}]*){CLOSE}", "$1")).otherwise(F.col("marked")))
     words = lambda text: F.array_remove(F.split(text, r"\s+"), "")
-    return rows.withColumn("w", words(F.when(slots, F.regexp_replace("marked", f"{VALUE}[^{CLOSE}]*{CLOSE}", "")).otherwise(F.col("marked")))).withColumn("m", F.when(slots, words(F.col("marked"))).otherwise(F.array().cast("array<string>"))).drop("marked", "text")
+    for n in ("", "2"):
+        slots = F.contains(f"marked{n}", F.lit(OPEN))
+        rows = rows.withColumn(f"w{n}", words(F.when(slots, F.regexp_replace(f"marked{n}", f"{VALUE}[^{CLOSE}]*{CLOSE}", "")).otherwise(F.col(f"marked{n}"))))
+        rows = rows.withColumn(f"v{n}", F.when(slots, F.transform(words(F.col(f"marked{n}")), lambda x: F.when(F.contains(x, F.lit(OPEN)), F.regexp_extract_all(x, F.lit(f"{VALUE}([^{CLOSE}]*){CLOSE}"), 1)).otherwise(F.array().cast("array<string>")))).otherwise(F.array().cast("array<array<string>>")))
+    return rows.drop("marked", "marked2", "text")
 
 
-def windows(rows: DataFrame, width: int, *keys: str) -> DataFrame:
-    """``keys, pos, h, slots``: each window's place, hash and slot values in order (null without slots)."""
-    made = F.expr(
-        f"if(size(w) < {width}, array(), if(size(m) = 0, transform(sequence(1, size(w) - {width - 1}), i -> named_struct('h', xxhash64(slice(w, i, {width})), 'slots', cast(null as array<string>))), "
-        f"transform(sequence(1, size(w) - {width - 1}), i -> named_struct('h', xxhash64(slice(w, i, {width})), 'slots', nullif(regexp_extract_all(array_join(slice(m, i, {width}), ' '), '{VALUE}([^{CLOSE}]*){CLOSE}', 1), cast(array() as array<string>))))))"
-    )
-    return rows.select(*keys, F.posexplode(made).alias("pos", "x")).select(*keys, "pos", "x.h", "x.slots")
+def windows_at(places: str, width: int, w: str = "w", v: str = "v") -> str:
+    """SQL for the windows that begin at ``places`` (from 1): place (from 0), hash and slot values in order (null without slots)."""
+    return f"transform({places}, i -> named_struct('pos', i - 1, 'h', xxhash64(slice({w}, i, {width})), 'slots', if(size({v}) = 0, cast(null as array<string>), nullif(flatten(slice({v}, i, {width})), cast(array() as array<string>)))))"
+
+
+def windows(rows: DataFrame, width: int, key: str) -> DataFrame:
+    """``key, pos, h, slots``: the windows of both templates, those of the second only where it differs."""
+    last = f"size(w) - {width - 1}"
+    opening = "filter(sequence(1, size(w2)), i -> w[i - 1] <> w2[i - 1])"
+    differ = f"array_distinct(flatten(transform({opening}, i -> if(greatest(1, i - {width - 1}) > least(i, {last}), array(), sequence(greatest(1, i - {width - 1}), least(i, {last}))))))"
+    made = F.expr(f"if(size(w) < {width}, array(), concat({windows_at(f'sequence(1, {last})', width)}, if(size(w2) = 0, array(), {windows_at(differ, width, 'w2', 'v2')})))")
+    return rows.select(key, F.explode(made).alias("x")).select(key, "x.pos", "x.h", "x.slots")
+
+
+def item_windows(items: DataFrame, width: int) -> DataFrame:
+    """``item_id, template, need, item_pos, rank, h, item_slots``: windows with enough literal words, and how many make a leak.
+
+    An item without such windows is sought as a whole: by all of its windows.
+    """
+    at = f"sequence(1, n_words - {width - 1})"
+    rows = items.withColumn("full", F.expr(f"filter({at}, i -> size(filter(slice(w, i, {width}), x -> not contains(x, '{OPEN}'))) >= {min(LITERALS, width)})"))
+    rows = rows.withColumn("need", F.expr(f"if(size(full) = 0, n_words - {width - 1}, least(enough, size(full)))")).withColumn("full", F.expr(f"if(size(full) = 0, {at}, full)"))
+    return rows.select("item_id", "template", "need", F.posexplode(F.expr(windows_at("full", width))).alias("rank", "x")).select("item_id", "template", "need", F.col("x.pos").alias("item_pos"), "rank", "x.h", F.col("x.slots").alias("item_slots"))
 
 
 def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, enough: int = ENOUGH) -> DataFrame:
-    """``doc_id, item_id, n_windows, verbatim``: each item that a document holds, with its longest run of consistent windows.
+    """``doc_id, item_id, n_windows, verbatim``: each item that a document holds, with its most consistent windows on a diagonal or in a run.
 
     Items shorter than ``width`` words are sought as whole windows of their own
     length; items with fewer than ``LITERALS`` words that are no slots match
@@ -68,26 +95,26 @@ def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, width
     gives no rows.
     """
     work = Scratch(spark, "leaks")
-    items = work.table("items", template_words(with_columns_of(benchmark, item_id="long", text="string")).withColumn("n_words", F.size("w")).where(F.size(F.filter("w", lambda x: (~x.contains(OPEN)))) >= LITERALS))
+    made = template_words(with_columns_of(benchmark, item_id="long", text="string"))
+    made = made.select("item_id", F.lit(1).alias("template"), "w", "v").unionByName(made.where("size(w2) > 0").select("item_id", F.lit(2).alias("template"), F.col("w2").alias("w"), F.col("v2").alias("v")))
+    items = work.table("items", made.withColumn("n_words", F.size("w")).withColumn("enough", F.lit(enough)).where(F.size(F.filter("w", lambda x: (~x.contains(OPEN)))) >= LITERALS))
     docs = template_words(with_columns_of(documents, doc_id="long", text="string"))
     found = None
     for n in sorted(r[0] for r in items.select(F.least("n_words", F.lit(width)).alias("n")).distinct().collect()):  # at most `width` values
-        own = items.where(F.least("n_words", F.lit(width)) == n)
-        full = F.expr(f"filter(sequence(1, n_words - {n - 1}), i -> size(filter(slice(w, i, {n}), x -> not contains(x, '{OPEN}'))) >= {min(LITERALS, n)})")
-        own = own.withColumn("full", full).withColumn("need", F.expr(f"if(size(full) = 0, n_words - {n - 1}, least({enough}, size(full)))"))
-        item_windows = windows(own, n, "item_id", "need", "full").where("size(full) = 0 or array_contains(full, pos + 1)").select("item_id", F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), "need")
-        item_windows = work.table(f"windows-{n}", item_windows)
-        small = item_windows.count() <= MOST_BROADCAST
-        hits = windows(docs, n, "doc_id").join(F.broadcast(item_windows) if small else item_windows, "h")
+        sought = work.table(f"windows-{n}", item_windows(items.where(F.least("n_words", F.lit(width)) == n), n))
+        small = sought.count() <= MOST_BROADCAST
+        hits = windows(docs, n, "doc_id").join(F.broadcast(sought) if small else sought, "h")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, n_windows long, verbatim boolean")
     pairs = F.expr("coalesce(zip_with(item_slots, slots, (a, b) -> named_struct('item', a, 'doc', b)), cast(array() as array<struct<item: string, doc: string>>))")
     # A diagonal holds at most the windows of one item.
-    runs = found.withColumn("pairs", pairs).groupBy("doc_id", "item_id", "need", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.countDistinct("item_pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    one_to_one = (F.size("pairs") == F.size(F.array_distinct("pairs.item"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.doc")))
-    leaked = runs.where((F.col("n_windows") >= F.col("need")) & one_to_one)
-    return leaked.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max(F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])) == 0).alias("verbatim"))
+    diagonals = found.groupBy("doc_id", "item_id", "template", "need", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.array_sort(F.collect_set(F.struct("rank", pairs.alias("pairs")))).alias("hits")).where("size(array_distinct(hits.rank)) >= need")
+    breaks = "filter(sequence(1, size(hits)), i -> i = 1 or hits[i - 1].rank > hits[i - 2].rank + 1)"
+    runs = diagonals.withColumn("breaks", F.expr(breaks)).withColumn("runs", F.expr("concat(array(hits), if(size(breaks) = 1, array(), transform(breaks, (b, k) -> slice(hits, b, coalesce(get(breaks, k + 1), size(hits) + 1) - b))))"))
+    judged = runs.withColumn("runs", F.expr("transform(runs, r -> named_struct('n', cast(size(array_distinct(r.rank)) as long), 'pairs', array_distinct(flatten(r.pairs))))"))
+    leaked = judged.withColumn("runs", F.expr("filter(runs, r -> r.n >= need and size(r.pairs) = size(array_distinct(r.pairs.item)) and size(r.pairs) = size(array_distinct(r.pairs.doc)))")).where("size(runs) > 0")
+    return leaked.groupBy("doc_id", "item_id").agg(F.max(F.expr("array_max(runs.n)")).alias("n_windows"), F.max(F.expr("exists(runs, r -> forall(r.pairs, p -> p.item = p.doc))")).alias("verbatim"))
 
 
 def decontaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, enough: int = ENOUGH) -> DataFrame:

@@ -47,3 +47,17 @@ def test_items_rich_in_numbers_leak(spark):
     assert leaked(spark, item, [f"Before. {item} after.", item.replace("12", "9").replace("30", "77"), "It costs nothing and nobody pays 4 dollars for it today"]) == {0: True, 1: False}
     whole = "alpha 1 2 3 4 5 beta 6 7 8 9 10 gamma 11 12 13 14 15 delta"  # none has
     assert leaked(spark, whole, [f"see {whole} there", whole.replace("delta", "omega"), whole.replace("13", "99"), whole.replace("13", "1")]) == {0: True, 2: False}
+
+
+def test_names_leak_wherever_they_stand(spark):
+    item = "Tom has 3 apples and 5 pears in a box. Tom gives 2 apples to Ann every day."
+    assert leaked(spark, item, [item, item.replace("Tom", "Lisa"), item.replace("Tom", "Lisa", 1), item.lower()]) == {0: True, 1: False, 2: True, 3: True}
+    item = "every morning our old baker gives Ann 3 loaves of bread while Bob waits outside with 2 dogs"
+    other = item.replace("Ann", "Carla").replace("Bob", "Dave")
+    assert leaked(spark, item, [other, other.replace("gives ", "gives\n"), other.replace("while ", "while  ").replace("of ", "of\t")]) == {0: False, 1: False, 2: False}
+
+
+def test_a_conflict_spoils_its_run_only(spark):
+    item = "early one day Alice met ten old friends near the quiet and shallow river by our house and much later Alice went home again with all of them by train"
+    torn = item.replace("day Alice", "day Eve").replace("later Alice", "later Zoe")
+    assert leaked(spark, item, [torn.replace("house", "garden"), torn]) == {0: False}
