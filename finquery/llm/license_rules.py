@@ -1,7 +1,9 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences (lines, and within lines after ``.``, ``!``, ``?``
-or ``;`` and a space). A sentence that holds a licence word is normalised:
+A text is cut into paragraphs (at lines without letters or digits), lines and
+parts of lines (after ``.``, ``!``, ``?`` or ``;`` and a space). A sentence is a
+part, or parts of following lines of a paragraph, up to one that such a mark
+ends: a known sentence takes as many parts as it can. A sentence that holds a licence word is normalised:
 lower case, words and version numbers only, one space between them. Known
 sentences map to identifiers, by equality or, where a sentence has a free part
 (a holder's name, a year), by a pattern that begins with a fixed word. The
@@ -29,7 +31,7 @@ from finquery.llm.scratch import with_columns_of
 from finquery.llm.words import slices
 
 #: Words of which a licence sentence holds one. Fixed values.
-HINT = r"licen[cs]|copyright|permission|redistribut|warrant|spdx|all rights reserved|public domain|©"
+HINT = r"licen[cs]|copyright|permission|redistribut|warrant|spdx|all{0}rights{0}reserved|public{0}domain|©".replace("{0}", r"(?: |\s*[\r\n]\W*)")
 
 #: Normalised sentences -> identifier. Fixed values.
 SENTENCES = {
@@ -66,9 +68,15 @@ RULES = (
 GAP = 3
 
 
+@cache
+def beginnings() -> set[str]:
+    """What known sentences begin with, in whole words, and the sentences."""
+    return {" ".join(words[:k]) for words in map(str.split, SENTENCES) for k in range(1, len(words) + 1)}
+
+
 @cache
 def tools() -> tuple:
-    return regex.compile(HINT, regex.I), regex.compile(r"(?<=[.!?;])\s+|[\r\n\f\v]+"), regex.compile(r"[a-z]+(?:/[a-z]+)?|[0-9]+(?:\.[0-9]+)*"), [(w, regex.compile(p), i) for w, p, i in PATTERNS]
+    return regex.compile(HINT, regex.I), regex.compile(r"(?<=[.!?;])\s+"), regex.compile(r"[a-z]+(?:/[a-z]+)?|[0-9]+(?:\.[0-9]+)*"), [(w, regex.compile(p), i) for w, p, i in PATTERNS]
 
 
 def normalised(sentence: str) -> str:
@@ -105,17 +113,62 @@ def matched(ids: list[str], gap: int = GAP) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def paragraphs(text: str) -> Iterator[list[str]]:
+    """Parts of lines, by paragraph."""
+    parts: list[str] = []
+    for line in regex.split(r"\r\n|[\r\n\f\v]", text):
+        if regex.search(r"[^\W_]", line):
+            parts += filter(None, tools()[1].split(line))
+        elif parts:
+            yield parts
+            parts = []
+    yield parts
+
+
+def known(parts: list[str], k: int, any_words: bool) -> tuple[str | None, int]:
+    """The identifier of the sentence that begins at part ``k``, and how many parts it takes. Without ``any_words`` it must hold a licence word."""
+    hint, _, _, patterns = tools()
+    hinted = hint.search(parts[k]) is not None
+    if not hinted and len(parts[k]) >= 2000:
+        return None, 1
+    one = joined = normalised(parts[k])
+    found, last = (None, 1), k
+    while joined in beginnings():
+        if joined in SENTENCES and (any_words or hint.search(joined)):
+            found = SENTENCES[joined], last - k + 1
+        if parts[last].rstrip()[-1:] in ".!?;" or last + 1 == len(parts) or len(parts[last + 1]) >= 2000:
+            break
+        last += 1
+        joined += " " + normalised(parts[last])
+    if found[0] is None and (hinted or any_words):
+        found = identifier(one), 1
+    if found[0] is None and any(one.startswith(word) for word, *_ in patterns):
+        joined, last = one, k
+        while len(joined) < 400 and parts[last].rstrip()[-1:] not in ".!?;" and last + 1 < len(parts) and len(parts[last + 1]) < 2000:
+            last += 1
+            joined += " " + normalised(parts[last])
+            if (any_words or hint.search(joined)) and (i := identifier(joined)):
+                return i, last - k + 1
+    return found
+
+
 def scanned(text: str) -> tuple[list[str], list[str], int]:
     """Licences in order of first place, the sequence of known identifiers, and how many licence-like sentences are unknown."""
-    hint, cut, _, _ = tools()
+    hint = tools()[0]
     ids, unknown = [], 0
-    for sentence in cut.split(text):
-        if hint.search(sentence):
-            found = identifier(normalised(sentence))
-            ids += [found] if found else []
-            unknown += found is None
-        elif ids and len(sentence) < 2000 and (found := identifier(normalised(sentence))):  # sentences of a licence that hold none of its words
-            ids.append(found)
+    for parts in paragraphs(text):
+        k, counted = 0, False
+        while k < len(parts):
+            found, took = known(parts, k, bool(ids))
+            if found:
+                ids.append(found)
+                counted = False
+            else:
+                if not counted and hint.search(parts[k]):
+                    unknown, counted = unknown + 1, True
+                if parts[k].rstrip()[-1:] in ".!?;":
+                    counted = False
+            k += took
     return list(dict.fromkeys(RULES[r][0] for _, r in matched(ids))), ids, unknown
 
 

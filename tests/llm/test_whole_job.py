@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+import textwrap
 
 from brute import frame, shingles
 
+from finquery.llm import license_rules as LR
 from finquery.llm.template_decontam import leaks
 
 
@@ -61,3 +63,35 @@ def test_a_conflict_spoils_its_run_only(spark):
     item = "early one day Alice met ten old friends near the quiet and shallow river by our house and much later Alice went home again with all of them by train"
     torn = item.replace("day Alice", "day Eve").replace("later Alice", "later Zoe")
     assert leaked(spark, item, [torn.replace("house", "garden"), torn]) == {0: False}
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the Example Project nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+
+
+def wrapped(text, width, mark=""):
+    return "\n".join(mark + line for x in text.split("\n") for line in textwrap.wrap(x, width) or [""])
+
+
+def test_wrapped_licences(spark):
+    head = "MIT License\nCopyright (c) 2020 Jane Doe\n"
+    rows = [(k, wrapped(t, w, m)) for k, (t, w, m) in enumerate((t, w, m) for t in (head + MIT, APACHE, BSD) for w in (40, 75, 5000) for m in ("", "# ", " * "))]
+    rows += [(50, "This work is in the public\n# domain"), (51, "Licensed under the Foo\nLicence 9, a licence of\nthe licensor."), (52, "The licence is old.\nReleased under the MIT License")]
+    got = {r["doc_id"]: (r["licences"], r["n_unknown"]) for r in LR.licences(frame(spark, rows)).collect()}
+    assert [got[k] for k in range(9)] == [("MIT", 0)] * 9
+    assert [got[k][0] for k in range(9, 27)] == ["Apache-2.0"] * 9 + ["BSD-3-Clause"] * 9
+    assert [got[k] for k in (50, 51, 52)] == [("public-domain", 0), ("", 1), ("MIT", 1)]
+    assert LR.scanned(wrapped(APACHE, 75))[1] == ["apache2-ref", "apache-use", "apache-copy", "apache-asis", "apache-see"]
