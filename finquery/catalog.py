@@ -460,6 +460,17 @@ def recover_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recover.recovered(shown, have).select("doc_id", "field_code", "page_number", "raw_value")
 
 
+@query("""WITH p AS (SELECT doc_id, doc_id % 4 AS k FROM documents), have AS (SELECT DISTINCT doc_id, CASE WHEN quality = 1 THEN 'CHIFFRE_AFFAIRES' ELSE 'ACHATS_REVENDUS' END AS code FROM labels),
+    m AS (SELECT doc_id, CASE k WHEN 0 THEN 'CHIFFRE_AFFAIRES' WHEN 2 THEN 'ACHATS_REVENDUS' END AS code, CASE k WHEN 0 THEN '1 234 567,89' WHEN 2 THEN '45 000,50' END AS v FROM p WHERE k IN (0, 2))
+    SELECT doc_id, code AS field_code, 1 AS page_number, v AS raw_value FROM m ANTI JOIN have USING (doc_id, code) UNION ALL SELECT doc_id, 'RESULTAT_EXPLOITATION', 1, '12 300,00' FROM p WHERE k = 3""")
+def recover_anti_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``recover_anti_join`` over all documents, with their texts, and all labels, by the ids they have."""
+    text = F.concat(F.expr(choice("doc_id % 4", NATIVE)), F.lit("\n"), F.coalesce("text", F.lit("")))
+    shown = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), F.lit("CPC").alias("page_type"), text.alias("native_text"))
+    have = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "CHIFFRE_AFFAIRES").otherwise("ACHATS_REVENDUS").alias("field_code"))
+    return recover.recovered(shown, have).select("doc_id", "field_code", "page_number", "raw_value")
+
+
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents WHERE contains(text, '|')), f AS (SELECT *, contains(t, '|') AS i, lag(contains(t, '|')) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM l), g AS (SELECT *, sum(CASE WHEN i AND NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS island FROM f) SELECT doc_id, CAST(island AS BIGINT) AS island, count(*) AS n_lines, CAST(min(line) AS INT) AS first_line FROM g WHERE i GROUP BY doc_id, island")
 def md_table_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("|"))).select("doc_id", F.lit(1).alias("page_number"), F.col("text").alias("content"))

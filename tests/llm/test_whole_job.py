@@ -5,6 +5,7 @@ import textwrap
 
 from brute import frame, shingles
 
+from finquery import catalog
 from finquery.llm import license_rules as LR
 from finquery.llm.template_decontam import leaks
 
@@ -95,3 +96,11 @@ def test_wrapped_licences(spark):
     assert [got[k][0] for k in range(9, 27)] == ["Apache-2.0"] * 9 + ["BSD-3-Clause"] * 9
     assert [got[k] for k in (50, 51, 52)] == [("public-domain", 0), ("", 1), ("MIT", 1)]
     assert LR.scanned(wrapped(APACHE, 75))[1] == ["apache2-ref", "apache-use", "apache-copy", "apache-asis", "apache-see"]
+
+
+def test_recovery_leaves_out_what_any_label_names(spark, sf_dir):
+    rows = catalog.queries()["recover_anti_join_whole"](spark, sf_dir).collect()
+    docs, labels = ({r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").collect()} for t in ("documents", "labels"))
+    got = {r["doc_id"] for r in rows if r["field_code"] == "CHIFFRE_AFFAIRES"}
+    assert got == {i for i in docs if i % 4 == 0 and not (i in labels and labels[i]["quality"] == 1)}
+    assert any(i >= 100 and i % 4 == 0 and r["quality"] == 1 for i, r in labels.items())
