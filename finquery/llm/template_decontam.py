@@ -5,29 +5,36 @@ units after numbers and names (capitalised words) turn into typed placeholders
 that keep their value aside; the rest is lower-cased and stripped of marks.
 Whether a capitalised word that opens a sentence is a name cannot be told, so a
 text has two templates: in one such words are literal, in the other names.
-Windows of ``width`` template words are hashed and hash-joined with the windows
-of the benchmark, each template of an item on its own. Along each diagonal
-(document position less item position) the slot values must be consistent: a
-value of the item always stands for one value of the document and the other way
-round. That is asked of a whole diagonal or of a run: windows that match without
-a break. Enough consistent windows are a leak, verbatim if all values are
-equal, else a re-parameterised question.
-
-The windows of the documents meet the benchmark's in a join on the hash. The
-benchmark's windows are broadcast only if they are few (``MOST_BROADCAST``,
-checked); a larger benchmark is joined by shuffling hashes.
+
+Each template word is hashed once, and hashes of ``width`` words are made of
+them by doubling (pairs, fours, eights). A document's window goes on only if a
+bitmap of ``BITS`` bits, made of the benchmark's windows, has its bit; what is
+left is hash-joined with the benchmark's windows, each template of an item on
+its own. The bitmap's size is fixed: with a large benchmark more windows pass
+it, and none is lost. How the join is done is left to Spark, which knows the
+bytes of both sides.
+
+Along each diagonal (document position less item position) the slot values must
+be consistent: a value of the item always stands for one value of the document.
+`leaks` says over what that is asked. Enough consistent windows are a leak,
+verbatim if all values are equal, else a re-parameterised question.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finquery.llm.scratch import Scratch, with_columns_of
 
-WIDTH, ENOUGH, LITERALS, MOST_BROADCAST = 8, 6, 4, 2_000_000
+WIDTH, ENOUGH, LITERALS = 8, 6, 4
+#: Bits of the bitmap of the benchmark's windows, a power of two: 128 KB in each task.
+BITS = 1 << 20
 #: Units, as words after a number. Fixed values.
 UNITS = "km|cm|mm|m|kg|g|mg|lb|lbs|oz|l|ml|mi|mile|miles|meter|meters|metre|metres|feet|foot|ft|inch|inches|hour|hours|h|minute|minutes|min|second|seconds|s|day|days|week|weeks|month|months|year|years|dollar|dollars|usd|euro|euros|eur|cent|cents|percent|degrees|mph|kmh"
+TEMPLATES = (1, 2)
 OPEN, VALUE, CLOSE = "\u0001", "\u0002", "\u0003"
 #: What a text must hold for a pattern to be tried, the pattern, and what takes its place, in order.
 MARKS = (
@@ -41,84 +48,141 @@ MARKS = (
 STRIP = r"[^\p{L}\p{N}\s\u0001-\u0003]+"
 
 
+def split_words(text: str) -> str:
+    """SQL for the words of a text that single spaces part."""
+    return f"array_remove(split({text}, ' '), '')"
+
+
 def template_words(rows: DataFrame) -> DataFrame:
-    """Adds ``w``, the template words of ``text``, and ``v``, the slot values of each (empty where there is no slot); ``w2`` and ``v2`` with words that open sentences as names (empty where there are none)."""
+    """Adds ``w1``, the template words of ``text`` with words that open sentences as literals, and ``w2``, with those as names; ``m1`` and ``m2``: the texts of both with their slots' values."""
     rows = rows.withColumn("marked", F.coalesce("text", F.lit("")))
     for test, pattern, to in MARKS:
         text = F.col("marked")
         rows = rows.withColumn("marked", F.when(test(text), F.regexp_replace(text, pattern, to)).otherwise(text))
     rows = rows.withColumn("marked", F.lower(F.regexp_replace("marked", STRIP, "")))
-    opens = F.contains("marked", F.lit(f"{OPEN}q"))
-    rows = rows.withColumn("marked2", F.when(opens, F.replace("marked", F.lit(f"{OPEN}q"), F.lit(f"{OPEN}p"))).otherwise("")).withColumn("marked", F.when(opens, F.regexp_replace("marked", f"{OPEN}q{VALUE}([^{CLOSE}]*){CLOSE}", "$1")).otherwise(F.col("marked")))
-    words = lambda text: F.array_remove(F.split(text, r"\s+"), "")
-    for n in ("", "2"):
-        slots = F.contains(f"marked{n}", F.lit(OPEN))
-        rows = rows.withColumn(f"w{n}", words(F.when(slots, F.regexp_replace(f"marked{n}", f"{VALUE}[^{CLOSE}]*{CLOSE}", "")).otherwise(F.col(f"marked{n}"))))
-        rows = rows.withColumn(f"v{n}", F.when(slots, F.transform(words(F.col(f"marked{n}")), lambda x: F.when(F.contains(x, F.lit(OPEN)), F.regexp_extract_all(x, F.lit(f"{VALUE}([^{CLOSE}]*){CLOSE}"), 1)).otherwise(F.array().cast("array<string>")))).otherwise(F.array().cast("array<array<string>>")))
-    return rows.drop("marked", "marked2", "text")
+    rows = rows.withColumn("m1", F.regexp_replace("marked", f"{OPEN}q{VALUE}([^{CLOSE}]*){CLOSE}", "$1")).withColumn("m2", F.replace("marked", F.lit(f"{OPEN}q"), F.lit(f"{OPEN}p")))
+    return rows.withColumns({f"w{t}": F.expr(split_words(f"regexp_replace(m{t}, '{VALUE}[^{CLOSE}]*{CLOSE}', '')")) for t in TEMPLATES}).drop("marked", "text")
 
 
-def windows_at(places: str, width: int, w: str = "w", v: str = "v") -> str:
-    """SQL for the windows that begin at ``places`` (from 1): place (from 0), hash and slot values in order (null without slots)."""
-    return f"transform({places}, i -> named_struct('pos', i - 1, 'h', xxhash64(slice({w}, i, {width})), 'slots', if(size({v}) = 0, cast(null as array<string>), nullif(flatten(slice({v}, i, {width})), cast(array() as array<string>)))))"
+def with_hashes(rows: DataFrame, words: str, widths: list[int], out: str) -> DataFrame:
+    """Adds ``<out><n>`` for each of ``widths``: the hashes of all runs of n of the words, by their first words' places."""
+    rows = rows.withColumn(f"{out}_1", F.transform(words, lambda x: F.xxhash64(x)))
 
+    def pairs(rows: DataFrame, name: str, a: str, b: str, k: int) -> DataFrame:
+        """A run of ``a`` that begins at a place, and the run of ``b`` that begins ``k`` places on."""
+        n = f"greatest(size({b}) - {k}, 0)"
+        return rows.withColumn(name, F.expr(f"zip_with(slice({a}, 1, {n}), slice({b}, {k + 1}, {n}), (p, q) -> xxhash64(p, q))"))
 
-def windows(rows: DataFrame, width: int, key: str) -> DataFrame:
-    """``key, pos, h, slots``: the windows of both templates, those of the second only where it differs."""
-    last = f"size(w) - {width - 1}"
-    opening = "filter(sequence(1, size(w2)), i -> w[i - 1] <> w2[i - 1])"
-    differ = f"array_distinct(flatten(transform({opening}, i -> if(greatest(1, i - {width - 1}) > least(i, {last}), array(), sequence(greatest(1, i - {width - 1}), least(i, {last}))))))"
-    made = F.expr(f"if(size(w) < {width}, array(), concat({windows_at(f'sequence(1, {last})', width)}, if(size(w2) = 0, array(), {windows_at(differ, width, 'w2', 'v2')})))")
-    return rows.select(key, F.explode(made).alias("x")).select(key, "x.pos", "x.h", "x.slots")
+    k = 1
+    while 2 * k <= max(widths, default=0):
+        rows = pairs(rows, f"{out}_{2 * k}", f"{out}_{k}", f"{out}_{k}", k)
+        k *= 2
+    for n in widths:
+        made, at = None, 0
+        for k in (1 << j for j in range(n.bit_length()) if n >> j & 1):
+            if made is None:
+                made = f"{out}_{k}"
+            else:
+                rows = pairs(rows, f"{out}_{n}_{at + k}", made, f"{out}_{k}", at)
+                made = f"{out}_{n}_{at + k}"
+            at += k
+        rows = rows.withColumn(f"{out}{n}", F.col(made))
+    return rows
+
+
+def slots_at(pos: str, words: str, n: str) -> str:
+    """SQL for the slot values, in order, of the ``n`` words that begin at ``pos`` (from 0)."""
+    return f"regexp_extract_all(array_join(slice({words}, {pos} + 1, {n}), ' '), '{VALUE}([^{CLOSE}]*){CLOSE}', 1)"
+
+
+def windows(rows: DataFrame, bitmaps: dict[int, list[int]], key: str) -> DataFrame:
+    """``key, pos, width, h, slots``: the windows of both templates whose bit is set in the bitmap of their width.
+
+    ``explode_outer``, as for ``explode`` Spark would make all windows once more, to see whether there are any.
+    """
+    made = []
+    for t in TEMPLATES:
+        rows = with_hashes(rows, f"w{t}", sorted(bitmaps), f"h{t}_")
+        for n, bits in bitmaps.items():
+            table = f"cast(split('{','.join(map(str, bits))}', ',') as array<bigint>)"
+            hit = f"(shiftrightunsigned(element_at({table}, int(shiftrightunsigned(h, {64 - (len(bits) - 1).bit_length()})) + 1), int(h & 63)) & 1) = 1"
+            found = f"array_compact(transform(h{t}_{n}, (h, i) -> if({hit}, named_struct('pos', i, 'width', {n}, 'h', h), null)))"
+            # Arrays of one element name a value, so that it is made once; the words with values only where a window was found.
+            slots = f"transform(array({split_words(f'm{t}')}), f -> transform(found, x -> named_struct('pos', x.pos, 'width', x.width, 'h', x.h, 'slots', {slots_at('x.pos', 'f', 'x.width')})))"
+            made.append(f"flatten(flatten(transform(array({found}), found -> if(size(found) = 0, array(), {slots}))))")
+    return rows.select(key, F.explode_outer(F.expr(f"array_distinct(concat({', '.join(made)}))")).alias("x")).where("x.h is not null").select(key, "x.pos", "x.width", "x.h", "x.slots")
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """``item_id, template, need, item_pos, rank, h, item_slots``: windows with enough literal words, and how many make a leak.
+    """``item_id, template, need, item_pos, rank, width, h, item_slots``: windows with enough literal words, and how many make a leak.
 
     An item without such windows is sought as a whole: by all of its windows.
     """
-    at = f"sequence(1, n_words - {width - 1})"
-    rows = items.withColumn("full", F.expr(f"filter({at}, i -> size(filter(slice(w, i, {width}), x -> not contains(x, '{OPEN}'))) >= {min(LITERALS, width)})"))
+    at = f"if(n_words < {width}, array(), sequence(0, n_words - {width}))"
+    rows = with_hashes(items, "w", [width], "h").withColumn("full", F.expr(f"filter({at}, i -> size(filter(slice(w, i + 1, {width}), x -> not contains(x, '{OPEN}'))) >= {min(LITERALS, width)})"))
     rows = rows.withColumn("need", F.expr(f"if(size(full) = 0, n_words - {width - 1}, least(enough, size(full)))")).withColumn("full", F.expr(f"if(size(full) = 0, {at}, full)"))
-    return rows.select("item_id", "template", "need", F.posexplode(F.expr(windows_at("full", width))).alias("rank", "x")).select("item_id", "template", "need", F.col("x.pos").alias("item_pos"), "rank", "x.h", F.col("x.slots").alias("item_slots"))
+    return rows.select("item_id", "template", "need", "f", f"h{width}", F.posexplode_outer("full").alias("rank", "item_pos")).select("item_id", "template", "need", "item_pos", "rank", F.lit(width).alias("width"), F.expr(f"h{width}[item_pos]").alias("h"), F.expr(slots_at("item_pos", "f", str(width))).alias("item_slots"))
+
+
+def bitmap(sought: DataFrame) -> list[int]:
+    """``BITS`` bits as longs: the word is told by a hash's upper bits, the bit by its lower six."""
+    words = BITS // 64
+    found = sought.groupBy(F.expr(f"int(shiftrightunsigned(h, {64 - (words - 1).bit_length()}))").alias("at")).agg(F.expr("bit_or(shiftleft(1L, int(h & 63)))").alias("bits")).collect()  # words of a bitmap of fixed size
+    out = [0] * words
+    for r in found:
+        out[r["at"]] = r["bits"]
+    return out
 
 
-def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, enough: int = ENOUGH) -> DataFrame:
-    """``doc_id, item_id, n_windows, verbatim``: each item that a document holds, with its most consistent windows on a diagonal or in a run.
+def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, enough: int = ENOUGH, one_to_one: bool = True, stretches: bool = False) -> DataFrame:
+    """``doc_id, item_id, n_windows, verbatim``: each item that a document holds, with its most consistent windows on a diagonal.
+
+    Slot values must be consistent, which by default is asked of a whole
+    diagonal or of a run (windows that match without a break), so that one
+    conflict spoils a run. With ``stretches`` it is asked of as many successive
+    windows of a diagonal as make a leak: a conflict spoils only what holds
+    both of its places, and a copy with one of two equal values changed leaks.
+    ``n_windows`` counts the windows of such stretches then. ``one_to_one``
+    also asks that a value of the document stands for one value of the item.
 
     Items shorter than ``width`` words are sought as whole windows of their own
     length; items with fewer than ``LITERALS`` words that are no slots match
     nothing. Windows count that hold ``LITERALS`` such words. An item leaks at
     ``enough`` windows, or all if it has fewer; an item without any that count
-    leaks as a whole. Null and empty texts hold nothing and leak nothing.
-    Repeated rows of a doc_id count as one document. An empty benchmark or table
-    gives no rows.
+    leaks as a whole. Null and empty texts hold nothing and leak nothing; a
+    document without an id leaks nothing that could be told. Repeated rows of a
+    doc_id count as one document. An empty benchmark or table gives no rows.
     """
     work = Scratch(spark, "leaks")
     made = template_words(with_columns_of(benchmark, item_id="long", text="string"))
-    made = made.select("item_id", F.lit(1).alias("template"), "w", "v").unionByName(made.where("size(w2) > 0").select("item_id", F.lit(2).alias("template"), F.col("w2").alias("w"), F.col("v2").alias("v")))
+    made = made.select("item_id", F.explode(F.array(*(F.struct(F.lit(t).alias("template"), F.col(f"w{t}").alias("w"), F.expr(split_words(f"m{t}")).alias("f")) for t in TEMPLATES))).alias("x"), F.col("w1").alias("other")).select("item_id", "x.template", "x.w", "x.f", "other").where("template = 1 or w <> other").drop("other")
     items = work.table("items", made.withColumn("n_words", F.size("w")).withColumn("enough", F.lit(enough)).where(F.size(F.filter("w", lambda x: (~x.contains(OPEN)))) >= LITERALS))
-    docs = template_words(with_columns_of(documents, doc_id="long", text="string"))
-    found = None
-    for n in sorted(r[0] for r in items.select(F.least("n_words", F.lit(width)).alias("n")).distinct().collect()):  # at most `width` values
-        sought = work.table(f"windows-{n}", item_windows(items.where(F.least("n_words", F.lit(width)) == n), n))
-        small = sought.count() <= MOST_BROADCAST
-        hits = windows(docs, n, "doc_id").join(F.broadcast(sought) if small else sought, "h")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
+    widths = sorted(r[0] for r in items.select(F.least("n_words", F.lit(width)).alias("n")).distinct().collect())  # at most `width` values
+    if not widths:
         return spark.createDataFrame([], "doc_id long, item_id long, n_windows long, verbatim boolean")
-    pairs = F.expr("coalesce(zip_with(item_slots, slots, (a, b) -> named_struct('item', a, 'doc', b)), cast(array() as array<struct<item: string, doc: string>>))")
+    parts = [item_windows(items.where(F.least("n_words", F.lit(width)) == n), n) for n in widths]
+    sought = work.table("windows", reduce(DataFrame.unionByName, parts))
+    docs = template_words(with_columns_of(documents, doc_id="long", text="string").where("doc_id is not null"))
+    found = windows(docs, {n: bitmap(sought.where(F.col("width") == n)) for n in widths}, "doc_id").join(sought, ["width", "h"])
+    pairs = F.expr("zip_with(item_slots, slots, (a, b) -> named_struct('item', a, 'doc', b))")
     # A diagonal holds at most the windows of one item.
     diagonals = found.groupBy("doc_id", "item_id", "template", "need", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.array_sort(F.collect_set(F.struct("rank", pairs.alias("pairs")))).alias("hits")).where("size(array_distinct(hits.rank)) >= need")
-    breaks = "filter(sequence(1, size(hits)), i -> i = 1 or hits[i - 1].rank > hits[i - 2].rank + 1)"
-    runs = diagonals.withColumn("breaks", F.expr(breaks)).withColumn("runs", F.expr("concat(array(hits), if(size(breaks) = 1, array(), transform(breaks, (b, k) -> slice(hits, b, coalesce(get(breaks, k + 1), size(hits) + 1) - b))))"))
-    judged = runs.withColumn("runs", F.expr("transform(runs, r -> named_struct('n', cast(size(array_distinct(r.rank)) as long), 'pairs', array_distinct(flatten(r.pairs))))"))
-    leaked = judged.withColumn("runs", F.expr("filter(runs, r -> r.n >= need and size(r.pairs) = size(array_distinct(r.pairs.item)) and size(r.pairs) = size(array_distinct(r.pairs.doc)))")).where("size(runs) > 0")
-    return leaked.groupBy("doc_id", "item_id").agg(F.max(F.expr("array_max(runs.n)")).alias("n_windows"), F.max(F.expr("exists(runs, r -> forall(r.pairs, p -> p.item = p.doc))")).alias("verbatim"))
-
-
-def decontaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, enough: int = ENOUGH) -> DataFrame:
+    consistent = lambda pairs: f"size({pairs}) = size(array_distinct({pairs}.item))" + (f" and size({pairs}) = size(array_distinct({pairs}.doc))" if one_to_one else "")
+    if stretches:
+        starts = f"filter(sequence(1, size(hits) - need + 1), i -> exists(array(array_distinct(flatten(slice(hits.pairs, i, need)))), p -> {consistent('p')}))"
+        places = diagonals.withColumn("places", F.expr(f"array_distinct(flatten(transform({starts}, i -> sequence(i, i + need - 1))))")).where("size(places) > 0")
+        judged = places.select("doc_id", "item_id", F.expr("cast(size(array_distinct(transform(places, i -> hits[i - 1].rank))) as long)").alias("n"), F.expr("forall(places, i -> forall(hits[i - 1].pairs, p -> p.item = p.doc))").alias("same"))
+    else:
+        breaks = "filter(sequence(1, size(hits)), i -> i = 1 or hits[i - 1].rank > hits[i - 2].rank + 1)"
+        runs = diagonals.withColumn("breaks", F.expr(breaks)).withColumn("runs", F.expr("concat(array(hits), if(size(breaks) = 1, array(), transform(breaks, (b, k) -> slice(hits, b, coalesce(get(breaks, k + 1), size(hits) + 1) - b))))"))
+        runs = runs.withColumn("runs", F.expr("transform(runs, r -> named_struct('n', cast(size(array_distinct(r.rank)) as long), 'pairs', array_distinct(flatten(r.pairs))))"))
+        runs = runs.withColumn("runs", F.expr(f"filter(runs, r -> r.n >= need and {consistent('r.pairs')})")).where("size(runs) > 0")
+        judged = runs.select("doc_id", "item_id", F.expr("array_max(runs.n)").alias("n"), F.expr("exists(runs, r -> forall(r.pairs, p -> p.item = p.doc))").alias("same"))
+    return judged.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"), F.max("same").alias("verbatim"))
+
+
+def decontaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, enough: int = ENOUGH, one_to_one: bool = True, stretches: bool = False) -> DataFrame:
     """One row for each row of ``documents``: ``doc_id, n_items, n_windows, first_item, verbatim, contaminated``."""
-    found = leaks(spark, documents, benchmark, width, enough).groupBy(F.col("doc_id").alias("leaked")).agg(F.count("*").alias("n_items"), F.max("n_windows").alias("n_windows"), F.min("item_id").alias("first_item"), F.max("verbatim").alias("verbatim"))
+    found = leaks(spark, documents, benchmark, width, enough, one_to_one, stretches).groupBy(F.col("doc_id").alias("leaked")).agg(F.count("*").alias("n_items"), F.max("n_windows").alias("n_windows"), F.min("item_id").alias("first_item"), F.max("verbatim").alias("verbatim"))
     rows = with_columns_of(documents, doc_id="long").join(found, F.col("doc_id").eqNullSafe(F.col("leaked")), "left")
     return rows.select("doc_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), "first_item", "verbatim", F.col("n_items").isNotNull().alias("contaminated"))
