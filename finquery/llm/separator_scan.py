@@ -47,6 +47,9 @@ def unstamped(digits: np.ndarray) -> int | None:
 def write_flat_files(documents: DataFrame, tokenizer: str, end_id: int, path: str) -> str:
     """Flat files of stamped documents at ``path``; returns the type of the ids. A null text has no ids of its own.
 
+    Strings of special tokens in a text are ordinary text here, so that no text
+    holds the end-of-document id.
+
     Spark's text writer puts the separator after each row, so its bytes must be
     those of a string in Latin-1, which holds for every id.
     """
@@ -55,12 +58,12 @@ def write_flat_files(documents: DataFrame, tokenizer: str, end_id: int, path: st
     kind = id_type(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        own = encoder(tokenizer, ordinary=True)
         for whole in batches:
             for batch in slices(whole):
                 ids, ends = own.ids(batch.column("text"))
                 if (ids == end_id).any():
-                    raise ValueError("a text holds the end-of-document id")
+                    raise ValueError("the end-of-document id must be a special token's")
                 heads = stamps(batch.column("doc_id").to_pylist()).astype(kind)
                 yield pa.RecordBatch.from_arrays([pa.array([h.tobytes() + ids[a:b].tobytes() for h, a, b in zip(heads, ends, ends[1:], strict=False)], pa.binary())], ["value"])
 

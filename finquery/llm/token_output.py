@@ -23,12 +23,13 @@ import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finquery.llm.scratch import Scratch, small_batches, with_columns_of
@@ -36,8 +37,11 @@ from finquery.llm.words import Words, release, slices
 
 MAGIC = b"FQT1"
 BLOCK_IDS = 1 << 18
-#: Files of about this many ids, so that one file is one bounded unit of reading.
-FILE_IDS = 2 << 20
+#: Files have so many ids at most, about (20 MB): one file is one bounded unit of reading. A small corpus is
+#: dealt over as many files as there are shuffle partitions, of LEAST_IDS at least.
+FILE_IDS, LEAST_IDS = 1 << 24, 2 << 20
+#: Stands for a document without an id.
+NULL_ID = -(1 << 63)
 #: Words that an encoder remembers: so many, then those in use.
 MOST_PIECES = 1 << 19
 #: Marks that may follow letters; the apostrophe is left out, as it begins endings.
@@ -51,6 +55,9 @@ LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)
 class Encoder:
     """Ids of whole texts through the tokenizers library, each distinct piece between spaces encoded once.
 
+    Texts that may hold a special token's string go whole to the library, which
+    gives such strings their own ids; with ``ordinary`` they are text like any other.
+
     Valid for tokenizers that drop white space, never join pieces across it and
     mark the end of a word in the vocabulary (`separable`): the ids are then
     those of the whole text. Pieces go to the library many at a time and are
@@ -58,16 +65,19 @@ class Encoder:
     one at a time. Other tokenizers get whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = ordinary
         self.kind = id_type(path)
         told = json.loads(self.tokenizer.to_str())
+        # Case and composition can change on the way to a match; what stands before the first letter cannot.
+        fronts = {"".join(takewhile(lambda c: c.isascii() and not c.isalnum() and not c.isspace(), t["content"])) for t in told["added_tokens"] if not (ordinary and t["special"])}
+        self.special = "|".join("".join(f"\\x{ord(c):02x}" for c in front) for front in sorted(fronts))
         pre = told.get("pre_tokenizer") or {}
         first, suffix = (pre.get("pretokenizers") or [pre])[0], told["model"].get("end_of_word_suffix")
-        self.separable = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and bool(suffix)
+        self.separable = "" not in fronts and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and bool(suffix)
         if self.separable:
             self.words = regex.compile(first["pattern"]["Regex"])
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
@@ -139,6 +149,18 @@ class Encoder:
         if not self.separable:
             found = self._raw(["" if t is None else t for t in texts.to_pylist()])
             return np.concatenate([np.empty(0, self.kind), *found]), np.cumsum([0, *map(len, found)])
+        if self.special:
+            held = pc.match_substring_regex(texts, self.special).fill_null(False)
+            at = np.flatnonzero(held.to_numpy(zero_copy_only=False))
+            if len(at):
+                flat, ends = self._plain_ids(pc.if_else(held, "", texts))
+                found = self._raw(texts.take(pa.array(at)).to_pylist())
+                size = np.diff(ends)
+                size[at] = [len(x) for x in found]
+                return np.insert(flat, np.repeat(ends[at], size[at]), np.concatenate(found)), np.concatenate([[0], np.cumsum(size)])
+        return self._plain_ids(texts)
+
+    def _plain_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = Words(texts)
         flat, size, which = self._parts(words.unique)
         part = which[words.ids].ravel()
@@ -174,9 +196,9 @@ class Remembered:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, ordinary: bool = False) -> Encoder:
     """One encoder for each worker process."""
-    return Encoder(path)
+    return Encoder(path, ordinary)
 
 
 def id_type(path: str) -> str:
@@ -274,14 +296,14 @@ def write_token_files(tokens: DataFrame, kind: str, ranks: DataFrame, path: str,
     rank_of = np.zeros(int(table["id"].max()) + 1 if len(table) else 1, dtype=np.uint32)
     rank_of[table["id"].to_numpy()] = table["rank"].to_numpy()
     total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    files = max(1, -(-total // FILE_IDS))
+    files = max(1, -(-total // FILE_IDS), min(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // LEAST_IDS)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, parts, size = [], [], 0
         out = lambda: pa.RecordBatch.from_arrays([pa.array([block(ids, parts)], pa.binary())], ["block"])
         for batch in batches:
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                ids.append(doc_id)
+                ids.append(NULL_ID if doc_id is None else doc_id)
                 parts.append(rank_of[np.frombuffer(raw, dtype=kind)])
                 size += len(parts[-1])
                 if size >= BLOCK_IDS:
@@ -295,29 +317,38 @@ def write_token_files(tokens: DataFrame, kind: str, ranks: DataFrame, path: str,
         blocks.select(F.col("block").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
+def file_number(path: Column) -> Column:
+    """The number in a part file's name. Names hold five digits or more, so their order as text is not that of the files."""
+    return F.regexp_extract(path, r"part-(\d+)[^/]*$", 1).cast("long")
+
+
 def read_token_files(spark: SparkSession, path: str, ranks: DataFrame) -> DataFrame:
-    """``file, doc_id, n_tokens, ids`` (little-endian unsigned 32-bit) of all documents in the files."""
+    """``file`` (its number), ``inside`` (ids before, in the file), ``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit) of all documents in the files."""
     table = ranks.toPandas()
     id_of = np.zeros(len(table) + 1, dtype=np.uint32)
     id_of[table["rank"].to_numpy()] = table["id"].to_numpy()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                for doc_ids, counts, values in blocks_of(content):
-                    raw, ends = id_of[values].tobytes(), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]) * 4
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(doc_ids)), pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["file", "doc_id", "n_tokens", "ids"])
+            for k in range(len(batch)):
+                file, before = batch.column("file")[k].as_py(), 0
+                for doc_ids, counts, values in blocks_of(batch.column("content")[k].as_py()):
+                    raw, ends = id_of[values].tobytes(), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+                    cuts = (ends * 4).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(doc_ids), pa.int64()), pa.array(ends[:-1] + before), pa.array(doc_ids, pa.int64(), mask=doc_ids == NULL_ID), pa.array(counts, pa.int64()), pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["file", "inside", "doc_id", "n_tokens", "ids"])
+                    before += int(ends[-1])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.regexp_extract("path", r"(part-\d+)", 1).alias("file"), "content").mapInArrow(decode, "file string, doc_id long, n_tokens long, ids binary")
+    return files.select(file_number(F.col("path")).alias("file"), "content").mapInArrow(decode, "file long, inside long, doc_id long, n_tokens long, ids binary")
 
 
 def token_output(spark: SparkSession, documents: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write ``documents`` as token files and read them back: ``doc_id, start, n_tokens, ids_crc32, file``.
 
     Null texts are empty and have the end id alone; documents with equal ids of
-    their own (repeated rows) each stay; an empty table gives no rows. ``start``
-    counts the ids of all documents before, by doc_id.
+    their own (repeated rows) each stay, next to each other, in the order of
+    their lengths; documents without an id come first. An empty table gives no
+    rows. ``start`` counts the ids of all documents before, by doc_id.
     """
     work, kind = Scratch(spark, "tokens"), id_type(tokenizer)
     tokens = work.table("ids", tokenize(documents, tokenizer, end_id))
@@ -327,10 +358,13 @@ def token_output(spark: SparkSession, documents: DataFrame, tokenizer: str, end_
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crc = [zlib.crc32(x) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("doc_id"), batch.column("n_tokens"), pa.array(crc, pa.int64())], ["file", "doc_id", "n_tokens", "ids_crc32"])
+            crc = [zlib.crc32(x.as_buffer()) for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "inside", "doc_id", "n_tokens")), pa.array(crc, pa.int64())], ["file", "inside", "doc_id", "n_tokens", "ids_crc32"])
+
+    rows = work.table("digests", read_token_files(spark, work.path("files"), ranks).mapInArrow(digest, "file long, inside long, doc_id long, n_tokens long, ids_crc32 long"))
+    return rows.join(starts_of(rows), "file").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "file")
+
 
-    rows = work.table("digests", read_token_files(spark, work.path("files"), ranks).mapInArrow(digest, "file string, doc_id long, n_tokens long, ids_crc32 long"))
-    before = rows.groupBy("file").agg(F.sum("n_tokens").alias("in_file")).withColumn("before", F.sum("in_file").over(Window.orderBy("file")) - F.col("in_file")).drop("in_file")  # one row a file
-    inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
-    return rows.withColumn("inside", inside).join(before, "file").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "file")
+def starts_of(rows: DataFrame) -> DataFrame:
+    """``file, before``: the ids in all files before; one row a file."""
+    return rows.groupBy("file").agg(F.sum("n_tokens").alias("in_file")).withColumn("before", F.sum("in_file").over(Window.orderBy("file")) - F.col("in_file")).drop("in_file")
