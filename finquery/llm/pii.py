@@ -2,12 +2,15 @@
 
 Regular expressions propose spans; validators confirm them (part ranges for
 addresses, Luhn for cards, mod 97 for bank accounts, digit counts for phones);
-context words near a span raise its score. A proposal stays when its score
-reaches ``THRESHOLD``. The confirmed spans of the four base kinds always stay.
+context words near a span, before or behind it, raise its score. A proposal
+stays when its score reaches ``THRESHOLD``. The confirmed spans of the four base
+kinds always stay. Context reaches ``REACH`` characters, over two other matches
+of the kind at most.
 
 Everything is row by row: no shuffle, and repeated groups in patterns are
 possessive or bounded, so that long texts need no deep recursion. Positions
-come from the lengths of the parts between matches.
+are running sums of the lengths of the parts between matches; n matches take n
+log n steps.
 """
 
 from __future__ import annotations
@@ -47,16 +50,21 @@ def spans_of(kind: str) -> str:
     """SQL for the confirmed spans of one kind in the text ``t``, with scores."""
     test, pattern, valid, score, context = KINDS[kind]
     valid = {"luhn": LUHN, "mod97": MOD97}.get(valid, valid)
-    empty = f"cast(array() as array<{SPAN}>)"
-    near = f"substring(t, greatest(1, x.s + 1 - {REACH}), least(x.s, {REACH})) rlike {quoted(f'(?i)(?<![a-z])(?:{context})(?![a-z])')}"
-    proposed = (
-        f"aggregate(zip_with(split(t, {quoted(pattern)}, -1), regexp_extract_all(t, {quoted(pattern)}, 0), (p, m) -> named_struct('g', length(p), 'm', m)), "
-        f"named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,v:string>>)), "
-        "(a, x) -> named_struct('at', a.at + x.g + coalesce(length(x.m), 0), 'out', if(x.m is null, a.out, array_append(a.out, named_struct('s', a.at + x.g, 'e', a.at + x.g + length(x.m), 'v', x.m)))), a -> a.out)"
-    )
-    confirmed = f"filter({proposed}, y -> exists(array(y.v), v -> {valid}))"
-    scored = f"transform({confirmed}, x -> named_struct('s', x.s, 'k', {list(KINDS).index(kind)}, 'e', x.e, 'kind', '{kind}', 'score', cast({score} + if({near}, 0.35, 0) as double)))"
-    return f"if({test}, filter({scored}, x -> x.score >= {0 if kind in BASE else THRESHOLD}), {empty})"
+    words = quoted(f"(?i)(?<![a-z])(?:{context})(?![a-z])")
+    # What stands before and behind, out of the parts and matches next to it: the text itself is not searched for each span.
+    match = lambda k: f"coalesce(get(y.m, c.i + {k}), '')"
+    part = lambda k, end: f"coalesce({end}(get(y.p, c.i + {k}), {REACH}), '')"
+    before = f"right(concat({part(-2, 'right')}, {match(-2)}, {part(-1, 'right')}, {match(-1)}, {part(0, 'right')}), {REACH})"
+    after = f"left(concat({part(1, 'left')}, {match(1)}, {part(2, 'left')}, {match(2)}, {part(3, 'left')}), {REACH})"
+    lengths = "zip_with(slice(y.p, 1, size(y.m)), y.m, (p, v) -> length(p) + length(v))"
+    # Running sums by doubling: in as many passes as the number of matches has bits.
+    ends = f"aggregate(sequence(0, length(bin(size(y.m))) - 1), {lengths}, (a, k) -> zip_with(a, slice(concat(array_repeat(0, int(pow(2, k))), a), 1, size(a)), (p, q) -> p + q))"
+    confirmed = f"filter(transform(y.m, (v, i) -> named_struct('v', v, 'i', i)), c -> exists(array(c.v), v -> {valid}))"
+    scored = f"transform({confirmed}, c -> named_struct('s', e[c.i] - length(c.v), 'k', {list(KINDS).index(kind)}, 'e', e[c.i], 'kind', '{kind}', 'score', cast({score} + if({before} rlike {words} or {after} rlike {words}, 0.35, 0) as double)))"
+    # Arrays of one element name a value, so that it is made once.
+    each = f"flatten(transform(array({ends}), e -> filter({scored}, x -> x.score >= {0 if kind in BASE else THRESHOLD})))"
+    found = f"flatten(transform(array(named_struct('p', split(t, {quoted(pattern)}, -1), 'm', regexp_extract_all(t, {quoted(pattern)}, 0))), y -> if(size(y.m) = 0, cast(array() as array<{SPAN}>), {each})))"
+    return f"if({test}, {found}, cast(array() as array<{SPAN}>))"
 
 
 def personal_data(documents: DataFrame) -> DataFrame:
