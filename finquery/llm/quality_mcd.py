@@ -160,15 +160,16 @@ def mcd_distances(work: Scratch, rows: DataFrame, share: float = 0.75, steps: in
         params = work.table(f"step{k}", binned.groupBy("grp", "start").applyInPandas(concentrate, PARAMS))
     best = params.groupBy("grp").agg(F.min_by(F.struct("m", "f"), F.struct("det", "start")).alias("b")).select("grp", "b.m", "b.f")
 
-    def consistent(found: DataFrame) -> DataFrame:
-        """Scaled so that the median distance is that of a normal law."""
-        mid = found.groupBy("grp").agg((F.percentile_approx("d2", 0.5, 2000) / chi_square(0.5)).alias("mid"))
+    def consistent(found: DataFrame, name: str) -> DataFrame:
+        """Scaled so that the median distance is that of a normal law. The medians are a table, so that Spark knows its few bytes and need not sort all rows by group."""
+        mid = work.table(name, found.groupBy("grp").agg((F.percentile_approx("d2", 0.5, 2000) / chi_square(0.5)).alias("mid")))
         return found.join(mid, "grp").withColumn("d2", F.col("d2") / F.greatest(F.col("mid"), F.lit(1e-6))).drop("mid")
 
-    raw = consistent(rows.join(best, "grp").withColumn("d2", _distance()).drop("m", "f"))
+    best = work.table("best", best)
+    raw = consistent(rows.join(best, "grp").withColumn("d2", _distance()).drop("m", "f"), "mid0")
     final = lambda part: pd.DataFrame([{"grp": part["grp"].iloc[0], **dict(zip(("m", "f"), (list(x.ravel()) for x in _estimate(part.drop(columns="grp").iloc[0])[:2]), strict=True))}])
     kept = work.table("final", raw.where(F.col("d2") <= chi_square(0.975)).groupBy("grp").agg(*_moments()).groupBy("grp").applyInPandas(final, "grp string, m array<double>, f array<double>"))
-    return consistent(rows.join(kept, "grp").withColumn("d2", _distance()).drop("m", "f"))
+    return consistent(rows.join(kept, "grp").withColumn("d2", _distance()).drop("m", "f"), "mid1")
 
 
 def quality_rules(spark: SparkSession, documents: DataFrame, cutoff: float = 150.0, share: float = 0.75, steps: int = 5, least: int = 60) -> DataFrame:
