@@ -12,6 +12,7 @@ own posterior and the few past gaps, so no rate is stored between steps.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +22,15 @@ from finquery.llm.scratch import Scratch, with_columns_of
 DOMAINS = ("clean", "low", "toxic")
 #: Targets as multiples of the tokens that each domain is expected to have now.
 TARGETS = {"clean": 1.1, "low": 0.25, "toxic": 0.05}
-BUCKETS, UNIT, MOST = 8192, 64, 640
+BUCKETS, PLACED, UNIT, MOST = 8192, 1024, 64, 640
 #: Labelled documents that the classifier is fitted on at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 20_000
 #: A word tells something if its shares of documents differ by so many standard errors and one of them is COMMON
 #: (rarer words follow groups of copies rather than domains); the FEATURES strongest are kept.
 SURE, COMMON, FEATURES = 5.5, 0.02, 4096
 LONG_TEXT = 1 << 24
+#: Gaps stand still when a step changes each by less than this part of what counts as close.
+STILL = 1e-2
 
 
 def marked_words(text: Column) -> Column:
@@ -36,15 +39,42 @@ def marked_words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(spaced, r"\s+", " ")), " ")
 
 
+def moved(hashes: list[int], slots: int, groups: int) -> tuple[int, list[int]] | None:
+    """A table without collisions: a shift, and a displacement for each group of hashes (told by their upper bits).
+
+    A hash's place is its ``slots`` bits after the shift, xor its group's
+    displacement. Groups are placed from the largest on, each at the first
+    displacement at which all its places are free.
+    """
+    for shift in range(48):
+        parts: dict[int, list[int]] = {}
+        for h in hashes:
+            parts.setdefault((h % 2**64) * groups >> 64, []).append((h >> shift) % slots)
+        taken, out = set(), [0] * groups
+        for g, low in sorted(parts.items(), key=lambda x: (-len(x[1]), x[0])):
+            d = next((d for d in range(slots) if not any(x ^ d in taken for x in low)), None) if len(set(low)) == len(low) else None
+            if d is None:
+                break
+            out[g] = d
+            taken.update(x ^ d for x in low)
+        else:
+            return shift, out
+    return None
+
+
 class Model:
-    """Word hashes with their weights of low and toxic against clean (in 1/UNIT nats), and the prior log odds of both."""
+    """Word hashes with their weights of low and toxic against clean (in 1/UNIT nats), and the prior log odds of both; each word has a place of its own in the tables."""
 
     def __init__(self, weights: list[tuple[int, int, int]], prior: tuple[float, float]):
         self.prior = prior
         self.keys, self.low, self.toxic = [0] * BUCKETS, [0] * BUCKETS, [0] * BUCKETS
-        for h, low, toxic in weights:  # strongest first; of two words in one place the stronger stays
-            if not self.keys[h % BUCKETS]:
-                self.keys[h % BUCKETS], self.low[h % BUCKETS], self.toxic[h % BUCKETS] = h, low, toxic
+        found = moved([h for h, *_ in weights], BUCKETS, PLACED)
+        if found is None:
+            raise RuntimeError("no table without collisions was found")
+        self.shift, self.displaced = found
+        for h, low, toxic in weights:
+            k = (h >> self.shift) % BUCKETS ^ self.displaced[(h % 2**64) * PLACED >> 64]
+            self.keys[k], self.low[k], self.toxic[k] = h, low, toxic
 
 
 def fitted(spark: SparkSession, documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -87,7 +117,7 @@ def fitted(spark: SparkSession, documents: DataFrame, labels: DataFrame, rows: i
 def posteriors(documents: DataFrame, model: Model) -> DataFrame:
     """``doc_id, n_tokens, p_clean, p_low, p_toxic`` of every whole text."""
     literal = lambda x: "array(" + ",".join(f"{v}L" for v in x) + ")"
-    place = f"int(pmod(h, {BUCKETS})) + 1"
+    place = f"int((shiftright(h, {model.shift}) & {BUCKETS - 1}L) ^ element_at({literal(model.displaced)}, int(shiftrightunsigned(h, {64 - (PLACED - 1).bit_length()})) + 1)) + 1"
     total = lambda table: F.expr(f"aggregate(hashes, 0L, (a, h) -> a + if(element_at({literal(model.keys)}, {place}) = h, element_at({literal(table)}, {place}), 0L))")
     # Both sums in one pass over the words: the upper and the lower half of a long.
     both = total([a * (1 << 32) + b for a, b in zip(model.low, model.toxic, strict=True)])
@@ -118,9 +148,17 @@ def largest_eigenvalue(h: list[list[float]]) -> float:
     return norm
 
 
-def mixed_rates(spark: SparkSession, documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most_steps: int = 40, close: float = 1e-4) -> DataFrame:
+def mixed_rates(spark: SparkSession, documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most_steps: int = 200, close: float = 1e-4, shares: dict[str, float] | None = None, total: float = 1.0) -> DataFrame:
     """``doc_id, n_tokens, p_clean, p_low, p_toxic, rate`` for each row of ``documents``.
 
+    ``targets``: expected tokens of each domain as multiples of what is there
+    now. ``shares`` in its place: each domain's share of the expected output,
+    of ``total`` times the tokens that are there now. Steps end when every gap
+    is below ``close`` of its domain's tokens, or when the gaps do not change
+    any more, as no rates meet the targets: that is the least squares' answer,
+    and a warning tells its gaps. Without either within ``most_steps`` an error
+    is raised.
+
     Null and empty texts have no tokens, the prior as posterior, and a rate like
     any other. Repeated rows each count. Duplicate labels of a document: the
     worst holds. Empty tables give no rows.
@@ -132,18 +170,26 @@ def mixed_rates(spark: SparkSession, documents: DataFrame, labels: DataFrame, ta
     if not sums["n"]:
         return table.withColumn("rate", F.lit(1.0))
     share = [sums[a] / sums["n"] for a in p]
-    goal = [targets[d] * s for d, s in zip(DOMAINS, share, strict=True)]
+    goal = [shares[d] / sum(shares.values()) * total if shares else targets[d] * s for d, s in zip(DOMAINS, share, strict=True)]
     weight = [1 / max(s, 1e-9) for s in share]
     # In the metric of tokens the least squares have this 3 x 3 matrix; the step is one over its largest eigenvalue.
     h = [[sums[f"h{i}{j}"] / sums["n"] * math.sqrt(weight[i] * weight[j]) for j in range(3)] for i in range(3)]
     step, steps, now = 1 / largest_eigenvalue(h), [], share
+    last = None
     for _ in range(most_steps):
         gap = [a - b for a, b in zip(now, goal, strict=True)]
-        if max(abs(g) * w for g, w in zip(gap, weight, strict=True)) < close:
+        relative = [abs(g) * w for g, w in zip(gap, weight, strict=True)]
+        if max(relative) < close:
+            break
+        if last is not None and max(abs(a - b) for a, b in zip(relative, last, strict=True)) < close * STILL:
+            warnings.warn(f"no rates meet the targets; gaps remain: {dict(zip(DOMAINS, gap, strict=True))}", stacklevel=2)
             break
+        last = relative
         steps.append(tuple(step * w * g for w, g in zip(weight, gap, strict=True)))
         got = table.withColumn("r", rate_of(steps)).agg(*(F.sum(F.col("r") * F.col("n_tokens") * F.col(a)) for a in p)).first()
         now = [x / sums["n"] for x in got]
+    else:
+        raise RuntimeError(f"the rates did not settle in {most_steps} steps")
     return table.withColumn("rate", rate_of(steps))
 
 
