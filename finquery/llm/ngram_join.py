@@ -4,23 +4,25 @@ A document's set is its distinct word shingles. Hashing shingles into
 ``GROUPS`` groups makes each set a point of group counts; the summed minima of
 two points bound the sets' overlap from above, and the summed minima of a point
 and a box bound the overlap with every set in the box. R-tree nodes are boxes
-packed by size and leading counts; a search goes down only where the bound
-reaches the overlap that the threshold asks for, and survivors are verified on
-the sets themselves.
+packed by size; a search goes down only where the bound reaches the overlap
+that the threshold asks for, and survivors are verified on the sets themselves.
 
 Which sets stand in one tree is found first, without loss. Two sets that link
 differ in at most k shingles, k following from their sizes; if both are split
 by hash into k + e parts, e parts at least are equal in both. A set sends one
 signature for each part (for its size band, and near a band's end for the
-next), but for fewer than e parts of few shingles. Members of equal signatures
-are joined where sizes allow, and the connected blocks of these joins hold
-every linked pair.
-
-Blocks are cut into leaves of bounded size, ordered by set size. Each leaf is
-searched on its own; then neighbouring leaves; then the pairs of leaves whose
-boxes allow a link and that still hold more than one component. Sets that a
-chain of verified links already joins are not compared again, so a group of
-near copies costs a few comparisons for each member, not for each pair.
+next), but for fewer than e parts of few shingles. Sets with a signature in
+common are joined, and the connected blocks of these joins hold every linked
+pair. Signatures travel in sorted runs of many documents, coded by differences,
+each class of equal sets once a run.
+
+A block is an R-tree: leaves of bounded size, numbered by set size, inner nodes
+of ``FAN`` children above them. Each leaf is searched on its own; then
+neighbouring leaves; then every set that is not in its block's largest
+component yet goes down the tree, from the root to the leaves whose boxes allow
+a link, and is compared there. Sets that a chain of verified links already
+joins are not compared again, so a group of near copies costs a few comparisons
+for each member, not for each pair.
 """
 
 from __future__ import annotations
@@ -35,12 +37,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from finquery.llm.fingerprint_index import packed, unpacked
 from finquery.llm.scratch import Scratch, with_columns_of
 from finquery.llm.words import U64, Words, mixed, slices
 
-GROUPS, NODE = 32, 16
+GROUPS, NODE, FAN = 32, 16, 32
 LEAF_SHINGLES, LEAF_SETS = 400_000, 512
 BAND, THIN = 1.3, 3
+#: Signatures of one run, and in one bucket of the join, about.
+RUN, BUCKET = 1 << 20, 1 << 20
 ODD = 0x9E3779B97F4A7C15
 
 
@@ -103,43 +108,71 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def signed(documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """``doc_id, n, a, b, signatures``: set size, digest, and the signatures as binary."""
+def digested(documents: DataFrame, width: int) -> DataFrame:
+    """``doc_id, n, a, b``: set size and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 sets = shingle_sets(batch.column("text"), width)
                 marks = [digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([signatures(s, percent).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "a", "b", "signatures"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], ["doc_id", "n", "a", "b"])
 
-    return with_columns_of(documents, doc_id="long", text="string").mapInArrow(run, "doc_id long, n long, a long, b long, signatures binary")
+    return with_columns_of(documents, doc_id="long", text="string").mapInArrow(run, "doc_id long, n long, a long, b long")
 
 
-def signature_links(classes: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """``u, v``: links among classes (``cls, n, signatures``) whose components hold every linked pair."""
+def signature_links(documents: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
+    """``u, v``: links among documents whose components hold every linked pair of sets, by their smallest documents."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column("signatures").to_pylist()
-            counts = [len(x) // 8 for x in raw]
-            sig = np.frombuffer(b"".join(raw), U64)
-            cls, n = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("cls", "n"))
+        """Sorted runs of signatures, cut at the bucket bounds. Of equal sets in a run the smallest document stands for all."""
+        classes: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            sig = np.concatenate([x for _, x in classes.values()])
+            doc = np.repeat(np.array([i for i, _ in classes.values()], "<i8"), [len(x) for _, x in classes.values()])
+            order = np.argsort(sig, kind="stable")
+            sig, doc = sig[order], doc[order]
             bucket = ((sig >> U64(32)) * U64(buckets)) >> U64(32)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order], prepend=U64(2**63), append=U64(2**63)))
-            rows = [(int(bucket[order[a]]), *(x[order[a:b]].tobytes() for x in (sig, cls, n))) for a, b in zip(cuts, cuts[1:], strict=False)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(zip(*rows, strict=True))], ["bucket", "sig", "cls", "n"])
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(sig)]])
+            rows = []
+            for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                low = int(doc[a:b].min())
+                rows.append((int(bucket[a]), b - a, low, packed(np.diff(sig[a:b], prepend=U64(0))) + packed((doc[a:b] - low).astype(U64))))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 3 else pa.int64()) for k, x in enumerate(zip(*rows, strict=True))], ["bucket", "n", "low", "run"])
+
+        for whole in batches:
+            for batch in slices(whole):
+                for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), width), strict=True):
+                    if i is None or not len(s):
+                        continue
+                    known = classes.get(mark := digest(s))
+                    if known is None:
+                        classes[mark] = i, signatures(s, percent)
+                        size += len(classes[mark][1])
+                    elif i < known[0]:
+                        classes[mark] = i, known[1]
+                if size >= RUN:
+                    yield out()
+                    classes.clear()
+                    size = 0
+        if classes:
+            yield out()
 
     def link(cells: pd.DataFrame) -> pd.DataFrame:
-        sig, cls, n = (np.frombuffer(b"".join(cells[c]), kind) for c, kind in (("sig", U64), ("cls", "<i8"), ("n", "<i8")))
-        order = np.lexsort((cls, n, sig))
-        sig, cls, n = sig[order], cls[order], n[order]
-        new = np.ones(len(sig), dtype=bool)  # a run: one signature, sizes without a gap that no link can cross
-        new[1:] = (sig[1:] != sig[:-1]) | (100 * n[:-1] < percent * n[1:])
-        head = cls[np.flatnonzero(new)][np.cumsum(new) - 1]
-        nodes, at = np.unique(np.stack([head, cls])[:, head != cls], return_inverse=True)
+        sig, doc = [], []
+        for n, low, raw in zip(cells["n"], cells["low"], cells["run"], strict=True):
+            keys, at = unpacked(raw, 0, n)
+            sig.append(np.cumsum(keys, dtype=U64))
+            doc.append(unpacked(raw, at, n)[0].astype(np.int64) + low)
+        sig, doc = np.concatenate(sig), np.concatenate(doc)
+        order = np.lexsort((doc, sig))
+        sig, doc = sig[order], doc[order]
+        new = np.ones(len(sig), dtype=bool)
+        new[1:] = sig[1:] != sig[:-1]
+        head = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        nodes, at = np.unique(np.stack([head, doc])[:, head != doc], return_inverse=True)
         known = Forest(len(nodes))
         for x, y in np.unique(at.reshape(2, -1), axis=1).T.tolist():
             known.join(x, y)
@@ -147,23 +180,30 @@ def signature_links(classes: DataFrame, percent: int, buckets: int) -> DataFrame
         inner = roots != np.arange(len(nodes))
         return pd.DataFrame({"u": nodes[inner], "v": nodes[roots[inner]]}).astype("int64")
 
-    return classes.select("cls", "n", "signatures").mapInArrow(deal, "bucket long, sig binary, cls binary, n binary").groupBy("bucket").applyInPandas(link, "u long, v long").distinct()
+    texts = with_columns_of(documents, doc_id="long", text="string")
+    return texts.mapInArrow(deal, "bucket long, n long, low long, run binary").groupBy("bucket").applyInPandas(link, "u long, v long").distinct()
 
 
 def components(work: Scratch, name: str, links: DataFrame) -> DataFrame:
     """``node, comp``: for each node of ``links`` (``u, v``) its component's smallest node.
 
     Alternates large-star and small-star steps until nothing changes. A step
-    makes no more rows than it reads and shuffles them twice; its result is a
-    table in the shared folder, so the number of stages stays small.
+    makes no more rows than it reads; its result is a table in the shared
+    folder, so the number of stages stays small. Minima are summed up before
+    they are shuffled and joined to the links, which Spark splits where many
+    links share a node.
     """
     edges = work.table(f"{name}-0", links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     last = None
     for k in range(1, 60):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u"))).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = work.table(f"{name}-{k}", small)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # A link from v to the smaller u becomes one from v to u's least neighbour.
+        large = work.table(f"{name}-large-{k}", edges.select(F.col("u").alias("w"), F.col("v").alias("u")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")))
+        nearest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(nearest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = work.table(f"{name}-{k}", small.distinct())
+        work.remove(f"{name}-large-{k}")
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         work.remove(f"{name}-{k - 1}")
         if mark == last:
@@ -262,6 +302,27 @@ def by_key(keys: tuple[str, ...], work: Callable[[pd.DataFrame], list[tuple[int,
     return run
 
 
+def descended(work: Scratch, state: DataFrame, opened: DataFrame, percent: int) -> DataFrame:
+    """``x_rep, block, leaf``: the leaves, but its own and the next, that each set of ``opened`` reaches from its block's root.
+
+    Boxes are the largest group counts and the range of sizes below a node. A
+    set goes from a node to a child where sizes allow a link and the summed
+    minima of its point and the child's box reach the overlap that a link asks for.
+    """
+    size = (F.length("s") / 8).cast("long")
+    boxes = [work.table("boxes-0", state.groupBy("block", F.col("leaf").alias("node")).agg(F.min(size).alias("least"), F.max(size).alias("most"), F.array(*(F.max(F.col("p")[k]) for k in range(GROUPS))).alias("high")))]
+    while not boxes[-1].where("node > 0").isEmpty():
+        boxes.append(work.table(f"boxes-{len(boxes)}", boxes[-1].groupBy("block", F.floor(F.col("node") / FAN).alias("node")).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.array(*(F.max(F.col("high")[k]) for k in range(GROUPS))).alias("high"))))
+    here = opened.select(F.col("rep").alias("x_rep"), F.col("leaf").alias("own"), "block", "p", size.alias("n"), F.lit(0).cast("long").alias("parent"))
+    for k, level in enumerate(reversed(boxes)):
+        low = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100))
+        overlap = F.expr("aggregate(zip_with(p, high, (a, b) -> least(a, b)), 0, (a, x) -> a + x)")
+        fits = (F.col("most") * 100 >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n")) & ((100 + percent) * overlap >= percent * (F.col("n") + low))
+        children = level.withColumn("parent", F.floor(F.col("node") / FAN))
+        here = work.table(f"down-{k}", here.join(children, ["block", "parent"]).where(fits).select("x_rep", "own", "block", "p", "n", F.col("node").alias("parent")))
+    return here.where("abs(parent - own) > 1").select("x_rep", "block", F.col("parent").alias("leaf"))
+
+
 def jaccard_components(spark: SparkSession, documents: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``documents``.
 
@@ -274,39 +335,42 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, width: int = 3
     """
     work = Scratch(spark, "jaccard")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = work.table("docs", signed(documents, width, percent))
-    # Equal sets are one class, named by its smallest doc_id; 64 bits of the digest name it while candidates are sought.
+    docs = work.table("docs", digested(documents, width))
+    # Equal sets are one class, named by its smallest doc_id.
     sets_here = docs.where("n > 0 and doc_id is not null")
-    classes = sets_here.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    buckets = max(parts, -(-(docs.agg(F.sum(F.length("signatures"))).first()[0] or 0) // (8 << 20)))
-    blocks = components(work, "blocks", signature_links(sets_here.select(F.col("a").alias("cls"), "n", "signatures"), percent, buckets))
-    in_block = work.table("in_block", classes.join(blocks, F.col("a") == F.col("node")).select("a", "b", "rep", "n", F.col("comp").alias("block")))
-
-    # Leaves: consecutive sets of a block by size.
-    order = Window.partitionBy("block").orderBy("n", "rep", "a", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    leaf = F.floor(F.greatest(F.sum("n").over(order) / F.lit(LEAF_SHINGLES), F.count("*").over(order) / F.lit(LEAF_SETS))).cast("long")
-    leaves = work.table("leaves", in_block.withColumn("leaf", leaf))
+    classes = work.table("classes", sets_here.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
+    # A set of n shingles has about n signatures at most.
+    buckets = max(parts, -(-(classes.agg(F.sum("n")).first()[0] or 0) // BUCKET))
+    blocks = components(work, "blocks", signature_links(documents, width, percent, buckets))
+    in_block = work.table("in_block", classes.join(blocks, F.col("rep") == F.col("node")).select("a", "b", "rep", "n", F.col("comp").alias("block")))
+
+    # Leaves: a block's sets by size, so many to a leaf; where sets of one size fill several leaves, a hash deals them.
+    sized = in_block.groupBy("block", "n").agg(F.count("*").alias("sets")).withColumn("fill", F.greatest(F.col("sets") * F.col("n") / LEAF_SHINGLES, F.col("sets") / LEAF_SETS))
+    # One row a size, so that no block is large here.
+    sized = work.table("sized", sized.withColumn("before", F.sum("fill").over(Window.partitionBy("block").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("fill")).select(F.col("block").alias("b_block"), F.col("n").alias("b_n"), "before", "fill"))
+    chance = F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) / F.lit(1 << 20)
+    leaves = work.table("leaves", in_block.join(sized, (F.col("block") == F.col("b_block")) & (F.col("n") == F.col("b_n"))).withColumn("leaf", F.floor(F.col("before") + chance * F.col("fill") + F.lit(1e-9)).cast("long")).select(*in_block.columns, "leaf"))
 
     def sets_of(rows: DataFrame) -> DataFrame:
-        """``rep, block, leaf, s``: the rows with their sets, taken from the texts of the documents that name them."""
+        """``rep, block, leaf, s, p``: the rows with their sets and points, taken from the texts of the documents that name them."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in slices(whole):
                     sets = shingle_sets(batch.column("text"), width)
                     same = pa.array([digest(s) == (a, b) for s, a, b in zip(sets, batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)], pa.bool_())
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "block", "leaf")), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "block", "leaf", "s"]).filter(same)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "block", "leaf")), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([counts_of(s).tolist() for s in sets], pa.list_(pa.int32()))], ["rep", "block", "leaf", "s", "p"]).filter(same)
 
         texts = with_columns_of(documents, doc_id="long", text="string")
         # Merged at every size: what is broadcast must not follow the corpus.
         found = texts.join(rows.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "block", "leaf", "a", "b", "text")
-        return found.mapInArrow(run, "rep long, block long, leaf long, s binary")
+        return found.mapInArrow(run, "rep long, block long, leaf long, s binary, p array<int>")
 
     sets = work.table("sets", sets_of(leaves))
 
     def search(part: pd.DataFrame) -> list[tuple[int, int]]:
         """Links inside one leaf, or between two (``pair``)."""
-        part = part.drop_duplicates()
+        part = part.drop_duplicates(["rep", "side"] if "side" in part else "rep", ignore_index=True)
         loaded = [np.frombuffer(x, U64) for x in part["s"]]
         names = part["rep"].to_numpy()
         groups = part["comp"].to_numpy() if "comp" in part else np.arange(len(part))
@@ -319,29 +383,43 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, width: int = 3
         ranked = names[by_name]
         return [(int(ranked[k]), int(ranked[known.root(k)])) for k in sorted({int(place[x]) for pair in found for x in pair})]
 
-    inside = sets.repartition(parts, "block", "leaf").sortWithinPartitions("block", "leaf").mapInPandas(by_key(("block", "leaf"), search), "u long, v long")
+    inside = sets.drop("p").repartition(parts, "block", "leaf").sortWithinPartitions("block", "leaf").mapInPandas(by_key(("block", "leaf"), search), "u long, v long")
     links = work.table("links-inside", inside)
 
     # A block of one leaf is done: its links are stars around components' smallest documents. The rest goes on by leaves.
     sizes = work.table("large", leaves.groupBy("block").agg(F.max("leaf").alias("last")).where("last > 0"))
     reached = links.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     if not sizes.isEmpty():
-        large = work.table("large-leaves", leaves.join(sizes, "block", "left_semi"))
-        spans = large.groupBy("block", "leaf").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        within = large.select(F.col("rep").alias("u")).distinct()
+        large = work.table("large-sets", sets.join(sizes, "block", "left_semi").dropDuplicates(["rep"]))
+        within = large.select(F.col("rep").alias("u"))
         settled, links = links.join(within, "u", "left_anti"), links.join(within, "u", "left_semi")
-        for k, which in enumerate((F.col("right") == F.col("left") + 1, F.col("right") > F.col("left") + 1)):
-            comp = components(work, f"so-far-{k}", links)
-            state = large.join(comp, F.col("rep") == F.col("node"), "left").select("rep", "block", "leaf", F.coalesce("comp", "rep").alias("comp"))
-            open_blocks = state.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("block")
-            left, right = (spans.select("block", F.col("leaf").alias(name), F.col("least").alias(f"{name}_least"), F.col("most").alias(f"{name}_most")) for name in ("left", "right"))
-            pairs = work.table(f"pairs-{k}", left.join(right, "block").where(which & (100 * F.col("left_most") >= percent * F.col("right_least"))).join(open_blocks, "block", "left_semi").select("block", "left", "right"))
-            if pairs.isEmpty():
-                continue
-            full = sets.join(state.select("rep", "comp").distinct(), "rep")
-            sided = [full.join(pairs, (full["block"] == pairs["block"]) & (full["leaf"] == pairs[name])).select("rep", full["block"], "left", "right", "s", "comp", F.lit(i).alias("side")) for i, name in enumerate(("left", "right"))]
-            between = sided[0].unionByName(sided[1]).repartition(parts, "block", "left", "right").sortWithinPartitions("block", "left", "right").mapInPandas(by_key(("block", "left", "right"), search), "u long, v long")
-            links = work.table(f"links-{k}", links.unionByName(between))
+
+        def compared(name: str, pairs: DataFrame, left: DataFrame, links: DataFrame) -> DataFrame:
+            """``links`` and those between the sets of ``left`` (side 0) and of the leaves that ``pairs`` (``x_rep, block, leaf``) sends them to."""
+            most = work.table(f"{name}-most", pairs.groupBy("block", "leaf").agg(F.ceil(F.count("*") / LEAF_SETS).alias("shares")))
+            comes = pairs.join(left.select(F.col("rep").alias("x_rep"), "s", "comp"), "x_rep").join(most, ["block", "leaf"]).select("block", "leaf", F.pmod(F.xxhash64("x_rep"), F.col("shares")).alias("share"), F.col("x_rep").alias("rep"), "s", "comp", F.lit(0).alias("side"))
+            stays = state.join(most, ["block", "leaf"]).select("block", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), "rep", "s", "comp", F.lit(1).alias("side"))
+            keys = ("block", "leaf", "share")
+            found = comes.unionByName(stays).repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(by_key(keys, search), "u long, v long")
+            return work.table(f"{name}-links", links.unionByName(found))
+
+        def so_far(name: str, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+            """The sets of large blocks with their components; and those outside of their block's largest component."""
+            comp = components(work, name, links)
+            state = work.table(f"{name}-state", large.join(comp, F.col("rep") == F.col("node"), "left").select("rep", "block", "leaf", "s", "p", F.coalesce("comp", "rep").alias("comp")))
+            main = state.groupBy("block", "comp").agg(F.count("*").alias("sets")).groupBy("block").agg(F.max_by("comp", F.struct("sets", "comp")).alias("main"))
+            return state, work.table(f"{name}-open", state.join(work.table(f"{name}-main", main), "block").where("comp <> main").drop("main"))
+
+        # Neighbouring leaves: every set to the next leaf.
+        state, opened = so_far("leaves-done", links)
+        if not opened.isEmpty():
+            last = opened.select("block").distinct()
+            beside = state.join(last, "block", "left_semi").join(sizes, "block").where("leaf < last").select(F.col("rep").alias("x_rep"), "block", (F.col("leaf") + 1).alias("leaf"))
+            links = compared("beside", beside, state, links)
+            state, opened = so_far("beside-done", links)
+        if not opened.isEmpty():
+            pairs = descended(work, state, opened, percent)
+            links = compared("tree", pairs, opened, links)
         reached = settled.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(components(work, "reached", links))
 
     of_class = classes.join(reached, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("comp", "rep").alias("component_id"))
