@@ -1,9 +1,13 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import frame
 
+from pyspark.sql import functions as F
+
 from finquery.llm import license_rules as LR
 from finquery.llm import separator_scan as SS
 from finquery.llm import token_output as TO
@@ -12,14 +16,15 @@ from finquery.llm.queries import oracle_sql, queries, tokenizer_path
 from finquery.llm.template_decontam import decontaminated, leaks
 from oracle import same
 
-TEXTS = [(1, None), (2, ""), (3, "Hello, World! it's 12 o'clock"), (4, "É́cole ﬁn İstanbul ΣΑΣ ŉ x y   z"), (5, "w " * 20000), (7, "a" * 5000), (9, "<|endoftext|> quoted \"\" ' 's"), (8, "same"), (8, "same"), (11, "😀 漢字 ée.,; word.,;:!? A.b")]
+TEXTS = [(1, None), (2, ""), (3, "Hello, World! it's 12 o'clock"), (4, "É́cole ﬁn İstanbul ΣΑΣ ŉ x y   z"), (5, "w " * 20000), (7, "a" * 5000), (9, "<|endoftext|> quoted \"\" ' 's"), (8, "same"), (8, "same"), (11, "😀 漢字 ée.,; word.,;:!? A.b"), (12, "a <|endoftext|> b"), (13, "x<|startoftext|><|endoftext|>"), (14, "<| <|ENDOFTEXT|> <|endof text|>")]
 
 
-def ids_of(text):
+def ids_of(text, ordinary=False):
+    """``ordinary``: strings of special tokens are text, as in the flat files of op3."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
+    t.encode_special_tokens = ordinary
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -33,8 +38,32 @@ def test_token_files_come_back(spark):
     assert TO.token_output(spark, frame(spark, []), tokenizer_path()).count() == 0
 
 
+def test_special_tokens_among_other_text():
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "Hello", "it's", " ", "\n", "É", "12", "...", "é", "≮|endoftext|>", "<"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(1000)]
+    ids, ends = TO.Encoder(tokenizer_path()).ids(pa.array(texts))
+    for t, a, b in zip(texts, ends, ends[1:], strict=False):
+        assert ids[a:b].tolist() == ids_of(t), t
+
+
+def test_files_stand_in_the_order_of_their_numbers(spark):
+    names = [f"file:///x/part-{n:05d}-0c1d-part-7.txt" for n in (7, 99_998, 99_999, 100_000, 100_001, 1_000_000)]
+    rows = spark.createDataFrame([(name, 10 + k) for k, name in enumerate(names) for _ in range(2)], "path string, n_tokens long").withColumn("file", TO.file_number(F.col("path")))
+    assert [tuple(r) for r in TO.starts_of(rows).orderBy("file").collect()] == [(7, 0), (99_998, 20), (99_999, 42), (100_000, 66), (100_001, 92), (1_000_000, 120)]
+
+
+def test_ties_and_missing_ids(spark):
+    rows = [(None, "no id"), (4, "a b c"), (4, "d e f"), (4, "g"), (-3, "first")]
+    got = sorted(TO.token_output(spark, frame(spark, rows), tokenizer_path()).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, -3, 4, 4, 4]
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:k]) for k in range(len(got))]
+    assert {r["ids_crc32"] for r in got} == {zlib.crc32(np.array([*ids_of(t), 1], "<u4").tobytes()) for _, t in rows}
+
+
 def test_files_in_many_blocks(spark, monkeypatch, sf_dir):
     monkeypatch.setattr(TO, "FILE_IDS", 20_000)
+    monkeypatch.setattr(TO, "LEAST_IDS", 10_000)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = TO.token_output(spark, docs, tokenizer_path()).orderBy("doc_id").collect()
     assert len({r["file"] for r in got}) > 3
@@ -57,7 +86,7 @@ def test_control_coding(values):
 def test_separator_scan_over_blocks(spark, block):
     rows = [x for x in TEXTS if x[0] != 5] + [(None, "no id"), (-5, "negative id")]
     got = SS.token_counts(spark, frame(spark, rows), tokenizer_path(), 49407, block).collect()
-    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == sorted((i or 0, len(ids_of(t))) for i, t in rows)
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == sorted((i or 0, len(ids_of(t, True))) for i, t in rows)
     assert all(r["ended"] for r in got)
 
 

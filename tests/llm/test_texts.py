@@ -171,6 +171,18 @@ def test_added_spans_and_scores(spark):
     assert personal_data(frame(spark, [])).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"ab{k}@c.de 1.2.3.{k % 300}" for k in range(40_000))
+    r = personal_data_digest(frame(spark, [(1, text)])).collect()[0]
+    assert r["base_sha256"] == personal(text)[1] and r["n_email"] == 40_000
+
+
+def test_context_on_both_sides(spark):
+    texts = ["555 123 4567 (mobile)", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff is the api_key", "call 555 123 4567, 555-123-4568, 555-123-4569 and then, far from any word, 555-123-4570", "555 123 4567 " + "x" * 40 + " phone"]
+    got = {r["doc_id"]: [(s["kind"], s["s"]) for s in r["spans"]] for r in personal_data(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: [("local_phone", 0)], 1: [("secret", 0)], 2: [("local_phone", 5), ("local_phone", 19), ("local_phone", 33)], 3: []}
+
+
 URLS = [None, "", "no scheme", "http://", "https://EXAMPLE.com/en/7?x", "http://a.example.com/en/8", "http://com/en/", "http://xcom/en/1", "http://b.example.net/de/81", "http://example.net/de/9#t", "ftp://x.org/es/1/2", "http://org?/es/", "http://www.example.com://x/en/7", "http://example.com/en/7" + "y" * 500, "a\nb://net/de/\n1", "http://.com/en/1", "http://com./en/1"]
 
 
