@@ -10,16 +10,24 @@ chunk. Each chunk is sorted into an immutable run: distinct fingerprints in
 order with the smallest doc_id that holds each, cut into buckets of the key
 range and stored as byte planes of differences. Per bucket the chunks' runs
 are merged with the runs of the history into one sorted run of smallest
-doc_ids (this is the compaction), each chunk's run is joined against the merged
+doc_ids, each chunk's run is joined against the merged
 run, and one bit per fingerprint goes back: "a smaller doc_id outside this
 chunk has it". A fingerprint occurs at most once in a run, so a passage in a
 third of all documents costs one entry a chunk, like any other.
 
 The chunks then apply their bits and remove covered words.
+
+An index is a folder of generations and a manifest of its settings and of the
+generations that count. A batch writes its generation under a name of its own
+and then a new manifest, by one rename; a job that fails before that leaves the
+index as it was. Old generations go only after the manifest that no longer names
+them is there. Compaction merges all runs into one.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +45,10 @@ CHUNK_BYTES = 6 << 20
 #: Fingerprints in one bucket, about: what one reducing task holds at a time.
 BUCKET_WINDOWS = 1 << 20
 NULL_ID = -(1 << 63)
+#: The part of a whole table, by doc_id, that is taken in first, as the history of the rest.
+HISTORY = 1 / 16
+#: Characters of a word with its space, about: what a table's words are guessed from when an index begins.
+WORD_BYTES = 6
 CHUNK = "chunk long, n_words long, doc_ids binary, sizes binary, texts binary"
 CELL = "bucket long, chunk long, n long, low long, run binary"
 
@@ -150,27 +162,68 @@ class Chunk:
 class FingerprintIndex:
     """Runs of historical fingerprints in a folder, one subfolder a generation; ``ingest`` matches and adds a batch.
 
-    ``path``: the index's folder in the shared store, or None for an index that
-    lasts for one batch. ``buckets``: key ranges, fixed when an index begins;
-    None takes them from the first batch's size. ``fanout``: how many
-    generations are kept before all are compacted into one.
+    ``path``: the index's folder in the shared store; one that is there already
+    is opened with its own width and number of key ranges, and an error is
+    raised if another width is asked for. None: an index without a history,
+    for one batch. ``buckets``: key ranges, fixed when an index begins; None
+    takes them from the first batch's size. ``fanout``: how many generations
+    are kept before all are compacted into one. One writer at a time: of two
+    that began from the same manifest the second fails.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, width: int = 13, buckets: int | None = None, fanout: int = 4):
         self.spark, self.path, self.width, self.buckets, self.fanout = spark, path, width, buckets, fanout
         self.generations: list[str] = []
+        self.version = 0
+        if path is not None:
+            self._open()
+
+    def _fs(self, name: str):  # noqa: ANN202
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def _open(self) -> None:
+        fs, where = self._fs(self.path)
+        found = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+        versions = [int(n.split("-")[1].split(".")[0]) for n in found if n.startswith("manifest-") and n.endswith(".json")]
+        if not versions:
+            return
+        self.version = max(versions)
+        told = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/manifest-{self.version}.json", wholetext=True).collect()))  # one small file
+        if told["width"] != self.width:
+            raise ValueError(f"the index is of windows of {told['width']} words")
+        self.buckets, self.generations = told["buckets"], [f"{self.path}/{g}" for g in told["generations"]]
+
+    def _commit(self, generations: list[str]) -> None:
+        """Name the generations that count from now on, in a manifest that appears as a whole."""
+        told = json.dumps({"width": self.width, "buckets": self.buckets, "generations": [g.rsplit("/", 1)[1] for g in generations]})
+        fs, draft = self._fs(f"{self.path}/draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(bytearray(told.encode()))
+        out.close()
+        _, final = self._fs(f"{self.path}/manifest-{self.version + 1}.json")
+        if fs.exists(final) or not fs.rename(draft, final):
+            fs.delete(draft, False)
+            raise RuntimeError("another batch was taken in meanwhile")
+        old, self.generations, self.version = self.generations, generations, self.version + 1
+        for name in [*(g for g in old if g not in generations), f"{self.path}/manifest-{self.version - 1}.json"]:
+            fs.delete(self._fs(name)[1], True)
 
     def history(self) -> DataFrame:
         return self.spark.read.schema(CELL).parquet(*self.generations) if self.generations else self.spark.createDataFrame([], CELL)
 
-    def ingest(self, documents: DataFrame) -> DataFrame:
-        """``doc_id, n_words, n_removed, kept_text`` of each row of ``documents``.
+    def ingest(self, documents: DataFrame, add: bool = True) -> DataFrame:
+        """``doc_id, n_words, n_removed, kept_text`` of each row of ``documents``; ``add``: whether they join the history.
 
         A word is removed if a window over it also starts in a document with a
         smaller doc_id, in this batch or before. Null texts have no words; rows
         with equal doc_ids take nothing from each other; a null doc_id counts
         as smaller than all. Texts of fewer than ``width`` words stay whole.
         """
+        if self.version:
+            fs, manifest = self._fs(f"{self.path}/manifest-{self.version}.json")
+            if not fs.exists(manifest):
+                raise RuntimeError("another batch was taken in meanwhile")
         work, width, spark = Scratch(self.spark, "windows"), self.width, self.spark
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         name = "finquery_" + work.root.rsplit("-", 1)[1]
@@ -191,10 +244,11 @@ class FingerprintIndex:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 4 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))], ["bucket", "chunk", "n", "low", "run"])
 
         runs = chunks.mapInArrow(sort, CELL)
-        keep = self.path is not None
+        keep = add and self.path is not None
+        fold = len(self.generations) + 1 >= self.fanout
 
         def compact(cells: pd.DataFrame) -> pd.DataFrame:
-            """One bucket: the merged run (chunk -1, if kept), and the bits of each chunk."""
+            """One bucket: the new run (chunk -1, if kept), and the bits of each chunk."""
             each = [unpack_run(*x) for x in zip(cells["n"], cells["low"], cells["run"], strict=True)]
             ends = np.concatenate([[0], np.cumsum(cells["n"].to_numpy())])
             docs = np.concatenate([x[2] for x in each])
@@ -202,14 +256,19 @@ class FingerprintIndex:
             flags = least[place] < docs
             bucket = int(cells["bucket"].iloc[0])
             out = [(bucket, c, b - a, 0, np.packbits(flags[a:b]).tobytes()) for c, a, b in zip(cells["chunk"], ends, ends[1:], strict=False) if c >= 0]
-            if keep:
-                out.append((bucket, -1, len(keys), *pack_run(keys, checks, least)))
+            if keep:  # a new run holds what the batch brings; a compaction all
+                new = slice(None) if fold else np.unique(place[np.repeat(cells["chunk"].to_numpy() >= 0, cells["n"]) & ~flags])
+                if len(keys[new]):
+                    out.append((bucket, -1, len(keys[new]), *pack_run(keys[new], checks[new], least[new])))
             return pd.DataFrame(out, columns=["bucket", "chunk", "n", "low", "run"])
 
         found = runs.unionByName(self.history()).groupBy("bucket").applyInPandas(compact, CELL)
         if keep:
-            found = work.table("found", found)
-            self._add(found.where("chunk < 0"), runs)
+            work.table("found", found.withColumn("kept", F.col("chunk") < 0), "kept")
+            self._add(work.path("found/kept=true"), fold)
+            bits_at = work.path("found/kept=false")
+            fs, where = self._fs(bits_at)
+            found = spark.read.schema(CELL).parquet(bits_at) if fs.exists(where) else spark.createDataFrame([], CELL)
         bits = found.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "run")).alias("bits"))  # a bit for each window of a chunk
 
         def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,22 +281,29 @@ class FingerprintIndex:
 
         return chunks.join(bits, "chunk", "left").select("doc_ids", "sizes", "texts", "bits").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
 
-    def _add(self, merged_runs: DataFrame, runs: DataFrame) -> None:
-        """Store the batch as a generation of its own; when there are ``fanout`` of them, the merge of all takes their place."""
-        old = self.generations
-        n = len(old) + 1
-        where = f"{self.path}/generation-{(int(old[-1].rsplit('-', 1)[1]) + 1) if old else 0}"
-        if n >= self.fanout:
-            merged_runs.write.parquet(where)
-            self.generations = [where]
-            fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-            for x in old:
-                fs.Path(x).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(fs.Path(x), True)
-        else:
-            runs.withColumn("chunk", F.lit(-1).cast("long")).write.parquet(where)
-            self.generations = [*old, where]
-
-
-def remove_repeats(spark: SparkSession, documents: DataFrame, width: int = 13) -> DataFrame:
-    """The whole table as one batch with no history."""
-    return FingerprintIndex(spark, width=width).ingest(documents)
+    def _add(self, run: str, fold: bool) -> None:
+        """Move a written run into the index, as a generation beside the others or, if all were merged into it, in their place."""
+        name = f"{self.path}/generation-{uuid.uuid4().hex}"
+        fs, source = self._fs(run)
+        fs.mkdirs(self._fs(self.path)[1])
+        if not fs.exists(source):  # nothing new
+            fs.mkdirs(self._fs(name)[1])
+        elif not fs.rename(source, self._fs(name)[1]):
+            raise RuntimeError("the new generation could not be moved into the index")
+        self._commit([name] if fold else [*self.generations, name])
+
+
+def remove_repeats(spark: SparkSession, documents: DataFrame, width: int = 13, history: float = HISTORY) -> DataFrame:
+    """The whole table through an index of its own: the first documents by doc_id (``history`` of them, about) become the history that the rest is matched with.
+
+    What `FingerprintIndex.ingest` says of nulls, short texts and repeated rows
+    holds; an empty table gives no rows.
+    """
+    cut = documents.select(F.col("doc_id").cast("double").alias("doc_id")).approxQuantile("doc_id", [history], 0.01) if history else None
+    if not cut:
+        return FingerprintIndex(spark, width=width).ingest(documents)
+    index = FingerprintIndex(spark, f"{Scratch(spark, 'index').root}/runs", width)
+    before = F.coalesce(F.col("doc_id") <= cut[0], F.lit(True))
+    total = documents.where(~before).select(F.sum(F.length("text"))).first()[0] or 0
+    index.buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (BUCKET_WINDOWS * WORD_BYTES)))
+    return index.ingest(documents.where(before)).unionByName(index.ingest(documents.where(~before), add=False))

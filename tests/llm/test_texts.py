@@ -91,6 +91,45 @@ def test_batches_give_what_one_batch_gives(spark, tmp_path):
     assert len(index.generations) == 2  # three were compacted into one, and one came after
 
 
+def batches(spark, index, cuts):
+    for low, high in cuts:
+        yield from (tuple(r) for r in index().ingest(frame(spark, [x for x in TEXTS if low <= x[0] < high])).collect())
+
+
+def test_an_index_is_opened_again(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    got = list(batches(spark, lambda: FI.FingerprintIndex(spark, path, buckets=8, fanout=3), ((0, 12), (12, 20), (20, 42), (42, 99))))
+    assert sorted(got) == sorted(repeats(TEXTS))
+    index = FI.FingerprintIndex(spark, path)
+    assert (index.buckets, index.version, len(index.generations)) == (8, 4, 2)
+    assert len(list(tmp_path.glob("index/generation-*"))) == 2 and len(list(tmp_path.glob("index/manifest-*"))) == 1
+    with pytest.raises(ValueError, match="13 words"):
+        FI.FingerprintIndex(spark, path, width=5)
+
+
+def test_a_batch_that_fails_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/index"
+    opened = lambda: FI.FingerprintIndex(spark, path, buckets=8, fanout=2)
+    got = list(batches(spark, opened, ((0, 20),)))
+    before = opened().generations
+    with monkeypatch.context() as m, pytest.raises(OSError, match="lost"):
+        m.setattr(FI.FingerprintIndex, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        list(batches(spark, opened, ((20, 99),)))
+    assert opened().generations == before
+    late = opened()
+    got += list(batches(spark, opened, ((20, 99),)))
+    assert sorted(got) == sorted(repeats(TEXTS))
+    with pytest.raises(RuntimeError, match="meanwhile"):  # began from a manifest that is no longer the last
+        late.ingest(frame(spark, [(200, PASSAGE)]))
+
+
+def test_a_table_without_words_makes_an_empty_index(spark, tmp_path):
+    index = FI.FingerprintIndex(spark, f"file://{tmp_path}/index")
+    assert index.ingest(frame(spark, [])).count() == 0
+    assert [r["n_removed"] for r in index.ingest(frame(spark, [(1, None), (2, "a b")])).collect()] == [0, 0]
+    assert len(index.generations) == 2
+
+
 def test_run_coding():
     keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
     checks, docs = keys >> np.uint64(40), np.arange(1000) - 2**62
