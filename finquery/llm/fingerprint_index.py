@@ -128,15 +128,37 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
+def texts_of(row: dict) -> tuple[np.ndarray, pa.Array]:
+    """The doc_ids (``NULL_ID`` for none) and the texts of a chunk."""
+    raw = zstandard.ZstdDecompressor().decompress(row["texts"])
+    sizes = np.frombuffer(row["sizes"], "<i8")
+    kind, offset = (pa.string(), np.int32) if len(raw) < 1 << 31 else (pa.large_string(), np.int64)
+    return np.frombuffer(row["doc_ids"], "<i8"), pa.Array.from_buffers(kind, len(sizes), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(offset).tobytes()), pa.py_buffer(raw)])
+
+
+def cells_of(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """A sorted run cut at the bucket bounds; a bucket is a range of keys."""
+    bucket = ((keys >> U64(32)) * U64(buckets)) >> U64(32)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, int)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield int(bucket[a]), slice(int(a), int(b))
+
+
+def written_chunks(work: Scratch, documents: DataFrame, parts: int) -> DataFrame:
+    """The chunks as a table bucketed by chunk, so that what comes back for them meets them without moving the texts."""
+    name = "finquery_" + work.root.rsplit("-", 1)[1]
+    with small_batches(work.spark):
+        chunked(documents).write.bucketBy(parts, "chunk").option("compression", "none").option("path", work.path("chunks")).option("parquet.block.size", str(32 << 20)).saveAsTable(name)
+    work.catalogued.append(name)
+    return work.spark.table(name)
+
+
 class Chunk:
     """A chunk read back, with the fingerprints of its windows."""
 
     def __init__(self, row: dict, width: int):
-        raw = zstandard.ZstdDecompressor().decompress(row["texts"])
-        sizes = np.frombuffer(row["sizes"], "<i8")
-        self.doc_ids = np.frombuffer(row["doc_ids"], "<i8")
-        kind, offset = (pa.string(), np.int32) if len(raw) < 1 << 31 else (pa.large_string(), np.int64)
-        self.words = Words(pa.Array.from_buffers(kind, len(sizes), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(offset).tobytes()), pa.py_buffer(raw)]))
+        self.doc_ids, texts = texts_of(row)
+        self.words = Words(texts)
         self.n, self.width = len(self.words.ids), width
         self.starts, doc = window_starts(self.words.ends, width)
         keys = window_hashes(self.words.hashes(1), width, 0x9E3779B97F4A7C15)
@@ -144,13 +166,6 @@ class Chunk:
         self.docs = self.doc_ids[doc]
         self.keys, self.checks, self.least, self.place = merged(keys[self.starts], checks[self.starts], self.docs)
 
-    def cells(self, buckets: int) -> Iterator[tuple[int, slice]]:
-        """The run cut at the bucket bounds; a bucket is a range of keys."""
-        bucket = ((self.keys >> U64(32)) * U64(buckets)) >> U64(32)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, int)
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            yield int(bucket[a]), slice(int(a), int(b))
-
     def without(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Words, removed words and the kept words of each document; flags: fingerprints that a smaller doc_id outside has."""
         gone = self.starts[flags[self.place] | (self.docs > self.least[self.place])] if len(self.starts) else self.starts
@@ -226,18 +241,14 @@ class FingerprintIndex:
                 raise RuntimeError("another batch was taken in meanwhile")
         work, width, spark = Scratch(self.spark, "windows"), self.width, self.spark
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        name = "finquery_" + work.root.rsplit("-", 1)[1]
-        with small_batches(spark):
-            chunked(documents).write.bucketBy(parts, "chunk").option("compression", "none").option("path", work.path("chunks")).option("parquet.block.size", str(32 << 20)).saveAsTable(name)
-        work.catalogued.append(name)
-        chunks = spark.table(name)
+        chunks = written_chunks(work, documents, parts)
         self.buckets = self.buckets or max(4 * parts, -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WINDOWS))
         buckets = self.buckets
 
         def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in rows_of(batches):
                 chunk, out = Chunk(row, width), []
-                for bucket, at in chunk.cells(buckets):
+                for bucket, at in cells_of(chunk.keys, buckets):
                     low, run = pack_run(chunk.keys[at], chunk.checks[at], chunk.least[at])
                     out.append((bucket, row["chunk"], at.stop - at.start, low, run))
                 if out:

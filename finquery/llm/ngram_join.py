@@ -7,7 +7,13 @@ and a box bound the overlap with every set in the box. R-tree nodes are boxes
 packed by size; a search goes down only where the bound reaches the overlap
 that the threshold asks for, and survivors are verified on the sets themselves.
 
-Which sets stand in one tree is found first, without loss. Two sets that link
+Most sets link with none, which is found first, without loss: a set that links
+shares at least the threshold's part of its shingles with another, so a set
+goes on only if that many of its shingles occur in a different set at all. That
+is told by sorted runs of shingle hashes, merged by ranges of hashes, from which
+one bit for each shingle comes back.
+
+Which sets stand in one tree is found next, again without loss. Two sets that link
 differ in at most k shingles, k following from their sizes; if both are split
 by hash into k + e parts, e parts at least are equal in both. A set sends one
 signature for each part (for its size band, and near a band's end for the
@@ -37,9 +43,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from finquery.llm.fingerprint_index import packed, unpacked
-from finquery.llm.scratch import Scratch, with_columns_of
-from finquery.llm.words import U64, Words, mixed, slices
+from finquery.llm.fingerprint_index import BUCKET_WINDOWS, NULL_ID, cells_of, packed, rows_of, texts_of, unpacked, written_chunks
+from finquery.llm.scratch import Scratch
+from finquery.llm.words import U64, Words, mixed, release
 
 GROUPS, NODE, FAN = 32, 16, 32
 LEAF_SHINGLES, LEAF_SETS = 400_000, 512
@@ -79,9 +85,12 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def bands_of(n: int, percent: int) -> list[int]:
-    """The size bands for which a set of ``n`` sends signatures: its own, and the next if a partner can be there."""
+    """The size bands for which a set of ``n`` sends signatures: its own, and those after it in which a partner can be."""
     own = int(math.log(n, BAND) + 1e-9) if n > 1 else 0
-    return [own] + [b for b in (own + 1,) if n * 100 // percent >= BAND**b - 1e-6]
+    out = [own]
+    while n * 100 // percent >= BAND ** (out[-1] + 1) - 1e-6:
+        out.append(out[-1] + 1)
+    return out
 
 
 def parts_in(band: int, percent: int) -> tuple[int, int]:
@@ -108,21 +117,71 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def digested(documents: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, a, b``: set size and digest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                sets = shingle_sets(batch.column("text"), width)
-                marks = [digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], ["doc_id", "n", "a", "b"])
-
-    return with_columns_of(documents, doc_id="long", text="string").mapInArrow(run, "doc_id long, n long, a long, b long")
+def shared_sets(work: Scratch, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """``doc_id, n, a, b, s``: set size, digest, and for sets that can link the shingles.
 
-
-def signature_links(documents: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
-    """``u, v``: links among documents whose components hold every linked pair of sets, by their smallest documents."""
+    Of equal sets in a chunk the smallest document has ``s``; whether a set can
+    link is the same for all that equal it. A document without an id has no ``s``.
+    """
+    parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = written_chunks(work, documents, parts)
+    buckets = max(4 * parts, -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WINDOWS))
+
+    class Sets:
+        """A chunk's sets; ``firsts``: one document for each class; ``keys``: their shingles, ``several``: which are in more than one."""
+
+        def __init__(self, row: dict):
+            self.doc_ids, texts = texts_of(row)
+            self.sets = shingle_sets(texts, width)
+            self.marks = [digest(s) for s in self.sets]
+            seen: dict[tuple[int, int], int] = {}
+            for k, (i, mark) in enumerate(zip(self.doc_ids.tolist(), self.marks, strict=True)):  # by doc_id
+                if i != NULL_ID and len(self.sets[k]):
+                    seen.setdefault(mark, k)
+            self.firsts = list(seen.values())
+            flat = np.sort(np.concatenate([np.empty(0, U64), *(self.sets[k] for k in self.firsts)]))
+            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, np.int64)
+            self.keys, self.several = flat[first], np.diff(first, append=len(flat)) > 1
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            keys = Sets(row).keys
+            out = [(bucket, row["chunk"], at.stop - at.start, packed(np.diff(keys[at], prepend=U64(0)))) for bucket, at in cells_of(keys, buckets)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 3 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))], ["bucket", "chunk", "n", "run"])
+            release()
+
+    def merge(cells: pd.DataFrame) -> pd.DataFrame:
+        """For each run of a bucket a bit for each shingle: another run has it."""
+        keys = np.concatenate([np.cumsum(unpacked(raw, 0, n)[0], dtype=U64) for n, raw in zip(cells["n"], cells["run"], strict=True)])
+        order = np.argsort(keys, kind="stable")
+        same = keys[order[1:]] == keys[order[:-1]]
+        flags = np.zeros(len(keys), dtype=bool)
+        flags[order[1:][same]] = flags[order[:-1][same]] = True
+        ends = np.concatenate([[0], np.cumsum(cells["n"].to_numpy())])
+        return pd.DataFrame({"bucket": cells["bucket"], "chunk": cells["chunk"], "n": cells["n"], "run": [np.packbits(flags[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)]})
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            here, bits = Sets(row), sorted(row["bits"] or [], key=lambda x: x["bucket"])
+            shared = here.several.copy()
+            if bits:
+                shared |= np.concatenate([np.unpackbits(np.frombuffer(x["run"], np.uint8), count=x["n"]).astype(bool) for x in bits])
+            kept: list[bytes | None] = [None] * len(here.sets)
+            for k in here.firsts:
+                if 100 * int(shared[np.searchsorted(here.keys, here.sets[k])].sum()) >= percent * len(here.sets[k]):
+                    kept[k] = here.sets[k].tobytes()
+            ids, n, a, b = [None if i == NULL_ID else i for i in here.doc_ids.tolist()], [len(s) for s in here.sets], [m[0] for m in here.marks], [m[1] for m in here.marks]
+            yield from pa.Table.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, n, a, b)), pa.array(kept, pa.binary())], ["doc_id", "n", "a", "b", "s"]).to_batches(max_chunksize=1000)
+            release()
+
+    cell = "bucket long, chunk long, n long, run binary"
+    bits = chunks.mapInArrow(sort, cell).groupBy("bucket").applyInPandas(merge, cell).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "run")).alias("bits"))  # a bit for each shingle of a chunk
+    return work.table("docs", chunks.join(bits, "chunk", "left").select("doc_ids", "sizes", "texts", "bits").mapInArrow(told, "doc_id long, n long, a long, b long, s binary"))
+
+
+def signature_links(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """``u, v``: links among documents (``doc_id, a, b, s``) whose components hold every linked pair of sets, by their smallest documents."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted runs of signatures, cut at the bucket bounds. Of equal sets in a run the smallest document stands for all."""
@@ -142,21 +201,18 @@ def signature_links(documents: DataFrame, width: int, percent: int, buckets: int
                 rows.append((int(bucket[a]), b - a, low, packed(np.diff(sig[a:b], prepend=U64(0))) + packed((doc[a:b] - low).astype(U64))))
             return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 3 else pa.int64()) for k, x in enumerate(zip(*rows, strict=True))], ["bucket", "n", "low", "run"])
 
-        for whole in batches:
-            for batch in slices(whole):
-                for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), width), strict=True):
-                    if i is None or not len(s):
-                        continue
-                    known = classes.get(mark := digest(s))
-                    if known is None:
-                        classes[mark] = i, signatures(s, percent)
-                        size += len(classes[mark][1])
-                    elif i < known[0]:
-                        classes[mark] = i, known[1]
-                if size >= RUN:
-                    yield out()
-                    classes.clear()
-                    size = 0
+        for batch in batches:
+            for i, mark, raw in zip(batch.column("doc_id").to_pylist(), zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True), batch.column("s").to_pylist(), strict=True):
+                known = classes.get(mark)
+                if known is None:
+                    classes[mark] = i, signatures(np.frombuffer(raw, U64), percent)
+                    size += len(classes[mark][1])
+                elif i < known[0]:
+                    classes[mark] = i, known[1]
+            if size >= RUN:
+                yield out()
+                classes.clear()
+                size = 0
         if classes:
             yield out()
 
@@ -180,8 +236,7 @@ def signature_links(documents: DataFrame, width: int, percent: int, buckets: int
         inner = roots != np.arange(len(nodes))
         return pd.DataFrame({"u": nodes[inner], "v": nodes[roots[inner]]}).astype("int64")
 
-    texts = with_columns_of(documents, doc_id="long", text="string")
-    return texts.mapInArrow(deal, "bucket long, n long, low long, run binary").groupBy("bucket").applyInPandas(link, "u long, v long").distinct()
+    return docs.select("doc_id", "a", "b", "s").mapInArrow(deal, "bucket long, n long, low long, run binary").groupBy("bucket").applyInPandas(link, "u long, v long").distinct()
 
 
 def components(work: Scratch, name: str, links: DataFrame) -> DataFrame:
@@ -335,13 +390,14 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, width: int = 3
     """
     work = Scratch(spark, "jaccard")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = work.table("docs", digested(documents, width))
+    docs = shared_sets(work, documents, width, percent)
     # Equal sets are one class, named by its smallest doc_id.
     sets_here = docs.where("n > 0 and doc_id is not null")
     classes = work.table("classes", sets_here.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
     # A set of n shingles has about n signatures at most.
-    buckets = max(parts, -(-(classes.agg(F.sum("n")).first()[0] or 0) // BUCKET))
-    blocks = components(work, "blocks", signature_links(documents, width, percent, buckets))
+    able = docs.where("s is not null")
+    buckets = max(parts, -(-(able.agg(F.sum("n")).first()[0] or 0) // BUCKET))
+    blocks = components(work, "blocks", signature_links(able, percent, buckets))
     in_block = work.table("in_block", classes.join(blocks, F.col("rep") == F.col("node")).select("a", "b", "rep", "n", F.col("comp").alias("block")))
 
     # Leaves: a block's sets by size, so many to a leaf; where sets of one size fill several leaves, a hash deals them.
@@ -351,22 +407,13 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, width: int = 3
     chance = F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) / F.lit(1 << 20)
     leaves = work.table("leaves", in_block.join(sized, (F.col("block") == F.col("b_block")) & (F.col("n") == F.col("b_n"))).withColumn("leaf", F.floor(F.col("before") + chance * F.col("fill") + F.lit(1e-9)).cast("long")).select(*in_block.columns, "leaf"))
 
-    def sets_of(rows: DataFrame) -> DataFrame:
-        """``rep, block, leaf, s, p``: the rows with their sets and points, taken from the texts of the documents that name them."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in slices(whole):
-                    sets = shingle_sets(batch.column("text"), width)
-                    same = pa.array([digest(s) == (a, b) for s, a, b in zip(sets, batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)], pa.bool_())
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "block", "leaf")), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([counts_of(s).tolist() for s in sets], pa.list_(pa.int32()))], ["rep", "block", "leaf", "s", "p"]).filter(same)
-
-        texts = with_columns_of(documents, doc_id="long", text="string")
-        # Merged at every size: what is broadcast must not follow the corpus.
-        found = texts.join(rows.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "block", "leaf", "a", "b", "text")
-        return found.mapInArrow(run, "rep long, block long, leaf long, s binary, p array<int>")
+    def pointed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("p", pa.array([counts_of(np.frombuffer(s, U64)).tolist() for s in batch.column("s").to_pylist()], pa.list_(pa.int32())))
 
-    sets = work.table("sets", sets_of(leaves))
+    # Merged at every size: what is broadcast must not follow the corpus.
+    whole = able.select(F.col("doc_id").alias("rep"), "a", "b", "s").join(leaves.select("rep", "a", "b", "block", "leaf").hint("merge"), ["rep", "a", "b"]).select("rep", "block", "leaf", "s")
+    sets = work.table("sets", whole.mapInArrow(pointed, "rep long, block long, leaf long, s binary, p array<int>"))
 
     def search(part: pd.DataFrame) -> list[tuple[int, int]]:
         """Links inside one leaf, or between two (``pair``)."""

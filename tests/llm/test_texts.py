@@ -166,17 +166,18 @@ def test_join_edges(spark):
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in rows) == [(-1, 0, -1), (-1, 2, -1), (4, 2, 4), (4, 2, 4), (9, 2, 4)]
 
 
-def test_signatures_lose_no_link():
+@pytest.mark.parametrize("percent", [90, 80, 70])
+def test_signatures_lose_no_link(percent):
     """Any two sets above the threshold have a signature in common."""
     rng = np.random.default_rng(4)
     for n in [*range(1, 60), 85, 120, 300, 1000]:
         for _ in range(6):
             a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-            cut = int(len(a) * 0.1)
-            kinds = [a[: len(a) - cut], np.unique(np.concatenate([a, rng.integers(0, 2**64, len(a) // 9, dtype=np.uint64)])), np.unique(np.concatenate([a[: len(a) - len(a) // 20], rng.integers(0, 2**64, len(a) // 20, dtype=np.uint64)]))]
+            cut = int(len(a) * (100 - percent) / 100)
+            kinds = [a[: len(a) - cut], np.unique(np.concatenate([a, rng.integers(0, 2**64, len(a) * (100 - percent) // percent, dtype=np.uint64)])), np.unique(np.concatenate([a[: len(a) - len(a) * (100 - percent) // 200], rng.integers(0, 2**64, len(a) * (100 - percent) // 200, dtype=np.uint64)]))]
             for b in kinds:
-                if len(b) and NJ.linked(a, b, 90):
-                    assert set(NJ.signatures(a, 90)) & set(NJ.signatures(b, 90)), (n, len(b))
+                if len(b) and NJ.linked(a, b, percent):
+                    assert set(NJ.signatures(a, percent)) & set(NJ.signatures(b, percent)), (n, len(b))
 
 
 def test_tree_bound_is_no_underestimate():
