@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from finquery.config import Settings
 from finquery.functions import amounts as A
 from finquery.functions import text as X
 from finquery.operators import candidates as C
@@ -112,7 +113,8 @@ def label_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(round(l_quantity) AS BIGINT) END) AS DECIMAL(24,4)) AS returned FROM lineitem GROUP BY l_orderkey")
 def null_skipping_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = F.when(F.col("l_returnflag") == "R", F.round("l_quantity")).cast(A.AMOUNT)
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(amount).cast(A.AMOUNT).alias("returned"))
+    lines = [F.sum(F.when(F.col("l_linenumber") % 7 == k, amount)) for k in range(7)]
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(A.null_skipping_sum(*lines).cast(A.AMOUNT).alias("returned"))
 
 
 @query("SELECT o_orderkey, CAST(round(CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey AS DECIMAL(24,4)) / (o_custkey % 7) END, 2) AS DECIMAL(24,2)) AS ratio FROM orders")
@@ -159,7 +161,7 @@ def candidate_dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT min(doc_id) AS doc_id, md5(text) AS text_md5 FROM documents GROUP BY text")
 def doc_dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.md5("text").alias("text_md5"))
+    return C.first_wins(table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("text_md5")), [F.col("text_md5")], "doc_id")
 
 
 IN_ROLE = {c: r for c, _, r, _ in CODES}
@@ -217,6 +219,21 @@ def pick_best_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picks(spark, sf_dir, dense=False)
 
 
+@query(PICK_SQL.split("    SELECT doc_id, key, CASE")[0].format(DENSE) + """, p AS (SELECT doc_id, key, count(DISTINCT CASE WHEN top - points <= 5 THEN amount END) > 1 AS clash, arg_min(seq, (-points, seq)) AS best FROM t GROUP BY doc_id, key)
+    SELECT doc_id, key AS code, CAST(row_number() OVER (PARTITION BY doc_id, key ORDER BY seq) - 1 AS INT) AS place, seq, field_code, page_number, raw_label, raw_value, column_role, confidence FROM t JOIN p USING (doc_id, key) WHERE CASE WHEN clash THEN top - points <= 5 ELSE seq = best END""")
+def value_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates that each pick rests on, found again by its sources."""
+    rows = C.keyed(candidates(spark, sf_dir, dense=True).withColumn("section", F.col("page_type")))
+    chosen = resolve.picked(resolve.ranked(rows), "doc_id", "key").withColumnRenamed("key", "code")
+    return resolve.provenance(chosen, rows)
+
+
+@query(f"SELECT doc_id, seq, page_type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, page_type ORDER BY seq) AS k FROM ({DENSE})) WHERE k <= CASE page_type WHEN 'CPC' THEN 40 ELSE 30 END")
+def candidate_list_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    within, _ = C.capped(candidates(spark, sf_dir, dense=True))
+    return within.select("doc_id", "seq", "page_type")
+
+
 @query(f"SELECT l_orderkey, l_partkey, CASE WHEN min({CENTS}) = max({CENTS}) THEN CAST(CAST(min({CENTS}) AS DECIMAL(20,0)) / 100 AS DECIMAL(24,4)) END AS value, CASE WHEN min({CENTS}) = max({CENTS}) THEN 'confirmed' ELSE 'conflicting' END AS status, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey")
 def distinct_amount_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").withColumn("amount", (F.expr(CENTS).cast("decimal(20,0)") / 100).cast(A.AMOUNT))
@@ -248,10 +265,8 @@ def candidate_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def provenance_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The original of a value: by code, label and value the last row; where the code is unknown, by label and value the first."""
     rows = candidates(spark, sf_dir).select("doc_id", "seq", "field_code", "raw_label", "raw_value")
-    exact = rows.groupBy("doc_id", "field_code", "raw_label", "raw_value").agg(F.max("seq").alias("exact"))
-    wide = rows.groupBy("doc_id", "raw_label", "raw_value").agg(F.min("seq").alias("wide"))
     asked = rows.withColumn("field_code", F.when(F.col("seq") % 2 == 0, F.col("field_code")).otherwise("OTHER"))
-    return asked.join(exact, ["doc_id", "field_code", "raw_label", "raw_value"], "left").join(wide, ["doc_id", "raw_label", "raw_value"], "left").select("doc_id", "seq", F.coalesce("exact", "wide").alias("origin"))
+    return resolve.originals(asked, rows).select("doc_id", "seq", "origin")
 
 
 # --- Fields of a document ------------------------------------------------------------------------------------------
@@ -304,6 +319,26 @@ def net_result_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.net_result(wide).select("doc_id", "RESULTAT_NET.value", "RESULTAT_NET.status")
 
 
+#: Confidences of the four lines of a net result, and of three financial fields.
+SURE = {"RESULTAT_NET_XIII": 0.6, "RESULTAT_NET_XVI": 0.99, "NET_CPC": 0.7, "NET_BILAN": 0.8}
+
+
+def told(field: Column) -> list[Column]:
+    """What a field says of itself."""
+    return [field["value"].alias("value"), field["status"].alias("status"), field["confidence"].alias("confidence"), F.array_join(field["sources"], ",").alias("sources"), F.array_join(field["warnings"], ",").alias("warnings")]
+
+
+@query(f"""WITH s AS ({sums_sql(*(part_sum(n, t) for n, t in zip('abcd', NETS.values(), strict=True)))}), g AS (SELECT *, abs(a - b) <= greatest(1, abs(a) * 0.0001) AS ab, abs(a - d) <= greatest(1, abs(a) * 0.0001) AS ad, abs(c - d) <= greatest(1, abs(c) * 0.0001) AS cd FROM s),
+    k AS (SELECT *, CASE WHEN ab THEN CASE WHEN d IS NOT NULL AND NOT ad THEN 'agree_other' ELSE 'agree' END WHEN a + b IS NOT NULL THEN CASE WHEN d IS NOT NULL THEN 'sheet' ELSE 'clash' END WHEN cd THEN 'both' WHEN c + d IS NOT NULL THEN 'differ' WHEN c IS NOT NULL THEN 'c' WHEN d IS NOT NULL THEN 'd' END AS k FROM g)
+    SELECT doc_id, CASE WHEN k LIKE 'agree%' THEN a WHEN k IN ('both', 'c') THEN c WHEN k IN ('sheet', 'differ', 'd') THEN d END AS value, CASE WHEN k = 'clash' THEN 'conflicting' WHEN k IS NOT NULL THEN 'confirmed' END AS status, CASE WHEN k LIKE 'agree%' OR k = 'clash' THEN 0.99 WHEN k = 'c' THEN 0.7 WHEN k IS NOT NULL THEN 0.8 END AS confidence,
+        CASE WHEN k LIKE 'agree%' OR k = 'clash' THEN '1,2' WHEN k = 'both' THEN '3,4' WHEN k = 'c' THEN '3' WHEN k IS NOT NULL THEN '4' END AS sources, CASE WHEN k = 'agree_other' THEN 'balance_sheet_differs' WHEN k IN ('sheet', 'clash') THEN 'income_statement_lines_differ' WHEN k = 'differ' THEN 'income_statement_differs' WHEN k IS NOT NULL THEN '' END AS warnings FROM k""")
+def net_result_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The net result with its confidence, what it rests on and what speaks against it."""
+    made = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(*((F.sum(F.when(F.expr(t), F.expr(CENTS).cast("decimal(20,0)"))) / 100).cast(A.AMOUNT).alias(c) for c, t in NETS.items()))
+    wide = made.select("doc_id", *(F.when(F.col(c).isNotNull(), resolve.fv(F.col(c), "confirmed", F.lit(SURE[c]), F.array(F.lit(k)))).alias(c) for k, c in enumerate(NETS, 1)))
+    return resolve.net_result(wide).select("doc_id", *told(F.col("RESULTAT_NET")))
+
+
 OPERATING = "CASE WHEN l_linenumber = 1 THEN 'RESULTAT_COURANT' WHEN l_linenumber = 2 THEN 'CHIFFRE_AFFAIRES' ELSE 'RESULTAT_EXPLOITATION' END"
 
 
@@ -338,6 +373,15 @@ def prefer_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("doc_id", derive.prefer_computed(F.col("RESULTAT_FINANCIER"), computed)["value"].alias("value"))
 
 
+@query(f"""WITH k AS (SELECT *, CASE WHEN v1 + v2 IS NULL THEN CASE WHEN v3 IS NOT NULL THEN 'read' END WHEN v3 IS NULL THEN 'computed' WHEN abs(v3 - (v1 - v2)) > greatest(1, abs(v3) * 0.0001) THEN 'clash' ELSE 'read' END AS k FROM ({LINES_SQL}))
+    SELECT doc_id, CASE WHEN k = 'read' THEN v3 WHEN k IS NOT NULL THEN v1 - v2 END AS value, CASE WHEN k = 'read' THEN 'confirmed' WHEN k IS NOT NULL THEN 'derived' END AS status, CASE WHEN k = 'computed' THEN 0.6 WHEN k IS NOT NULL THEN 0.95 END AS confidence, CASE k WHEN 'read' THEN '3' WHEN 'computed' THEN '1,2' WHEN 'clash' THEN '3,1,2' END AS sources, CASE WHEN k = 'clash' THEN 'contradicts_computed' WHEN k IS NOT NULL THEN '' END AS warnings FROM k""")
+def prefer_derived_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = wide_fields(spark, sf_dir, CHAIN)
+    a, b, c = (F.when(F.col(n).isNotNull(), resolve.fv(F.col(n)["value"], "confirmed", F.lit(sure), F.array(F.lit(k)))) for k, (n, sure) in enumerate((("PRODUITS_FINANCIERS", 0.5), ("CHARGES_FINANCIERES", 0.6), ("RESULTAT_FINANCIER", 0.95)), 1))
+    made = sums.select("doc_id", a.alias("a"), b.alias("b"), c.alias("c"))
+    return made.select("doc_id", derive.prefer_computed(F.col("c"), derive.computed(F.col("a"), "-", F.col("b"))).alias("f")).select("doc_id", *told(F.col("f")))
+
+
 @query(f"""WITH s AS ({LINES_SQL}), t AS (SELECT *, v4 + v5 AS before_tax, v1 - v7 AS cash FROM s), u AS (SELECT *, before_tax - v6 AS net, coalesce((v2 + v1) - (v3 + v7), v4 - v5) AS fdr FROM t)
     SELECT doc_id, before_tax, net, cash, net + v6 AS caf, fdr, fdr - cash AS bfdr FROM u""")
 def derive_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,7 +432,7 @@ COMPLETE_SQL = f"""WITH p AS (SELECT doc_id, key, status FROM ({PICK_SQL.format(
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: candidates are ranked and picked, spread to the spine of outputs, and counted (six of the codes have no other way than the pick)."""
     rows = C.keyed(candidates(spark, sf_dir).withColumn("section", F.col("page_type")))
-    chosen = resolve.picked(resolve.ranked(rows), "doc_id", "key").groupBy("doc_id").agg(*(F.max_by(F.struct("value", "status", "confidence").cast(resolve.FV), F.when(F.col("key") == c, 1)).alias(c) for c in resolve.FIELDS))
+    chosen = resolve.picked(resolve.ranked(rows), "doc_id", "key").groupBy("doc_id").agg(*(F.max_by(F.struct(*resolve.F_NAMES).cast(resolve.FV), F.when(F.col("key") == c, 1)).alias(c) for c in resolve.FIELDS))
     spine = rows.select("doc_id").distinct().join(chosen, "doc_id", "left")
     plain = {"ACTIFS_IMMOBILISES", "CHIFFRE_AFFAIRES", "TRESORERIE_PASSIF", "ACTIF_CIRCULANT", "CREANCES_CLIENTS", "TRESORERIE_ACTIF"}
     return project.output_fields(spine).select("doc_id", F.size(F.filter("outputs", lambda o: o["code"].isin(*plain) & o["value"].isNotNull())).alias("n_found"))
@@ -471,6 +515,25 @@ def recover_anti_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recover.recovered(shown, have).select("doc_id", "field_code", "page_number", "raw_value")
 
 
+@query("""WITH p AS (SELECT doc_id, doc_id % 4 AS k FROM documents), have AS (SELECT DISTINCT doc_id, CASE WHEN quality = 1 THEN 'CHIFFRE_AFFAIRES' ELSE 'ACHATS_REVENDUS' END AS code FROM labels),
+    m AS (SELECT doc_id, CASE k WHEN 0 THEN 'CHIFFRE_AFFAIRES' WHEN 2 THEN 'ACHATS_REVENDUS' END AS code FROM p WHERE k IN (0, 2)),
+    r AS (SELECT doc_id, code, true AS recovered FROM m ANTI JOIN have USING (doc_id, code) UNION ALL SELECT doc_id, 'RESULTAT_EXPLOITATION', true FROM p WHERE k = 3), u AS (SELECT * FROM r UNION ALL SELECT doc_id, code, false FROM have)
+    SELECT doc_id, code AS field_code, recovered, count(CASE WHEN recovered THEN 1 END) OVER (PARTITION BY doc_id) AS n_recovered FROM u""")
+def recover_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found candidates (by the labels) with those that the pages still show, and how many came to each document."""
+    text = F.concat(F.expr(choice("doc_id % 4", NATIVE)), F.lit("\n"), F.coalesce("text", F.lit("")))
+    shown = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), F.lit("CPC").alias("page_type"), text.alias("native_text"))
+    have = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("seq"), F.when(F.col("quality") == 1, "CHIFFRE_AFFAIRES").otherwise("ACHATS_REVENDUS").alias("field_code"), F.lit("N").alias("period"), F.lit("-").alias("raw_label"), F.lit("0,00").alias("raw_value"))
+    return recover.united(have, shown).select("doc_id", "field_code", "recovered", "n_recovered")
+
+
+@query()
+def native_amounts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All amounts of every document's text and every page's html. The pattern looks around itself, which the SQL of the twins cannot: tested against Python."""
+    shown = table(spark, sf_dir, "documents").select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(table(spark, sf_dir, "pages").select(F.lit("pages").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text")))
+    return shown.select("kind", "id", F.array_join(recover.amounts_in(F.col("text")), "|").alias("found"))
+
+
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents WHERE contains(text, '|')), f AS (SELECT *, contains(t, '|') AS i, lag(contains(t, '|')) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM l), g AS (SELECT *, sum(CASE WHEN i AND NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS island FROM f) SELECT doc_id, CAST(island AS BIGINT) AS island, count(*) AS n_lines, CAST(min(line) AS INT) AS first_line FROM g WHERE i GROUP BY doc_id, island")
 def md_table_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("|"))).select("doc_id", F.lit(1).alias("page_number"), F.col("text").alias("content"))
@@ -599,3 +662,26 @@ TYPE_SQL = "CASE conv_id % 3 WHEN 0 THEN 'BILAN_ACTIF,BILAN_PASSIF,CPC,DETAIL_CP
 def next_types_to_try(spark: SparkSession, sf_dir: str) -> DataFrame:
     primary = F.expr(choice("conv_id % 3", ["BILAN_ACTIF", "CPC", "IDENTIFICATION"]))
     return table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", F.array_join(pages.next_types(primary, F.lit(None).cast("string")), ",").alias("types"))
+
+
+@query(f"SELECT DISTINCT conv_id, CASE WHEN conv_id % 3 = 2 THEN 'IDENTIFICATION' ELSE array_to_string(string_split({TYPE_SQL}, ',')[1:3], ',') END AS types FROM conversations")
+def types_tried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types that a page is tried with, within the setting's number."""
+    primary = F.expr(choice("conv_id % 3", ["BILAN_ACTIF", "CPC", "IDENTIFICATION"]))
+    return table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", F.array_join(pages.types_to_try(primary, F.lit(None).cast("string"), Settings.from_environment().types_tried), ",").alias("types"))
+
+
+SHOWN_TYPES = ["BILAN_ACTIF", "CPC", "ESG", "AUTRE"]
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN bool_or(field_code IN ('TOTAL_ACTIF', 'CLIENTS', 'TRESORERIE_ACTIF', 'ACTIF_CIRCULANT', 'ACTIFS_IMMOBILISES')) WHEN 1 THEN bool_or(field_code IN ('CHIFFRE_AFFAIRES', 'RESULTAT_NET', 'CHARGES_FINANCIERES')) WHEN 2 THEN false ELSE count(*) >= 2 END AS meaningful FROM ({SPARSE}) GROUP BY doc_id""")
+def attempt_meaningful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = candidates(spark, sf_dir).groupBy("doc_id").agg(F.collect_list("field_code").alias("codes"))
+    return codes.select("doc_id", pages.meaningful(F.expr(choice("doc_id % 4", SHOWN_TYPES)), F.col("codes")).alias("meaningful"))
+
+
+@query("""WITH p AS (SELECT user_id AS doc_id, event_id % 9 AS n, bool_or(event_type = 'error') AS skipped, sum(CASE WHEN event_type = 'purchase' THEN 3 ELSE 0 END) AS found, sum(CASE WHEN event_id % 5 > 0 THEN event_id % 100 END) AS ms FROM events GROUP BY 1, 2)
+    SELECT doc_id, count(CASE WHEN NOT skipped AND found > 0 THEN 1 END) AS n_processed, count(CASE WHEN skipped THEN 1 END) AS n_skipped, count(CASE WHEN NOT skipped AND found = 0 THEN 1 END) AS n_failed, CAST(sum(ms) AS BIGINT) AS latency_ms, coalesce(string_agg(CASE WHEN NOT skipped AND found = 0 THEN concat('page ', n, ': no rows') END, '; ' ORDER BY n), '') AS warnings FROM p GROUP BY doc_id""")
+def page_audit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attempts = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 9).alias("page_number"), F.when(F.col("event_type") == "purchase", 3).otherwise(0).alias("n_rows"), F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 100).alias("latency_ms"), (F.col("event_type") == "error").alias("skipped"), F.lit(None).cast("string").alias("error"))
+    return pages.page_counters(attempts).withColumn("warnings", F.array_join("warnings", "; "))

@@ -57,8 +57,8 @@ def split_valid(candidates: DataFrame, valid: Column) -> tuple[DataFrame, DataFr
 
 
 def first_wins(rows: DataFrame, keys: list[Column], *order: str) -> DataFrame:
-    """The first row of each key in the given order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    """The first row of each key in the given order. Rows are reduced before they are shuffled, so a key may hold any number of them."""
+    return rows.groupBy(*(k.alias(f"_k{n}") for n, k in enumerate(keys))).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")).select("_row.*")
 
 
 def dedupe_candidates(candidates: DataFrame) -> DataFrame:
@@ -66,6 +66,14 @@ def dedupe_candidates(candidates: DataFrame) -> DataFrame:
     return first_wins(candidates, [F.col("doc_id"), F.col("field_code"), F.col("period"), normalize_label(F.col("raw_label")), normalize_label(F.col("raw_value"))], "seq")
 
 
+def capped(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates within the number that an answer for their page may hold, by page and order, and the rest (quarantine)."""
+    most = F.create_map(*(F.lit(x) for kv in R.MOST_ROWS.items() for x in kv))[F.col("page_type")]
+    numbered = candidates.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "page_number", "page_type").orderBy("seq")))
+    within = F.coalesce(F.col("_k") <= most, F.lit(True))
+    return numbered.where(within).drop("_k"), numbered.where(~within).drop("_k")
+
+
 def label_is_amount(label: Column, value: Column) -> Column:
     folded = normalize_ocr_label(label)
     return (folded == "") | (folded == normalize_ocr_label(value)) | folded.rlike(r"^[\s.]*-?[0-9]{1,3}(?:[.\s][0-9]{3})*(?:[,.][0-9]{1,2})?\s*$")

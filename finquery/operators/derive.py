@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 
 from finquery import refdata as R
 from finquery.functions.amounts import amounts_agree, tolerance
-from finquery.operators.resolve import FIELDS, fv, usable, without_value
+from finquery.operators.resolve import FIELDS, resting, usable, without_value
 
 
 def computed(a: Column, sign: str, b: Column) -> Column:
     """A derived field from two usable ones, else null."""
     value = a["value"] + b["value"] if sign == "+" else a["value"] - b["value"]
-    return F.when(usable(a) & usable(b), fv(value, "derived", F.greatest(a["confidence"], b["confidence"])))
+    return F.when(usable(a) & usable(b), resting(value, "derived", a, b))
 
 
 def prefer_computed(field: Column, value: Column) -> Column:
-    """The computed field where the read one is absent, or usable but in disagreement."""
+    """The computed field where the read one is absent, or usable but in disagreement; what was read stays among its sources then."""
     absent = field.isNull() | field["value"].isNull() | (field["status"] == "missing")
     clash = usable(field) & ~amounts_agree(field["value"], value["value"])
-    return F.when(value.isNotNull() & (absent | F.coalesce(clash, F.lit(False))), value).otherwise(field)
+    return F.when(value.isNotNull() & absent, value).when(value.isNotNull() & F.coalesce(clash, F.lit(False)), resting(value["value"], "derived", field, value, warning="contradicts_computed")).otherwise(field)
 
 
 def fill_missing(field: Column, value: Column) -> Column:
@@ -39,10 +39,10 @@ def derived(wide: DataFrame) -> DataFrame:
         ("RESULTAT_AVANT_IMPOT", lambda: prefer_computed(c("RESULTAT_AVANT_IMPOT"), computed(c("RESULTAT_COURANT"), "+", c("RESULTAT_NON_COURANT")))),
         ("RESULTAT_NET", lambda: F.coalesce(c("RESULTAT_NET"), computed(c("RESULTAT_AVANT_IMPOT"), "-", c("IMPOT_SUR_RESULTATS")))),
         ("TRESORERIE_NETTE", lambda: F.coalesce(c("TRESORERIE_NETTE"), computed(c("TRESORERIE_ACTIF"), "-", c("TRESORERIE_PASSIF")))),
-        ("_mlt", lambda: F.when(usable(c("DETTES_FINANCIERES")) & ~usable(c("DETTES_BANCAIRES_MLT")), fv(c("DETTES_FINANCIERES")["value"], "derived", c("DETTES_FINANCIERES")["confidence"])).otherwise(c("DETTES_BANCAIRES_MLT"))),
+        ("_mlt", lambda: F.when(usable(c("DETTES_FINANCIERES")) & ~usable(c("DETTES_BANCAIRES_MLT")), resting(c("DETTES_FINANCIERES")["value"], "derived", c("DETTES_FINANCIERES"))).otherwise(c("DETTES_BANCAIRES_MLT"))),
         ("DETTES_FINANCIERES", lambda: F.when(usable(c("DETTES_BANCAIRES_MLT")) & ~usable(c("DETTES_FINANCIERES")), c("DETTES_BANCAIRES_MLT")).otherwise(c("DETTES_FINANCIERES"))),
         ("DETTES_BANCAIRES_MLT", lambda: c("_mlt")),
-        ("AUTRES_CHARGES_EXTERNES", lambda: F.when(usable(c("AUTRES_CHARGES_EXTERNES_DETAIL")) & ~usable(c("AUTRES_CHARGES_EXTERNES")), fv(c("AUTRES_CHARGES_EXTERNES_DETAIL")["value"], "derived", c("AUTRES_CHARGES_EXTERNES_DETAIL")["confidence"])).otherwise(c("AUTRES_CHARGES_EXTERNES"))),
+        ("AUTRES_CHARGES_EXTERNES", lambda: F.when(usable(c("AUTRES_CHARGES_EXTERNES_DETAIL")) & ~usable(c("AUTRES_CHARGES_EXTERNES")), resting(c("AUTRES_CHARGES_EXTERNES_DETAIL")["value"], "derived", c("AUTRES_CHARGES_EXTERNES_DETAIL"))).otherwise(c("AUTRES_CHARGES_EXTERNES"))),
         ("FDR", lambda: fill_missing(c("FDR"), working_capital())),
         ("CAF", lambda: fill_missing(c("CAF"), computed(c("RESULTAT_NET"), "+", c("DOTATIONS_AMORTISSEMENTS")))),
         ("FDR", lambda: fill_missing(c("FDR"), permanent_capital())),
@@ -57,14 +57,14 @@ def working_capital() -> Column:
     """Current assets and cash less current liabilities and overdrafts."""
     parts = [F.col(x) for x in ("ACTIF_CIRCULANT", "TRESORERIE_ACTIF", "PASSIF_CIRCULANT", "TRESORERIE_PASSIF")]
     v = [p["value"] for p in parts]
-    return F.when(reduce(lambda a, b: a & b, map(usable, parts)), fv((v[0] + v[1]) - (v[2] + v[3]), "derived", F.greatest(*(p["confidence"] for p in parts))))
+    return F.when(reduce(lambda a, b: a & b, map(usable, parts)), resting((v[0] + v[1]) - (v[2] + v[3]), "derived", *parts))
 
 
 def permanent_capital() -> Column:
     """Equity and, where known, financial debt, less fixed assets."""
     own, debt, fixed = (F.col(x) for x in ("FONDS_PROPRES", "DETTES_FINANCIERES", "ACTIFS_IMMOBILISES"))
     value = own["value"] + F.when(usable(debt), debt["value"]).otherwise(F.lit(0)) - fixed["value"]
-    return F.when(usable(own) & usable(fixed), fv(value, "derived", F.greatest(own["confidence"], fixed["confidence"])))
+    return F.when(usable(own) & usable(fixed), resting(value, "derived", own, fixed))
 
 
 CONTROL = "struct<code:string,status:string,expected:decimal(24,4),observed:decimal(24,4),difference:decimal(24,4),tolerance:decimal(24,4),fields:array<string>>"
@@ -101,4 +101,4 @@ def invalidated(wide: DataFrame) -> DataFrame:
     """Fields of failed controls lose their value and conflict; nothing that was derived from them falls with them."""
     failed = F.array_distinct(F.flatten(F.transform(F.filter("controls", lambda x: x["status"] == "failed"), lambda x: x["fields"])))
     wide = wide.withColumn("invalid", failed)
-    return wide.withColumns({c: F.when(F.array_contains("invalid", c) & F.col(c)["status"].isin("confirmed", "derived"), without_value("conflicting")).otherwise(F.col(c)) for c in FIELDS})
+    return wide.withColumns({c: F.when(F.array_contains("invalid", c) & F.col(c)["status"].isin("confirmed", "derived"), without_value("conflicting", F.col(c), warning="control_failed")).otherwise(F.col(c)) for c in FIELDS})

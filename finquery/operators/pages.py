@@ -61,6 +61,30 @@ def next_types(primary: Column, previous: Column) -> Column:
     return F.filter(F.array_distinct(every), lambda t: t.isin(known))
 
 
+def types_to_try(page_type: Column, previous: Column, most: int) -> Column:
+    """The first ``most`` of `next_types`; an identification page is tried as that alone."""
+    return F.when(page_type == "IDENTIFICATION", F.array(F.lit("IDENTIFICATION"))).otherwise(F.slice(next_types(page_type, previous), 1, most))
+
+
+def meaningful(page_type: Column, codes: Column) -> Column:
+    """Whether an attempt's field codes tell something: one of its page type's codes, or two rows where the type has none."""
+    named = F.create_map(*(x for k, v in R.MEANINGFUL_CODES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return F.coalesce(F.arrays_overlap(codes, named[page_type]), F.size(codes) >= 2)
+
+
+def page_counters(attempts: DataFrame) -> DataFrame:
+    """``n_processed, n_skipped, n_failed, latency_ms, warnings`` of each document, from its pages' attempts (``doc_id, page_number, n_rows, latency_ms, skipped, error``).
+
+    A skipped page counts as such; one of which no attempt gave rows has
+    failed. Latencies are added over all attempts; null where none is known.
+    Warnings name the pages that failed, in order.
+    """
+    pages = attempts.groupBy("doc_id", "page_number").agg(F.max("skipped").alias("skipped"), F.sum("n_rows").alias("rows"), F.sum("latency_ms").alias("latency_ms"), F.max("error").alias("error"))
+    failed = ~F.col("skipped") & (F.coalesce("rows", F.lit(0)) == 0)
+    told = F.transform(F.array_sort(F.collect_list(F.when(failed, F.struct("page_number", F.coalesce("error", F.lit("no rows")).alias("error"))))), lambda x: F.concat(F.lit("page "), x["page_number"], F.lit(": "), x["error"]))
+    return pages.groupBy("doc_id").agg(F.count_if(~F.col("skipped") & ~failed).alias("n_processed"), F.count_if("skipped").alias("n_skipped"), F.count_if(failed).alias("n_failed"), F.sum("latency_ms").alias("latency_ms"), told.alias("warnings"))
+
+
 def sticky(rows: DataFrame, value: str, out: str, group: str, *order: str) -> DataFrame:
     """The last value that is not null, up to and with each row."""
     return rows.withColumn(out, F.last(value, True).over(Window.partitionBy(group).orderBy(*order)))

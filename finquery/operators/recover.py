@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finquery.functions.amounts import parse_decimal_amount
 from finquery.functions.text import fold_keep_marks
-from finquery.operators.candidates import first_wins
+from finquery.operators.candidates import dedupe_candidates, first_wins
 
 GROUPED = r"-?[0-9]{1,3}(?:[ .][0-9]{3})*[,.][0-9]{2}"
 ANY_AMOUNT = rf"(?<![0-9])({GROUPED}|-?[0-9]+[,.][0-9]{{2}})(?![0-9])"
@@ -46,6 +46,21 @@ def purchases(text: Column) -> Column:
     return F.nullif(F.coalesce(F.nullif(F.regexp_extract(text, rf"achats revendus[^\n]{{0,40}}?({GROUPED})", 1), F.lit("")), F.regexp_extract(text, rf"(?s)achats revendus.{{0,60}}?({GROUPED})", 1)), F.lit(""))
 
 
+def united(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+    """Candidates with those that `recovered` adds, the first of equal ones each, and ``n_recovered``: how many more a document has than without.
+
+    Recovered rows come after all others of their document.
+    """
+    found = recovered(pages, candidates)
+    last = candidates.groupBy("doc_id").agg(F.max("seq").alias("_last"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number", "field_code"))  # a handful a page
+    added = found.join(last, "doc_id", "left").withColumns({"seq": (F.coalesce("_last", F.lit(0)) + place).cast("int"), "period": F.lit("N"), "recovered": F.lit(True)}).drop("_last")
+    whole = dedupe_candidates(candidates.withColumn("recovered", F.lit(False)).unionByName(added, allowMissingColumns=True))
+    counts = dedupe_candidates(candidates).groupBy("doc_id").agg(F.count("*").alias("_before"))
+    more = whole.groupBy("doc_id").agg(F.count("*").alias("_after")).join(counts, "doc_id", "left").select("doc_id", F.greatest(F.col("_after") - F.coalesce("_before", F.lit(0)), F.lit(0)).alias("n_recovered"))
+    return whole.join(more, "doc_id")
+
+
 def recovered(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidate rows from ``pages`` (``doc_id, page_number, page_type, native_text``) for codes that ``candidates`` lack; the first page that shows a code gives it.
 

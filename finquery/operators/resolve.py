@@ -1,6 +1,8 @@
 """From ranked candidates to one value for each field of a document.
 
-Values are structs ``value, status, confidence``. All of a document's fields
+Values are structs ``value, status, confidence, sources, warnings``: ``sources``
+are the ``seq`` numbers of the candidates that a value rests on, with which
+`provenance` finds label, page and excerpt again. All of a document's fields
 are picked with one shuffle by (document, key); the field algebra is narrow, on
 one wide row a document.
 """
@@ -18,17 +20,33 @@ from finquery.functions.text import normalize_ocr_label
 from finquery.operators.eligibility import labelled, names_revenue, priority, rejection_reasons
 
 TIE_BAND = 5.0
-FV = f"struct<value:{AMOUNT},status:string,confidence:double>"
+FV = f"struct<value:{AMOUNT},status:string,confidence:double,sources:array<int>,warnings:array<string>>"
+F_NAMES = ("value", "status", "confidence", "sources", "warnings")
 SECTION_PARTS = ["ACTIFS_IMMOBILISES", "ACTIF_CIRCULANT", "TRESORERIE_ACTIF"]
 FIELDS = sorted({c for codes in R.SECTION_CODES.values() for c in codes} | set(R.PREVIOUS_YEAR_KEY.values()) | {"ENCOURS_LEASING", "ACHATS_TOTAL", "TRESORERIE_NETTE", "FDR", "BFDR"})
 
 
-def fv(value: Column, status: Column | str, confidence: Column | None = None) -> Column:
-    return F.struct(value.cast(AMOUNT).alias("value"), (F.lit(status) if isinstance(status, str) else status).alias("status"), (F.lit(None) if confidence is None else confidence).cast("double").alias("confidence")).cast(FV)
+def none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
 
 
-def without_value(status: str) -> Column:
-    return fv(F.lit(None), status)
+def fv(value: Column, status: Column | str, confidence: Column | None = None, sources: Column | None = None, warnings: Column | None = None) -> Column:
+    return F.struct(value.cast(AMOUNT).alias("value"), (F.lit(status) if isinstance(status, str) else status).alias("status"), (F.lit(None) if confidence is None else confidence).cast("double").alias("confidence"), (none("int") if sources is None else sources).alias("sources"), (none("string") if warnings is None else warnings).alias("warnings")).cast(FV)
+
+
+def resting(value: Column, status: Column | str, *fields: Column, warning: str | None = None) -> Column:
+    """A value that rests on other fields: the greatest of their confidences, all of their sources in order, and a warning."""
+    sources = F.concat(*(F.coalesce(f["sources"], none("int")) for f in fields))
+    sure = fields[0]["confidence"] if len(fields) == 1 else F.greatest(*(f["confidence"] for f in fields))
+    return fv(value, status, sure, sources, None if warning is None else F.array(F.lit(warning)))
+
+
+def warned(field: Column, warning: str) -> Column:
+    return fv(field["value"], field["status"], field["confidence"], field["sources"], F.array_append(F.coalesce(field["warnings"], none("string")), F.lit(warning)))
+
+
+def without_value(status: str, *fields: Column, warning: str | None = None) -> Column:
+    return resting(F.lit(None), status, *fields, warning=warning) if fields else fv(F.lit(None), status)
 
 
 def usable(field: Column) -> Column:
@@ -41,7 +59,7 @@ def ranked(candidates: DataFrame) -> DataFrame:
 
 
 def picked(rows: DataFrame, *keys: str) -> DataFrame:
-    """One row a key: ``value, status, confidence, n_ranked``.
+    """One row a key: ``value, status, confidence, n_ranked, best, sources, warnings``.
 
     The best row has the most points, then the lowest ``seq``. Rows within the
     tie band of it conflict if their amounts differ at all. A best row that is
@@ -51,11 +69,11 @@ def picked(rows: DataFrame, *keys: str) -> DataFrame:
     tied = rows.withColumn("_tied", F.abs(F.col("priority") - top) <= TIE_BAND)
     first = F.struct(-F.col("priority"), F.col("seq"))
     best = tied.groupBy(*keys).agg(
-        F.min_by(F.struct("amount", "confidence", F.exists("warnings", lambda w: F.contains(w, F.lit("suspected_row_shift"))).alias("shifted"), F.col("field_code").isin("CLIENTS", "FOURNISSEURS", "STOCKS").alias("strict")), first).alias("b"),
-        F.min(F.when(F.col("_tied"), F.col("amount"))).alias("low"), F.max(F.when(F.col("_tied"), F.col("amount"))).alias("high"), F.max(F.when(F.col("_tied"), F.col("confidence"))).alias("tied_confidence"), F.count("*").alias("n_ranked"),
+        F.min_by(F.struct("amount", "confidence", F.col("seq").cast("int").alias("seq"), F.exists("warnings", lambda w: F.contains(w, F.lit("suspected_row_shift"))).alias("shifted"), F.col("field_code").isin("CLIENTS", "FOURNISSEURS", "STOCKS").alias("strict")), first).alias("b"),
+        F.min(F.when(F.col("_tied"), F.col("amount"))).alias("low"), F.max(F.when(F.col("_tied"), F.col("amount"))).alias("high"), F.max(F.when(F.col("_tied"), F.col("confidence"))).alias("tied_confidence"), F.array_sort(F.collect_set(F.when(F.col("_tied"), F.col("seq").cast("int")))).alias("tied_sources"), F.count("*").alias("n_ranked"),
     )
     status = F.when(F.col("b.shifted") & F.col("b.strict"), "ambiguous").when(F.col("low") != F.col("high"), "conflicting").otherwise("confirmed")
-    return best.select(*keys, F.when(status == "confirmed", F.col("b.amount")).alias("value"), status.alias("status"), F.when(status == "conflicting", F.col("tied_confidence")).otherwise(F.col("b.confidence")).alias("confidence"), "n_ranked", F.struct(F.col("b.amount").alias("value"), F.lit("confirmed").alias("status"), "b.confidence").cast(FV).alias("best"))
+    return best.select(*keys, F.when(status == "confirmed", F.col("b.amount")).alias("value"), status.alias("status"), F.when(status == "conflicting", F.col("tied_confidence")).otherwise(F.col("b.confidence")).alias("confidence"), "n_ranked", fv(F.col("b.amount"), "confirmed", F.col("b.confidence"), F.array("b.seq")).alias("best"), F.when(status == "conflicting", F.col("tied_sources")).otherwise(F.array("b.seq")).alias("sources"), F.when(status == "ambiguous", F.array(F.lit("row_shift"))).when(status == "conflicting", F.array(F.lit("tied_rows_differ"))).otherwise(none("string")).alias("warnings"))
 
 
 def preferred(rows: DataFrame) -> DataFrame:
@@ -108,7 +126,7 @@ def resolved_fields(candidates: DataFrame, documents: DataFrame | None = None) -
     source = F.when(line & (F.col("section") == "CPC") & (F.col("column_role") == "TOTAL_EXERCICE_N"), "NET_CPC").when(line & (F.col("section") == "BILAN_PASSIF"), "NET_BILAN").when(F.col("key") != "RESULTAT_NET", F.col("key"))
     chosen = picked(rows.withColumn("source", source).where("source is not null"), "doc_id", "source")
     names = [*(c for c in FIELDS if c not in R.NET_RESULT), *R.NET_RESULT[1:], "NET_CPC", "NET_BILAN"]
-    f = F.when(F.col("source").isin(*R.NET_RESULT, "NET_CPC", "NET_BILAN"), F.col("best")).otherwise(F.struct("value", "status", "confidence").cast(FV))
+    f = F.when(F.col("source").isin(*R.NET_RESULT, "NET_CPC", "NET_BILAN"), F.col("best")).otherwise(F.struct(*F_NAMES).cast(FV))
     wide = chosen.withColumn("f", f).groupBy("doc_id").agg(*(F.max_by("f", F.when(F.col("source") == c, 1)).alias(c) for c in names))
     wide = (candidates if documents is None else documents).select("doc_id").distinct().join(wide, "doc_id", "left")
     return balance_total(net_result(wide))
@@ -118,9 +136,11 @@ def net_result(wide: DataFrame) -> DataFrame:
     """The net result from the two lines of the income statement, its summary line and the balance sheet, by agreement and precedence."""
     a, b, c, d = (F.col(x) for x in ("RESULTAT_NET_XIII", "RESULTAT_NET_XVI", "NET_CPC", "NET_BILAN"))
     two = a.isNotNull() & b.isNotNull()
+    agreed, both = resting(a["value"], "confirmed", a, b), c.isNotNull() & d.isNotNull()
     out = (
-        F.when(two & amounts_agree(a["value"], b["value"]), a).when(two & d.isNotNull(), d).when(two, without_value("conflicting"))
-        .when(c.isNotNull() & d.isNotNull() & ~amounts_agree(c["value"], d["value"]), d).otherwise(F.coalesce(c, d))
+        F.when(two & amounts_agree(a["value"], b["value"]), F.when(d.isNotNull() & ~amounts_agree(a["value"], d["value"]), warned(agreed, "balance_sheet_differs")).otherwise(agreed))
+        .when(two & d.isNotNull(), warned(d, "income_statement_lines_differ")).when(two, without_value("conflicting", a, b, warning="income_statement_lines_differ"))
+        .when(both & ~amounts_agree(c["value"], d["value"]), warned(d, "income_statement_differs")).when(both, resting(c["value"], "confirmed", c, d)).otherwise(F.coalesce(c, d))
     )
     return wide.withColumn("RESULTAT_NET", out)
 
@@ -128,7 +148,7 @@ def net_result(wide: DataFrame) -> DataFrame:
 def section_total(wide_row: list[Column]) -> Column:
     """A sum whose parts must all be usable."""
     total = reduce(lambda a, b: a + b, [x["value"] for x in wide_row])
-    return F.when(reduce(lambda a, b: a & b, map(usable, wide_row)), fv(total, "derived", F.greatest(*(x["confidence"] for x in wide_row))))
+    return F.when(reduce(lambda a, b: a & b, map(usable, wide_row)), resting(total, "derived", *wide_row))
 
 
 def balance_total(wide: DataFrame) -> DataFrame:
@@ -141,5 +161,20 @@ def balance_total(wide: DataFrame) -> DataFrame:
 def reconciled(a: Column, b: Column) -> Column:
     """Two views of one total: confirmed if they agree, conflicting if not, derived from one alone, else missing."""
     both = usable(a) & usable(b)
-    sure = F.greatest(a["confidence"], b["confidence"])
-    return F.when(both & (F.abs(a["value"] - b["value"]) <= tolerance(a["value"])), fv(a["value"], "confirmed", sure)).when(both, without_value("conflicting")).when(usable(a), fv(a["value"], "derived", a["confidence"])).when(usable(b), fv(b["value"], "derived", b["confidence"])).otherwise(without_value("missing"))
+    agree = both & (F.abs(a["value"] - b["value"]) <= tolerance(a["value"]))
+    return F.when(agree, resting(a["value"], "confirmed", a, b)).when(both, without_value("conflicting", a, b, warning="totals_differ")).when(usable(a), resting(a["value"], "derived", a)).when(usable(b), resting(b["value"], "derived", b)).otherwise(without_value("missing"))
+
+
+def provenance(values: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``doc_id, code, place, seq, field_code, page_number, raw_label, raw_value, column_role, confidence``: the candidates that each value (``doc_id, code, sources``) rests on, in order."""
+    asked = values.select("doc_id", "code", F.posexplode("sources").alias("place", "seq"))
+    shown = candidates.select("doc_id", F.col("seq").cast("int").alias("seq"), "field_code", "page_number", "raw_label", "raw_value", "column_role", "confidence")
+    return asked.join(shown, ["doc_id", "seq"]).select("doc_id", "code", "place", "seq", *shown.columns[2:])
+
+
+def originals(asked: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``asked`` (``doc_id, field_code, raw_label, raw_value``) with ``origin``, the ``seq`` of the candidate that it was: by code, label and value the last row; else by label and value the first."""
+    keys = ["doc_id", "raw_label", "raw_value"]
+    exact = candidates.groupBy("field_code", *keys).agg(F.max("seq").alias("_exact"))
+    wide = candidates.groupBy(*keys).agg(F.min("seq").alias("_wide"))
+    return asked.join(exact, ["field_code", *keys], "left").join(wide, keys, "left").withColumn("origin", F.coalesce("_exact", "_wide")).drop("_exact", "_wide")

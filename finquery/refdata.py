@@ -104,3 +104,16 @@ CONTROLS = [
     ("bilan_equilibre", ("TOTAL_ACTIF",), "TOTAL_PASSIF"), ("tresorerie_nette", ("TRESORERIE_ACTIF", "-", "TRESORERIE_PASSIF"), "TRESORERIE_NETTE"), ("resultat_exploitation", ("PRODUITS_EXPLOITATION", "-", "CHARGES_EXPLOITATION"), "RESULTAT_EXPLOITATION"), ("resultat_financier", ("PRODUITS_FINANCIERS", "-", "CHARGES_FINANCIERES"), "RESULTAT_FINANCIER"),
     ("resultat_courant", ("RESULTAT_EXPLOITATION", "+", "RESULTAT_FINANCIER"), "RESULTAT_COURANT"), ("resultat_non_courant", ("PRODUITS_NON_COURANTS", "-", "CHARGES_NON_COURANTES"), "RESULTAT_NON_COURANT"), ("resultat_avant_impot", ("RESULTAT_COURANT", "+", "RESULTAT_NON_COURANT"), "RESULTAT_AVANT_IMPOT"), ("resultat_net", ("RESULTAT_AVANT_IMPOT", "-", "IMPOT_SUR_RESULTATS"), "RESULTAT_NET"),
 ]
+
+# --- What an attempt must show, and how many rows an answer may hold. Fixed values. ---
+
+MEANINGFUL_CODES = {
+    "IDENTIFICATION": ["RAISON_SOCIALE", "IDENTIFIANT_FISCAL", "ICE", "ADRESSE", "DATE_DEBUT_EXERCICE", "DATE_FIN_EXERCICE", "EXERCICE"],
+    "BILAN_ACTIF": ["TOTAL_ACTIF", "STOCKS", "CLIENTS", "TRESORERIE_ACTIF", "ACTIF_CIRCULANT", "ACTIFS_IMMOBILISES"],
+    "BILAN_PASSIF": ["FONDS_PROPRES", "DETTES_FINANCIERES", "TOTAL_PASSIF", "FOURNISSEURS", "PASSIF_CIRCULANT", "TRESORERIE_PASSIF", "DETTES_BANCAIRES_CT"],
+    "CPC": ["CHIFFRE_AFFAIRES", "RESULTAT_NET", "RESULTAT_NET_XIII", "RESULTAT_NET_XVI", "RESULTAT_EXPLOITATION", "RESULTAT_COURANT", "RESULTAT_FINANCIER", "CHARGES_FINANCIERES", "ACHATS", "ACHATS_REVENDUS", "ACHATS_CONSOMMES", "FRAIS_FINANCIERS", "AMORTISSEMENTS", "DOTATIONS_AMORTISSEMENTS"],
+    "DETAIL_CPC": ["REDEVANCES_CREDIT_BAIL", "ACHATS"],
+    "RESULTAT_FISCAL": ["RESULTAT_FISCAL", "REINTEGRATIONS", "DEDUCTIONS", "IS_DU", "COTISATION_MINIMALE", "REPORT_DEFICITAIRE"],
+    "ESG": ["CAF", "FDR", "BFDR", "TRESORERIE_NETTE"],
+}
+MOST_ROWS = {"IDENTIFICATION": 20, "BILAN_ACTIF": 30, "BILAN_PASSIF": 30, "CPC": 40, "DETAIL_CPC": 15, "RESULTAT_FISCAL": 20, "ESG": 15}

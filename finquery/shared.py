@@ -15,6 +15,4 @@ def shared_folder(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    local = f"file://{os.path.join(tempfile.gettempdir(), 'finquery-shared')}"
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return f"file://{os.path.join(tempfile.gettempdir(), 'finquery-shared')}"

@@ -1,6 +1,11 @@
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
+from finquery import catalog
 from finquery.operators import markdown, pages, recover
+from finquery.shared import shared_folder
 from finquery.sources import payload
 from finquery.streaming import jobs
 
@@ -123,3 +128,38 @@ def test_pages_passes_and_settings(spark, monkeypatch):
     assert settings.pages_of(None, 99) == 10 and settings.pages_of(3, 2) == 2
     with pytest.raises(ValueError):
         settings.pages_of(11, 99)
+
+
+def test_amounts_of_whole_tables(spark, sf_dir):
+    pattern = re.compile(recover.ANY_AMOUNT)
+    got = {(r["kind"], r["id"]): r["found"] for r in catalog.queries()["native_amounts_whole"](spark, sf_dir).collect()}
+    for kind, key, column in (("documents", "doc_id", "text"), ("pages", "page_id", "html")):
+        for r in spark.read.parquet(f"{sf_dir}/{kind}.parquet").collect():
+            found = None if r[column] is None else "|".join(m[1] for m in pattern.finditer(r[column]))
+            assert got.pop((kind, r[key])) == found
+    assert not got
+
+
+def test_amounts_in_awkward_text(spark):
+    texts = ["1 234,56 and -12,50", "x9,99y 1.000.000,00", "1234567,89", "12,345", "", None, "1 2,50"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r["k"]: r["f"] for r in rows.select("k", recover.amounts_in(F.col("t")).alias("f")).collect()}
+    assert got == {0: ["1 234,56", "-12,50"], 1: ["9,99", "1.000.000,00"], 2: ["1234567,89"], 3: [], 4: [], 5: None, 6: ["2,50"]}
+
+
+def test_the_shared_folder_without_a_setting(spark, monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "local[2]"
+        getConf = staticmethod(Conf)
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    assert shared_folder(Session()).startswith("file:///")
+    monkeypatch.setattr(Context, "master", "spark://host:7077")
+    with pytest.raises(ValueError, match="share"):
+        shared_folder(Session())
