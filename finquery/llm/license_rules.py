@@ -31,7 +31,7 @@ from finquery.llm.scratch import with_columns_of
 from finquery.llm.words import slices
 
 #: Words of which a licence sentence holds one. Fixed values.
-HINT = r"licen[cs]|copyright|permission|redistribut|warrant|spdx|all{0}rights{0}reserved|public{0}domain|©".replace("{0}", r"(?: |\s*[\r\n]\W*)")
+HINT = r"licen[cs]|copyright|permission|redistribut|warrant|spdx|free and unencumbered|extent possible under law|all{0}rights{0}reserved|public{0}domain|©".replace("{0}", r"(?: |\s*[\r\n]\W*)")
 
 #: Normalised sentences -> identifier. Fixed values.
 SENTENCES = {
@@ -52,8 +52,69 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": "bsd-binary", "licensed under the bsd license": "bsd-ref", "licensed under the mozilla public license version 2.0": "mpl2-ref",
     "all rights reserved": "reserved", "this work is in the public domain": "pd-ref",
 }
+#: More sentences of licence texts. Fixed values.
+SENTENCES |= {
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liable",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-asis",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services": "bsd-liable", "in no event shall the copyright owner or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services": "bsd-liable",
+    "loss of use data or profits": "bsd-loss", "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsd-advised",
+    "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-asis",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "isc-liable",
+    "this is free and unencumbered software released into the public domain": "unlicense-free", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-grant",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2-form", "this source code form is subject to the terms of the mozilla public license version 2.0": "mpl2-form",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-hope", "this library is distributed in the hope that it will be useful but without any warranty": "gpl-hope", "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-implied",
+    "this library is free software": "gpl-free", "cc 0 1.0 universal": "cc0-title", "apache license version 2.0 january 2004": "apache2-ref", "isc license": "isc-title", "the unlicense": "unlicense-title", "eclipse public license v 2.0": "epl2-ref",
+}
+#: The family of the GNU licences: name, version, identifier of the licence, date of its text. Fixed values.
+GNU = (
+    ("general public license", "2", "GPL-2.0", "june 1991"), ("general public license", "3", "GPL-3.0", "29 june 2007"), ("lesser general public license", "2.1", "LGPL-2.1", "february 1999"), ("lesser general public license", "3", "LGPL-3.0", "29 june 2007"), ("affero general public license", "3", "AGPL-3.0", "19 november 2007"),
+)
+#: Licences by names that a sentence may give them. Fixed values.
+NAMES = {
+    "MIT": ("mit license",), "Apache-2.0": ("apache license version 2.0", "apache license 2.0", "apache 2.0 license"), "BSD": ("bsd license",), "BSD-2-Clause": ("bsd 2 clause license", "simplified bsd license"), "BSD-3-Clause": ("bsd 3 clause license", "new bsd license"), "ISC": ("isc license",), "MPL-2.0": ("mozilla public license version 2.0", "mozilla public license 2.0", "mpl 2.0"),
+    "EPL-2.0": ("eclipse public license version 2.0", "eclipse public license 2.0"), "EPL-1.0": ("eclipse public license version 1.0", "eclipse public license 1.0"), "GPL-2.0": ("gnu general public license version 2", "gnu general public license v 2.0", "gnu gpl v 2", "gpl v 2"), "GPL-3.0": ("gnu general public license version 3", "gnu general public license v 3.0", "gnu gpl v 3", "gpl v 3"),
+    "LGPL-2.1": ("gnu lesser general public license version 2.1", "lgpl v 2.1"), "LGPL-3.0": ("gnu lesser general public license version 3", "lgpl v 3"), "AGPL-3.0": ("gnu affero general public license version 3", "agpl v 3"), "Unlicense": ("unlicense",), "CC0-1.0": ("cc 0 1.0", "cc 0 1.0 universal", "creative commons zero v 1.0 universal"), "BSL-1.0": ("boost software license version 1.0",), "Zlib": ("zlib license",),
+    "CC-BY-4.0": ("cc by 4.0", "creative commons attribution 4.0 international license"), "CC-BY-SA-4.0": ("cc by sa 4.0", "creative commons attribution sharealike 4.0 international license"), "CC-BY-NC-4.0": ("cc by nc 4.0", "creative commons attribution noncommercial 4.0 international license"), "CC-BY-ND-4.0": ("cc by nd 4.0",), "CC-BY-NC-SA-4.0": ("cc by nc sa 4.0",), "CC-BY-NC-ND-4.0": ("cc by nc nd 4.0",),
+}
+#: What a sentence that names a licence says of it. Fixed values.
+FRAMES = ("licensed under the {}", "licensed under {}", "licensed under a {}", "released under the {}", "released under {}", "distributed under the {}", "available under the {}", "made available under the {}", "this project is licensed under the {}", "this work is licensed under the {}", "this work is licensed under a {}", "this software is licensed under the {}", "this file is licensed under the {}", "this project is released under the {}", "this software is released under the {}", "use of this source code is governed by the {}")
+#: Identifiers that may follow ``SPDX-License-Identifier:``. Fixed values.
+SPDX = "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 EPL-1.0 EPL-2.0 EUPL-1.2 GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 OpenSSL PostgreSQL Python-2.0 Unlicense UPL-1.0 Vim WTFPL X11 Zlib ZPL-2.1".split()
+WORD = r"[a-z]+(?:/[a-z]+)?|[0-9]+(?:\.[0-9]+)*"
+
+
+def generated() -> tuple[dict[str, str], list[tuple[str, str, tuple[str, ...]]]]:
+    """Sentences that follow a rule, and the rules for them."""
+    sentences, rules = {}, []
+    for name, version, licence, date in GNU:
+        terms = f"redistribute it and/or modify it under the terms of the gnu {name}"
+        by = "as published by the free software foundation"
+        later, only = f"{licence}-later", f"{licence}-only"
+        for what in ("this program", "this library", "this file", "this software"):
+            for start in (f"{what} is free software you can ", "you can "):
+                sentences[f"{start}{terms} {by} either version {version} of the license or at your option any later version"] = later
+                sentences[f"{start}{terms} version {version} {by}"] = sentences[f"{start}{terms} {by} version {version}"] = sentences[f"{start}{terms} {by} version {version} of the license"] = only
+            sentences[f"you should have received a copy of the gnu {name} along with {what}"] = "gpl-copy"
+        sentences[f"see the gnu {name} for more details"] = "gpl-see"
+        sentences[f"gnu {name} version {version} {date}"] = f"{licence}-title"
+        rules += [(f"{licence}-or-later", "text", (later,)), (f"{licence}-only", "text", (only,)), (licence, "reference", (f"{licence}-title",))]
+    for licence, names in NAMES.items():
+        rules.append((licence, "reference", (f"{licence}-named",)))
+        sentences |= {frame.format(name): f"{licence}-named" for frame in FRAMES for name in names}
+    for licence in SPDX:
+        rules.append((licence, "reference", (f"spdx-{licence}",)))
+        sentences["spdx license identifier " + " ".join(regex.findall(WORD, licence.lower()))] = f"spdx-{licence}"
+    return sentences, rules
+
+
 #: Sentences with a free part: (first word, pattern, identifier). Fixed values.
 PATTERNS = (
+    ("if", r"if a copy of the mpl was not distributed with this file you can obtain one at .{1,80}", "mpl2-copy"),
+    ("to", r"to the extent possible under law .{1,80} (?:has|have) (?:waived|dedicated) all copyright and related (?:or|and) neighbou?ring rights to .{1,80}", "cc0-waive"),
+    ("this", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v |version )?2.0.{0,120}", "epl2-terms"),
+    ("this", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v |version )?1.0.{0,120}", "epl1-terms"),
     ("copyright", r"copyright (?:c )?(?:[0-9]{4} ?)*(?:by )?.{1,80}", "copyright"),
     ("neither", r"neither the name of .{1,80} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-endorse"),
 )
@@ -64,7 +125,12 @@ RULES = (
     ("GPL-3.0-or-later", "text", ("gpl-free", "gpl3-later", "gpl-hope")), ("GPL-3.0-or-later", "text", ("gpl3-later",)), ("GPL-3.0", "reference", ("gpl3-ref",)), ("GPL-3.0", "reference", ("gpl3-spdx",)), ("GPL-2.0", "reference", ("gpl2-ref",)),
     ("CC-BY-NC-4.0", "reference", ("ccbync4-ref",)), ("CC-BY-4.0", "reference", ("ccby4-ref",)), ("CC-BY-SA-4.0", "reference", ("ccbysa4-ref",)),
     ("BSD-3-Clause", "text", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")), ("BSD-2-Clause", "text", ("bsd-grant", "bsd-source", "bsd-binary")), ("BSD", "reference", ("bsd-ref",)), ("MPL-2.0", "reference", ("mpl2-ref",)), ("public-domain", "reference", ("pd-ref",)), ("all-rights-reserved", "notice", ("reserved",)),
+    ("ISC", "text", ("isc-grant", "isc-asis", "isc-liable")), ("ISC", "text", ("isc-grant",)), ("ISC", "reference", ("isc-title",)), ("0BSD", "text", ("0bsd-grant",)), ("Unlicense", "text", ("unlicense-free", "unlicense-grant")), ("Unlicense", "text", ("unlicense-free",)), ("Unlicense", "reference", ("unlicense-title",)),
+    ("MPL-2.0", "text", ("mpl2-form", "mpl2-copy")), ("MPL-2.0", "text", ("mpl2-form",)), ("CC0-1.0", "text", ("cc0-waive",)), ("CC0-1.0", "reference", ("cc0-title",)), ("EPL-2.0", "text", ("epl2-terms",)), ("EPL-2.0", "reference", ("epl2-ref",)), ("EPL-1.0", "text", ("epl1-terms",)),
 )
+_MADE = generated()
+SENTENCES = _MADE[0] | SENTENCES  # what stands in the table by itself comes first
+RULES += tuple(_MADE[1])
 GAP = 3
 
 
@@ -76,7 +142,7 @@ def beginnings() -> set[str]:
 
 @cache
 def tools() -> tuple:
-    return regex.compile(HINT, regex.I), regex.compile(r"(?<=[.!?;])\s+"), regex.compile(r"[a-z]+(?:/[a-z]+)?|[0-9]+(?:\.[0-9]+)*"), [(w, regex.compile(p), i) for w, p, i in PATTERNS]
+    return regex.compile(HINT, regex.I), regex.compile(r"(?<=[.!?;])\s+"), regex.compile(WORD), [(w, regex.compile(p), i) for w, p, i in PATTERNS]
 
 
 def normalised(sentence: str) -> str:

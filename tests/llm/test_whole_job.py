@@ -98,6 +98,45 @@ def test_wrapped_licences(spark):
     assert LR.scanned(wrapped(APACHE, 75))[1] == ["apache2-ref", "apache-use", "apache-copy", "apache-asis", "apache-see"]
 
 
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} for more details.
+
+You should have received a copy of the GNU {} along with this program. If not, see <https://www.gnu.org/licenses/>."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+CC0 = "To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights to This Work."
+EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"
+
+
+def gnu(name, version):
+    return GPL.format(name, version, name, name)
+
+
+def test_standard_texts_are_named():
+    texts = {
+        "MIT": "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + MIT, "Apache-2.0": APACHE, "BSD-3-Clause": BSD, "GPL-3.0-or-later": gnu("General Public License", "3"), "GPL-2.0-or-later": gnu("General Public License", "2").replace("software: you", "software; you"),
+        "LGPL-2.1-or-later": gnu("Lesser General Public License", "2.1").replace("program", "library"), "AGPL-3.0-or-later": gnu("Affero General Public License", "3"), "ISC": "Copyright (c) 2020, Jane Doe\n\n" + ISC, "Unlicense": UNLICENSE, "MPL-2.0": MPL, "CC0-1.0": CC0, "EPL-2.0": EPL,
+    }
+    for name, text in texts.items():
+        for width in (45, 75, 5000):
+            for mark in ("", "# ", " * "):
+                assert LR.scanned(wrapped(text, width, mark))[0] == [name], (name, width, mark, LR.scanned(wrapped(text, width, mark)))
+
+
+def test_identifiers_and_names_are_found():
+    for name in LR.SPDX:
+        assert LR.scanned(f"// SPDX-License-Identifier: {name}\nint x;")[0] == [name], name
+    lines = {"This project is licensed under the ISC License.": "ISC", "Released under the BSD 3-Clause License": "BSD-3-Clause", "Licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1", "This work is licensed under CC0 1.0.": None, "Licensed under CC0 1.0.": "CC0-1.0", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0"}
+    for line, name in lines.items():
+        assert LR.scanned(line)[0] == ([name] if name else []), line
+
+
 def test_recovery_leaves_out_what_any_label_names(spark, sf_dir):
     rows = catalog.queries()["recover_anti_join_whole"](spark, sf_dir).collect()
     docs, labels = ({r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").collect()} for t in ("documents", "labels"))
