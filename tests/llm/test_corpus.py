@@ -4,11 +4,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+import xxhash
 from brute import frame
 
 from pyspark.sql import functions as F
 
 from finquery.llm import license_rules as LR
+from finquery.llm import mixing as MX
 from finquery.llm import separator_scan as SS
 from finquery.llm import token_output as TO
 from finquery.llm.mixing import TARGETS, mixed_rates, realised
@@ -187,6 +190,49 @@ def test_rates_meet_targets_and_keep_clean_documents(spark):
     assert (r.rate >= 0).all() and (r[kind < 8].rate >= 1).all()
 
 
+def test_rates_against_brute_force(spark):
+    rows, labels = corpus(600)
+    docs, told = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = MX.fitted(spark, docs, told)
+    weights = {k % 2**64: (low, toxic) for k, low, toxic in zip(model.keys, model.low, model.toxic, strict=True) if k}
+    got = mixed_rates(spark, docs, told).toPandas().sort_values("doc_id")
+    p, n = [], []
+    for _, text in rows:
+        words = regex.sub(r"([^\p{L}\s]+)", r" \1 ", text.lower()).split()
+        found = [weights.get(xxhash.xxh64_intdigest(w.encode(), 42), (0, 0)) for w in set(words)]
+        e = np.exp([0, sum(a for a, _ in found) / MX.UNIT + model.prior[0], sum(b for _, b in found) / MX.UNIT + model.prior[1]])
+        p.append(e / e.sum())
+        n.append(len(words))
+    p, n = np.array(p), np.array(n, float)
+    assert np.allclose(got[["p_clean", "p_low", "p_toxic"]].to_numpy(), p, atol=1e-9) and (got.n_tokens == n).all()
+    # Projected gradient on the rates themselves, in small steps.
+    now = (n[:, None] * p).sum(axis=0)
+    goal, rate = now * [TARGETS[d] for d in MX.DOMAINS], np.ones(len(n))
+    for _ in range(5000):
+        rate = np.maximum(0, rate - 0.2 * (p * (((rate * n) @ p - goal) / now)).sum(axis=1))
+    assert np.allclose(got.rate, rate, atol=2e-3)
+
+
+def test_targets_as_shares_of_the_output(spark):
+    rows, labels = corpus(600)
+    r = mixed_rates(spark, frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), shares={"clean": 0.9, "low": 0.08, "toxic": 0.02}, total=0.8).toPandas()
+    out = [(r.rate * r.n_tokens * r[f"p_{d}"]).sum() for d in MX.DOMAINS]
+    assert np.array(out) / sum(out) == pytest.approx([0.9, 0.08, 0.02], abs=0.002) and sum(out) == pytest.approx(0.8 * r.n_tokens.sum(), rel=0.002)
+
+
+def test_targets_that_no_rates_meet_are_told(spark):
+    docs, labels = frame(spark, [(k, "same words in all of them") for k in range(60)]), spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="no rates meet"):
+        mixed_rates(spark, docs, labels, targets={"clean": 2.0, "low": 0.5, "toxic": 1.0})
+
+
+def test_every_feature_has_its_place():
+    rng = random.Random(4)
+    weights = [(rng.getrandbits(64) - 2**63, k + 1, -k) for k in range(MX.FEATURES)]
+    model = MX.Model(weights, (0.0, 0.0))
+    assert {(h, a, b) for h, a, b in zip(model.keys, model.low, model.toxic, strict=True) if h} == set(weights)
+
+
 def test_mixing_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = mixed_rates(spark, frame(spark, [(1, None), (2, ""), (3, "a b ***"), (3, "a b ***"), (4, "x " * 5000)]), none).collect()

@@ -40,9 +40,59 @@ def test_pipeline_joins_near_copies_of_five_words_at_80_percent(spark):
     assert got == {i for i, least in want.items() if i == least}
 
 
-def leaked(spark, item, texts):
+def leaked(spark, item, texts, **options):
     bench = spark.createDataFrame([(1, item, "x")], "item_id long, text string, h string")
-    return {r["doc_id"]: r["verbatim"] for r in leaks(spark, frame(spark, list(enumerate(texts))), bench).collect()}
+    return {r["doc_id"]: r["verbatim"] for r in leaks(spark, frame(spark, list(enumerate(texts))), bench, **options).collect()}
+
+
+STRETCHES = {"one_to_one": False, "stretches": True}
+
+
+def test_stretches_leak_where_values_meet_or_part(spark):
+    item = "A farmer keeps 40 cows in the north field and 2 goats near the old barn and sells some of them each week in town"
+    assert leaked(spark, item, [item.replace("40", "90").replace("2 goats", "90 goats")], **STRETCHES) == {0: False}
+    item = "In the quiet garden there are 5 birds on the fence and under the tall green tree sleep 5 cats while it rains all day long"
+    assert leaked(spark, item, [item.replace("5 birds", "6 birds"), item, item.replace("garden", "park").replace("fence", "wall").replace("tree", "oak").replace("rains", "snows")], **STRETCHES) == {0: False, 1: True}
+
+
+NAMES = ["Tom", "Lisa", "Omar", "Ann", "Carla", "Dave", "Igor", "Mei", "Noor", "Paul"]
+NOUNS = ["apples", "coins", "stones", "books", "tickets", "chairs", "letters", "boats", "lamps", "shirts", "bottles", "cards"]
+PLACES = ["market", "station", "garden", "school", "harbour", "library", "museum", "bakery", "office", "farm"]
+VERBS = ["buys", "sells", "carries", "counts", "hides", "finds", "paints", "breaks", "borrows", "loses"]
+
+
+def problem(rng):
+    """A word problem as a list of literal words and slots (kind, number of the value)."""
+    out = []
+    for k in range(rng.randrange(3, 6)):
+        out += [("p", rng.randrange(2)), rng.choice(VERBS), ("n", 2 * k), rng.choice(NOUNS), "near", "the", rng.choice(PLACES), "and", "then", "walks", ("n", 2 * k + 1), rng.choice(["km", "miles", "minutes", "hours"]), "to", "the", rng.choice(PLACES) + "."]
+    return out
+
+
+def told(parts, rng, most):
+    values: dict = {}
+    return " ".join(x if isinstance(x, str) else values.setdefault(x, rng.choice(NAMES) if x[0] == "p" else str(rng.randrange(1, most))) for x in parts)
+
+
+def test_recall_on_questions_with_other_values(spark):
+    rng = random.Random(12)
+    problems = [problem(rng) for _ in range(60)]
+    bench = spark.createDataFrame([(k, told(p, rng, 40), "x") for k, p in enumerate(problems)], "item_id long, text string, h string")
+    prose = lambda n: " ".join(rng.choice(NOUNS + PLACES + VERBS + NAMES + ["the", "a", "of", "7"]) for _ in range(n))
+    docs, want = [], {}
+    for k, p in enumerate(problems):
+        for few in (40, 4):  # with few numbers values meet by chance
+            i = len(docs)
+            docs.append((i, f"{prose(30)} {told(p, rng, few)} {prose(30)}"))
+            want[i] = k
+        i = len(docs)
+        docs.append((i, f"{prose(10)} {told(p[: len(p) * 2 // 3], rng, 40)} {prose(10)}"))  # a part of it
+        want[i] = k
+    clean = [(10_000 + k, prose(120)) for k in range(100)]
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(spark, frame(spark, docs + clean), bench, **STRETCHES).collect()}
+    caught = sum((i, k) in got for i, k in want.items()) / len(want)
+    assert caught >= 0.9, caught
+    assert not [i for i, _ in got if i >= 10_000]
 
 
 def test_items_rich_in_numbers_leak(spark):
