@@ -622,8 +622,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
-    name = f"{label}_{uuid.uuid4().hex}"
-    return jobs.run_once(stream, name, f"{shared_folder(spark)}/{name}")
+    return jobs.run_once(stream, f"{shared_folder(spark)}/{label}_{uuid.uuid4().hex}")
 
 
 @query(STATE_SQL)
@@ -632,6 +631,13 @@ def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(spark, state, "job_state")
 
 
+@query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 60 MINUTES THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_event_type, count(*) AS n_events, epoch_us(max(ts) + INTERVAL 60 MINUTES) AS expires_us FROM s GROUP BY user_id, k")
+def stream_session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of each stretch of a job, with a watermark that lets a stream forget what has expired."""
+    state = jobs.latest_state_of_sessions(event_stream(spark, sf_dir), "user_id", "ts", F.struct("ts", "event_id"), "event_type", late="10 minutes")
+    return drained(spark, state.select("user_id", "last_event_type", "n_events", F.unix_micros("expires_at").alias("expires_us")), "session_state")
+
+
 @query(SESSIONS_SQL)
 def stream_job_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = jobs.idle_sessions(event_stream(spark, sf_dir), "user_id", "ts", late="10 minutes")

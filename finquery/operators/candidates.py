@@ -46,8 +46,8 @@ def coerce_confidence(value: Column) -> Column:
 def allowed_only(candidates: DataFrame, allowed: DataFrame) -> DataFrame:
     """Candidates whose (page_type, field_code) the allow-list holds; page types that it does not name pass."""
     named = allowed.select("page_type").distinct()
-    listed = candidates.join(F.broadcast(allowed), ["page_type", "field_code"], "left_semi")  # fixed reference rows
-    return listed.unionByName(candidates.join(F.broadcast(named), "page_type", "left_anti"))
+    listed = candidates.join(allowed, ["page_type", "field_code"], "left_semi")
+    return listed.unionByName(candidates.join(named, "page_type", "left_anti"))
 
 
 def split_valid(candidates: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:

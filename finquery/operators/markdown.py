@@ -12,6 +12,7 @@ from finquery.functions.amounts import parse_decimal_amount
 from finquery.functions.text import label_similarity, normalize_ocr_label
 from finquery.operators.candidates import mapped
 
+MOST_WORDINGS = 1000
 TABLE_LINE, RULE_LINE = r"^\|(.+)\|\s*$", r"^\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"
 
 
@@ -75,11 +76,17 @@ def preferred_amount(values: Column, order: list[str] | None = None) -> Column:
 def best_wording(labels: DataFrame, label: str, wordings: DataFrame, least: float = 0.7) -> DataFrame:
     """For each distinct label the code of its most similar wording (``ord, code, alias``), the first of equals, from ``least`` on.
 
-    The wordings are a fixed list, so each label is compared with a bounded number of them.
+    The wordings are a fixed list of at most ``MOST_WORDINGS``, so that each label is compared with a bounded number of them, in its own row.
     """
-    scored = labels.select(label).distinct().join(F.broadcast(wordings)).withColumn("score", label_similarity(F.col(label), F.col("alias")))
-    best = scored.groupBy(label).agg(F.max_by(F.struct("code", "score"), F.struct("score", -F.col("ord"))).alias("b"))
-    return best.select(label, F.when(F.col("b.score") >= least, F.col("b.code")).alias("code"), F.col("b.score").alias("score"))
+    listed = wordings.select("ord", "code", "alias").limit(MOST_WORDINGS + 1).collect()
+    if len(listed) > MOST_WORDINGS:
+        raise ValueError(f"more than {MOST_WORDINGS} wordings")
+    if not listed:
+        return labels.select(label, F.lit(None).cast("string").alias("code"), F.lit(None).cast("double").alias("score")).distinct()
+    known = F.array(*(F.struct(F.lit(-r["ord"]).alias("place"), F.lit(r["code"]).alias("code"), F.lit(r["alias"]).alias("alias")) for r in listed))
+    best = F.array_max(F.transform(known, lambda w: F.struct(label_similarity(F.col(label), w["alias"]).alias("score"), w["place"].alias("place"), w["code"].alias("code"))))
+    scored = labels.select(label).distinct().withColumn("b", best)
+    return scored.select(label, F.when(F.col("b.score") >= least, F.col("b.code")).alias("code"), F.col("b.score").alias("score"))
 
 
 def amount_conflicts(rows: DataFrame, *keys: str) -> DataFrame:

@@ -15,8 +15,22 @@ def progress_percent(page: Column, total: Column) -> Column:
 
 
 def latest_state(events: DataFrame, job: str, at: Column, *values: str) -> DataFrame:
-    """For each job the last value of each column that is not null, and how many events there were; batch or stream."""
-    return events.groupBy(job).agg(*(F.max_by(F.col(v), F.when(F.col(v).isNotNull(), at)).alias(f"last_{v}") for v in values), F.count("*").alias("n_events"))
+    """For each job the last value of each column that is not null, and how many events there were; batch or stream.
+
+    A stream keeps a state for every job it has seen; where jobs do not come to
+    an end by themselves use `latest_state_of_sessions`.
+    """
+    return _latest(events, job, at, values)
+
+
+def latest_state_of_sessions(events: DataFrame, job: str, ts: str, at: Column, *values: str, minutes: int = 60, late: str | None = None) -> DataFrame:
+    """`latest_state` for each stretch of a job's events without a gap of ``minutes``, with ``expires_at``. With a watermark of ``late`` a stream forgets what has expired."""
+    rows = events.withWatermark(ts, late) if late else events
+    return _latest(rows.withColumn("_w", F.session_window(ts, f"{minutes} minutes")), [job, "_w"], at, values).withColumn("expires_at", F.col("_w.end")).drop("_w")
+
+
+def _latest(events: DataFrame, keys: str | list[str], at: Column, values: tuple[str, ...]) -> DataFrame:
+    return events.groupBy(keys).agg(*(F.max_by(F.col(v), F.when(F.col(v).isNotNull(), at)).alias(f"last_{v}") for v in values), F.count("*").alias("n_events"))
 
 
 def replay(events: DataFrame, job: str, *order: str, most: int = BUFFER) -> DataFrame:
@@ -42,8 +56,20 @@ def result_gate(status: Column) -> Column:
     return F.when(status.isNull(), 404).when(status == "completed", 200).when(status == "failed", 422).otherwise(409)
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Drain what is there into a memory table and return it."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """Drain what is there into Parquet below ``path`` (a folder that all executors share) and return it.
+
+    Each batch is a table of its own, so that a batch that runs again replaces
+    what it wrote. In complete mode the last batch is the result, else all are.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/rows") if query.lastProgress else stream.sparkSession.createDataFrame([], stream.schema.add("batch", "long"))
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        rows = rows.where(F.col("batch") == F.lit(last))
+    return rows.drop("batch")
