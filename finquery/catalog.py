@@ -527,6 +527,18 @@ def recover_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recover.united(have, shown).select("doc_id", "field_code", "recovered", "n_recovered")
 
 
+@query("""WITH l AS (SELECT DISTINCT doc_id, quality = 1 AS good FROM labels), p AS (SELECT doc_id, doc_id % 4 AS k, coalesce(bool_or(good), false) AS sales, coalesce(bool_or(NOT coalesce(good, false)) FILTER (l.doc_id IS NOT NULL), false) AS purchases, count(l.doc_id) > 0 AS told FROM documents LEFT JOIN l USING (doc_id) GROUP BY doc_id),
+    r AS (SELECT *, k = 0 AND NOT sales AS a, k = 2 AND NOT purchases AS b FROM p)
+    SELECT doc_id, CASE WHEN a THEN CAST('1234567.89' AS DECIMAL(24,4)) END AS sales, CASE WHEN b THEN CAST('45000.50' AS DECIMAL(24,4)) END AS purchases, CASE WHEN a OR b THEN 5.0 ELSE 0.0 END::DOUBLE AS completeness, CASE WHEN a OR b THEN 1 ELSE 0 END::BIGINT AS n_recovered FROM r WHERE told OR a OR b""")
+def pages_to_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From pages to output fields: types, bounds, what the native text adds, picks and completeness. The labels stand for candidates that no rule accepts."""
+    text = F.concat(F.expr(choice("doc_id % 4", NATIVE)), F.lit("\n"), F.coalesce("text", F.lit("")))
+    shown = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), text.alias("native_text"))
+    found = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("seq"), F.when(F.col("quality") == 1, "CHIFFRE_AFFAIRES").otherwise("ACHATS_REVENDUS").alias("field_code"), F.lit("0,00").alias("raw_value"), F.lit("N").alias("period"), F.lit("DETAIL").alias("nature"), F.lit(0.9).alias("confidence"), F.lit(1).alias("page_number"), F.lit("CPC").alias("page_type"), F.lit("Ligne illisible").alias("raw_label"), F.lit("TOTAL_EXERCICE_N").alias("column_role"), F.lit(None).cast("string").alias("column_name"), F.lit("").alias("source_excerpt"), F.array().cast("array<string>").alias("warnings"))
+    out = lambda code: F.filter("outputs", lambda o: o["code"] == code)[0]["value"]
+    return lifecycle.results_from_pages(found, shown).select("doc_id", out("CHIFFRE_AFFAIRES").alias("sales"), out("ACHATS_REVENDUS").alias("purchases"), "completeness", F.col("n_recovered").cast("long").alias("n_recovered"))
+
+
 @query()
 def native_amounts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All amounts of every document's text and every page's html. The pattern looks around itself, which the SQL of the twins cannot: tested against Python."""
