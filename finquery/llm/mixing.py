@@ -4,8 +4,9 @@ A naive Bayes classifier over the presence of words, fitted on labelled rows, gi
 document a posterior over three domains: clean, low (quality 0) and toxic.
 Non-negative rates then make the expected tokens of each domain, summed over
 documents as rate x tokens x posterior, match targets: projected gradient steps
-minimise the weighted squares of the gaps, each step one pass over the compact
-table of posteriors that returns three sums. A document's rate follows from its
+minimise the squares of the gaps (in a norm that makes all directions equally
+steep), each step one pass over the compact table of posteriors that returns
+three sums. A document's rate follows from its
 own posterior and the few past gaps, so no rate is stored between steps.
 """
 
@@ -31,6 +32,8 @@ SURE, COMMON, FEATURES = 5.5, 0.02, 4096
 LONG_TEXT = 1 << 24
 #: Gaps stand still when a step changes each by less than this part of what counts as close.
 STILL = 1e-2
+#: Keeps the matrix of a step invertible where a domain has next to nothing.
+RIDGE = 1e-5
 
 
 def marked_words(text: Column) -> Column:
@@ -139,16 +142,18 @@ def rate_of(steps: list[tuple[float, ...]]) -> Column:
     return F.expr(f"aggregate({past}, 1.0D, (r, c) -> greatest(0.0D, r - (p_clean * c[0] + p_low * c[1] + p_toxic * c[2])))")
 
 
-def largest_eigenvalue(h: list[list[float]]) -> float:
-    v, norm = [1.0] * len(h), 1.0
-    for _ in range(100):
-        v = [sum(a * b for a, b in zip(row, v, strict=True)) for row in h]
-        norm = max(map(abs, v)) or 1.0
-        v = [x / norm for x in v]
-    return norm
+def solved(h: list[list[float]], g: list[float]) -> list[float]:
+    """x with h x = g, for a small symmetric positive h, by elimination."""
+    rows = [[*row, x] for row, x in zip(h, g, strict=True)]
+    for k in range(len(rows)):
+        for j in range(len(rows)):
+            if j != k:
+                by = rows[j][k] / rows[k][k]
+                rows[j] = [x - by * y for x, y in zip(rows[j], rows[k], strict=True)]
+    return [row[-1] / row[k] for k, row in enumerate(rows)]
 
 
-def mixed_rates(spark: SparkSession, documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most_steps: int = 200, close: float = 1e-4, shares: dict[str, float] | None = None, total: float = 1.0) -> DataFrame:
+def mixed_rates(spark: SparkSession, documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most_steps: int = 40, close: float = 1e-4, shares: dict[str, float] | None = None, total: float = 1.0) -> DataFrame:
     """``doc_id, n_tokens, p_clean, p_low, p_toxic, rate`` for each row of ``documents``.
 
     ``targets``: expected tokens of each domain as multiples of what is there
@@ -156,8 +161,7 @@ def mixed_rates(spark: SparkSession, documents: DataFrame, labels: DataFrame, ta
     of ``total`` times the tokens that are there now. Steps end when every gap
     is below ``close`` of its domain's tokens, or when the gaps do not change
     any more, as no rates meet the targets: that is the least squares' answer,
-    and a warning tells its gaps. Without either within ``most_steps`` an error
-    is raised.
+    and a warning tells its gaps, as it does if ``most_steps`` are over before.
 
     Null and empty texts have no tokens, the prior as posterior, and a rate like
     any other. Repeated rows each count. Duplicate labels of a document: the
@@ -172,10 +176,9 @@ def mixed_rates(spark: SparkSession, documents: DataFrame, labels: DataFrame, ta
     share = [sums[a] / sums["n"] for a in p]
     goal = [shares[d] / sum(shares.values()) * total if shares else targets[d] * s for d, s in zip(DOMAINS, share, strict=True)]
     weight = [1 / max(s, 1e-9) for s in share]
-    # In the metric of tokens the least squares have this 3 x 3 matrix; the step is one over its largest eigenvalue.
-    h = [[sums[f"h{i}{j}"] / sums["n"] * math.sqrt(weight[i] * weight[j]) for j in range(3)] for i in range(3)]
-    step, steps, now = 1 / largest_eigenvalue(h), [], share
-    last = None
+    # The squares are taken in the norm of the inverse of this matrix, in which the gradient's constant is one: steps of one, none of them slow.
+    h = [[sums[f"h{i}{j}"] / sums["n"] * (1 + RIDGE * (i == j)) + RIDGE * RIDGE * (i == j) for j in range(3)] for i in range(3)]
+    steps, now, last = [], share, None
     for _ in range(most_steps):
         gap = [a - b for a, b in zip(now, goal, strict=True)]
         relative = [abs(g) * w for g, w in zip(gap, weight, strict=True)]
@@ -185,11 +188,11 @@ def mixed_rates(spark: SparkSession, documents: DataFrame, labels: DataFrame, ta
             warnings.warn(f"no rates meet the targets; gaps remain: {dict(zip(DOMAINS, gap, strict=True))}", stacklevel=2)
             break
         last = relative
-        steps.append(tuple(step * w * g for w, g in zip(weight, gap, strict=True)))
+        steps.append(tuple(solved(h, gap)))
         got = table.withColumn("r", rate_of(steps)).agg(*(F.sum(F.col("r") * F.col("n_tokens") * F.col(a)) for a in p)).first()
         now = [x / sums["n"] for x in got]
     else:
-        raise RuntimeError(f"the rates did not settle in {most_steps} steps")
+        warnings.warn(f"not settled in {most_steps} steps; gaps remain: {dict(zip(DOMAINS, [a - b for a, b in zip(now, goal, strict=True)], strict=True))}", stacklevel=2)
     return table.withColumn("rate", rate_of(steps))
 
 

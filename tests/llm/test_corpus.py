@@ -287,3 +287,26 @@ def test_pipeline(spark, sf_dir):
     assert sum(i in ids for i in toxic) <= 0.5 * len(toxic)
     whole = P.run(spark, sf_dir)
     assert {r["doc_id"] for r in whole.collect()} == ids
+
+
+def test_stages_on_awkward_documents(spark, tmp_path):
+    import corpus_pipeline as P
+
+    prose = " ".join(f"w{k * k % 97}" for k in range(60))
+    rows = [(1, None), (2, ""), (3, prose), (3, prose), (4, prose), (None, prose + " end"), (5, "x" * 300_000), (6, " ".join(f"v{k}" for k in range(30_000)))]
+    docs = frame(spark, rows)
+    spark.createDataFrame([(1, "a question that no document holds at all here", "x")], "item_id long, text string, h string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = lambda df: sorted((r["doc_id"] or 0) for r in df.select("doc_id").collect())
+    want = {"quality rules": None, "n-gram Jaccard join": [0, 1, 2, 3, 3, 5, 6], "benchmark decontamination": [0, 1, 2, 3, 3, 4, 5, 6]}
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.schema == docs.schema, name
+        assert set(ids(got)) <= {0, 1, 2, 3, 4, 5, 6}
+        if want.get(name):
+            assert ids(got) == want[name], name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    assert not {1, 2} & set(ids(P.quality(spark, docs, str(tmp_path))))
+    last = P.tokens(spark, docs, str(tmp_path)).collect()
+    assert len(last) == len(rows) and min(last, key=lambda r: r["start"])["doc_id"] is None
+    assert P.tokens(spark, docs.limit(0), str(tmp_path)).count() == 0
