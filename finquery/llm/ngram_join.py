@@ -180,63 +180,80 @@ def shared_sets(work: Scratch, documents: DataFrame, width: int, percent: int) -
     return work.table("docs", chunks.join(bits, "chunk", "left").select("doc_ids", "sizes", "texts", "bits").mapInArrow(told, "doc_id long, n long, a long, b long, s binary"))
 
 
+def joined_by(sig: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` nodes the smallest that signatures join it with; ``at``: the node of each signature."""
+    order = np.lexsort((at, sig))
+    sig, at = sig[order], at[order]
+    new = np.ones(len(sig), dtype=bool)
+    new[1:] = sig[1:] != sig[:-1]
+    head = at[np.flatnonzero(new)][np.cumsum(new) - 1]
+    known = Forest(n)
+    pairs = np.stack([head, at], axis=1)[head != at]
+    for x, y in np.unique(pairs, axis=0).tolist():
+        known.join(x, y)
+    return np.array([known.root(x) for x in range(n)], dtype=np.int64)
+
+
 def signature_links(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """``u, v``: links among documents (``doc_id, a, b, s``) whose components hold every linked pair of sets, by their smallest documents."""
+    """``u, v``: links among the documents of distinct sets (``doc_id, s``) whose components hold every linked pair.
+
+    Documents of one run that signatures join are joined there at once, and the
+    run then carries each signature once for all of them, so that a large group
+    costs about one link a document and few signatures a run.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted runs of signatures, cut at the bucket bounds. Of equal sets in a run the smallest document stands for all."""
-        classes: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        """Sorted runs of signatures with the smallest document of those that they join, cut at the bucket bounds; and the links within a run, in buckets below zero."""
+        ids: list[int] = []
+        parts: list[np.ndarray] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            sig = np.concatenate([x for _, x in classes.values()])
-            doc = np.repeat(np.array([i for i, _ in classes.values()], "<i8"), [len(x) for _, x in classes.values()])
-            order = np.argsort(sig, kind="stable")
-            sig, doc = sig[order], doc[order]
+            order = np.argsort(np.array(ids), kind="stable")
+            names = np.array(ids, "<i8")[order]
+            sig, at = np.concatenate([parts[k] for k in order]), np.repeat(np.arange(len(names)), [len(parts[k]) for k in order])
+            roots = joined_by(sig, at, len(names))
+            inner = np.flatnonzero(roots != np.arange(len(names)))
+            by = np.lexsort((roots[at], sig))
+            sig, doc = sig[by], names[roots[at]][by]
+            first = np.ones(len(sig), dtype=bool)
+            first[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
+            sig, doc = sig[first], doc[first]
             bucket = ((sig >> U64(32)) * U64(buckets)) >> U64(32)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(sig)]])
-            rows = []
+            rows = [(-1 - int(names[0]) % buckets, len(inner), 0, names[inner].tobytes() + names[roots[inner]].tobytes())] if len(inner) else []
             for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
                 low = int(doc[a:b].min())
                 rows.append((int(bucket[a]), b - a, low, packed(np.diff(sig[a:b], prepend=U64(0))) + packed((doc[a:b] - low).astype(U64))))
             return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 3 else pa.int64()) for k, x in enumerate(zip(*rows, strict=True))], ["bucket", "n", "low", "run"])
 
         for batch in batches:
-            for i, mark, raw in zip(batch.column("doc_id").to_pylist(), zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True), batch.column("s").to_pylist(), strict=True):
-                known = classes.get(mark)
-                if known is None:
-                    classes[mark] = i, signatures(np.frombuffer(raw, U64), percent)
-                    size += len(classes[mark][1])
-                elif i < known[0]:
-                    classes[mark] = i, known[1]
+            for i, raw in zip(batch.column("doc_id").to_pylist(), batch.column("s").to_pylist(), strict=True):
+                ids.append(i)
+                parts.append(signatures(np.frombuffer(raw, U64), percent))
+                size += len(parts[-1])
             if size >= RUN:
                 yield out()
-                classes.clear()
-                size = 0
-        if classes:
+                ids, parts, size = [], [], 0
+        if ids:
             yield out()
 
     def link(cells: pd.DataFrame) -> pd.DataFrame:
+        if cells["bucket"].iloc[0] < 0:
+            pairs = [np.frombuffer(raw, "<i8").reshape(2, -1) for raw in cells["run"]]
+            return pd.DataFrame(dict(zip(("u", "v"), np.concatenate(pairs, axis=1), strict=True)))
         sig, doc = [], []
         for n, low, raw in zip(cells["n"], cells["low"], cells["run"], strict=True):
             keys, at = unpacked(raw, 0, n)
             sig.append(np.cumsum(keys, dtype=U64))
             doc.append(unpacked(raw, at, n)[0].astype(np.int64) + low)
         sig, doc = np.concatenate(sig), np.concatenate(doc)
-        order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
-        new = np.ones(len(sig), dtype=bool)
-        new[1:] = sig[1:] != sig[:-1]
-        head = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        nodes, at = np.unique(np.stack([head, doc])[:, head != doc], return_inverse=True)
-        known = Forest(len(nodes))
-        for x, y in np.unique(at.reshape(2, -1), axis=1).T.tolist():
-            known.join(x, y)
-        roots = np.array([known.root(x) for x in range(len(nodes))], dtype=np.int64)
+        nodes, at = np.unique(doc, return_inverse=True)
+        roots = joined_by(sig, at, len(nodes))
         inner = roots != np.arange(len(nodes))
         return pd.DataFrame({"u": nodes[inner], "v": nodes[roots[inner]]}).astype("int64")
 
-    return docs.select("doc_id", "a", "b", "s").mapInArrow(deal, "bucket long, n long, low long, run binary").groupBy("bucket").applyInPandas(link, "u long, v long").distinct()
+    return docs.select("doc_id", "s").mapInArrow(deal, "bucket long, n long, low long, run binary").groupBy("bucket").applyInPandas(link, "u long, v long").distinct()
 
 
 def components(work: Scratch, name: str, links: DataFrame) -> DataFrame:
@@ -395,7 +412,9 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, width: int = 3
     sets_here = docs.where("n > 0 and doc_id is not null")
     classes = work.table("classes", sets_here.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
     # A set of n shingles has about n signatures at most.
-    able = docs.where("s is not null")
+    # Sets that can link, each once. Merged at every size: what is broadcast must not follow the corpus.
+    able = docs.where("s is not null").join(classes.select(F.col("rep").alias("doc_id"), "a", "b").hint("merge"), ["doc_id", "a", "b"], "left_semi").dropDuplicates(["doc_id"])
+    able = work.table("able", able.select("doc_id", "a", "b", "n", "s"))
     buckets = max(parts, -(-(able.agg(F.sum("n")).first()[0] or 0) // BUCKET))
     blocks = components(work, "blocks", signature_links(able, percent, buckets))
     in_block = work.table("in_block", classes.join(blocks, F.col("rep") == F.col("node")).select("a", "b", "rep", "n", F.col("comp").alias("block")))
@@ -411,7 +430,6 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, width: int = 3
         for batch in batches:
             yield batch.append_column("p", pa.array([counts_of(np.frombuffer(s, U64)).tolist() for s in batch.column("s").to_pylist()], pa.list_(pa.int32())))
 
-    # Merged at every size: what is broadcast must not follow the corpus.
     whole = able.select(F.col("doc_id").alias("rep"), "a", "b", "s").join(leaves.select("rep", "a", "b", "block", "leaf").hint("merge"), ["rep", "a", "b"]).select("rep", "block", "leaf", "s")
     sets = work.table("sets", whole.mapInArrow(pointed, "rep long, block long, leaf long, s binary, p array<int>"))
 
