@@ -41,10 +41,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, name: str, df: DataFrame, *partition: str, **options: object) -> DataFrame:
-        """Write ``df`` and return the written table."""
+    def table(self, name: str, df: DataFrame, *partition: str, batch: int = 1000, **options: object) -> DataFrame:
+        """Write ``df`` and return the written table. ``batch``: rows that go to Python at once."""
         writer = df.write.mode("overwrite").options(compression="zstd", **options)
-        with small_batches(self.spark):
+        with small_batches(self.spark, batch):
             (writer.partitionBy(*partition) if partition else writer).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
