@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finquery.llm.alignment import alignment
 from finquery.llm.fingerprint_index import remove_repeats
 from finquery.llm.license_rules import licences
 from finquery.llm.mixing import mixed_rates
 from finquery.llm.ngram_join import jaccard_components
 from finquery.llm.pii import personal_data_digest
+from finquery.llm.prefix_trie import prefix_trie
 from finquery.llm.quality_mcd import quality_rules
 from finquery.llm.separator_scan import token_counts
 from finquery.llm.template_decontam import decontaminated
@@ -72,6 +74,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(spark, documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))[0]
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top, beside the driver entry
 
@@ -79,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    operators = (op1_quality_rules, op2_licences, op3_token_counts, op4_remove_repeats, op5_jaccard_components, op6_decontaminated, op7_url_rules, op8_mixed_rates, op9_token_output, op10_personal_data)
+    operators = (op1_quality_rules, op2_licences, op3_token_counts, op4_remove_repeats, op5_jaccard_components, op6_decontaminated, op7_url_rules, op8_mixed_rates, op9_token_output, op10_personal_data, op11_prefix_trie, op13_alignment)
     return {f.__name__: f for f in (*operators, pipeline)}
 
 
@@ -110,6 +120,24 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT rep AS node, rep AS seen FROM g UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.seen),
             c AS (SELECT node, min(seen) AS comp FROM r GROUP BY node)
             SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(c.comp, s.doc_id) AS component_id FROM s LEFT JOIN g ON g.sh = s.sh LEFT JOIN c ON c.node = g.rep""",
+        "op11_prefix_trie": """
+            WITH c AS (
+                SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+                    lambda crc, b: list_reduce(list_prepend(xor(crc, b), CAST(range(8) AS BIGINT[])), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h
+                FROM conversations WHERE conv_id IS NOT NULL),
+            t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+            r AS (
+                SELECT c.conv_id, 1 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+                UNION ALL SELECT c.conv_id, 2, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+            l AS (SELECT c.conv_id, coalesce(list({'role': role, 'text': text} ORDER BY part, pos) FILTER (WHERE part IS NOT NULL), []) AS turns FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+            p AS (SELECT conv_id, len(turns) AS last, unnest(range(0, len(turns) + 1)) AS depth, turns FROM l),
+            m AS (SELECT conv_id, depth, last, sha256(CAST(to_json(turns[1:depth]) AS VARCHAR)) AS node, CASE WHEN depth > 0 THEN sha256(CAST(to_json(turns[1:depth - 1]) AS VARCHAR)) END AS parent, CASE WHEN depth > 0 THEN length(turns[depth].text) ELSE 0 END AS n FROM p),
+            g AS (SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS owner, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS saved, max(last) = depth AS leaf,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last = depth), '')) AS ends_sha256 FROM m GROUP BY node, depth),
+            below AS (SELECT DISTINCT a.node AS top, a.depth AS top_depth, b.node, b.depth FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+            s AS (SELECT top, top_depth, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE leaf) AS n_leaves, count(*) FILTER (WHERE g.depth = top_depth + 1) AS n_children FROM below JOIN g USING (node, depth) GROUP BY top, top_depth)
+            SELECT g.owner AS conv_id, CAST(g.depth AS BIGINT) AS depth, up.owner AS parent_conv_id, g.n_convs, s.n_children, s.n_leaves, s.saved_tokens, g.ends_sha256
+            FROM g JOIN s ON s.top = g.node AND s.top_depth = g.depth LEFT JOIN g up ON up.node = g.parent AND up.depth = g.depth - 1""",
         "op7_url_rules": f"""
             WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
             r(verdict, rule, rhost, rpath) AS (VALUES {rules}),
