@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from finquery.llm.fingerprint_index import remove_repeats
 from finquery.llm.license_rules import licences
 from finquery.llm.mixing import mixed_rates
 from finquery.llm.ngram_join import jaccard_components
+from finquery.llm.packing import packed
 from finquery.llm.pii import personal_data_digest
 from finquery.llm.prefix_trie import prefix_trie
 from finquery.llm.quality_mcd import quality_rules
@@ -78,6 +81,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            crc = pa.array([zlib.crc32(x.as_buffer()) for x in batch.column("ids")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")), crc], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32"])
+
+    pieces = packed(spark, documents(spark, sf_dir), tokenizer_path(), size=2048, end_id=1)
+    return pieces.mapInArrow(digest, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(spark, documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))[0]
 
@@ -89,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    operators = (op1_quality_rules, op2_licences, op3_token_counts, op4_remove_repeats, op5_jaccard_components, op6_decontaminated, op7_url_rules, op8_mixed_rates, op9_token_output, op10_personal_data, op11_prefix_trie, op13_alignment)
+    operators = (op1_quality_rules, op2_licences, op3_token_counts, op4_remove_repeats, op5_jaccard_components, op6_decontaminated, op7_url_rules, op8_mixed_rates, op9_token_output, op10_personal_data, op11_prefix_trie, op12_packing, op13_alignment)
     return {f.__name__: f for f in (*operators, pipeline)}
 
 
