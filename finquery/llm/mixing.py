@@ -3,15 +3,19 @@
 A naive Bayes classifier over the presence of words, fitted on labelled rows, gives each
 document a posterior over three domains: clean, low (quality 0) and toxic.
 Non-negative rates then make the expected tokens of each domain, summed over
-documents as rate x tokens x posterior, match targets: projected gradient steps
-minimise the squares of the gaps (in a norm that makes all directions equally
-steep), each step one pass over the compact table of posteriors that returns
-three sums. A document's rate follows from its
+documents as rate x tokens x posterior, match targets. What rates can reach is
+the cone of the posteriors; the least squares' answer is the point of it that
+is nearest to the targets (`nearest`, a few passes that each return one row).
+Projected gradient steps then lead the rates there, preconditioned so that all
+directions are equally steep: where a point can be reached, its gaps vanish in
+any norm. Each step is one pass over the compact table of posteriors that
+returns three sums. A document's rate follows from its
 own posterior and the few past gaps, so no rate is stored between steps.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import warnings
 
@@ -153,15 +157,53 @@ def solved(h: list[list[float]], g: list[float]) -> list[float]:
     return [row[-1] / row[k] for k, row in enumerate(rows)]
 
 
+def combined(points: list[list[float]], goal: list[float]) -> tuple[list[list[float]], list[float]]:
+    """Of at most four points those (three at most, apart in direction) whose nonnegative combination is nearest to ``goal``, and that combination."""
+    best: tuple[float, list[list[float]], list[float]] = (sum(g * g for g in goal), [], [0.0] * len(goal))
+    for some in (list(c) for k in (1, 2, 3) for c in itertools.combinations(points, k)):
+        gram = [[sum(a * b for a, b in zip(x, y, strict=True)) for y in some] for x in some]
+        try:
+            w = solved(gram, [sum(a * b for a, b in zip(x, goal, strict=True)) for x in some])
+        except ZeroDivisionError:  # one of them is a multiple of another
+            continue
+        at = [sum(v * x[d] for v, x in zip(w, some, strict=True)) for d in range(len(goal))]
+        away = sum((a - g) ** 2 for a, g in zip(at, goal, strict=True))
+        if min(w) >= 0 and away < best[0] - 1e-15:
+            best = away, some, at
+    return best[1], best[2]
+
+
+def nearest(table: DataFrame, goal: list[float], rounds: int = 40) -> list[float]:
+    """The point nearest to ``goal``, by least squares, of all that nonnegative rates can reach.
+
+    Active sets: the document whose posterior lies farthest towards what is
+    missing joins the (at most three) that hold the point, until none does any
+    more. One pass a round; three rounds or four are usual.
+    """
+    p, held, at = [f"p_{d}" for d in DOMAINS], [], [0.0] * len(DOMAINS)
+    for _ in range(rounds):
+        missing = [g - a for g, a in zip(goal, at, strict=True)]
+        towards = " + ".join(f"{c} * {m!r}D" for c, m in zip(p, missing, strict=True))
+        found = table.where("n_tokens > 0").agg(F.max(F.struct(F.expr(towards).alias("v"), *p)).alias("x")).first()["x"]
+        if found is None or found["v"] <= 1e-9:
+            break
+        held, point = combined([*held, [found[c] for c in p]], goal)
+        if max(abs(a - b) for a, b in zip(point, at, strict=True)) < 1e-12:
+            break
+        at = point
+    return at
+
+
 def mixed_rates(spark: SparkSession, documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most_steps: int = 40, close: float = 1e-4, shares: dict[str, float] | None = None, total: float = 1.0) -> DataFrame:
     """``doc_id, n_tokens, p_clean, p_low, p_toxic, rate`` for each row of ``documents``.
 
     ``targets``: expected tokens of each domain as multiples of what is there
     now. ``shares`` in its place: each domain's share of the expected output,
-    of ``total`` times the tokens that are there now. Steps end when every gap
-    is below ``close`` of its domain's tokens, or when the gaps do not change
-    any more, as no rates meet the targets: that is the least squares' answer,
-    and a warning tells its gaps, as it does if ``most_steps`` are over before.
+    of ``total`` times the tokens that are there now. Where no rates meet the
+    targets, the nearest totals by least squares take their place, and a warning
+    tells the gaps. Steps end when every gap to what can be met is below
+    ``close`` of its domain's tokens, or with a warning when gaps do not change
+    any more or ``most_steps`` are over.
 
     Null and empty texts have no tokens, the prior as posterior, and a rate like
     any other. Repeated rows each count. Duplicate labels of a document: the
@@ -176,7 +218,11 @@ def mixed_rates(spark: SparkSession, documents: DataFrame, labels: DataFrame, ta
     share = [sums[a] / sums["n"] for a in p]
     goal = [shares[d] / sum(shares.values()) * total if shares else targets[d] * s for d, s in zip(DOMAINS, share, strict=True)]
     weight = [1 / max(s, 1e-9) for s in share]
-    # The squares are taken in the norm of the inverse of this matrix, in which the gradient's constant is one: steps of one, none of them slow.
+    met = nearest(table, goal)
+    if max(abs(a - b) * w for a, b, w in zip(met, goal, weight, strict=True)) > close:
+        warnings.warn(f"no rates meet the targets; gaps remain: {dict(zip(DOMAINS, [a - b for a, b in zip(met, goal, strict=True)], strict=True))}", stacklevel=2)
+        goal = met
+    # Preconditioned by the inverse of this matrix, gradient steps have a constant of one, and none of them is slow.
     h = [[sums[f"h{i}{j}"] / sums["n"] * (1 + RIDGE * (i == j)) + RIDGE * RIDGE * (i == j) for j in range(3)] for i in range(3)]
     steps, now, last = [], share, None
     for _ in range(most_steps):
@@ -185,7 +231,7 @@ def mixed_rates(spark: SparkSession, documents: DataFrame, labels: DataFrame, ta
         if max(relative) < close:
             break
         if last is not None and max(abs(a - b) for a, b in zip(relative, last, strict=True)) < close * STILL:
-            warnings.warn(f"no rates meet the targets; gaps remain: {dict(zip(DOMAINS, gap, strict=True))}", stacklevel=2)
+            warnings.warn(f"the gaps stand still: {dict(zip(DOMAINS, gap, strict=True))}", stacklevel=2)
             break
         last = relative
         steps.append(tuple(solved(h, gap)))

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finquery.llm.scratch import Scratch, with_columns_of
@@ -35,12 +35,14 @@ BITS = 1 << 20
 #: Units, as words after a number. Fixed values.
 UNITS = "km|cm|mm|m|kg|g|mg|lb|lbs|oz|l|ml|mi|mile|miles|meter|meters|metre|metres|feet|foot|ft|inch|inches|hour|hours|h|minute|minutes|min|second|seconds|s|day|days|week|weeks|month|months|year|years|dollar|dollars|usd|euro|euros|eur|cent|cents|percent|degrees|mph|kmh"
 TEMPLATES = (1, 2)
+#: Stands for the words of the first template with their values.
+VERBATIM = 3
 OPEN, VALUE, CLOSE = "\u0001", "\u0002", "\u0003"
 #: What a text must hold for a pattern to be tried, the pattern, and what takes its place, in order.
 MARKS = (
     (lambda t: F.lit(True), r"[\s\p{Z}&&[^ ]][\s\p{Z}]*+| [\s\p{Z}]++", " "),
     (lambda t: F.contains(t, F.lit(OPEN)) | F.contains(t, F.lit(VALUE)) | F.contains(t, F.lit(CLOSE)), r"[\u0001-\u0003]", " "),
-    (lambda t: t.rlike("[0-9]"), r"(?<![\p{L}\p{N}])[0-9]+(?:[.,][0-9]+)*(?![\p{N}])", f"{OPEN}n{VALUE}$0{CLOSE}"),
+    (lambda t: t.rlike("[0-9]"), r"(?<![\p{L}\p{N}])[0-9]++(?:[.,][0-9]++)*+(?![\p{N}])", f"{OPEN}n{VALUE}$0{CLOSE}"),
     (lambda t: F.contains(t, F.lit(CLOSE)), rf"(?<={CLOSE}|{CLOSE} )(?i:{UNITS})(?![\p{{L}}\p{{N}}])", f"{OPEN}u{VALUE}$0{CLOSE}"),
     (lambda t: F.lit(True), r" (?<=[\p{Ll},;:] )(\p{Lu}\p{L}*+)", f" {OPEN}p{VALUE}$1{CLOSE}"),
     (lambda t: F.lit(True), r"(?<![\p{L}\p{N}\u0002])(\p{Lu}\p{L}*+)", f"{OPEN}q{VALUE}$1{CLOSE}"),
@@ -95,13 +97,15 @@ def slots_at(pos: str, words: str, n: str) -> str:
     return f"regexp_extract_all(array_join(slice({words}, {pos} + 1, {n}), ' '), '{VALUE}([^{CLOSE}]*){CLOSE}', 1)"
 
 
-def windows(rows: DataFrame, bitmaps: dict[int, list[int]], key: str) -> DataFrame:
-    """``key, pos, width, h, slots``: the windows of both templates whose bit is set in the bitmap of their width.
+def windows(rows: DataFrame, bitmaps: dict[int, list[int]], verbatim: dict[int, list[int]], key: str) -> DataFrame:
+    """``key, pos, width, h, slots``: the windows of both templates whose bit is set in the bitmap of their width, and those of the words with their values for the widths of ``verbatim``.
 
     ``explode_outer``, as for ``explode`` Spark would make all windows once more, to see whether there are any.
     """
     made = []
-    for t in TEMPLATES:
+    if verbatim:
+        rows = rows.withColumns({f"w{VERBATIM}": F.expr(split_words("m1")), f"m{VERBATIM}": F.col("m1")})
+    for t, bitmaps in (*((t, bitmaps) for t in TEMPLATES), *([(VERBATIM, verbatim)] if verbatim else [])):
         rows = with_hashes(rows, f"w{t}", sorted(bitmaps), f"h{t}_")
         for n, bits in bitmaps.items():
             table = f"cast(split('{','.join(map(str, bits))}', ',') as array<bigint>)"
@@ -146,8 +150,10 @@ def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, width
     also asks that a value of the document stands for one value of the item.
 
     Items shorter than ``width`` words are sought as whole windows of their own
-    length; items with fewer than ``LITERALS`` words that are no slots match
-    nothing. Windows count that hold ``LITERALS`` such words. An item leaks at
+    length. Items with fewer than ``LITERALS`` words that are no slots have no
+    template to speak of: they are sought with their values, all windows of
+    them; fewer than ``LITERALS`` words of any kind (a lone number, say) match
+    nothing. ``verbatim``: the windows of a run or of all such stretches have the item's values. Windows count that hold ``LITERALS`` such words. An item leaks at
     ``enough`` windows, or all if it has fewer; an item without any that count
     leaks as a whole. Null and empty texts hold nothing and leak nothing; a
     document without an id leaks nothing that could be told. Repeated rows of a
@@ -156,14 +162,18 @@ def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, width
     work = Scratch(spark, "leaks")
     made = template_words(with_columns_of(benchmark, item_id="long", text="string"))
     made = made.select("item_id", F.explode(F.array(*(F.struct(F.lit(t).alias("template"), F.col(f"w{t}").alias("w"), F.expr(split_words(f"m{t}")).alias("f")) for t in TEMPLATES))).alias("x"), F.col("w1").alias("other")).select("item_id", "x.template", "x.w", "x.f", "other").where("template = 1 or w <> other").drop("other")
-    items = work.table("items", made.withColumn("n_words", F.size("w")).withColumn("enough", F.lit(enough)).where(F.size(F.filter("w", lambda x: (~x.contains(OPEN)))) >= LITERALS))
-    widths = sorted(r[0] for r in items.select(F.least("n_words", F.lit(width)).alias("n")).distinct().collect())  # at most `width` values
+    literal = F.size(F.filter("w", lambda x: ~x.contains(OPEN))) >= LITERALS
+    told = made.withColumn("n_words", F.size("w")).withColumn("enough", F.lit(enough)).withColumn("literal", F.max(literal).over(Window.partitionBy("item_id")))  # two templates an item
+    bare = told.where((~F.col("literal")) & (F.col("template") == 1) & (F.col("n_words") >= LITERALS)).withColumns({"template": F.lit(VERBATIM), "w": F.col("f")})
+    items = work.table("items", told.where(literal).unionByName(bare))
+    widths = [(r["v"], r["n"]) for r in items.select((F.col("template") == VERBATIM).alias("v"), F.least("n_words", F.lit(width)).alias("n")).distinct().orderBy("v", "n").collect()]  # at most twice `width` values
     if not widths:
         return spark.createDataFrame([], "doc_id long, item_id long, n_windows long, verbatim boolean")
-    parts = [item_windows(items.where(F.least("n_words", F.lit(width)) == n), n) for n in widths]
+    parts = [item_windows(items.where((F.least("n_words", F.lit(width)) == n) & ((F.col("template") == VERBATIM) == v)), n) for v, n in widths]
     sought = work.table("windows", reduce(DataFrame.unionByName, parts))
     docs = template_words(with_columns_of(documents, doc_id="long", text="string").where("doc_id is not null"))
-    found = windows(docs, {n: bitmap(sought.where(F.col("width") == n)) for n in widths}, "doc_id").join(sought, ["width", "h"])
+    bits = {(v, n): bitmap(sought.where((F.col("width") == n) & ((F.col("template") == VERBATIM) == v))) for v, n in widths}
+    found = windows(docs, *({n: x for (v, n), x in bits.items() if v == kind} for kind in (False, True)), "doc_id").join(sought, ["width", "h"])
     pairs = F.expr("zip_with(item_slots, slots, (a, b) -> named_struct('item', a, 'doc', b))")
     # A diagonal holds at most the windows of one item.
     diagonals = found.groupBy("doc_id", "item_id", "template", "need", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.array_sort(F.collect_set(F.struct("rank", pairs.alias("pairs")))).alias("hits")).where("size(array_distinct(hits.rank)) >= need")
