@@ -13,7 +13,7 @@ from finquery.functions.text import label_similarity, normalize_ocr_label
 from finquery.operators.candidates import mapped
 
 MOST_WORDINGS = 1000
-TABLE_LINE, RULE_LINE = r"^\|(.+)\|\s*$", r"^\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"
+TABLE_LINE, RULE_LINE = r"^\|(.+)\|\s*$", r"^\|?+\s*+:?+-{3,}+:?+\s*+(?:\|\s*+:?+-{3,}+:?+\s*+)++\|?+\s*+$"
 
 
 def section_of(text: Column) -> Column:
