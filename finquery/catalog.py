@@ -22,7 +22,7 @@ from finquery.plans import lifecycle
 from finquery.plans.synthetic import CODES, ORDER, WRONG_LABEL, candidates, candidates_sql, choice, written
 from finquery.shared import shared_folder
 from finquery.sources import payload
-from finquery.streaming import jobs
+from finquery.streaming import job_table, jobs, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -656,6 +656,111 @@ def stream_job_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(spark, sessions.select("user_id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("expires_at").alias("expires_us"), "n_events"), "job_sessions")
 
 
+#: Events of the table as events of jobs, each user a job.
+KINDS = {"signup": "pages_rendered", "view": "page_extracted", "click": "page_skipped", "error": "job_failed", "purchase": "result_ready"}
+KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in KINDS.items()) + " END"
+
+
+def job_events(rows: DataFrame) -> DataFrame:
+    kind = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[F.col("event_type")]
+    return rows.select("user_id", "ts", "event_id", kind.alias("event"), kind.alias("event_type"), (F.col("event_id") % 13).alias("page"), F.when(kind == "pages_rendered", F.col("event_id") % 4 * 4).alias("count")).withColumn("page", F.when(F.col("event").startswith("page_"), F.col("page")))
+
+
+SILENCE, LATE = 1500, 10
+SERVER_EVENTS_SQL = f"""
+    WITH e AS (SELECT user_id, ts, event_id, {KIND_SQL} AS event, epoch_us(ts) AS us FROM events),
+    g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3600000000 THEN 0 ELSE 1 END AS new, lead(us) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM e),
+    k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g),
+    l AS (SELECT *, min(us) OVER (PARTITION BY user_id, k) AS life, coalesce(sum(CASE WHEN event IN ('result_ready', 'job_failed') THEN 1 END) OVER (PARTITION BY user_id, k ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM k),
+    m AS (SELECT max(epoch_ms(ts)) - {LATE} * 60000 AS mark FROM events),
+    r AS (SELECT user_id, life, ts, event_id AS of, 0 AS place, us AS at_us, event_id, event FROM l WHERE done = 0
+        UNION ALL SELECT user_id, life, ts, event_id, n, us + n * {SILENCE} * 1000000, NULL, 'keepalive' FROM l, m, range(1, 3600 // {SILENCE} + 2) t(n)
+            WHERE done = 0 AND event NOT IN ('result_ready', 'job_failed') AND us + n * {SILENCE} * 1000000 <= coalesce(after, mark * 1000))
+    SELECT user_id, life, row_number() OVER (PARTITION BY user_id, life ORDER BY ts, of, place) AS number, CAST(at_us AS BIGINT) AS at_us, event_id, event FROM r"""
+
+
+@query(SERVER_EVENTS_SQL)
+def stream_server_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a subscriber of every job sees, by keyed state and timers: events until an end, keep-alive rows in silence."""
+    with live.keyed_state(spark):
+        rows = live.server_events(job_events(event_stream(spark, sf_dir)), "user_id", late=f"{LATE} minutes", silence=SILENCE)
+        shown = jobs.run_once(rows, f"{shared_folder(spark)}/server_events_{uuid.uuid4().hex}", mode="append")
+    return shown.select("user_id", "life", "number", F.unix_micros("at").alias("at_us"), "event_id", "event")
+
+
+@query(SERVER_EVENTS_SQL)
+def job_server_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the table, by windows."""
+    rows = job_events(events(spark, sf_dir))
+    mark = rows.agg((F.max(F.unix_millis("ts")) - LATE * 60_000)).first()[0]
+    shown = live.server_events_of(rows, "user_id", F.lit(mark), silence=SILENCE)
+    return shown.select("user_id", "life", "number", F.unix_micros("at").alias("at_us"), "event_id", "event")
+
+
+STATES_SQL = f"""
+    WITH e AS (SELECT user_id, ts, event_id, {KIND_SQL} AS event, CASE WHEN event_type IN ('view', 'click') OR event_type = 'signup' THEN event_id % 13 END AS page, CASE WHEN event_type = 'signup' THEN event_id % 4 * 4 END AS n FROM events),
+    p AS (SELECT * REPLACE (CASE WHEN starts_with(event, 'page_') THEN page END AS page) FROM e),
+    g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 60 MINUTES THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g),
+    l AS (SELECT *, last_value(n IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS total FROM k QUALIFY k = max(k) OVER (PARTITION BY user_id)),
+    t AS (SELECT * REPLACE (last_value(n IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total) FROM l),
+    c AS (SELECT *, CASE WHEN page IS NOT NULL AND total > 0 THEN least(80, 15 + (70 * page) // total) WHEN event = 'pages_rendered' THEN 15 WHEN event = 'result_ready' THEN 100 END AS pct FROM t)
+    SELECT user_id, coalesce(arg_max(CASE event WHEN 'result_ready' THEN 'completed' ELSE 'failed' END, (ts, event_id)) FILTER (WHERE event IN ('result_ready', 'job_failed')), 'queued') AS status,
+        arg_max(CASE event WHEN 'pages_rendered' THEN 'rendering' WHEN 'result_ready' THEN 'completed' WHEN 'job_failed' THEN 'failed' ELSE 'extracting_page' END, (ts, event_id)) AS step,
+        CAST(coalesce(arg_max(pct, (ts, event_id)) FILTER (WHERE pct IS NOT NULL), 0) AS INT) AS progress_pct, CAST(arg_max(page, (ts, event_id)) FILTER (WHERE page IS NOT NULL) AS INT) AS current_page,
+        CAST(arg_max(total, (ts, event_id)) FILTER (WHERE total IS NOT NULL) AS INT) AS pages_total, count(*) FILTER (WHERE event = 'page_extracted') AS pages_financial, count(*) FILTER (WHERE event = 'page_skipped') AS pages_skipped,
+        count(*) FILTER (WHERE event = 'page_failed') AS pages_failed, epoch_us(min(ts)) AS created_us, epoch_us(max(ts)) AS updated_us, count(*) AS n_events FROM c GROUP BY user_id"""
+
+
+def shown_states(states: DataFrame) -> DataFrame:
+    return states.withColumns({"created_us": F.unix_micros("created_at"), "updated_us": F.unix_micros("updated_at")}).drop("created_at", "updated_at")
+
+
+@query(STATES_SQL)
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each job's last life, folded at once."""
+    return shown_states(job_table.folded(job_events(events(spark, sf_dir)), "user_id", "ts", "event_id"))
+
+
+@query(f"SELECT * FROM ({STATES_SQL}) WHERE updated_us >= (SELECT epoch_us(max(ts)) FROM events) - 3600000000")
+def job_table_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job table after a quarter of the time span's events each, merged batch by batch; a batch that comes again changes nothing, idle jobs go."""
+    rows = job_events(events(spark, sf_dir))
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    kept = job_table.JobTable(spark, f"{shared_folder(spark)}/jobs_{uuid.uuid4().hex}", "user_id")
+    for batch in (0, 1, 1, 2, 3):
+        begin, end = (first + (last - first) * k / 4 for k in (batch, batch + 1))
+        kept.merge(rows.where((F.col("ts") >= F.lit(begin)) & ((F.col("ts") < F.lit(end)) | F.lit(batch == 3))), batch, "ts", "event_id")
+    return shown_states(kept.read())
+
+
+@query(f"SELECT user_id, count(*) AS n_events, max(event_id) AS last_event FROM events GROUP BY user_id HAVING arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type IN ('purchase', 'error')) = 'purchase'")
+def stream_result_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of completed jobs through the gate into JSON files, by a stream whose batch is delivered twice; read back."""
+    path = f"{shared_folder(spark)}/results_{uuid.uuid4().hex}"
+    sink = job_table.ResultSink(spark, f"{path}/results", "user_id")
+
+    def write(batch: DataFrame, number: int) -> None:
+        states = job_table.folded(batch, "user_id", "ts", "event_id", minutes=1 << 30)
+        results = batch.groupBy("user_id").agg(F.count("*").alias("n_events"), F.max("event_id").alias("last_event"))
+        for _ in range(2):
+            sink.write(results, states, number)
+
+    jobs.run_each(job_events(event_stream(spark, sf_dir)), f"{path}/checkpoint", write)
+    return sink.read("user_id long, n_events long, last_event long")
+
+
+@query("""WITH h AS (SELECT * FROM events WHERE event_id < (SELECT count(*) // 2 FROM events)), r AS (SELECT event_id, user_id, 'replayed' AS part FROM h QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5)
+    SELECT * FROM r UNION ALL SELECT event_id, user_id, 'live' FROM events e WHERE event_id > coalesce((SELECT max(event_id) FROM h WHERE h.user_id = e.user_id), -1)""")
+def stream_hand_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replay of what had come by the middle, then the live stream, without loss or repeat."""
+    rows = events(spark, sf_dir)
+    history = rows.where(F.col("event_id") < rows.count() // 2)
+    replayed, fresh = live.handed_over(history, event_stream(spark, sf_dir), "user_id", "event_id", most=5)
+    drained_ = jobs.run_once(fresh.select("event_id", "user_id"), f"{shared_folder(spark)}/hand_over_{uuid.uuid4().hex}", mode="append")
+    return replayed.select("event_id", "user_id", F.lit("replayed").alias("part")).unionByName(drained_.withColumn("part", F.lit("live")))
+
+
 # --- Sets ----------------------------------------------------------------------------------------------------------
 
 

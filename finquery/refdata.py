@@ -117,3 +117,20 @@ MEANINGFUL_CODES = {
     "ESG": ["CAF", "FDR", "BFDR", "TRESORERIE_NETTE"],
 }
 MOST_ROWS = {"IDENTIFICATION": 20, "BILAN_ACTIF": 30, "BILAN_PASSIF": 30, "CPC": 40, "DETAIL_CPC": 15, "RESULTAT_FISCAL": 20, "ESG": 15}
+
+#: Of each event of a job: its step, its percentage where that is fixed, the status it brings.
+JOB_STEPS = {
+    "job_started": ("validating", 2, "processing"),
+    "pdf_validated": ("validating", 5, None),
+    "pages_rendered": ("rendering", 15, None),
+    "page_classified": ("classifying", None, None),
+    "page_extracted": ("extracting_page", None, None),
+    "page_skipped": ("extracting_page", None, None),
+    "page_failed": ("extracting_page", None, None),
+    "resolving_fields": ("resolving", 85, None),
+    "running_controls": ("controls", 92, None),
+    "result_ready": ("completed", 100, "completed"),
+    "job_failed": ("failed", None, "failed"),
+}
+#: Events that end a job's stream of events.
+LAST_EVENTS = ["result_ready", "job_failed"]

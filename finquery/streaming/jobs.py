@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,3 +75,8 @@ def run_once(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
         last = rows.agg(F.max("batch")).first()[0]
         rows = rows.where(F.col("batch") == F.lit(last))
     return rows.drop("batch")
+
+
+def run_each(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
+    """Drain what is there, batch by batch, into ``write(batch, number)``, which a batch that fails reaches again under its number."""
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
