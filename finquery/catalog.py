@@ -260,12 +260,17 @@ def candidate_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.repair(candidates(spark, sf_dir)).select("doc_id", "seq", "nature", F.col("column_role").alias("role"))
 
 
-@query(f"""WITH c AS ({SPARSE}), o AS (SELECT *, max(seq) OVER (PARTITION BY doc_id, field_code, raw_label, raw_value) AS last, min(seq) OVER (PARTITION BY doc_id, raw_label, raw_value) AS first FROM c)
+def label_sql(label: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(lower(strip_accents({label})), '[^a-z0-9_]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(f"""WITH c AS (SELECT *, {label_sql("raw_label")} AS label, {label_sql("raw_value")} AS amount FROM ({SPARSE})), o AS (SELECT *, max(seq) OVER (PARTITION BY doc_id, field_code, label, amount) AS last, min(seq) OVER (PARTITION BY doc_id, label, amount) AS first FROM c)
     SELECT doc_id, seq, CAST(CASE WHEN seq % 2 = 0 THEN last ELSE first END AS INT) AS origin FROM o""")
 def provenance_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The original of a value: by code, label and value the last row; where the code is unknown, by label and value the first."""
     rows = candidates(spark, sf_dir).select("doc_id", "seq", "field_code", "raw_label", "raw_value")
-    asked = rows.withColumn("field_code", F.when(F.col("seq") % 2 == 0, F.col("field_code")).otherwise("OTHER"))
+    written = F.when(F.col("seq") % 3 == 0, F.concat(F.upper("raw_label"), F.lit("  !"))).otherwise(F.col("raw_label"))
+    asked = rows.withColumns({"field_code": F.when(F.col("seq") % 2 == 0, F.col("field_code")).otherwise("OTHER"), "raw_label": written, "raw_value": F.concat(F.lit(" "), "raw_value")})
     return resolve.originals(asked, rows).select("doc_id", "seq", "origin")
 
 
@@ -464,7 +469,7 @@ PAGE_TEXTS = ["", "bilan actif immobilisations corporelles", "stocks et creances
 
 @query(f"""WITH RECURSIVE p AS (SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS n, (conv_id * 3 + turn * 7) % 10 AS k FROM conversations),
     f AS (SELECT doc_id, 0 AS n, CAST(NULL AS VARCHAR) AS prev, CAST(NULL AS VARCHAR) AS type FROM (SELECT DISTINCT doc_id FROM p)
-        UNION ALL SELECT doc_id, n, CASE WHEN type IN ('VIDE', 'AUTRE') THEN prev ELSE type END, type FROM (SELECT p.doc_id, p.n, f.prev, CASE p.k WHEN 0 THEN 'VIDE' WHEN 1 THEN 'BILAN_ACTIF' WHEN 2 THEN CASE WHEN prev = 'BILAN_ACTIF' THEN prev ELSE 'AUTRE' END WHEN 3 THEN 'BILAN_PASSIF' WHEN 4 THEN 'VIDE' WHEN 5 THEN 'CPC' WHEN 6 THEN 'ESG' WHEN 7 THEN CASE WHEN p.n < 2 THEN 'IDENTIFICATION' ELSE 'AUTRE' END WHEN 8 THEN 'AUTRE' ELSE 'DETAIL_CPC' END AS type FROM f JOIN p ON p.doc_id = f.doc_id AND p.n = f.n + 1))
+        UNION ALL SELECT doc_id, n, CASE WHEN type IN ('VIDE', 'AUTRE') THEN prev ELSE type END, type FROM (SELECT p.doc_id, p.n, f.prev, CASE p.k WHEN 0 THEN 'VIDE' WHEN 1 THEN 'BILAN_ACTIF' WHEN 2 THEN CASE WHEN prev = 'BILAN_ACTIF' THEN prev ELSE 'VIDE' END WHEN 3 THEN 'BILAN_PASSIF' WHEN 4 THEN 'VIDE' WHEN 5 THEN 'CPC' WHEN 6 THEN 'ESG' WHEN 7 THEN CASE WHEN p.n < 2 THEN 'IDENTIFICATION' ELSE 'VIDE' END WHEN 8 THEN 'VIDE' ELSE 'DETAIL_CPC' END AS type FROM f JOIN p ON p.doc_id = f.doc_id AND p.n = f.n + 1))
     SELECT doc_id, n AS page_number, type AS page_type FROM f WHERE n > 0""")
 def page_fold_sticky(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("page_number"), F.expr(choice("(conv_id * 3 + turn * 7) % 10", PAGE_TEXTS)).alias("native_text"))
@@ -504,7 +509,7 @@ def recover_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recover.recovered(shown, have).select("doc_id", "field_code", "page_number", "raw_value")
 
 
-@query("""WITH p AS (SELECT doc_id, doc_id % 4 AS k FROM documents), have AS (SELECT DISTINCT doc_id, CASE WHEN quality = 1 THEN 'CHIFFRE_AFFAIRES' ELSE 'ACHATS_REVENDUS' END AS code FROM labels),
+@query("""WITH p AS (SELECT doc_id, doc_id % 4 AS k FROM documents), raw AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'CHIFFRE_AFFAIRES' ELSE 'ACHATS_REVENDUS' END AS code FROM labels, range(2) t(i) WHERE i = 0 OR doc_id % 3 = 0), have AS (SELECT DISTINCT doc_id, code FROM raw),
     m AS (SELECT doc_id, CASE k WHEN 0 THEN 'CHIFFRE_AFFAIRES' WHEN 2 THEN 'ACHATS_REVENDUS' END AS code, CASE k WHEN 0 THEN '1 234 567,89' WHEN 2 THEN '45 000,50' END AS v FROM p WHERE k IN (0, 2))
     SELECT doc_id, code AS field_code, 1 AS page_number, v AS raw_value FROM m ANTI JOIN have USING (doc_id, code) UNION ALL SELECT doc_id, 'RESULTAT_EXPLOITATION', 1, '12 300,00' FROM p WHERE k = 3""")
 def recover_anti_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -515,15 +520,16 @@ def recover_anti_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recover.recovered(shown, have).select("doc_id", "field_code", "page_number", "raw_value")
 
 
-@query("""WITH p AS (SELECT doc_id, doc_id % 4 AS k FROM documents), have AS (SELECT DISTINCT doc_id, CASE WHEN quality = 1 THEN 'CHIFFRE_AFFAIRES' ELSE 'ACHATS_REVENDUS' END AS code FROM labels),
+@query("""WITH p AS (SELECT doc_id, doc_id % 4 AS k FROM documents), raw AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'CHIFFRE_AFFAIRES' ELSE 'ACHATS_REVENDUS' END AS code FROM labels, range(2) t(i) WHERE i = 0 OR doc_id % 3 = 0), have AS (SELECT DISTINCT doc_id, code FROM raw),
     m AS (SELECT doc_id, CASE k WHEN 0 THEN 'CHIFFRE_AFFAIRES' WHEN 2 THEN 'ACHATS_REVENDUS' END AS code FROM p WHERE k IN (0, 2)),
     r AS (SELECT doc_id, code, true AS recovered FROM m ANTI JOIN have USING (doc_id, code) UNION ALL SELECT doc_id, 'RESULTAT_EXPLOITATION', true FROM p WHERE k = 3), u AS (SELECT * FROM r UNION ALL SELECT doc_id, code, false FROM have)
-    SELECT doc_id, code AS field_code, recovered, count(CASE WHEN recovered THEN 1 END) OVER (PARTITION BY doc_id) AS n_recovered FROM u""")
+    SELECT doc_id, code AS field_code, recovered, greatest(count(*) OVER (PARTITION BY doc_id) - coalesce(n, 0), 0) AS n_recovered FROM u LEFT JOIN (SELECT doc_id, count(*) AS n FROM raw GROUP BY doc_id) USING (doc_id)""")
 def recover_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Found candidates (by the labels) with those that the pages still show, and how many came to each document."""
     text = F.concat(F.expr(choice("doc_id % 4", NATIVE)), F.lit("\n"), F.coalesce("text", F.lit("")))
     shown = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), F.lit("CPC").alias("page_type"), text.alias("native_text"))
     have = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("seq"), F.when(F.col("quality") == 1, "CHIFFRE_AFFAIRES").otherwise("ACHATS_REVENDUS").alias("field_code"), F.lit("N").alias("period"), F.lit("-").alias("raw_label"), F.lit("0,00").alias("raw_value"))
+    have = have.unionByName(have.where("doc_id % 3 = 0").withColumn("seq", F.lit(2)))  # some are read twice
     return recover.united(have, shown).select("doc_id", "field_code", "recovered", "n_recovered")
 
 
@@ -803,8 +809,9 @@ def attempt_meaningful(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.select("doc_id", pages.meaningful(F.expr(choice("doc_id % 4", SHOWN_TYPES)), F.col("codes")).alias("meaningful"))
 
 
-@query("""WITH p AS (SELECT user_id AS doc_id, event_id % 9 AS n, bool_or(event_type = 'error') AS skipped, sum(CASE WHEN event_type = 'purchase' THEN 3 ELSE 0 END) AS found, sum(CASE WHEN event_id % 5 > 0 THEN event_id % 100 END) AS ms FROM events GROUP BY 1, 2)
-    SELECT doc_id, count(CASE WHEN NOT skipped AND found > 0 THEN 1 END) AS n_processed, count(CASE WHEN skipped THEN 1 END) AS n_skipped, count(CASE WHEN NOT skipped AND found = 0 THEN 1 END) AS n_failed, CAST(sum(ms) AS BIGINT) AS latency_ms, coalesce(string_agg(CASE WHEN NOT skipped AND found = 0 THEN concat('page ', n, ': no rows') END, '; ' ORDER BY n), '') AS warnings FROM p GROUP BY doc_id""")
+@query("""WITH p AS (SELECT user_id AS doc_id, event_id % 9 AS n, bool_or(event_type = 'error') AS skipped, sum(CASE WHEN event_type = 'purchase' THEN 3 ELSE 0 END) AS found, sum(CASE WHEN event_id % 5 > 0 THEN event_id % 100 END) AS ms, max(CASE WHEN event_type = 'click' AND event_id % 2 = 0 THEN concat('timeout ', event_id % 3) END) AS error FROM events GROUP BY 1, 2),
+    q AS (SELECT *, NOT skipped AND found = 0 AND error IS NOT NULL AS failed FROM p)
+    SELECT doc_id, count(CASE WHEN NOT skipped AND NOT failed THEN 1 END) AS n_processed, count(CASE WHEN skipped THEN 1 END) AS n_skipped, count(CASE WHEN failed THEN 1 END) AS n_failed, CAST(sum(ms) AS BIGINT) AS latency_ms, coalesce(string_agg(CASE WHEN failed THEN concat('page ', n, ': ', error) END, '; ' ORDER BY n), '') AS warnings FROM q GROUP BY doc_id""")
 def page_audit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attempts = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 9).alias("page_number"), F.when(F.col("event_type") == "purchase", 3).otherwise(0).alias("n_rows"), F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 100).alias("latency_ms"), (F.col("event_type") == "error").alias("skipped"), F.lit(None).cast("string").alias("error"))
+    attempts = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 9).alias("page_number"), F.when(F.col("event_type") == "purchase", 3).otherwise(0).alias("n_rows"), F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 100).alias("latency_ms"), (F.col("event_type") == "error").alias("skipped"), F.when((F.col("event_type") == "click") & (F.col("event_id") % 2 == 0), F.concat(F.lit("timeout "), F.col("event_id") % 3)).alias("error"))
     return pages.page_counters(attempts).withColumn("warnings", F.array_join("warnings", "; "))

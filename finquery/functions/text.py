@@ -11,30 +11,86 @@ from pyspark.sql import functions as F
 from finquery.refdata import LABEL_FIXES
 
 
-@cache
-def accent_map() -> tuple[str, str]:
-    """Latin letters whose decomposition is one plain character and marks, and those characters."""
-    pairs = []
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]:
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(plain) == 1 and plain != chr(code):
-            pairs.append((chr(code), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def ranges(codes: list[int]) -> str:
+    """Ascending code points as the inside of a character class."""
+    parts, k = [], 0
+    while k < len(codes):
+        j = k
+        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
+            j += 1
+        parts.append(f"\\x{{{codes[k]:x}}}" + (f"-\\x{{{codes[j]:x}}}" if j > k else ""))
+        k = j + 1
+    return "".join(parts)
+
+
+HANGUL, LEADS, VOWELS, TAILS = 0xAC00, 19, 21, 28
+
+
+class Decompositions:
+    """What compatibility decomposition without combining characters makes of every code point, from the character database.
+
+    ``one``: characters that become one other; ``gone``: a class of those that
+    become nothing; ``several``: a class of those that become more, ``keys`` and
+    ``values`` of them. Korean syllables, the largest block, follow a formula.
+    """
+
+    def __init__(self) -> None:
+        one, several, gone = [], [], []
+        for code in range(0x80, 0x110000):
+            if HANGUL <= code < HANGUL + LEADS * VOWELS * TAILS or 0xD800 <= code < 0xE000:
+                continue
+            char = chr(code)
+            plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+            if plain == char:
+                continue
+            if not plain:
+                gone.append(code)
+            elif len(plain) == 1:
+                one.append((char, plain))
+            else:
+                several.append((char, plain))
+        self.one = "".join(a for a, _ in one), "".join(b for _, b in one)
+        self.gone = f"[{ranges(gone)}]"
+        self.keys, self.values = "".join(a for a, _ in several), "\u0001".join(b for _, b in several)
+        self.several = f"[{ranges(sorted([ord(a) for a, _ in several] + list(range(HANGUL, HANGUL + LEADS * VOWELS * TAILS))))}]"
+
+
+decompositions = cache(Decompositions)
+
+
+def letters_of(char: Column) -> Column:
+    """What one character becomes."""
+    d, code = decompositions(), F.ascii(char) - HANGUL
+    table = F.split(F.lit(d.values), "\u0001")
+    jamo = [F.lit("".join(chr(first + k) for k in range(n))) for first, n in ((0x1100, LEADS), (0x1161, VOWELS), (0x11A8, TAILS - 1))]
+    at = lambda k, place: F.substr(jamo[k], place.cast("int"), F.lit(1))
+    tail = code % TAILS
+    syllable = F.concat(at(0, F.floor(code / (VOWELS * TAILS)) + 1), at(1, F.floor(code % (VOWELS * TAILS) / TAILS) + 1), F.when(tail > 0, at(2, tail)).otherwise(""))
+    place = F.instr(F.lit(d.keys), char)
+    return F.when((code >= 0) & (code < LEADS * VOWELS * TAILS), syllable).when(place > 0, F.try_element_at(table, place)).otherwise(char)
 
 
 def plain_letters(text: Column) -> Column:
-    """Without accents: Latin letters by table, then any combining marks."""
-    return F.regexp_replace(F.translate(text, *accent_map()), r"\p{M}+", "")
+    """Compatibility decomposition (NFKD) without combining characters: most by one table, the rest, where a text has any, character by character."""
+    d = decompositions()
+    # The long classes are tried only where a short one finds characters above the usual Latin ones.
+    some = F.when(text.rlike(r"[\x{a8}-\x{be}\x{132}-\x{10ffff}]") & text.rlike(d.several), F.array_join(F.transform(F.split(text, ""), letters_of), "")).otherwise(text)
+    same = F.translate(some, *d.one)
+    return F.when(same.rlike(r"[\x{300}-\x{10ffff}]"), F.regexp_replace(same, d.gone, "")).otherwise(same)
 
 
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+#: Neither part of a word nor white space: like letters count numerals of any kind; marks, ties and joiners do not.
+MARK = r"(?U)[^\w\s\p{No}]|[\p{M}\p{Pc}\p{IsJoin_Control}\x{1f130}-\x{1f189}&&[^_]]"
+
+
 def normalize_label(label: Column) -> Column:
     """Accents, case, ligatures and marks folded away; null gives the empty string."""
     low = F.lower(plain_letters(F.coalesce(label, F.lit(""))))
-    return squeezed(F.regexp_replace(F.replace(F.replace(low, F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae")), r"(?U)[^\w\s]", " "))
+    return squeezed(F.regexp_replace(F.replace(F.replace(low, F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae")), MARK, " "))
 
 
 def normalize_ocr_label(label: Column) -> Column:

@@ -47,7 +47,7 @@ def purchases(text: Column) -> Column:
 
 
 def united(candidates: DataFrame, pages: DataFrame) -> DataFrame:
-    """Candidates with those that `recovered` adds, the first of equal ones each, and ``n_recovered``: how many more a document has than without.
+    """Candidates with those that `recovered` adds, the first of equal ones each, and ``n_recovered``: how many more a document has than it had rows before (equal ones counted each, so that rows which fall together are set against those that are found).
 
     Recovered rows come after all others of their document.
     """
@@ -56,7 +56,7 @@ def united(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number", "field_code"))  # a handful a page
     added = found.join(last, "doc_id", "left").withColumns({"seq": (F.coalesce("_last", F.lit(0)) + place).cast("int"), "period": F.lit("N"), "recovered": F.lit(True)}).drop("_last")
     whole = dedupe_candidates(candidates.withColumn("recovered", F.lit(False)).unionByName(added, allowMissingColumns=True))
-    counts = dedupe_candidates(candidates).groupBy("doc_id").agg(F.count("*").alias("_before"))
+    counts = candidates.groupBy("doc_id").agg(F.count("*").alias("_before"))
     more = whole.groupBy("doc_id").agg(F.count("*").alias("_after")).join(counts, "doc_id", "left").select("doc_id", F.greatest(F.col("_after") - F.coalesce("_before", F.lit(0)), F.lit(0)).alias("n_recovered"))
     return whole.join(more, "doc_id")
 

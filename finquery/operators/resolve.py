@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from finquery import refdata as R
 from finquery.functions.amounts import AMOUNT, amounts_agree, parse_decimal_amount, tolerance
-from finquery.functions.text import normalize_ocr_label
+from finquery.functions.text import normalize_label, normalize_ocr_label
 from finquery.operators.eligibility import labelled, names_revenue, priority, rejection_reasons
 
 TIE_BAND = 5.0
@@ -173,8 +173,15 @@ def provenance(values: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def originals(asked: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``asked`` (``doc_id, field_code, raw_label, raw_value``) with ``origin``, the ``seq`` of the candidate that it was: by code, label and value the last row; else by label and value the first."""
-    keys = ["doc_id", "raw_label", "raw_value"]
-    exact = candidates.groupBy("field_code", *keys).agg(F.max("seq").alias("_exact"))
-    wide = candidates.groupBy(*keys).agg(F.min("seq").alias("_wide"))
-    return asked.join(exact, ["field_code", *keys], "left").join(wide, keys, "left").withColumn("origin", F.coalesce("_exact", "_wide")).drop("_exact", "_wide")
+    """``asked`` (``doc_id, field_code, raw_label, raw_value``) with ``origin``, the ``seq`` of the candidate that it was: by code, label and value the last row; else by label and value the first.
+
+    Labels and values are compared as they normalise, and the two lines of the net result under its one code; null counts as empty.
+    """
+    keys = ["doc_id", "_label", "_value"]
+    folded = {"_label": normalize_label(F.col("raw_label")), "_value": normalize_label(F.col("raw_value"))}
+    rows = candidates.select("doc_id", F.col("field_code").alias("_code"), "seq", *(c.alias(k) for k, c in folded.items()))
+    exact = rows.groupBy("_code", *keys).agg(F.max("seq").alias("_exact"))
+    wide = rows.groupBy(*keys).agg(F.min("seq").alias("_wide"))
+    code = F.when(F.col("field_code").isin("RESULTAT_NET_XIII", "RESULTAT_NET_XVI"), "RESULTAT_NET").otherwise(F.col("field_code"))
+    found = asked.withColumns(folded | {"_code": code}).join(exact, ["_code", *keys], "left").join(wide, keys, "left")
+    return found.withColumn("origin", F.coalesce("_exact", "_wide")).drop("_exact", "_wide", "_code", "_label", "_value")

@@ -134,3 +134,7 @@ JOB_STEPS = {
 }
 #: Events that end a job's stream of events.
 LAST_EVENTS = ["result_ready", "job_failed"]
+
+#: Types that the next page goes by, and what a page is taken for after one of them where the connector says identification once more.
+PAGE_TYPES = ["IDENTIFICATION", "BILAN_ACTIF", "BILAN_PASSIF", "CPC", "DETAIL_CPC", "RESULTAT_FISCAL", "ESG"]
+GUESSED_NEXT = {"BILAN_ACTIF": "BILAN_PASSIF", "BILAN_PASSIF": "CPC", "CPC": "DETAIL_CPC"}

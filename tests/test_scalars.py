@@ -56,3 +56,25 @@ def test_folds(spark):
     rows = spark.createDataFrame([("Chiffres d'Affaires — 1",)], "t string")
     got = rows.select(X.fold_ascii(F.col("t")), X.fold_keep_marks(F.col("t"))).first()
     assert tuple(got) == ("chiffres d affaires 1", "chiffres d'affaires — 1")
+
+
+def test_labels_fold_like_the_character_database(spark):
+    """Every assigned code point, alone and within a word; those that this JVM's tables do not know yet are left out."""
+    import re
+    import unicodedata
+
+    from finquery.functions import text as X
+
+    def plain(text):
+        value = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower().replace("œ", "oe").replace("æ", "ae")
+        return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", value)).strip()
+
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    df = spark.createDataFrame([(c, f"a{chr(c)}b {chr(c)}") for c in codes], "code int, t string").repartition(4)
+    known = df.where(~F.substring("t", 2, 1).rlike(r"\p{Cn}")).select("code", "t", X.normalize_label(F.col("t")).alias("got")).toPandas()
+    assert len(known) > 140_000
+    wrong = [(hex(c), g, plain(t)) for c, t, g in known.itertuples(index=False) if g != plain(t)]
+    assert not wrong, (len(wrong), wrong[:20])
+    texts = ["ﬁnancier Ⅲ", "ＴＯＴＡＬ　ＧÉＮÉＲＡＬ", "한국어 각", "½ ㎏ ㍿", "é \U0001d400"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.normalize_label(F.col("t"))).collect()]
+    assert got == [plain(t) for t in texts]
