@@ -110,6 +110,25 @@ def label_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.best_wording(labels, "label", wordings).withColumn("score", F.round("score", 9))
 
 
+PART_SQL = "trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""
+    WITH p AS (SELECT DISTINCT p_partkey, {PART_SQL} AS label, string_split({PART_SQL}, ' ') AS w FROM part), l AS (SELECT DISTINCT label FROM p),
+    a AS (SELECT p_partkey AS ord, alias, alias AS code FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN w[1] || ' ' || w[len(w)] WHEN 1 THEN array_to_string(list_reverse(w), ' ') WHEN 2 THEN substr(label, 3, 9) ELSE label || ' x' END AS alias FROM p)),
+    t AS (SELECT *, list_distinct(string_split(label, ' ')) AS x, list_distinct(string_split(alias, ' ')) AS y, length(label)::DOUBLE AS n, length(alias)::DOUBLE AS m FROM l, a),
+    j AS (SELECT *, CAST(len(list_intersect(x, y)) AS DOUBLE) / (len(x) + len(y) - len(list_intersect(x, y))) AS jac FROM t),
+    s AS (SELECT label, ord, code, CASE WHEN label = '' OR alias = '' THEN 0 WHEN label = alias THEN 1 WHEN contains(label, alias) THEN 0.75 + 0.25 * (m / n) WHEN contains(alias, label) THEN CASE WHEN n / m >= 0.9 THEN 0.7 + 0.2 * (n / m) ELSE 0 END WHEN jac >= 0.5 THEN jac ELSE 0 END AS score FROM j),
+    r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, ord) AS k FROM s)
+    SELECT label, CASE WHEN score >= 0.7 THEN code END AS code, round(score, 9) AS score FROM r WHERE k = 1""")
+def label_similarity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All part names against as many wordings as there are parts, by the index."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", X.normalize_label(F.col("p_name")).alias("label")).withColumn("w", F.split("label", " "))
+    alias = F.when(F.col("p_partkey") % 4 == 0, F.concat_ws(" ", F.col("w")[0], F.element_at("w", -1))).when(F.col("p_partkey") % 4 == 1, F.concat_ws(" ", F.reverse("w"))).when(F.col("p_partkey") % 4 == 2, F.substring("label", 3, 9)).otherwise(F.concat("label", F.lit(" x")))
+    wordings = parts.select(F.col("p_partkey").alias("ord"), alias.alias("code"), alias.alias("alias"))
+    return markdown.best_wording(parts, "label", wordings, most=0).withColumn("score", F.round("score", 9))
+
+
 @query("SELECT l_orderkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(round(l_quantity) AS BIGINT) END) AS DECIMAL(24,4)) AS returned FROM lineitem GROUP BY l_orderkey")
 def null_skipping_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = F.when(F.col("l_returnflag") == "R", F.round("l_quantity")).cast(A.AMOUNT)

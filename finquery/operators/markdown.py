@@ -73,20 +73,85 @@ def preferred_amount(values: Column, order: list[str] | None = None) -> Column:
     return F.coalesce(*(values[c] for c in order or R.PREFERRED_COLUMNS), F.try_element_at(F.filter(F.map_values(values), lambda v: v.isNotNull()), F.lit(1)))
 
 
-def best_wording(labels: DataFrame, label: str, wordings: DataFrame, least: float = 0.7) -> DataFrame:
-    """For each distinct label the code of its most similar wording (``ord, code, alias``), the first of equals, from ``least`` on.
+def best_wording(labels: DataFrame, label: str, wordings: DataFrame, least: float = 0.7, most: int = MOST_WORDINGS) -> DataFrame:
+    """For each distinct label the code of its most similar wording (``ord, code, alias``), the first of equals, from ``least`` on (above zero).
 
-    The wordings are a fixed list of at most ``MOST_WORDINGS``, so that each label is compared with a bounded number of them, in its own row.
+    A list of up to ``most`` goes along with each label, which is compared with all of them in its own row; with more, an index finds
+    the wordings that can be similar at all (`similar_pairs`). The results are the same. A null label has neither code nor score.
     """
-    listed = wordings.select("ord", "code", "alias").limit(MOST_WORDINGS + 1).collect()
-    if len(listed) > MOST_WORDINGS:
-        raise ValueError(f"more than {MOST_WORDINGS} wordings")
+    listed = wordings.select("ord", "code", "alias").limit(most + 1).collect()
+    wanted = labels.select(label).distinct()
     if not listed:
-        return labels.select(label, F.lit(None).cast("string").alias("code"), F.lit(None).cast("double").alias("score")).distinct()
-    known = F.array(*(F.struct(F.lit(-r["ord"]).alias("place"), F.lit(r["code"]).alias("code"), F.lit(r["alias"]).alias("alias")) for r in listed))
-    best = F.array_max(F.transform(known, lambda w: F.struct(label_similarity(F.col(label), w["alias"]).alias("score"), w["place"].alias("place"), w["code"].alias("code"))))
-    scored = labels.select(label).distinct().withColumn("b", best)
-    return scored.select(label, F.when(F.col("b.score") >= least, F.col("b.code")).alias("code"), F.col("b.score").alias("score"))
+        return wanted.select(label, F.lit(None).cast("string").alias("code"), F.lit(None).cast("double").alias("score"))
+    if len(listed) > most:
+        pairs = similar_pairs(wanted.select(F.col(label).alias("label")), wordings)
+        best = pairs.groupBy(F.col("label").alias("_label")).agg(F.max(F.struct("score", (-F.col("ord")).alias("place"), "code")).alias("b"))
+        found = wanted.join(best, wanted[label] == best["_label"], "left")
+        scored = found.select(label, F.struct(F.coalesce("b.score", F.lit(0.0)).alias("score"), F.col("b.code").alias("code")).alias("b"))
+    else:
+        known = F.array(*(F.struct(F.lit(-r["ord"]).alias("place"), F.lit(r["code"]).alias("code"), F.lit(r["alias"]).alias("alias")) for r in listed))
+        best = F.array_max(F.transform(known, lambda w: F.struct(label_similarity(F.col(label), w["alias"]).alias("score"), w["place"].alias("place"), w["code"].alias("code"))))
+        scored = wanted.withColumn("b", best)
+    score = F.when(F.col(label).isNotNull(), F.col("b.score"))
+    return scored.select(label, F.when(score >= least, F.col("b.code")).alias("code"), score.alias("score"))
+
+
+#: Labels and wordings are told apart by runs of so many characters.
+GRAM = 3
+
+
+def grams(text: Column) -> Column:
+    """The distinct runs of `GRAM` characters of a text; a shorter text is its own."""
+    n = F.length(text)
+    return F.array_distinct(F.when(n < GRAM, F.array(text)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - (GRAM - 1), F.lit(1))), lambda k: F.substr(text, k, F.lit(GRAM)))))
+
+
+def short_runs(text: Column) -> Column:
+    """All runs of fewer than `GRAM` characters, in which a short wording can lie."""
+    runs = [F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda j, k=k: F.substr(text, j, F.lit(k))) for k in range(1, GRAM)]
+    return F.concat(*(F.when(F.length(text) >= k, r).otherwise(F.array().cast("array<string>")) for k, r in enumerate(runs, 1)))
+
+
+def similar_pairs(labels: DataFrame, wordings: DataFrame) -> DataFrame:
+    """``label, ord, code, score`` of all pairs whose `label_similarity` is above zero.
+
+    What lies within the other side shares all of its runs of characters with
+    it, so the rarest of them finds it; an inverted index of the longer side's
+    runs has few entries there. Word sets that share one half have one of the
+    rarest words of each in common (prefix filter), and sizes that differ by
+    less than a factor of two. Candidates are then compared in full.
+    """
+    known = wordings.select("ord", "code", "alias").where("alias <> ''")
+    asked = labels.where("label <> ''").distinct()
+    entry = F.struct("ord", "code", "alias")
+
+    def rarest(rows: DataFrame, text: str, index: DataFrame) -> DataFrame:
+        """Each row with the run of its own that fewest entries of the index have; rows with a run that none has find nothing."""
+        counts = index.groupBy("run").agg(F.count("*").alias("n"))
+        runs = rows.select("*", F.explode(grams(F.col(text))).alias("run"))
+        least = runs.join(counts, "run", "left").groupBy(*rows.columns).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("x"))
+        return least.where("x.n > 0").select(*rows.columns, F.col("x.run").alias("run"))
+
+    label_index = asked.select("label", F.explode(F.array_distinct(F.concat(grams(F.col("label")), short_runs(F.col("label"))))).alias("run"))
+    inside = rarest(known, "alias", label_index).join(label_index, "run").where(F.contains("label", F.col("alias")))
+    alias_index = known.select(entry.alias("w"), F.explode(F.array_distinct(F.concat(grams(F.col("alias")), short_runs(F.col("alias"))))).alias("run"))
+    around = rarest(asked, "label", alias_index).join(alias_index, "run").select("label", "w.*").where((F.length("label") >= 0.9 * F.length("alias")) & F.contains("alias", F.col("label")))
+
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    sets = asked.select("label", words(F.col("label")).alias("set"))
+    others = known.select(entry.alias("w"), words(F.col("alias")).alias("set"))
+    counts = sets.select(F.explode("set").alias("word")).unionByName(others.select(F.explode("set").alias("word"))).groupBy("word").agg(F.count("*").alias("n"))
+
+    def prefixes(rows: DataFrame, key: str) -> DataFrame:
+        """A set of n words has one of its n - ceil(n / 2) + 1 rarest in common with every set that shares half of their union."""
+        place = F.row_number().over(Window.partitionBy(key).orderBy("n", "word"))
+        ranked = rows.select(key, F.size("set").alias("size"), F.explode("set").alias("word")).join(counts, "word").withColumn("place", place)
+        return ranked.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") / 2) + 1).select(key, "size", "word")
+
+    left, right = prefixes(sets, "label"), prefixes(others, "w").withColumnRenamed("size", "other")
+    shared = left.join(right, "word").where((F.col("size") <= 2 * F.col("other")) & (F.col("other") <= 2 * F.col("size"))).select("label", "w.*")
+    pairs = inside.select("label", "ord", "code", "alias").unionByName(around.select("label", "ord", "code", "alias")).unionByName(shared.select("label", "ord", "code", "alias")).distinct()
+    return pairs.select("label", "ord", "code", label_similarity(F.col("label"), F.col("alias")).alias("score")).where("score > 0")
 
 
 def amount_conflicts(rows: DataFrame, *keys: str) -> DataFrame:

@@ -237,3 +237,14 @@ def test_origins_by_normalised_label(spark):
     have = spark.createDataFrame([(1, 1, "CLIENTS", "Clients", "5,00"), (1, 2, "RESULTAT_NET", "Résultat net", "7"), (1, 3, "CLIENTS", "clients", "5.00"), (1, 4, "STOCKS", None, "9")], "doc_id long, seq int, field_code string, raw_label string, raw_value string")
     asked = spark.createDataFrame([(1, "CLIENTS", "CLIENTS ", " 5,00"), (1, "OTHER", "clients", "5,00"), (1, "RESULTAT_NET_XIII", "resultat NET", "7"), (1, "STOCKS", "", "9"), (1, "STOCKS", "x", "9")], "doc_id long, field_code string, raw_label string, raw_value string")
     assert [r.origin for r in sorted(resolve.originals(asked, have).collect(), key=lambda r: ["CLIENTS", "OTHER", "RESULTAT_NET_XIII", "STOCKS"].index(r.field_code) * 10 + len(r.raw_label or ""))] == [3, 1, 4, None, 2]
+
+
+def test_wordings_by_the_index_are_those_of_the_full_comparison(spark):
+    import random
+
+    rng, words = random.Random(5), ["ca", "stock", "total", "de", "des", "a", "b", "resultat", "net", "ii", "i", "dettes", "é"]
+    phrase = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 6)))
+    labels = spark.createDataFrame([(phrase(),) for _ in range(250)] + [("",), (None,), ("zzz",)], "label string")
+    wordings = spark.createDataFrame([(k, f"c{k}", phrase()[: rng.choice([1, 2, 3, 8, 99])]) for k in range(300)] + [(300, "none", "")], "ord int, code string, alias string")
+    full = sorted(map(str, markdown.best_wording(labels, "label", wordings).collect()))
+    assert sorted(map(str, markdown.best_wording(labels, "label", wordings, most=10).collect())) == full
