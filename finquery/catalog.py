@@ -12,11 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from finquery import refdata as R
 from finquery.config import Settings
 from finquery.functions import amounts as A
 from finquery.functions import text as X
 from finquery.operators import candidates as C
-from finquery.operators import derive, markdown, pages, project, recover, resolve
+from finquery.operators import dataset, derive, markdown, pages, project, recover, resolve
 from finquery.operators.eligibility import labelled, priority, rejection_reasons
 from finquery.plans import lifecycle
 from finquery.plans.synthetic import CODES, ORDER, WRONG_LABEL, candidates, candidates_sql, choice, written
@@ -432,6 +433,38 @@ def invalidate_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("doc_id", *(F.col(c)["value"].alias(c.lower()) for c in ("TOTAL_ACTIF", "RESULTAT_FINANCIER", "TRESORERIE_ACTIF")))
 
 
+WRITTEN = {"TRESORERIE_ACTIF": "l_linenumber = 1", "TRESORERIE_PASSIF": "l_linenumber = 2", "ACHATS_TOTAL": "l_linenumber = 3", "AUTRES_CHARGES_EXTERNES": "l_linenumber = 4", "AUTRES_CHARGES_EXTERNES_DETAIL": "l_linenumber = 5", "RESULTAT_NET": "l_linenumber = 2", "DOTATIONS_AMORTISSEMENTS": "l_linenumber = 3", "CAISSE": "l_linenumber = 6", "TOTAL_ACTIF": "l_linenumber = 1", "TOTAL_PASSIF": "l_linenumber = 4"}
+WRITTEN_SQL = f"""s AS ({sums_sql(*(part_sum(c.lower(), t) for c, t in WRITTEN.items()))}),
+    v AS (SELECT doc_id, tresorerie_actif, tresorerie_passif, achats_total AS achats, coalesce(autres_charges_externes_detail, autres_charges_externes) AS autres_charges_externes, resultat_net, dotations_amortissements AS amortissements, caisse, total_actif, total_passif,
+        tresorerie_actif - tresorerie_passif AS tresorerie_nette, resultat_net + dotations_amortissements AS caf FROM s),
+    u AS (UNPIVOT v ON COLUMNS(* EXCLUDE doc_id) INTO NAME attribute VALUE value)"""
+
+
+def written_dataset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    wide = wide_fields(spark, sf_dir, WRITTEN)
+    return wide, dataset.dataset(dataset.long_form(wide), wide)
+
+
+@query(f"""WITH {WRITTEN_SQL}, a(attribute) AS (VALUES {", ".join(f"('{a}')" for a in R.DATASET_ATTRIBUTES)}), d AS (SELECT DISTINCT doc_id FROM v)
+    SELECT doc_id, attribute, value, CASE WHEN value IS NULL THEN 'missing' WHEN attribute IN ('tresorerie_nette', 'caf') THEN 'derived' ELSE 'confirmed' END AS status FROM d CROSS JOIN a LEFT JOIN u USING (doc_id, attribute)
+    UNION ALL SELECT doc_id, attribute, value, 'confirmed' FROM u WHERE attribute IN ('autres_charges_externes', 'caisse', 'total_actif', 'total_passif') AND value IS NOT NULL""")
+def dataset_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 35 attributes of every document, and the optional ones that stand: last writers by order, simple derivations."""
+    return dataset.attributes(written_dataset(spark, sf_dir)[1])
+
+
+@query(f"""WITH {WRITTEN_SQL}, g AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, count(*) AS k, max(l_linestatus) FILTER (WHERE l_returnflag = 'R') AS error FROM lineitem GROUP BY 1, 2),
+    n AS (SELECT doc_id, sum(k) AS lines, string_agg(concat('page ', page, ': ', error), '|' ORDER BY page) FILTER (WHERE error IS NOT NULL) AS pages FROM g GROUP BY doc_id)
+    SELECT doc_id, concat_ws('|', pages, CASE WHEN lines > 3 THEN concat('recovered from native text: +', CAST(lines - 3 AS BIGINT)) END, CASE WHEN abs(total_passif - total_actif) > greatest(1, abs(total_actif) * 0.0001) THEN 'control failed: bilan_equilibre' END) AS warnings FROM n JOIN v USING (doc_id)""")
+def document_warning_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings of pages, recovery, fields and controls in one list a document."""
+    wide, made = written_dataset(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_number"), F.lit(0).alias("n_rows"), F.lit(1).alias("latency_ms"), F.lit(False).alias("skipped"), F.when(F.col("l_returnflag") == "R", F.col("l_linestatus")).alias("error"))
+    found = lines.groupBy("doc_id").agg((F.count("*") - 3).alias("n_recovered"))
+    told = dataset.document_warnings(wide, pages.page_counters(lines), found, made, derive.controls(wide))
+    return told.withColumn("warnings", F.array_join("warnings", "|"))
+
+
 ALTERNATES = {"DETTES_BANCAIRES_MLT": "l_linenumber = 1", "DETTES_FINANCIERES": "l_linenumber = 2", "RESULTAT_NET": "l_linenumber = 3"}
 
 

@@ -138,3 +138,21 @@ LAST_EVENTS = ["result_ready", "job_failed"]
 #: Types that the next page goes by, and what a page is taken for after one of them where the connector says identification once more.
 PAGE_TYPES = ["IDENTIFICATION", "BILAN_ACTIF", "BILAN_PASSIF", "CPC", "DETAIL_CPC", "RESULTAT_FISCAL", "ESG"]
 GUESSED_NEXT = {"BILAN_ACTIF": "BILAN_PASSIF", "BILAN_PASSIF": "CPC", "CPC": "DETAIL_CPC"}
+
+#: Attributes of a document's dataset that always stand, and those that stand where a code writes them.
+DATASET_ATTRIBUTES = [
+    "chiffre_affaires", "chiffre_affaires_n1", "resultat_net", "resultat_net_n1", "resultat_exploitation", "total_bilan", "total_bilan_n1", "fonds_propres", "fonds_propres_n1", "dettes_financieres", "dettes_financieres_n1", "dettes_bancaires_ct",
+    "tresorerie_actif", "tresorerie_passif", "actif_circulant", "passif_circulant", "stocks", "clients", "fournisseurs", "achats", "frais_financiers", "amortissements", "caf", "fdr", "bfdr", "tresorerie_nette", "encours_leasing", "cmt",
+    "nouveau_financement", "resultat_fiscal", "reintegrations", "deductions", "is_du", "cotisation_minimale", "report_deficitaire",
+]
+OPTIONAL_ATTRIBUTES = [
+    "actifs_immobilises", "produits_exploitation", "charges_exploitation", "produits_financiers", "charges_financieres", "resultat_financier", "resultat_courant", "produits_non_courants", "charges_non_courantes", "resultat_non_courant",
+    "resultat_avant_impot", "impot_sur_resultats", "total_actif", "total_passif", "achats_revendus", "achats_consommes", "redevances_credit_bail", "ca_export", "dettes_bancaires_mlt", "compte_courant_associes", "caisse", "autres_charges_externes",
+]
+#: Codes whose attribute is not their own name in lower case.
+ATTRIBUTE_OF = {"AUTRES_CHARGES_EXTERNES_DETAIL": "autres_charges_externes", "ACHATS_TOTAL": "achats", "CHARGES_INTERETS": "frais_financiers", "DOTATIONS_AMORTISSEMENTS": "amortissements"}
+#: Codes that are resolved first, in order; all others follow as their first candidates stand.
+RESOLVED_FIRST = [
+    "ACTIFS_IMMOBILISES", "ACTIF_CIRCULANT", "TRESORERIE_ACTIF", "TRESORERIE_PASSIF", "FONDS_PROPRES", "PASSIF_CIRCULANT", "TOTAL_ACTIF", "TOTAL_PASSIF", "RESULTAT_NET", "CLIENTS", "FOURNISSEURS", "STOCKS", "DETTES_FINANCIERES",
+    "CHIFFRE_AFFAIRES", "RESULTAT_EXPLOITATION", "ACHATS_REVENDUS", "CHARGES_INTERETS", "CHARGES_FINANCIERES", "ENCOURS_LEASING", "REDEVANCES_CREDIT_BAIL", "TOTAL_BILAN",
+]

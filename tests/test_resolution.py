@@ -131,3 +131,26 @@ def test_operating_result_prefers_the_first_named_page(spark):
 def test_empty_tables_pass(spark):
     assert document_results(spark.createDataFrame([], SCHEMA)).count() == 0
     assert derived(resolved_fields(prepared(spark.createDataFrame([], SCHEMA)))).count() == 0
+
+
+def test_dataset_last_writers_missing_and_derived(spark):
+    from finquery.operators import dataset
+    from finquery.operators.resolve import FIELDS, FV
+
+    kind = f"doc_id long, {', '.join(f'{c} {FV}' for c in FIELDS)}"
+    value = lambda x, seq, status="confirmed", *w: (None if x is None else Decimal(x), status, 0.9, [seq], list(w))
+    row = {c: None for c in FIELDS}
+    rows = [
+        (1, row | {"AUTRES_CHARGES_EXTERNES": value("5", 9), "AUTRES_CHARGES_EXTERNES_DETAIL": value("7", 3), "CLIENTS": value(None, 4, "conflicting", "w"), "TRESORERIE_ACTIF": value("10", 1), "TRESORERIE_PASSIF": value("4", 2)}),
+        (2, row | {"AUTRES_CHARGES_EXTERNES": value("5", 2), "AUTRES_CHARGES_EXTERNES_DETAIL": value("7", 3), "CHARGES_INTERETS": value("1", 1), "ACHATS_TOTAL": value("8", 1)}), (3, row),
+    ]
+    wide = spark.createDataFrame([(d, *(x[c] for c in FIELDS)) for d, x in rows], kind)
+    got = {r.doc_id: r for r in dataset.dataset(dataset.long_form(wide), wide).collect()}
+    assert got[1].autres_charges_externes.value == 5 and got[2].autres_charges_externes.value == 7  # the later candidate's
+    assert got[1].tresorerie_nette.value == 6 and got[1].tresorerie_nette.status == "derived" and got[1].tresorerie_nette.sources == [1, 2]
+    assert got[1].warnings == ["CLIENTS conflicting.", "w"] and got[2].warnings == []
+    assert got[2].frais_financiers.value == 1 and got[2].achats.value == 8 and got[2].caisse is None
+    long = dataset.attributes(spark.createDataFrame(list(got.values()), dataset.dataset(dataset.long_form(wide), wide).schema)).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in long} == {1: 36, 2: 36, 3: 35}
+    told = dataset.document_warnings(wide, recovered=spark.createDataFrame([(1, 2), (2, 0)], "doc_id long, n_recovered long"), fields=wide.select("doc_id").withColumn("warnings", F.array(F.lit("x"))))
+    assert {r.doc_id: r.warnings for r in told.collect()} == {1: ["recovered from native text: +2", "x"], 2: ["x"], 3: ["x"]}
