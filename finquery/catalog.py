@@ -7,7 +7,7 @@ amounts, for instance, come from the integers they were written from).
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from finquery.operators.eligibility import labelled, priority, rejection_reasons
 from finquery.plans import lifecycle
 from finquery.plans.synthetic import CODES, ORDER, WRONG_LABEL, candidates, candidates_sql, choice, written
 from finquery.shared import shared_folder
-from finquery.sources import payload
+from finquery.sources import connector, payload
 from finquery.streaming import job_table, jobs, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -819,6 +819,47 @@ def stream_hand_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replayed.select("event_id", "user_id", F.lit("replayed").alias("part")).unionByName(drained_.withColumn("part", F.lit("live")))
 
 
+# --- Sources -------------------------------------------------------------------------------------------------------
+
+
+def paged_lines(content: bytes, most: int) -> Iterator[tuple[int, str]]:
+    """Pages of four lines; what begins with an A is refused."""
+    lines = content.decode().split("\n")
+    if lines[0].startswith("A"):
+        raise ValueError("refused")
+    for k in range(min(most, -(-len(lines) // 4))):
+        yield k + 1, "\n".join(lines[4 * k : 4 * k + 4])
+
+
+@query("""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, l, unnest(range(1, 1 + least(6, (len(l) + 3) // 4))) AS n FROM d WHERE NOT starts_with(text, 'A'))
+    SELECT doc_id, CAST(n AS INT) AS page_number, md5(array_to_string(l[4 * n - 3:4 * n], chr(10))) AS page_md5, NULL AS error FROM p
+    UNION ALL SELECT doc_id, NULL, NULL, CASE WHEN text IS NULL THEN 'no content' ELSE 'refused' END FROM d WHERE text IS NULL OR starts_with(text, 'A')""")
+def page_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary documents to pages by a table function with the page limit; documents that cannot be read keep a row."""
+    files = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return connector.page_rows(files, paged_lines, 6).select("doc_id", "page_number", F.md5("native_text").alias("page_md5"), "error")
+
+
+def flaky(row: dict, attempt: int) -> str:
+    """Answers with a candidate; some rows fail once, some always, some are cut."""
+    k = row["doc_id"]
+    if k % 11 == 0:
+        raise connector.Truncated("cut")
+    if k % 7 == 0 or (k % 3 == 1 and attempt == 1):
+        raise connector.Failed(f"away {attempt}")
+    return '{"candidates": [{"field_code": "CLIENTS", "raw_value": "%d,00"}]}' % k
+
+
+@query("""SELECT doc_id, CAST(CASE WHEN doc_id % 11 = 0 THEN 1 WHEN doc_id % 7 = 0 OR doc_id % 3 = 1 THEN 2 ELSE 1 END AS INT) AS n_attempts, CASE WHEN doc_id % 11 > 0 AND doc_id % 7 > 0 THEN CAST(doc_id AS VARCHAR) || ',00' END AS raw_value,
+    CASE WHEN doc_id % 11 = 0 THEN 'cut' WHEN doc_id % 7 = 0 THEN 'away 2' END AS error FROM documents""")
+def connector_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document through an unreliable connector: attempts, the parsed answer, or the error for which it is set aside."""
+    tried = connector.attempted(table(spark, sf_dir, "documents").select("doc_id"), flaky, "doc_id", wait=lambda attempt: 0)
+    found = payload.payload_items(connector.answered(tried), "answer", "doc_id").select("doc_id", "raw_value")
+    counts = tried.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_attempts"))
+    return counts.join(found, "doc_id", "left").join(connector.quarantined(tried).select("doc_id", "error"), "doc_id", "left")
+
+
 # --- Sets ----------------------------------------------------------------------------------------------------------
 
 

@@ -248,3 +248,22 @@ def test_wordings_by_the_index_are_those_of_the_full_comparison(spark):
     wordings = spark.createDataFrame([(k, f"c{k}", phrase()[: rng.choice([1, 2, 3, 8, 99])]) for k in range(300)] + [(300, "none", "")], "ord int, code string, alias string")
     full = sorted(map(str, markdown.best_wording(labels, "label", wordings).collect()))
     assert sorted(map(str, markdown.best_wording(labels, "label", wordings, most=10).collect())) == full
+
+
+def test_attempts_feed_the_page_counters(spark):
+    from finquery.sources import connector
+
+    def call(row, attempt):
+        if row["page_number"] == 2:
+            raise connector.Failed(f"away {attempt}")
+        if row["page_number"] == 3:
+            raise connector.Truncated("cut")
+        return "" if attempt == 1 else "{}"
+
+    rows = connector.attempted(spark.createDataFrame([(1, k) for k in (1, 2, 3)], "doc_id long, page_number int"), call, "doc_id", "page_number", attempts=3, wait=lambda k: 0)
+    got = sorted((r.page_number, r.attempt, r.answer, r.error, r.last) for r in rows.collect())
+    assert got == [(1, 1, None, "empty answer", False), (1, 2, "{}", None, True), (2, 1, None, "away 1", False), (2, 2, None, "away 2", False), (2, 3, None, "away 3", True), (3, 1, None, "cut", True)]
+    assert {r.page_number for r in connector.answered(rows).collect()} == {1} and {(r.page_number, r.attempt) for r in connector.quarantined(rows).collect()} == {(2, 3), (3, 1)}
+    counted = pages.page_counters(rows.select("doc_id", "page_number", F.when(F.col("answer").isNotNull(), 1).otherwise(0).alias("n_rows"), "latency_ms", F.lit(False).alias("skipped"), F.when(F.col("last"), F.col("error")).alias("error"))).first()
+    assert (counted.n_processed, counted.n_failed, counted.warnings) == (1, 2, ["page 2: away 3", "page 3: cut"]) and counted.latency_ms is not None
+    assert [connector.back_off(k) for k in (1, 2, 3, 9)] == [2, 4, 6, 6]
