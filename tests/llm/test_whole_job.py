@@ -5,7 +5,6 @@ import textwrap
 
 from brute import frame, shingles
 
-from finquery import catalog
 from finquery.llm import license_rules as LR
 from finquery.llm.template_decontam import leaks
 
@@ -185,11 +184,3 @@ def test_identifiers_and_names_are_found():
     lines = {"This project is licensed under the ISC License.": "ISC", "Released under the BSD 3-Clause License": "BSD-3-Clause", "Licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1", "This work is licensed under CC0 1.0.": None, "Licensed under CC0 1.0.": "CC0-1.0", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0"}
     for line, name in lines.items():
         assert LR.scanned(line)[0] == ([name] if name else []), line
-
-
-def test_recovery_leaves_out_what_any_label_names(spark, sf_dir):
-    rows = catalog.queries()["recover_anti_join_whole"](spark, sf_dir).collect()
-    docs, labels = ({r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").collect()} for t in ("documents", "labels"))
-    got = {r["doc_id"] for r in rows if r["field_code"] == "CHIFFRE_AFFAIRES"}
-    assert got == {i for i in docs if i % 4 == 0 and not (i in labels and labels[i]["quality"] == 1)}
-    assert any(i >= 100 and i % 4 == 0 and r["quality"] == 1 for i, r in labels.items())
