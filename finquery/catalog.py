@@ -427,6 +427,28 @@ def controls_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("doc_id", F.inline("controls")).select("doc_id", "code", "expected", "observed", "status")
 
 
+EIGHT = {
+    "TOTAL_ACTIF": "1, 2", "TOTAL_PASSIF": "1, 3", "TRESORERIE_ACTIF": "1, 2", "TRESORERIE_PASSIF": "2", "TRESORERIE_NETTE": "1, 4", "PRODUITS_EXPLOITATION": "1, 2", "CHARGES_EXPLOITATION": "2", "RESULTAT_EXPLOITATION": "1, 5", "PRODUITS_FINANCIERS": "2, 3",
+    "CHARGES_FINANCIERES": "3", "RESULTAT_FINANCIER": "2, 6", "RESULTAT_COURANT": "1, 2", "PRODUITS_NON_COURANTS": "3, 4", "CHARGES_NON_COURANTES": "4", "RESULTAT_NON_COURANT": "3, 7", "RESULTAT_AVANT_IMPOT": "1, 2, 3", "IMPOT_SUR_RESULTATS": "3", "RESULTAT_NET": "1, 2, 6",
+}
+EIGHT = {c: f"l_linenumber IN ({lines})" for c, lines in EIGHT.items()}
+EXPECTED = {
+    "resultat_exploitation": ("produits_exploitation - charges_exploitation", "resultat_exploitation"), "resultat_financier": ("produits_financiers - charges_financieres", "resultat_financier"), "resultat_courant": ("resultat_exploitation + resultat_financier", "resultat_courant"),
+    "resultat_non_courant": ("produits_non_courants - charges_non_courantes", "resultat_non_courant"), "resultat_avant_impot": ("resultat_courant + resultat_non_courant", "resultat_avant_impot"), "resultat_net": ("resultat_avant_impot - impot_sur_resultats", "resultat_net"),
+}
+EIGHT_SQL = f"""WITH s AS ({sums_sql(*(part_sum(c.lower(), t) for c, t in EIGHT.items()))}), c AS (
+    SELECT doc_id, 'bilan_equilibre' AS code, CASE WHEN total_passif IS NOT NULL THEN total_actif END AS expected, CASE WHEN total_actif IS NOT NULL THEN total_passif END AS observed FROM s
+    UNION ALL SELECT doc_id, 'tresorerie_nette', tresorerie_actif - tresorerie_passif, tresorerie_nette FROM s WHERE tresorerie_actif - tresorerie_passif IS NOT NULL
+    {" ".join(f"UNION ALL SELECT doc_id, '{code}', {expected}, {observed} FROM s WHERE {expected} + {observed} IS NOT NULL" for code, (expected, observed) in EXPECTED.items())})"""
+
+
+@query(f"{EIGHT_SQL} SELECT doc_id, code, expected, observed, CASE WHEN observed - expected IS NULL THEN 'not_testable' WHEN abs(observed - expected) <= greatest(1, abs(expected) * 0.0001) THEN 'passed' ELSE 'failed' END AS status FROM c")
+def controls_eight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight controls, each of them passed, failed or not tested in some document."""
+    wide = derive.controls(wide_fields(spark, sf_dir, EIGHT))
+    return wide.select("doc_id", F.inline("controls")).select("doc_id", "code", "expected", "observed", "status")
+
+
 @query(f"{CONTROL_ROWS}, f AS (SELECT doc_id, max(CASE WHEN code = 'bilan_equilibre' AND abs(observed - expected) > greatest(1, abs(expected) * 0.0001) THEN 1 ELSE 0 END) AS b, max(CASE WHEN code = 'resultat_financier' AND abs(observed - expected) > greatest(1, abs(expected) * 0.0001) THEN 1 ELSE 0 END) AS r FROM c GROUP BY doc_id) SELECT doc_id, CASE WHEN b = 0 THEN total_actif END AS total_actif, CASE WHEN r = 0 THEN resultat_financier END AS resultat_financier, tresorerie_actif FROM f JOIN s USING (doc_id)")
 def invalidate_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = derive.invalidated(derive.controls(wide_fields(spark, sf_dir, CONTROLLED)))
