@@ -275,3 +275,14 @@ def test_recovery_leaves_out_what_any_label_names(spark, sf_dir):
     got = {r["doc_id"] for r in rows if r["field_code"] == "CHIFFRE_AFFAIRES"}
     assert got == {i for i in docs if i % 4 == 0 and not (i in labels and labels[i]["quality"] == 1)}
     assert any(i >= 100 and i % 4 == 0 and r["quality"] == 1 for i, r in labels.items())
+
+
+def test_amounts_that_share_what_parts_them_stand_in_both_dialects(spark, tmp_path):
+    import duckdb
+
+    texts = ["1.23 4.56", "1.23.45.67", "1.234.56", "x12.345 9.99\n8.88", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "page_id int, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.found for r in catalog.queries()["native_amount_extract"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert dict(con.sql(catalog.oracle_sql()["native_amount_extract"]).fetchall()) == got == dict(enumerate(["1.23|4.56", "1.23|45.67", "234.56", "9.99|8.88", "", None]))
