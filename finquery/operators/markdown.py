@@ -84,9 +84,12 @@ def best_wording(labels: DataFrame, label: str, wordings: DataFrame, least: floa
     if not listed:
         return wanted.select(label, F.lit(None).cast("string").alias("code"), F.lit(None).cast("double").alias("score"))
     if len(listed) > most:
-        pairs = similar_pairs(wanted.select(F.col(label).alias("label")), wordings)
+        # Of equal wordings only the first can be the best one.
+        place = F.struct((-F.col("ord")).alias("place"), "code")
+        first = wordings.groupBy("alias").agg(F.max(place).alias("b")).select((-F.col("b.place")).alias("ord"), "b.code", "alias")
+        pairs = similar_pairs(wanted.select(F.col(label).alias("label")), first)
         best = pairs.groupBy(F.col("label").alias("_label")).agg(F.max(F.struct("score", (-F.col("ord")).alias("place"), "code")).alias("b"))
-        found = wanted.join(best, wanted[label] == best["_label"], "left")
+        found = wanted.join(best.hint("merge"), wanted[label] == best["_label"], "left")
         scored = found.select(label, F.struct(F.coalesce("b.score", F.lit(0.0)).alias("score"), F.col("b.code").alias("code")).alias("b"))
     else:
         known = F.array(*(F.struct(F.lit(-r["ord"]).alias("place"), F.lit(r["code"]).alias("code"), F.lit(r["alias"]).alias("alias")) for r in listed))
@@ -119,7 +122,9 @@ def similar_pairs(labels: DataFrame, wordings: DataFrame) -> DataFrame:
     it, so the rarest of them finds it; an inverted index of the longer side's
     runs has few entries there. Word sets that share one half have one of the
     rarest words of each in common (prefix filter), and sizes that differ by
-    less than a factor of two. Candidates are then compared in full.
+    less than a factor of two. Candidates are then compared in full. Joins are
+    merged at every size: Spark takes exploded rows for no larger than what they
+    come from, and would broadcast an index.
     """
     known = wordings.select("ord", "code", "alias").where("alias <> ''")
     asked = labels.where("label <> ''").distinct()
@@ -129,13 +134,13 @@ def similar_pairs(labels: DataFrame, wordings: DataFrame) -> DataFrame:
         """Each row with the run of its own that fewest entries of the index have; rows with a run that none has find nothing."""
         counts = index.groupBy("run").agg(F.count("*").alias("n"))
         runs = rows.select("*", F.explode(grams(F.col(text))).alias("run"))
-        least = runs.join(counts, "run", "left").groupBy(*rows.columns).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("x"))
+        least = runs.join(counts.hint("merge"), "run", "left").groupBy(*rows.columns).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("x"))
         return least.where("x.n > 0").select(*rows.columns, F.col("x.run").alias("run"))
 
     label_index = asked.select("label", F.explode(F.array_distinct(F.concat(grams(F.col("label")), short_runs(F.col("label"))))).alias("run"))
-    inside = rarest(known, "alias", label_index).join(label_index, "run").where(F.contains("label", F.col("alias")))
+    inside = rarest(known, "alias", label_index).join(label_index.hint("merge"), "run").where(F.contains("label", F.col("alias")))
     alias_index = known.select(entry.alias("w"), F.explode(F.array_distinct(F.concat(grams(F.col("alias")), short_runs(F.col("alias"))))).alias("run"))
-    around = rarest(asked, "label", alias_index).join(alias_index, "run").select("label", "w.*").where((F.length("label") >= 0.9 * F.length("alias")) & F.contains("alias", F.col("label")))
+    around = rarest(asked, "label", alias_index).join(alias_index.hint("merge"), "run").select("label", "w.*").where((F.length("label") >= 0.9 * F.length("alias")) & F.contains("alias", F.col("label")))
 
     words = lambda c: F.array_distinct(F.split(c, " "))
     sets = asked.select("label", words(F.col("label")).alias("set"))
@@ -145,11 +150,11 @@ def similar_pairs(labels: DataFrame, wordings: DataFrame) -> DataFrame:
     def prefixes(rows: DataFrame, key: str) -> DataFrame:
         """A set of n words has one of its n - ceil(n / 2) + 1 rarest in common with every set that shares half of their union."""
         place = F.row_number().over(Window.partitionBy(key).orderBy("n", "word"))
-        ranked = rows.select(key, F.size("set").alias("size"), F.explode("set").alias("word")).join(counts, "word").withColumn("place", place)
+        ranked = rows.select(key, F.size("set").alias("size"), F.explode("set").alias("word")).join(counts.hint("merge"), "word").withColumn("place", place)
         return ranked.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") / 2) + 1).select(key, "size", "word")
 
     left, right = prefixes(sets, "label"), prefixes(others, "w").withColumnRenamed("size", "other")
-    shared = left.join(right, "word").where((F.col("size") <= 2 * F.col("other")) & (F.col("other") <= 2 * F.col("size"))).select("label", "w.*")
+    shared = left.join(right.hint("merge"), "word").where((F.col("size") <= 2 * F.col("other")) & (F.col("other") <= 2 * F.col("size"))).select("label", "w.*")
     pairs = inside.select("label", "ord", "code", "alias").unionByName(around.select("label", "ord", "code", "alias")).unionByName(shared.select("label", "ord", "code", "alias")).distinct()
     return pairs.select("label", "ord", "code", label_similarity(F.col("label"), F.col("alias")).alias("score")).where("score > 0")
 

@@ -286,3 +286,12 @@ def test_amounts_that_share_what_parts_them_stand_in_both_dialects(spark, tmp_pa
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert dict(con.sql(catalog.oracle_sql()["native_amount_extract"]).fetchall()) == got == dict(enumerate(["1.23|4.56", "1.23|45.67", "234.56", "9.99|8.88", "", None]))
+
+
+def test_the_index_of_wordings_is_never_broadcast(spark, capsys):
+    labels = spark.createDataFrame([("blue box",), ("old tin box",), (None,)], "label string")
+    wordings = spark.createDataFrame([(k, f"c{k}", ("blue", "tin box", "x")[k % 3]) for k in range(60)], "ord int, code string, alias string")
+    found = markdown.best_wording(labels, "label", wordings, most=0)
+    assert {(r.label, r.code) for r in found.collect()} == {("blue box", "c0"), ("old tin box", "c1"), (None, None)}
+    found.explain()
+    assert "Broadcast" not in capsys.readouterr().out
