@@ -295,3 +295,11 @@ def test_the_index_of_wordings_is_never_broadcast(spark, capsys):
     assert {(r.label, r.code) for r in found.collect()} == {("blue box", "c0"), ("old tin box", "c1"), (None, None)}
     found.explain()
     assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_recovery_folds_a_text_once(spark, capsys):
+    rows = spark.createDataFrame([(1, 1, "CPC", "Achats revendus de marchandises 45 000,50 et la suite du compte des charges")], "doc_id long, page_number int, page_type string, native_text string")
+    have = spark.createDataFrame([(2, "CLIENTS")], "doc_id long, field_code string")
+    recover.recovered(rows, have).explain()
+    plan = capsys.readouterr().out
+    assert 0 < plan.count("translate(") <= 2  # once in each of the two branches, which read the pages apart
