@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from finquery import refdata as R
 from finquery.functions.amounts import amounts_agree, tolerance
+from finquery.functions.columns import with_computed
 from finquery.operators.resolve import FIELDS, resting, usable, without_value
 
 
@@ -94,7 +95,7 @@ def controls(wide: DataFrame) -> DataFrame:
             made.append(F.when(ready, control(code, expected, v[-1], fields)).when(known & absent, control(code, expected, F.lit(None).cast("decimal(24,4)"), fields[:2])))
         else:
             made.append(F.when(ready, control(code, expected, v[-1], fields)))
-    return wide.withColumn("controls", F.array_compact(F.array(*made)))
+    return with_computed(wide, {"controls": F.array_compact(F.array(*made))})
 
 
 def invalidated(wide: DataFrame) -> DataFrame:

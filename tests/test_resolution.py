@@ -154,3 +154,11 @@ def test_dataset_last_writers_missing_and_derived(spark):
     assert {r.doc_id: r["count"] for r in long} == {1: 36, 2: 36, 3: 35}
     told = dataset.document_warnings(wide, recovered=spark.createDataFrame([(1, 2), (2, 0)], "doc_id long, n_recovered long"), fields=wide.select("doc_id").withColumn("warnings", F.array(F.lit("x"))))
     assert {r.doc_id: r.warnings for r in told.collect()} == {1: ["recovered from native text: +2", "x"], 2: ["x"], 3: ["x"]}
+
+
+def test_filters_do_not_repeat_the_controls(spark, sf_dir, capsys):
+    from finquery import catalog
+
+    catalog.queries()["controls_eight"](spark, sf_dir).explain()
+    lines = [line for line in capsys.readouterr().out.splitlines() if "Filter" in line]
+    assert not [line for line in lines if "not_testable" in line or "case when" in line.lower()]
