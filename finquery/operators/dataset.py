@@ -30,7 +30,7 @@ def long_form(wide: DataFrame) -> DataFrame:
     seq = lambda c: F.coalesce(F.array_min(F.col(c)["sources"]), F.lit(0))
     place = lambda c: F.lit(first[c]) if c in first else F.when(F.col(c)["status"] == "derived", F.lit(1 << 30)).otherwise(len(first) + seq(c))
     cells = F.array(*(F.struct(F.lit(c).alias("code"), place(c).cast("int").alias("place"), F.col(c).cast(FV).alias("f")) for c in FIELDS if c in wide.columns))
-    return wide.select("doc_id", F.inline(F.filter(cells, lambda x: x["f"].isNotNull())))
+    return wide.select("doc_id", F.inline(cells)).where("f is not null")
 
 
 def dataset(values: DataFrame, documents: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def dataset(values: DataFrame, documents: DataFrame) -> DataFrame:
 def attributes(wide: DataFrame) -> DataFrame:
     """``doc_id, attribute, value, status`` of dataset rows, one row an attribute; optional ones where they stand."""
     cells = F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(a)["value"].alias("value"), F.col(a)["status"].alias("status"), F.col(a).isNotNull().alias("stands")) for a in ATTRIBUTES))
-    return wide.select("doc_id", F.inline(F.filter(cells, lambda x: x["stands"]))).drop("stands")
+    return wide.select("doc_id", F.inline(cells)).where("stands").drop("stands")
 
 
 def document_warnings(documents: DataFrame, pages: DataFrame | None = None, recovered: DataFrame | None = None, fields: DataFrame | None = None, controls: DataFrame | None = None) -> DataFrame:
