@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from finquery import refdata as R
 from finquery.functions.amounts import parse_decimal_amount
+from finquery.functions.columns import let, with_computed
 from finquery.functions.text import contains_any, fold_ascii, normalize_label, normalize_ocr_label, without_thought_mark
 
 
@@ -75,8 +76,8 @@ def capped(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def label_is_amount(label: Column, value: Column) -> Column:
-    folded = normalize_ocr_label(label)
-    return (folded == "") | (folded == normalize_ocr_label(value)) | folded.rlike(r"^[\s.]*-?[0-9]{1,3}(?:[.\s][0-9]{3})*(?:[,.][0-9]{1,2})?\s*$")
+    number = r"^[\s.]*-?[0-9]{1,3}(?:[.\s][0-9]{3})*(?:[,.][0-9]{1,2})?\s*$"
+    return let(normalize_ocr_label(label), lambda folded: (folded == "") | (folded == normalize_ocr_label(value)) | folded.rlike(number))
 
 
 def remapped_code(code: Column, text: Column) -> Column:
@@ -97,7 +98,7 @@ def noted(condition: Column, warning: Column) -> Column:
 def repair(candidates: DataFrame) -> DataFrame:
     """Codes, roles, labels and natures put right from what the row itself says; every change leaves a warning, in order."""
     was = F.col("field_code")
-    folded = candidates.withColumn("_text", fold_ascii(normalize_ocr_label(F.col("raw_label"))))
+    folded = with_computed(candidates, {"_text": fold_ascii(normalize_ocr_label(F.col("raw_label")))})
     rows = folded.withColumn("_code", remapped_code(was, F.col("_text"))).withColumn("warnings", F.concat("warnings", noted(F.col("_code") != was, F.concat(F.lit("code "), was, F.lit(" -> "), "_code")))).withColumn("field_code", F.col("_code"))
 
     role = F.coalesce("column_role", F.lit("UNKNOWN"))
@@ -105,14 +106,14 @@ def repair(candidates: DataFrame) -> DataFrame:
     vague = role.isin("UNKNOWN", "MONTANT_N", "IDENTITY_VALUE", "") & usual.isNotNull()
     rows = rows.withColumn("_role", F.when(vague, usual).otherwise(role)).withColumn("warnings", F.concat("warnings", noted(F.col("_role") != role, F.concat(F.lit("role -> "), "_role")))).withColumn("column_role", F.col("_role"))
 
-    rows = rows.withColumns({"_shaped": label_is_amount(F.col("raw_label"), F.col("raw_value")), "_zero": F.coalesce(parse_decimal_amount(F.col("raw_value")) == 0, F.lit(False))})
+    rows = with_computed(rows, {"_shaped": label_is_amount(F.col("raw_label"), F.col("raw_value")), "_zero": F.coalesce(parse_decimal_amount(F.col("raw_value")) == 0, F.lit(False))})
     shaped = F.col("_shaped")
     bare_zero = F.col("_zero") & F.col("field_code").isin("CHARGES_FINANCIERES", "CHARGES_INTERETS", "FRAIS_FINANCIERS")
     usual_label = mapped(F.col("field_code"), R.CANONICAL_LABEL, F.lit(None).cast("string"))
     rows = rows.withColumn("_label", F.when(shaped & ~bare_zero, F.coalesce(usual_label, "raw_label")).otherwise(F.col("raw_label")))
     rows = rows.withColumn("warnings", F.concat("warnings", noted(shaped & ~bare_zero & usual_label.isNotNull(), F.lit("label restored")))).withColumn("raw_label", F.substring("_label", 1, 180))
 
-    rows, text = rows.withColumn("_text", normalize_ocr_label(F.col("raw_label"))), F.col("_text")
+    rows, text = with_computed(rows, {"_text": normalize_ocr_label(F.col("raw_label"))}), F.col("_text")
     part = text.rlike(r"\btotal\s+(i|ii|iii)\b") & ~text.rlike(R.TOTAL_GENERAL)
     grand = F.col("field_code").isin("TOTAL_ACTIF", "TOTAL_PASSIF") & ~part
     section = F.col("field_code").isin(R.SECTION_TOTAL_CODES) & (F.col("nature") == "DETAIL")
@@ -135,7 +136,7 @@ def to_section(candidates: DataFrame) -> DataFrame:
 
 def role_from_heading(candidates: DataFrame) -> DataFrame:
     """Roles that the column's heading states, by section. The first rule that fits decides."""
-    candidates = candidates.withColumn("_heading", normalize_ocr_label(F.col("column_name")))
+    candidates = with_computed(candidates, {"_heading": normalize_ocr_label(F.col("column_name"))})
     name, section = F.col("_heading"), F.col("section")
     has = lambda w: F.contains(name, F.lit(w))
     role = (
@@ -154,7 +155,7 @@ def period_from_role(candidates: DataFrame) -> DataFrame:
 
 def keyed(candidates: DataFrame) -> DataFrame:
     """``label``, normalised, and ``key``: the code, for the previous year its own name, and net results of the income statement by their line."""
-    candidates = candidates.withColumn("label", normalize_ocr_label(F.col("raw_label")))
+    candidates = with_computed(candidates, {"label": normalize_ocr_label(F.col("raw_label"))})
     code, label = F.col("field_code"), F.col("label")
     net = (code == "RESULTAT_NET") & (F.col("period") == "N") & (F.col("section") == "CPC")
     key = F.when(F.col("period") == "N_MINUS_1", mapped(code, R.PREVIOUS_YEAR_KEY)).when(net & F.contains(label, F.lit("xiii")), "RESULTAT_NET_XIII").when(net & F.contains(label, F.lit("xvi")), "RESULTAT_NET_XVI").otherwise(code)

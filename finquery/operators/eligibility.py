@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finquery import refdata as R
+from finquery.functions.columns import with_computed
 from finquery.functions.text import contains_any, fold_keep_marks, normalize_ocr_label
 
 
@@ -22,7 +23,7 @@ def is_total_general(nature: Column, label: Column) -> Column:
 
 def labelled(rows: DataFrame) -> DataFrame:
     """With ``label``, the normalised label, as a column of its own: rules test it dozens of times."""
-    return rows if "label" in rows.columns else rows.withColumn("label", normalize_ocr_label(F.col("raw_label")))
+    return rows if "label" in rows.columns else with_computed(rows, {"label": normalize_ocr_label(F.col("raw_label"))})
 
 
 def rejection_reasons() -> Column:
@@ -72,7 +73,7 @@ def priority() -> Column:
     terms = [
         points(expected, 100.0), points(period.isin("N", "N_MINUS_1"), 80.0), points((role.isin("NET_N", "EXERCICE_N", "TOTAL_EXERCICE_N") & (period == "N")) | ((role == "EXERCICE_N1") & (period == "N_MINUS_1")), 60.0), points(hinted, 50.0),
         points((code == "CHIFFRE_AFFAIRES") & has("chiffre d affaires"), 40.0), points((code == "CHIFFRE_AFFAIRES") & has("ventes de marchandises") & ~has("chiffre"), -40.0), points(net & (has("xiii") | has("xvi")), 50.0), points(net, 30.0), points((code == "RESULTAT_NET") & (section == "BILAN_PASSIF"), -20.0),
-        points((code == "CHARGES_FINANCIERES") & zero & ~has("charges"), -120.0), points((code == "CHARGES_FINANCIERES") & F.replace(label, F.lit(" "), F.lit("")).rlike("^[0-9]+$"), -80.0), F.when(code == "CHARGES_FINANCIERES", -late_page).otherwise(0.0),
+        points((code == "CHARGES_FINANCIERES") & ~has("charges") & zero, -120.0), points((code == "CHARGES_FINANCIERES") & F.replace(label, F.lit(" "), F.lit("")).rlike("^[0-9]+$"), -80.0), F.when(code == "CHARGES_FINANCIERES", -late_page).otherwise(0.0),
         F.when(code == "ACHATS_REVENDUS", F.when(has("revendu"), 80.0).otherwise(-100.0)).otherwise(0.0), F.when(code == "ACHATS_REVENDUS", -late_page).otherwise(0.0),
     ]
     for term in terms:
