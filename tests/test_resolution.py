@@ -162,3 +162,13 @@ def test_filters_do_not_repeat_the_controls(spark, sf_dir, capsys):
     catalog.queries()["controls_eight"](spark, sf_dir).explain()
     lines = [line for line in capsys.readouterr().out.splitlines() if "Filter" in line]
     assert not [line for line in lines if "not_testable" in line or "case when" in line.lower()]
+
+
+def test_lines_are_numbered_before_their_texts_are_made(spark, sf_dir):
+    """What the numbering shuffles and sorts holds no text that is made of it."""
+    from finquery.plans.synthetic import candidates
+
+    for dense in (False, True):
+        plan = candidates(spark, sf_dir, dense=dense)._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index("Window") :]
+        assert "raw_label" in plan and "raw_label" not in below and "raw_value" not in below
