@@ -11,6 +11,7 @@ from finquery.operators.pages import classified
 from finquery.operators.project import completeness, output_fields
 from finquery.operators.recover import united
 from finquery.operators.resolve import resolved_fields
+from finquery.shared import written
 
 
 def resolved_documents(candidates: DataFrame) -> DataFrame:
@@ -28,9 +29,10 @@ def results_from_pages(candidates: DataFrame, pages: DataFrame) -> DataFrame:
 
     Pages get their types by the fold, candidates beyond an answer's bound go,
     and what the native text still shows is added. A document without any
-    candidate, found or recovered, has no row.
+    candidate, found or recovered, has no row. All candidates are written once:
+    they are read three times, and beside the texts that they come from they are few.
     """
     typed = pages.join(classified(pages), ["doc_id", "page_number"])
-    whole = united(capped(candidates)[0], typed)
+    whole = written(united(capped(candidates)[0], typed), "candidates")
     counts = whole.groupBy("doc_id").agg(F.first("n_recovered").alias("n_recovered"))
     return document_results(whole.drop("n_recovered", "recovered")).join(counts, "doc_id")

@@ -303,3 +303,34 @@ def test_recovery_folds_a_text_once(spark, capsys):
     recover.recovered(rows, have).explain()
     plan = capsys.readouterr().out
     assert 0 < plan.count("translate(") <= 2  # once in each of the two branches, which read the pages apart
+
+
+def test_texts_are_read_once_for_recovery(spark, sf_dir):
+    """What is found on a page is not sought a second time for the operating result, nor for the results."""
+    pages_ = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(1).alias("page_number"), F.lit("CPC").alias("page_type"), F.col("text").alias("native_text"))
+    have = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.lit("CHIFFRE_AFFAIRES").alias("field_code"))
+    plan = recover.recovered(pages_, have)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text#") and len([line for line in plan.splitlines() if "Relation" in line and "text#" in line]) == 1
+
+
+def test_operating_results_come_from_every_page(spark):
+    text = "12 300,00 iii. resultat d'exploitation (i-ii) du compte de produits et charges"
+    sold = "compte de produits et charges ventes de marchandises 7 000,00 puis la suite"
+    rows = spark.createDataFrame([(1, 1, "CPC", text), (1, 2, "CPC", text), (1, 3, "CPC", sold), (1, 4, "CPC", sold), (2, 1, "CPC", sold)], "doc_id long, page_number int, page_type string, native_text string")
+    have = spark.createDataFrame([(1, "RESULTAT_EXPLOITATION"), (2, "CHIFFRE_AFFAIRES"), (2, "CHIFFRE_AFFAIRES")], "doc_id long, field_code string")
+    got = sorted((r.doc_id, r.field_code, r.page_number) for r in recover.recovered(rows, have).collect())
+    assert got == [(1, "CHIFFRE_AFFAIRES", 3), (1, "RESULTAT_EXPLOITATION", 1), (1, "RESULTAT_EXPLOITATION", 2)]
+
+
+def test_white_space_is_squeezed_as_before(spark):
+    from finquery.functions.text import fold_ascii, fold_keep_marks
+
+    texts = [" a  b\tc\n", "é è   x", "a\u0085b", "--", " \t ", "a - b_c", "\x0b\x1cz\r\ny", "　　", "a​b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.col("p")
+    old = lambda t: F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+    from finquery.functions.text import plain_letters
+
+    rows = df.withColumn("p", F.lower(plain_letters(F.col("t"))))
+    for r in rows.select(fold_keep_marks(F.col("t")).alias("a"), old(plain).alias("b"), fold_ascii(F.col("t")).alias("c"), old(F.regexp_replace(plain, r"[^a-z0-9\s]+", " ")).alias("d")).collect():
+        assert (r.a, r.c) == (r.b, r.d)
