@@ -40,6 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,9 @@ from finquery.llm.words import U64, Words, mixed, release
 GROUPS, NODE, FAN = 32, 16, 32
 LEAF_SHINGLES, LEAF_SETS = 400_000, 512
 BAND, THIN = 1.3, 3
+#: Whether shingles are shared is asked of their leading bits: two that agree in them by chance let a set go on that cannot link, and lose none.
+TRAILING = np.uint64(24)
+LEADING = np.uint64((1 << 64) - (1 << 24))
 #: Signatures of one run, and in one bucket of the join, about.
 RUN, BUCKET = 1 << 20, 1 << 20
 ODD = 0x9E3779B97F4A7C15
@@ -117,43 +121,70 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def shared_sets(work: Scratch, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """``doc_id, n, a, b, s``: set size, digest, and for sets that can link the shingles.
+def text_marks(texts: pa.Array) -> np.ndarray:
+    """A 128-bit hash of each text in lower case, as two signed numbers a row."""
+    raw = [xxhash.xxh3_128_digest(t) for t in pc.ascii_lower(texts).cast(pa.binary() if texts.type == pa.string() else pa.large_binary()).to_pylist()]
+    return np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
 
-    Of equal sets in a chunk the smallest document has ``s``; whether a set can
-    link is the same for all that equal it. A document without an id has no ``s``.
+
+def first_copies(work: Scratch, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, x, y``: each document with its text's hash; and ``chunk, places``: where in the chunks the first document of each text stands."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            doc_ids, texts = texts_of(row)
+            marks, n = text_marks(texts), len(doc_ids)
+            yield from pa.Table.from_arrays([pa.array(np.full(n, row["chunk"])), pa.array(np.arange(n, dtype=np.int32)), pa.array(doc_ids, mask=doc_ids == NULL_ID), *(pa.array(np.ascontiguousarray(m)) for m in marks.T)], ["chunk", "place", "doc_id", "x", "y"]).to_batches(max_chunksize=10_000)
+            release()
+
+    marks = work.table("marks", chunks.select("chunk", "doc_ids", "sizes", "texts").mapInArrow(marked, "chunk long, place int, doc_id long, x long, y long"))
+    first = marks.groupBy("x", "y").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "chunk", "place")).alias("first"))
+    places = work.table("places", first.groupBy("first.chunk").agg(F.collect_list("first.place").alias("places")))
+    return marks.select("doc_id", "x", "y"), places
+
+
+def shared_sets(work: Scratch, documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n, a, b``: set size and digest of each row of ``documents``; and ``doc_id, n, a, b, s``: the shingles of sets that can link.
+
+    Of equal texts the smallest document alone is read as shingles, and of equal
+    sets in a chunk the smallest has ``s``; whether a set can link is the same
+    for all that equal it. A document without an id has no ``s``.
     """
     parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = written_chunks(work, documents, parts)
     buckets = max(4 * parts, -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WINDOWS))
+    marks, places = first_copies(work, chunks)
+    chunks = chunks.join(places, "chunk")
 
     class Sets:
-        """A chunk's sets; ``firsts``: one document for each class; ``keys``: their shingles, ``several``: which are in more than one."""
+        """The sets of a chunk's first copies; ``firsts``: one document for each class; ``keys``: their shingles' leading bits, ``several``: which are in more than one."""
 
         def __init__(self, row: dict):
-            self.doc_ids, texts = texts_of(row)
-            self.sets = shingle_sets(texts, width)
+            doc_ids, texts = texts_of(row)
+            at = np.sort(np.array(row["places"], np.int64))
+            self.doc_ids, texts = doc_ids[at], texts.take(pa.array(at))
+            self.texts, self.sets = texts, shingle_sets(texts, width)
             self.marks = [digest(s) for s in self.sets]
             seen: dict[tuple[int, int], int] = {}
             for k, (i, mark) in enumerate(zip(self.doc_ids.tolist(), self.marks, strict=True)):  # by doc_id
                 if i != NULL_ID and len(self.sets[k]):
                     seen.setdefault(mark, k)
             self.firsts = list(seen.values())
-            flat = np.sort(np.concatenate([np.empty(0, U64), *(self.sets[k] for k in self.firsts)]))
+            flat = np.sort(np.concatenate([np.empty(0, U64), *(self.sets[k] for k in self.firsts)]) & LEADING)
             first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, np.int64)
             self.keys, self.several = flat[first], np.diff(first, append=len(flat)) > 1
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             keys = Sets(row).keys
-            out = [(bucket, row["chunk"], at.stop - at.start, packed(np.diff(keys[at], prepend=U64(0)))) for bucket, at in cells_of(keys, buckets)]
+            out = [(bucket, row["chunk"], at.stop - at.start, packed(np.diff(keys[at] >> TRAILING, prepend=keys[at.start] >> TRAILING)), int(keys[at.start] >> TRAILING)) for bucket, at in cells_of(keys, buckets)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 3 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))], ["bucket", "chunk", "n", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 3 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))], ["bucket", "chunk", "n", "run", "low"])
             release()
 
     def merge(cells: pd.DataFrame) -> pd.DataFrame:
         """For each run of a bucket a bit for each shingle: another run has it."""
-        keys = np.concatenate([np.cumsum(unpacked(raw, 0, n)[0], dtype=U64) for n, raw in zip(cells["n"], cells["run"], strict=True)])
+        keys = np.concatenate([np.cumsum(unpacked(raw, 0, n)[0], dtype=U64) + U64(low) for n, low, raw in zip(cells["n"], cells["low"], cells["run"], strict=True)])
         order = np.argsort(keys, kind="stable")
         same = keys[order[1:]] == keys[order[:-1]]
         flags = np.zeros(len(keys), dtype=bool)
@@ -169,15 +200,20 @@ def shared_sets(work: Scratch, documents: DataFrame, width: int, percent: int) -
                 shared |= np.concatenate([np.unpackbits(np.frombuffer(x["run"], np.uint8), count=x["n"]).astype(bool) for x in bits])
             kept: list[bytes | None] = [None] * len(here.sets)
             for k in here.firsts:
-                if 100 * int(shared[np.searchsorted(here.keys, here.sets[k])].sum()) >= percent * len(here.sets[k]):
+                if 100 * int(shared[np.searchsorted(here.keys, here.sets[k] & LEADING)].sum()) >= percent * len(here.sets[k]):
                     kept[k] = here.sets[k].tobytes()
             ids, n, a, b = [None if i == NULL_ID else i for i in here.doc_ids.tolist()], [len(s) for s in here.sets], [m[0] for m in here.marks], [m[1] for m in here.marks]
-            yield from pa.Table.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, n, a, b)), pa.array(kept, pa.binary())], ["doc_id", "n", "a", "b", "s"]).to_batches(max_chunksize=1000)
+            yield from pa.Table.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, n, a, b)), pa.array(kept, pa.binary()), *(pa.array(np.ascontiguousarray(m)) for m in text_marks(here.texts).T)], ["doc_id", "n", "a", "b", "s", "x", "y"]).to_batches(max_chunksize=1000)
             release()
 
     cell = "bucket long, chunk long, n long, run binary"
-    bits = chunks.mapInArrow(sort, cell).groupBy("bucket").applyInPandas(merge, cell).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "run")).alias("bits"))  # a bit for each shingle of a chunk
-    return work.table("docs", chunks.join(bits, "chunk", "left").select("doc_ids", "sizes", "texts", "bits").mapInArrow(told, "doc_id long, n long, a long, b long, s binary"))
+    # A bit for each shingle of a chunk; written, so that the runs are gone before the shingles are written.
+    bits = work.table("bits", chunks.mapInArrow(sort, f"{cell}, low long").groupBy("bucket").applyInPandas(merge, cell).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "run")).alias("bits")))
+    firsts = work.table("firsts", chunks.join(bits, "chunk", "left").select("doc_ids", "sizes", "texts", "places", "bits").mapInArrow(told, "doc_id long, n long, a long, b long, s binary, x long, y long"))
+    for name in ("chunks", "places", "bits"):
+        work.remove(name)
+    docs = work.table("docs", marks.join(firsts.select("x", "y", "n", "a", "b").hint("merge"), ["x", "y"]).select("doc_id", "n", "a", "b"))
+    return docs, firsts.where("s is not null").select("doc_id", "n", "a", "b", "s")
 
 
 def joined_by(sig: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -407,14 +443,15 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, width: int = 3
     """
     work = Scratch(spark, "jaccard")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = shared_sets(work, documents, width, percent)
+    docs, with_sets = shared_sets(work, documents, width, percent)
     # Equal sets are one class, named by its smallest doc_id.
     sets_here = docs.where("n > 0 and doc_id is not null")
     classes = work.table("classes", sets_here.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
     # A set of n shingles has about n signatures at most.
     # Sets that can link, each once. Merged at every size: what is broadcast must not follow the corpus.
-    able = docs.where("s is not null").join(classes.select(F.col("rep").alias("doc_id"), "a", "b").hint("merge"), ["doc_id", "a", "b"], "left_semi").dropDuplicates(["doc_id"])
+    able = with_sets.join(classes.select(F.col("rep").alias("doc_id"), "a", "b").hint("merge"), ["doc_id", "a", "b"], "left_semi").dropDuplicates(["doc_id"])
     able = work.table("able", able.select("doc_id", "a", "b", "n", "s"))
+    work.remove("firsts")
     buckets = max(parts, -(-(able.agg(F.sum("n")).first()[0] or 0) // BUCKET))
     blocks = components(work, "blocks", signature_links(able, percent, buckets))
     in_block = work.table("in_block", classes.join(blocks, F.col("rep") == F.col("node")).select("a", "b", "rep", "n", F.col("comp").alias("block")))
@@ -432,6 +469,7 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, width: int = 3
 
     whole = able.select(F.col("doc_id").alias("rep"), "a", "b", "s").join(leaves.select("rep", "a", "b", "block", "leaf").hint("merge"), ["rep", "a", "b"]).select("rep", "block", "leaf", "s")
     sets = work.table("sets", whole.mapInArrow(pointed, "rep long, block long, leaf long, s binary, p array<int>"))
+    work.remove("able")
 
     def search(part: pd.DataFrame) -> list[tuple[int, int]]:
         """Links inside one leaf, or between two (``pair``)."""
@@ -456,6 +494,7 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, width: int = 3
     reached = links.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     if not sizes.isEmpty():
         large = work.table("large-sets", sets.join(sizes, "block", "left_semi").dropDuplicates(["rep"]))
+        work.remove("sets")
         within = large.select(F.col("rep").alias("u"))
         settled, links = links.join(within, "u", "left_anti"), links.join(within, "u", "left_semi")
 
@@ -481,6 +520,8 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, width: int = 3
             last = opened.select("block").distinct()
             beside = state.join(last, "block", "left_semi").join(sizes, "block").where("leaf < last").select(F.col("rep").alias("x_rep"), "block", (F.col("leaf") + 1).alias("leaf"))
             links = compared("beside", beside, state, links)
+            for name in ("leaves-done-state", "leaves-done-open"):
+                work.remove(name)
             state, opened = so_far("beside-done", links)
         if not opened.isEmpty():
             pairs = descended(work, state, opened, percent)

@@ -29,6 +29,34 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a job go when it ends: else they stay until the driver happens to collect its garbage, and all of a large run lie on disk at once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@contextlib.contextmanager
+def cleared() -> Iterator[None]:
+    """What operators that are called here write goes at the end; a table that is to stay belongs to a `Scratch` made before."""
+    before = len(made)
+    try:
+        yield
+    finally:
+        for work in made[before:]:
+            work.remove()
+        del made[before:]
+
+
+#: Those of the session that still have their tables.
+made: list[Scratch] = []
+
+
 class Scratch:
     """Tables of one operator call, below a folder of its own; removed when the session's process ends."""
 
@@ -36,6 +64,7 @@ class Scratch:
         self.spark = spark
         self.catalogued: list[str] = []
         self.root = f"{shared_folder(spark)}/finquery-{label}-{uuid.uuid4().hex}"
+        made.append(self)
         atexit.register(self.remove)
 
     def path(self, name: str) -> str:
@@ -44,12 +73,14 @@ class Scratch:
     def table(self, name: str, df: DataFrame, *partition: str, batch: int = 1000, **options: object) -> DataFrame:
         """Write ``df`` and return the written table. ``batch``: rows that go to Python at once."""
         writer = df.write.mode("overwrite").options(compression="zstd", **options)
-        with small_batches(self.spark, batch):
+        with small_batches(self.spark, batch), shuffles_removed(self.spark):
             (writer.partitionBy(*partition) if partition else writer).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def remove(self, name: str = "") -> None:
         """Delete one table, or all of them."""
+        if not name:
+            atexit.unregister(self.remove)
         try:
             for table in [] if name else self.catalogued:
                 self.spark.sql(f"DROP TABLE IF EXISTS {table}")

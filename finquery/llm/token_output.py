@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from finquery.llm.scratch import Scratch, small_batches, with_columns_of
+from finquery.llm.scratch import Scratch, shuffles_removed, small_batches, with_columns_of
 from finquery.llm.words import Words, release, slices
 
 MAGIC = b"FQT1"
@@ -313,7 +313,7 @@ def write_token_files(tokens: DataFrame, kind: str, ranks: DataFrame, path: str,
             yield out()
 
     blocks = tokens.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "n").mapInArrow(encode, "block binary")
-    with small_batches(tokens.sparkSession):
+    with small_batches(tokens.sparkSession), shuffles_removed(tokens.sparkSession):
         blocks.select(F.col("block").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
