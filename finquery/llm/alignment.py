@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finquery.llm.scratch import Scratch, with_columns_of
+from finquery.llm.scratch import LARGE_ROWS, Scratch, held, with_columns_of
 from finquery.llm.token_output import Remembered
 from finquery.llm.words import slices
 
@@ -37,6 +37,9 @@ REMEMBERED_BYTES = 64
 #: A pair as one number: the first tokenizer's id above these bits, the second's in them.
 SECOND_BITS = 24
 
+#: Of so many chunks a task holds looked-up pairs as objects; more are sorted.
+CHUNKS_HELD = "8"
+
 
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in byte-level vocabularies: visible Latin-1 characters for themselves, the rest from U+0100 on, in order."""
@@ -260,11 +263,14 @@ def alignment(spark: SparkSession, documents: DataFrame, path_a: str, path_b: st
     behind; an empty table gives no rows.
     """
     work = Scratch(spark, "alignment")
-    chunks = work.table("chunks", chunks_of(documents, path_a, path_b))
-    pairs = work.table("pairs", pair_counts(chunks))
+    chunks = work.table("chunks", chunks_of(documents, path_a, path_b), **LARGE_ROWS)
+    pairs = work.table("pairs", pair_counts(chunks), batch=4)
     asked = chunks.select("chunk", F.explode("pairs.pair").alias("pair"))
     known = asked.join(pairs, "pair").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("pair", "n", "best"))).alias("known"))
     none = F.expr("CAST(array() AS array<struct<pair:bigint,n:bigint,best:boolean>>)")
     rows = totals_of(chunks.join(known, "chunk", "left").select("docs", "pieces", "numbers", "n_links", "links", F.coalesce("known", none).alias("known")))
     first = F.shiftright("pair", SECOND_BITS).alias("first_id")
-    return work.table("documents", rows, batch=4), pairs.select(first, F.col("pair").bitwiseAND((1 << SECOND_BITS) - 1).alias("second_id"), "n", "best")
+    with held(spark, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": CHUNKS_HELD}):
+        found = work.table("documents", rows, batch=4)
+    work.remove("chunks")
+    return found, pairs.select(first, F.col("pair").bitwiseAND((1 << SECOND_BITS) - 1).alias("second_id"), "n", "best")

@@ -18,27 +18,32 @@ from finquery.shared import shared_folder
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Batches to and from Python of so many rows while a job runs: whole texts in batches of 10,000 rows take too much memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings of the session while a job runs."""
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
-@contextlib.contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+#: Rows that Spark's reader of Parquet holds at once, where nothing is set.
+READER_ROWS = 4096
+#: Writers look at their size after each of the first rows, not after a hundred: for tables whose rows have megabytes.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "8", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8"}
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> contextlib.AbstractContextManager[None]:
+    """Batches out of files, to and from Python of so many rows while a job runs: whole texts in batches of 10,000 rows take too much memory."""
+    return held(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.parquet.columnarReaderBatchSize": str(min(rows, READER_ROWS))})
+
+
+def shuffles_removed(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
     """Shuffle files of a job go when it ends: else they stay until the driver happens to collect its garbage, and all of a large run lie on disk at once."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return held(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
 @contextlib.contextmanager
@@ -71,7 +76,7 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def table(self, name: str, df: DataFrame, *partition: str, batch: int = 1000, **options: object) -> DataFrame:
-        """Write ``df`` and return the written table. ``batch``: rows that go to Python at once."""
+        """Write ``df`` and return the written table. ``batch``: rows that are read, and go to Python, at once."""
         writer = df.write.mode("overwrite").options(compression="zstd", **options)
         with small_batches(self.spark, batch), shuffles_removed(self.spark):
             (writer.partitionBy(*partition) if partition else writer).parquet(self.path(name))
