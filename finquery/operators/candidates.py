@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from finquery import refdata as R
 from finquery.functions.amounts import parse_decimal_amount
-from finquery.functions.columns import let, with_computed
-from finquery.functions.text import contains_any, fold_ascii, normalize_label, normalize_ocr_label, without_thought_mark
+from finquery.functions.columns import with_computed
+from finquery.functions.text import contains_any, fold_ascii, is_ascii, misread, normalize_label, normalize_ocr_label, without_thought_mark
 
 
 def mapped(value: Column, table: dict[str, str], default: Column | None = None) -> Column:
@@ -64,7 +64,10 @@ def first_wins(rows: DataFrame, keys: list[Column], *order: str) -> DataFrame:
 
 def dedupe_candidates(candidates: DataFrame) -> DataFrame:
     """The first of the rows that agree in document, code, period, label and value once marks (and so signs) are gone."""
-    return first_wins(candidates, [F.col("doc_id"), F.col("field_code"), F.col("period"), normalize_label(F.col("raw_label")), normalize_label(F.col("raw_value"))], "seq")
+    label = normalize_label(F.col("raw_label"))
+    if "_text" in candidates.columns:  # with misreadings put right, where there are any
+        label = F.when(misread(F.col("raw_label")), label).otherwise(F.col("_text"))
+    return first_wins(candidates, [F.col("doc_id"), F.col("field_code"), F.col("period"), label, normalize_label(F.col("raw_value"))], "seq")
 
 
 def capped(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,9 +78,12 @@ def capped(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return numbered.where(within).drop("_k"), numbered.where(~within).drop("_k")
 
 
-def label_is_amount(label: Column, value: Column) -> Column:
+def is_amount(folded: Column, value: Column) -> Column:
+    """Of a normalised label."""
     number = r"^[\s.]*-?[0-9]{1,3}(?:[.\s][0-9]{3})*(?:[,.][0-9]{1,2})?\s*$"
-    return let(normalize_ocr_label(label), lambda folded: (folded == "") | (folded == normalize_ocr_label(value)) | folded.rlike(number))
+    # Of a value without letters, as most are, no letter comes; it need not be normalised then.
+    same = F.when(value.rlike(r"^[0-9 .,()+-]*$") & folded.rlike("[a-z]"), F.lit(False)).otherwise(folded == normalize_ocr_label(value))
+    return (folded == "") | same | folded.rlike(number)
 
 
 def remapped_code(code: Column, text: Column) -> Column:
@@ -97,29 +103,36 @@ def noted(condition: Column, warning: Column) -> Column:
 
 def repair(candidates: DataFrame) -> DataFrame:
     """Codes, roles, labels and natures put right from what the row itself says; every change leaves a warning, in order."""
+    return repaired(candidates).drop("_text")
+
+
+def repaired(candidates: DataFrame) -> DataFrame:
+    """`repair` with ``_text``, the normalised label."""
     was = F.col("field_code")
-    folded = with_computed(candidates, {"_text": fold_ascii(normalize_ocr_label(F.col("raw_label")))})
-    rows = folded.withColumn("_code", remapped_code(was, F.col("_text"))).withColumn("warnings", F.concat("warnings", noted(F.col("_code") != was, F.concat(F.lit("code "), was, F.lit(" -> "), "_code")))).withColumn("field_code", F.col("_code"))
+    # A label is normalised once, and again only where it is changed. Of ASCII letters, digits and single spaces nothing folds.
+    read = with_computed(candidates.withColumn("_was", F.col("raw_label")), {"_norm": normalize_ocr_label(F.col("raw_label"))})
+    norm = F.col("_norm")
+    rows = with_computed(read, {"_text": F.when(is_ascii(norm) & ~F.contains(norm, F.lit("_")), norm).otherwise(fold_ascii(norm)), "_shaped": is_amount(norm, F.col("raw_value"))})
+    rows = rows.withColumn("_code", remapped_code(was, F.col("_text"))).withColumn("warnings", F.concat("warnings", noted(F.col("_code") != was, F.concat(F.lit("code "), was, F.lit(" -> "), "_code")))).withColumn("field_code", F.col("_code"))
 
     role = F.coalesce("column_role", F.lit("UNKNOWN"))
     usual = F.when(F.col("period") == "N_MINUS_1", F.lit("EXERCICE_N1")).otherwise(mapped(F.col("page_type"), R.DEFAULT_ROLE, F.lit(None).cast("string")))
     vague = role.isin("UNKNOWN", "MONTANT_N", "IDENTITY_VALUE", "") & usual.isNotNull()
     rows = rows.withColumn("_role", F.when(vague, usual).otherwise(role)).withColumn("warnings", F.concat("warnings", noted(F.col("_role") != role, F.concat(F.lit("role -> "), "_role")))).withColumn("column_role", F.col("_role"))
 
-    rows = with_computed(rows, {"_shaped": label_is_amount(F.col("raw_label"), F.col("raw_value")), "_zero": F.coalesce(parse_decimal_amount(F.col("raw_value")) == 0, F.lit(False))})
     shaped = F.col("_shaped")
-    bare_zero = F.col("_zero") & F.col("field_code").isin("CHARGES_FINANCIERES", "CHARGES_INTERETS", "FRAIS_FINANCIERS")
+    bare_zero = F.when(shaped & F.col("field_code").isin("CHARGES_FINANCIERES", "CHARGES_INTERETS", "FRAIS_FINANCIERS"), F.coalesce(parse_decimal_amount(F.col("raw_value")) == 0, F.lit(False))).otherwise(F.lit(False))
     usual_label = mapped(F.col("field_code"), R.CANONICAL_LABEL, F.lit(None).cast("string"))
     rows = rows.withColumn("_label", F.when(shaped & ~bare_zero, F.coalesce(usual_label, "raw_label")).otherwise(F.col("raw_label")))
     rows = rows.withColumn("warnings", F.concat("warnings", noted(shaped & ~bare_zero & usual_label.isNotNull(), F.lit("label restored")))).withColumn("raw_label", F.substring("_label", 1, 180))
 
-    rows, text = with_computed(rows, {"_text": normalize_ocr_label(F.col("raw_label"))}), F.col("_text")
+    rows, text = with_computed(rows, {"_text": F.when(F.col("raw_label").eqNullSafe(F.col("_was")), norm).otherwise(normalize_ocr_label(F.col("raw_label")))}), F.col("_text")
     part = text.rlike(r"\btotal\s+(i|ii|iii)\b") & ~text.rlike(R.TOTAL_GENERAL)
     grand = F.col("field_code").isin("TOTAL_ACTIF", "TOTAL_PASSIF") & ~part
     section = F.col("field_code").isin(R.SECTION_TOTAL_CODES) & (F.col("nature") == "DETAIL")
     rows = rows.withColumn("_nature", F.when(grand, "GRAND_TOTAL").when(section, "SECTION_TOTAL").otherwise(F.col("nature"))).withColumn("warnings", F.concat("warnings", noted(F.col("_nature") != F.col("nature"), F.concat(F.lit("nature -> "), "_nature")))).withColumn("nature", F.col("_nature"))
     empty = F.trim(F.coalesce("source_excerpt", F.lit(""))).isin("", "ligne|montant")
-    return rows.withColumn("source_excerpt", F.substring(F.when(empty, F.concat_ws("|", "raw_label", "raw_value")).otherwise(F.col("source_excerpt")), 1, 240)).drop("_code", "_role", "_label", "_nature", "_text", "_shaped", "_zero")
+    return rows.withColumn("source_excerpt", F.substring(F.when(empty, F.concat_ws("|", "raw_label", "raw_value")).otherwise(F.col("source_excerpt")), 1, 240)).drop("_code", "_role", "_label", "_nature", "_shaped", "_norm", "_was")
 
 
 def to_section(candidates: DataFrame) -> DataFrame:
@@ -155,7 +168,8 @@ def period_from_role(candidates: DataFrame) -> DataFrame:
 
 def keyed(candidates: DataFrame) -> DataFrame:
     """``label``, normalised, and ``key``: the code, for the previous year its own name, and net results of the income statement by their line."""
-    candidates = with_computed(candidates, {"label": normalize_ocr_label(F.col("raw_label"))})
+    known = "_text" in candidates.columns
+    candidates = candidates.drop("label").withColumnRenamed("_text", "label") if known else with_computed(candidates, {"label": normalize_ocr_label(F.col("raw_label"))})
     code, label = F.col("field_code"), F.col("label")
     net = (code == "RESULTAT_NET") & (F.col("period") == "N") & (F.col("section") == "CPC")
     key = F.when(F.col("period") == "N_MINUS_1", mapped(code, R.PREVIOUS_YEAR_KEY)).when(net & F.contains(label, F.lit("xiii")), "RESULTAT_NET_XIII").when(net & F.contains(label, F.lit("xvi")), "RESULTAT_NET_XVI").otherwise(code)
@@ -169,4 +183,4 @@ def prepared(candidates: DataFrame) -> DataFrame:
     document's rows are few, as its pages and the rows of a page are.
     """
     clean = candidates.repartition("doc_id").withColumns({c: without_thought_mark(F.col(c)) for c in ("raw_value", "raw_label", "source_excerpt")})
-    return keyed(period_from_role(role_from_heading(to_section(dedupe_candidates(repair(clean))))))
+    return keyed(period_from_role(role_from_heading(to_section(dedupe_candidates(repaired(clean))))))
