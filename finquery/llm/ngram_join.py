@@ -10,8 +10,9 @@ that the threshold asks for, and survivors are verified on the sets themselves.
 Most sets link with none, which is found first, without loss: a set that links
 shares at least the threshold's part of its shingles with another, so a set
 goes on only if that many of its shingles occur in a different set at all. That
-is told by sorted runs of shingle hashes, merged by ranges of hashes, from which
-one bit for each shingle comes back.
+is told by sorted runs of shingle hashes (their leading bits), merged by ranges
+of hashes, from which one bit for each shingle comes back. Of equal texts, which
+a hash of the whole text tells, one alone is read so.
 
 Which sets stand in one tree is found next, again without loss. Two sets that link
 differ in at most k shingles, k following from their sizes; if both are split
